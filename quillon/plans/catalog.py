@@ -1,15 +1,448 @@
-"""The registered queries of the factor engine and their SQL."""
+"""The registered queries of the factor engine and their SQL.
+
+Each query runs over whole tables.  The SQL is an independent statement of the same result, with floats rounded
+on both sides.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillon.operators import panel, seeds, shaping, text
+from quillon.plans.lower import factors
+from quillon.sources import bars as B
+
+_Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _add(name: str, sql: str | None = None):
+    def keep(f):
+        _Q[name] = (f, sql)
+        return f
+
+    return keep
+
+
+def _round(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# -- bars
+
+EVENT_MINUTES, WEEK_MINUTES = 240, 10_080
+
+
+def event_bars(spark: SparkSession, sf: str, minutes: int = EVENT_MINUTES) -> DataFrame:
+    return B.resample(B.trades(_table(spark, sf, "events"), "event_type", "ts", "value", F.lit(1.0)), minutes)
+
+
+def nation_trades(spark: SparkSession, sf: str) -> DataFrame:
+    items = _table(spark, sf, "lineitem")
+    home = _table(spark, sf, "supplier").join(F.broadcast(_table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    rows = items.join(home, F.col("l_suppkey") == F.col("s_suppkey"))
+    return B.trades(rows, "n_name", "l_shipdate", F.col("l_extendedprice") / F.col("l_quantity"), "l_quantity", *_TIE)
+
+
+_TIE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+def nation_bars(spark: SparkSession, sf: str) -> DataFrame:
+    return B.resample(nation_trades(spark, sf), WEEK_MINUTES, tie=_TIE)
+
+
+def _label_sql(ts: str, minutes: int) -> str:
+    step = minutes * 60_000_000
+    return f"make_timestamp(((epoch_us({ts}) + {step - 1}) // {step}) * {step})"
+
+
+def _bars_sql(minutes: int = EVENT_MINUTES) -> str:
+    return f"""SELECT event_type AS symbol, {_label_sql("ts", minutes)} AS ts, arg_min(value, events.ts) AS open, max(value) AS high, min(value) AS low,
+        arg_max(value, events.ts) AS close, count(value)::DOUBLE AS volume FROM events GROUP BY event_type, {_label_sql("ts", minutes)}"""
+
+
+_ORDER = "ts, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+_NATION_SQL = f"""SELECT symbol, {_label_sql("ts", WEEK_MINUTES)} AS ts, first(p ORDER BY {_ORDER.replace("ts,", "t.ts,", 1)}) AS open, max(p) AS high, min(p) AS low,
+    last(p ORDER BY {_ORDER.replace("ts,", "t.ts,", 1)}) AS close, sum(q) AS volume
+    FROM (SELECT n_name AS symbol, l_shipdate AS ts, l_extendedprice / l_quantity AS p, l_quantity AS q, * EXCLUDE (n_name, l_shipdate) FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey) t
+    GROUP BY symbol, {_label_sql("t.ts", WEEK_MINUTES)}"""
+_OHLCV = "round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, round(volume, 8) AS volume"
+
+for _n, _m in (("bars_hourly", 60), ("bars_right_closed", EVENT_MINUTES), ("bars_seven_minutes", 7)):
+    _add(_n, f"SELECT symbol, ts, {_OHLCV} FROM ({_bars_sql(_m)})")(lambda s, d, m=_m: _round(event_bars(s, d, m), 8))
+_add("bars_weekly_nation", f"SELECT symbol, ts, {_OHLCV} FROM ({_NATION_SQL})")(lambda s, d: _round(nation_bars(s, d), 8))
+
+
+@_add("bars_daily_bypass", "SELECT event_type AS symbol, ts, round(value, 6) AS open, round(value, 6) AS high, round(value, 6) AS low, round(value, 6) AS close, 1.0::DOUBLE AS volume FROM events")
+def _bypass(spark, sf):
+    return _round(B.bars(B.trades(_table(spark, sf, "events"), "event_type", "ts", "value", F.lit(1.0)), 1440))
+
+
+@_add("bars_range_filter", "SELECT event_type AS symbol, ts, round(value, 6) AS close FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-15'")
+def _range(spark, sf):
+    rows = _table(spark, sf, "events").where(F.col("ts").between(F.expr("timestamp_ntz '2024-01-05'"), F.expr("timestamp_ntz '2024-01-15'")))
+    return rows.select(F.col("event_type").alias("symbol"), "ts", F.round("value", 6).alias("close"))
+
+
+@_add("universe", "SELECT DISTINCT n_name AS symbol FROM nation JOIN supplier ON n_nationkey = s_nationkey JOIN lineitem ON s_suppkey = l_suppkey ORDER BY 1 LIMIT 32")
+def _universe(spark, sf):
+    return B.universe(nation_trades(spark, sf), 32)
+
+
+# -- the factor language; in the SQL {w9} is a trailing frame of nine rows
+
+_FRAMED = f"""WITH bars AS ({_bars_sql()}),
+ b AS (SELECT *, (close - lag(close) OVER o) / (lag(close) OVER o + 1e-8) AS r, close - lag(close) OVER o AS dc, ln(abs(close) + 1e-8) AS lc FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY ts))"""
+
+
+def _over(text: str) -> str:
+    for w in range(1, 21):
+        text = text.replace(f"{{w{w}}}", f"OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)")
+    return text
+
+
+def _dsl(name: str, expr: str, sql: str, extra: str = "", digits: int = 4) -> None:
+    source = f", c AS (SELECT *, {_over(extra)} FROM b)" if extra else ", c AS (SELECT * FROM b)"
+    _add(name, f"{_FRAMED}{source} SELECT symbol, ts, round(coalesce({_over(sql)}, 0), {digits})::DOUBLE AS factor FROM c")(
+        lambda s, d: _round(factors(B.finite_rows(event_bars(s, d)), {"factor": expr}).select("symbol", "ts", "factor"), digits)
+    )
+
+
+_LIST = "list(close) {w9} AS l, avg(close) {w9} AS mu, stddev_pop(close) {w9} AS sd"
+_MOMENT = "(list_sum(list_transform(l, lambda x: (x - mu) ** {p})) / len(l))"
+for _f in ("open", "high", "low", "close", "volume"):
+    _dsl(f"dsl_{_f}", f"ts_mean({_f}(9))", f"avg({_f}) {{w9}}")
+for _f, _sql in (("mean", "avg(close) {w9}"), ("std", "stddev_pop(close) {w9} + 1e-8"), ("max", "max(close) {w9}"), ("min", "min(close) {w9}"), ("sum", "sum(close) {w9}")):
+    _dsl(f"dsl_ts_{_f}", f"ts_{_f}(close(9))", _sql)
+for _f, _x in (("add", "close + open"), ("sub", "close - open"), ("mul", "close * open"), ("div", "close / (abs(open) + 1e-8)")):
+    _dsl(f"dsl_{_f}_arr", f"ts_mean({_f}_arr(close(9), open(4)))", f"avg({_x}) {{w4}}", digits=8)
+    _dsl(f"dsl_{_f}", f"{_f}(last(close(3)), last(open(3)))", _x)
+_dsl("dsl_returns", "ts_mean(returns(9))", "avg(r) {w9}")
+_dsl("dsl_vwap", "vwap(9)", "sum(close * volume) {w9} / (sum(volume) {w9} + 1e-8)")
+_dsl("dsl_diff", "ts_mean(diff(close(9)))", "avg(dc) {w8}", digits=8)
+_dsl("dsl_log_arr", "ts_mean(log_arr(close(9)))", "avg(lc) {w9}")
+_dsl("dsl_normalize", "ts_max(normalize(close(9)))", "(max(close) {w9} - avg(close) {w9}) / (stddev_pop(close) {w9} + 1e-8)")
+_dsl("dsl_ema_arr", "ema_arr(close(9), 4)", "list_sum(list_transform(l, lambda x, k: x * 0.6 ** (len(l) - k))) / (list_sum(list_transform(l, lambda x, k: 0.6 ** (len(l) - k))) + 1e-8)", _LIST)
+_dsl("dsl_slice_arr", "ts_mean(slice_arr(close(9), 3))", "avg(close) {w3}")
+_dsl("dsl_ts_skew", "ts_skew(close(9))", f"CASE WHEN len(l) > 1 AND {_MOMENT.format(p=2)} > 0 THEN {_MOMENT.format(p=3)} / ({_MOMENT.format(p=2)} ** 1.5) END", _LIST)
+_dsl("dsl_ts_kurt", "ts_kurt(close(9))", f"CASE WHEN len(l) > 1 AND {_MOMENT.format(p=2)} > 0 THEN {_MOMENT.format(p=4)} / ({_MOMENT.format(p=2)} ** 2) - 3 END", _LIST)
+_dsl("dsl_last", "last(close(9))", "close")
+_dsl("dsl_first", "first(close(9))", "first_value(close) {w9}")
+_dsl("dsl_corr", "corr(close(9), volume(9))", "CASE WHEN stddev_pop(close) {w9} > 1e-12 AND stddev_pop(volume) {w9} > 1e-12 THEN covar_pop(close, volume) {w9} / (stddev_pop(close) {w9} * stddev_pop(volume) {w9}) END")
+_dsl("dsl_cov", "cov(close(9), open(9))", "covar_samp(close, open) {w9}", digits=8)
+_dsl("dsl_zscore", "zscore(last(close(9)), close(9))", "(close - mu) / (sd + 1e-8)", _LIST)
+_dsl("dsl_rank", "rank(last(close(9)), close(9))", "len(list_filter(l, lambda x: x <= close)) / (len(l) + 1)", _LIST)
+_dsl("dsl_neg", "neg(last(close(3)))", "-close")
+_dsl("dsl_abs_s", "abs_s(sub(last(close(3)), last(open(3))))", "abs(close - open)")
+_dsl("dsl_log_s", "log_s(last(close(3)))", "ln(abs(close) + 1e-8)")
+_dsl("dsl_tanh_s", "tanh_s(div(last(close(3)), 100))", "tanh(close / (100 + 1e-8))")
+_dsl("dsl_sign_s", "sign_s(sub(last(close(3)), last(open(3))))", "sign(close - open)")
+_dsl("dsl_infix", "(last(close(3)) - last(open(3))) / ts_mean(high(5)) + 2 * vwap(3)", "(close - open) / (abs(avg(high) {w5}) + 1e-8) + 2 * (sum(close * volume) {w3} / (sum(volume) {w3} + 1e-8))")
+_dsl("dsl_infix_array", "ts_mean(close(9) - open(9))", "avg(close - open) {w9}")
+_dsl("dsl_infix_broadcast", "ts_sum(close(9) - ts_mean(close(4)))", "sum(close) {w9} - count(close) {w9} * avg(close) {w4}")
+_dsl("dsl_array_root", "close(9)", "close")
+_dsl("dsl_unary_minus", "-ts_mean(close(4))", "-(avg(close) {w4})")
+_dsl("dsl_nested_sharpe", "div(ts_mean(diff(close(12))), ts_std(diff(close(12))))", "avg(dc) {w11} / (coalesce(stddev_pop(dc) {w11}, 0) + 1e-8 + 1e-8)")
+_dsl("dsl_multi_scale", "sub(ts_mean(close(5)), ts_mean(close(20)))", "avg(close) {w5} - avg(close) {w20}")
+_dsl("dsl_price_volume_corr", "corr(log_arr(close(8)), volume(12))", "CASE WHEN stddev_pop(lc) {w8} > 1e-12 AND stddev_pop(volume) {w8} > 1e-12 THEN covar_pop(lc, volume) {w8} / (stddev_pop(lc) {w8} * stddev_pop(volume) {w8}) END")
+
+
+@_add("dsl_batch", f"{_FRAMED} SELECT symbol, ts, " + _over("round(avg(close) {w5}, 4) AS a, round(stddev_pop(close) {w9} + 1e-8, 4) AS b, round(avg(close) {w5} - (stddev_pop(close) {w9} + 1e-8), 4) AS c") + " FROM b")
+def _batch(spark, sf):
+    exprs = {"a": "ts_mean(close(5))", "b": "ts_std(close(9))", "c": "sub(ts_mean(close(5)), ts_std(close(9)))"}
+    return _round(factors(B.finite_rows(event_bars(spark, sf)), exprs).select("symbol", "ts", *exprs), 4)
+
+
+# -- labels and rewards on event bars: factor = reversal of the last move
+
+_REVERSAL = "neg(zscore(last(close(8)), close(8)))"
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    rows = factors(B.finite_rows(event_bars(spark, sf)), {"factor": _REVERSAL}).select("symbol", "ts", "close", "factor")
+    return panel.skip_warmup(rows, 8)
+
+
+_SCORED = f"""WITH bars AS ({_bars_sql()}),
+ f0 AS (SELECT symbol, ts, close, coalesce(-((close - avg(close) OVER w) / (stddev_pop(close) OVER w + 1e-8)), 0) AS factor, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n
+   FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
+ f AS (SELECT symbol, ts, close, factor FROM f0 WHERE n >= 8)"""
+_SERIES = _SCORED + """, s AS (SELECT *, lead(close, {h}) OVER (PARTITION BY symbol ORDER BY ts) / close - 1 AS fwd FROM f WHERE close > 0),
+ a AS (SELECT * FROM s WHERE fwd IS NOT NULL)"""
+
+for _h in (1, 6):
+    _add(f"label_series_h{_h}", _SERIES.format(h=_h) + " SELECT symbol, ts, round(factor, 4) AS factor, round(fwd, 4) AS fwd FROM a")(
+        lambda s, d, h=_h: _round(panel.aligned(panel.series_labels(scored(s, d), h)).select("symbol", "ts", "factor", "fwd"), 4)
+    )
+
+
+@_add("label_after_drop", f"WITH bars AS ({_bars_sql()}) SELECT symbol, ts, round(lead(close, 2) OVER (PARTITION BY symbol ORDER BY ts) / close - 1, 6) AS fwd FROM bars WHERE close > 50")
+def _after_drop(spark, sf):
+    return _round(event_bars(spark, sf).where("close > 50").select("symbol", "ts", panel.forward_return(2).alias("fwd")))
+
+
+_REWARDS_SQL = {
+    "direction": """, g AS (SELECT symbol, count(*) AS n, avg(CASE WHEN factor <> 0 THEN (sign(factor) = sign(fwd))::INT END) AS acc, avg((factor <> 0)::INT) AS coverage, sum((factor <> 0)::INT) AS k FROM a GROUP BY symbol)
+        SELECT symbol, round(CASE WHEN n < 50 OR k = 0 THEN -100 ELSE (acc - 0.5) * 200 END, 6)::DOUBLE AS value, n >= 50 AND k > 0 AS passed FROM g""",
+    "ic": """, g AS (SELECT symbol, count(*) AS n, covar_pop(factor, fwd) / nullif(stddev_pop(factor) * stddev_pop(fwd), 0) AS r FROM a GROUP BY symbol)
+        SELECT symbol, round(CASE WHEN n < 30 OR r IS NULL THEN -1 ELSE r END, 6)::DOUBLE AS value, n >= 30 AND r IS NOT NULL AS passed FROM g""",
+    "rank_ic": """, k AS (SELECT symbol, rank() OVER (PARTITION BY symbol ORDER BY factor) + (count(*) OVER (PARTITION BY symbol, factor) - 1) / 2 AS rf, rank() OVER (PARTITION BY symbol ORDER BY fwd) + (count(*) OVER (PARTITION BY symbol, fwd) - 1) / 2 AS rr FROM a),
+        g AS (SELECT symbol, count(*) AS n, covar_pop(rf, rr) / nullif(stddev_pop(rf) * stddev_pop(rr), 0) AS r FROM k GROUP BY symbol)
+        SELECT symbol, round(CASE WHEN n < 30 OR r IS NULL THEN -1 ELSE r END, 6)::DOUBLE AS value, n >= 30 AND r IS NOT NULL AS passed FROM g""",
+    "signal_return": """, g AS (SELECT symbol, count(*) AS n, avg(sign(factor) * fwd) / (stddev_pop(sign(factor) * fwd) + 1e-12) * sqrt(365 * 6) AS v FROM a GROUP BY symbol)
+        SELECT symbol, round(CASE WHEN n < 50 THEN -1 ELSE v END, 6)::DOUBLE AS value, n >= 50 AS passed FROM g""",
+}
+
+
+def labelled(spark, sf, h=1):
+    return panel.aligned(panel.series_labels(scored(spark, sf), h))
+
+
+for _n, _f in (("direction", panel.direction_accuracy), ("ic", panel.ic), ("rank_ic", panel.rank_ic), ("signal_return", lambda d, k: panel.signal_return(d, k, periods=365 * 6))):
+    _add(f"reward_{_n}", _SERIES.format(h=1) + _REWARDS_SQL[_n])(lambda s, d, f=_f: _round(f(labelled(s, d), ("symbol",)).select("symbol", "value", "passed")))
+
+
+@_add("reward_composite", _SERIES.format(h=1) + """, g AS (SELECT symbol, count(*) AS n, (avg(CASE WHEN factor <> 0 THEN (sign(factor) = sign(fwd))::INT END) - 0.5) * 200 AS d, covar_pop(factor, fwd) / (stddev_pop(factor) * stddev_pop(fwd)) AS r FROM a GROUP BY symbol)
+    SELECT symbol, round(d + 0.5 * r, 6) AS value, true AS passed, '' AS reason FROM g""")
+def _composite(spark, sf):
+    out = panel.composite(labelled(spark, sf), {"direction_accuracy": 1.0, "ic": 0.5}, ("symbol",))
+    return _round(out.select("symbol", "value", "passed", "reason"))
+
+
+@_add("reward_raw", _SERIES.format(h=1) + """, g AS (SELECT symbol, (avg(CASE WHEN factor <> 0 THEN (sign(factor) = sign(fwd))::INT END) - 0.5) * 200 AS d FROM a GROUP BY symbol)
+    SELECT symbol, round(d / 100 + 0.1, 6) AS raw FROM g""")
+def _raw(spark, sf):
+    out = panel.direction_accuracy(labelled(spark, sf), ("symbol",))
+    return _round(out.select("symbol", panel.raw_reward("direction", F.col("value"), F.col("passed")).alias("raw")))
+
+
+@_add("direction_profile", _SCORED + """, s AS (SELECT symbol, ts, sign(factor)::TINYINT AS pred, sign(lead(close) OVER (PARTITION BY symbol ORDER BY ts) / close - 1)::TINYINT AS label FROM f)
+    SELECT symbol, ts, pred, label, pred <> 0 AS mask, pred <> 0 AND pred = label AS correct FROM s WHERE label IS NOT NULL""")
+def _profile(spark, sf):
+    return panel.direction_profile(scored(spark, sf))
+
+
+# -- panel of supplier nations by week
+
+def panel_rows(spark: SparkSession, sf: str, horizon: int = 1) -> DataFrame:
+    return panel.evaluate_panel(nation_bars(spark, sf), _REVERSAL, horizon, 8)
+
+
+_PANEL = f"""WITH bars AS ({_NATION_SQL}),
+ f0 AS (SELECT symbol, ts, close, coalesce(-((close - avg(close) OVER w) / (stddev_pop(close) OVER w + 1e-8)), 0) AS factor, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n,
+   lead(close, {{h}}) OVER (PARTITION BY symbol ORDER BY ts) / close - 1 AS fwd FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
+ f AS (SELECT symbol, ts, factor, fwd, count(*) OVER (PARTITION BY ts) AS n FROM f0 WHERE n >= 8 AND fwd IS NOT NULL),
+ k AS (SELECT *, greatest(1, floor(n * 0.2)) AS q, rank() OVER (PARTITION BY ts ORDER BY factor) + (count(*) OVER (PARTITION BY ts, factor) - 1) / 2 AS rf,
+   rank() OVER (PARTITION BY ts ORDER BY fwd) + (count(*) OVER (PARTITION BY ts, fwd) - 1) / 2 AS rr, row_number() OVER (PARTITION BY ts ORDER BY factor, symbol) AS low FROM f WHERE n >= 8),
+ x AS (SELECT ts, covar_pop(rf, rr) / nullif(stddev_pop(rf) * stddev_pop(rr), 0) AS rank_ic, avg(fwd) FILTER (low > n - q) - avg(fwd) FILTER (low <= q) AS ls_return, max(n) AS n_symbols FROM k GROUP BY ts)"""
 
-def oracle_sql() -> dict[str, str]:
-    return {}
 
+@_add("label_panel_h6", _PANEL.format(h=6) + " SELECT symbol, ts, round(factor, 4) AS factor, round(fwd, 4) AS fwd FROM f")
+def _panel_labels(spark, sf):
+    return _round(panel.aligned(panel_rows(spark, sf, 6)), 4)
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+
+@_add("panel_rank_ic_by_time", _PANEL.format(h=1) + " SELECT ts, round(rank_ic, 6) AS rank_ic, n_symbols FROM x")
+def _by_time(spark, sf):
+    return _round(panel.cross_section(panel_rows(spark, sf)).select("ts", "rank_ic", "n_symbols"))
+
+
+@_add("panel_long_short", _PANEL.format(h=1) + " SELECT ts, round(ls_return, 6) AS ls_return FROM x")
+def _long_short(spark, sf):
+    return _round(panel.cross_section(panel_rows(spark, sf)).select("ts", "ls_return"))
+
+
+@_add("panel_pct_rank", _PANEL.format(h=1) + " SELECT ts, symbol, round(rf / n, 6) AS rank_pct FROM k")
+def _pct(spark, sf):
+    return _round(panel.percentile_ranks(panel_rows(spark, sf)))
+
+
+@_add("panel_summary", _PANEL.format(h=1) + """ SELECT count(rank_ic) AS times, round(avg(rank_ic), 6) AS mean_rank_ic, round(stddev_pop(rank_ic), 6) AS std_rank_ic,
+    round(avg(rank_ic) / (stddev_pop(rank_ic) + 1e-8) * sqrt(count(rank_ic)), 6) AS icir, round(avg(ls_return), 6) AS mean_ls,
+    round(avg(ls_return) / (stddev_pop(ls_return) + 1e-8) * sqrt(count(ls_return)), 6) AS ls_sharpe, round(avg(n_symbols), 6) AS mean_symbols, round(avg(n_symbols / 25), 6) AS coverage,
+    round(100 * avg(rank_ic), 6) AS predictive, round(greatest(-1, least(1, 5 * avg(rank_ic) + 0.02 * tanh(avg(rank_ic) / (stddev_pop(rank_ic) + 1e-8) * sqrt(count(rank_ic))))), 6) AS score FROM x""")
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return _round(panel.summarise(panel.cross_section(panel_rows(spark, sf)), 25))
+
+
+# -- seeds and tasks on fixed rows, the same text in both engines
+
+_SEEDS = """(VALUES
+ (0, 's0', 'last(close(5))', 'momentum', true, 1.5, 0.9, 0.2, 11.0, 'h1', 0.52), (1, 's1', 'neg(last(close(5)))', 'reversal', true, 1.5, 0.8, 0.2, 14.0, 'h2', 0.40),
+ (2, 's2', 'last(close(5)) ', 'momentum', true, 2.5, 0.7, 0.3, 11.0, 'h1', 0.55), (3, 's3', 'ts_std(close(9))', 'risk', true, -0.5, 0.9, 0.5, 12.0, 'h3', 0.48),
+ (4, 's4', 'bad(', 'risk', false, 0.0, 0.0, 0.0, 0.0, '', 0.5), (5, 's5', 'vwap(9)', 'volume', true, 0.7, 0.5, 0.4, 5.0, 'h5', 0.51),
+ (6, 's6', 'corr(close(9), volume(9))', 'volume', true, 0.9, 0.95, 0.001, 20.0, 'h6', 0.5), (7, 's7', 'ts_mean(close(9))', 'momentum', true, 0.9, 0.95, 0.4, 12.0, 'h7', 0.5),
+ (8, 's8', '', 'risk', false, 0.0, 0.0, 0.0, 0.0, '', 0.5)) AS t(idx, id, expr, category, valid, reward, coverage, factor_std, expr_nodes, canonical_hash, direction_acc)"""
+_SPLITS = "(VALUES ('a', '2024-01-01', '2024-01-10', 1.0), ('b', '2024-01-10', '2024-01-20', 2.0), ('c', '2024-01-20', '2024-01-31', 1.0)) AS t(name, start_date, end_date, weight)"
+_SCORE = """SELECT *, reward + 0.1 * coverage - 0.05 * expr_nodes AS seed_score, list_filter([CASE WHEN coverage < 0.6 THEN 'coverage<0.6' END, CASE WHEN factor_std < 0.01 THEN 'factor_std<0.01' END], lambda x: x IS NOT NULL) AS reasons FROM """
+
+
+def _seed_rows(spark):
+    metrics = [x for m in ("reward", "coverage", "factor_std", "expr_nodes", "direction_acc") for x in (F.lit(m), F.col(m).cast("double"))]
+    return seeds.score(spark.sql(f"SELECT * FROM {_SEEDS}").withColumn("metrics", F.create_map(*metrics)))
+
+
+_SCORED_SEEDS = f"""WITH s0 AS ({_SCORE}{_SEEDS}), s AS (SELECT * EXCLUDE (valid), valid AND len(reasons) = 0 AS valid, direction_acc < 0.49 AS invert FROM s0),
+ d0 AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN canonical_hash = '' THEN '#' || idx ELSE canonical_hash END ORDER BY seed_score DESC, idx) AS r FROM s),
+ d AS (SELECT *, row_number() OVER (PARTITION BY category, r = 1 ORDER BY seed_score DESC, idx) AS p FROM d0)"""
+
+
+@_add("seed_score", f"{_SCORED_SEEDS} SELECT id, valid, round(seed_score, 6)::DOUBLE AS seed_score, array_to_string(reasons, ';') AS reasons, CASE WHEN NOT valid THEN 'filtered' WHEN seed_score >= 0 THEN 'elite_candidate' ELSE 'valid_low_score' END AS status, invert FROM s")
+def _seed_score(spark, sf):
+    return _round(_seed_rows(spark).select("id", "valid", "seed_score", F.concat_ws(";", "reasons").alias("reasons"), "status", "invert"))
+
+
+@_add("seed_dedup", f"{_SCORED_SEEDS} SELECT id, CASE WHEN r > 1 THEN 'duplicate_ast' ELSE 'kept' END AS dup_status FROM d")
+def _seed_dedup(spark, sf):
+    return seeds.dedup(_seed_rows(spark)).select("id", "dup_status")
+
+
+@_add("seed_quota", f"{_SCORED_SEEDS} SELECT id, CASE WHEN r > 1 THEN 'duplicate_ast' WHEN p > 1 THEN 'duplicate_category_quota' ELSE 'kept' END AS dup_status FROM d")
+def _seed_quota(spark, sf):
+    return seeds.dedup(_seed_rows(spark), 1).select("id", "dup_status")
+
+
+@_add("seed_library", f"""{_SCORED_SEEDS}, k AS (SELECT *, row_number() OVER (ORDER BY seed_score DESC, idx) AS o, row_number() OVER (PARTITION BY category ORDER BY seed_score DESC, idx) AS b FROM d WHERE valid AND r = 1)
+    SELECT id, coalesce(o <= 2 AND seed_score >= 0, false) AS elite, coalesce(b = 1, false) AS diverse, invert AS contrarian, NOT (coalesce(o <= 2 AND seed_score >= 0, false) OR coalesce(b = 1, false) OR invert) AS rejected
+    FROM s LEFT JOIN (SELECT id, o, b FROM k) USING (id)""")
+def _seed_library(spark, sf):
+    return seeds.library(seeds.dedup(_seed_rows(spark)), elite=2).select("id", "elite", "diverse", "contrarian", "rejected")
+
+
+@_add("seed_topk", f"{_SCORED_SEEDS} SELECT id, round(seed_score, 6)::DOUBLE AS seed_score FROM s ORDER BY s.seed_score DESC, idx LIMIT 3")
+def _seed_topk(spark, sf):
+    return _round(_seed_rows(spark).orderBy(F.desc("seed_score"), "idx").limit(3).select("id", "seed_score"))
+
+
+@_add("task_cross_join", f"""{_SCORED_SEEDS}, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(nullif(canonical_hash, ''), trim(expr)) ORDER BY seed_score DESC, idx) AS z FROM s WHERE valid) WHERE z = 1 ORDER BY seed_score DESC, idx LIMIT 2)
+    SELECT u.id || '__' || t.name AS task_id, u.id AS seed_id, t.name AS split, start_date, end_date, t.weight::DOUBLE AS weight FROM u CROSS JOIN {_SPLITS}""")
+def _tasks(spark, sf):
+    out = seeds.task_bank(_seed_rows(spark), spark.sql(f"SELECT * FROM {_SPLITS}"), 2)
+    return out.select("task_id", "seed_id", "split", "start_date", "end_date", F.col("weight").cast("double").alias("weight"))
+
+
+@_add("task_interval_join", f"WITH bars AS ({_bars_sql()}) SELECT name AS split, symbol, count(*) AS n, round(avg(close), 4) AS mean_close FROM bars JOIN {_SPLITS} ON bars.ts BETWEEN start_date::TIMESTAMP AND end_date::TIMESTAMP GROUP BY ALL")
+def _interval(spark, sf):
+    rows = seeds.in_splits(event_bars(spark, sf), spark.sql(f"SELECT * FROM {_SPLITS}"))
+    return _round(rows.groupBy("split", "symbol").agg(F.count("*").alias("n"), F.avg("close").alias("mean_close")), 4)
+
+
+_add("seed_softmax_sample")(lambda s, d: seeds.softmax_sample(_seed_rows(s).where("valid"), 20))
+_add("task_stratified_sample")(lambda s, d: seeds.stratified_sample(seeds.task_bank(_seed_rows(s), s.sql(f"SELECT * FROM {_SPLITS}")), 5))
+_add("prompt_rows")(lambda s, d: seeds.prompt_rows(seeds.task_bank(_seed_rows(s), s.sql(f"SELECT * FROM {_SPLITS}")), "Improve a factor.", "Start from {expr} on {start_date} to {end_date}."))
+_add("seed_validation")(lambda s, d: seeds.validate_candidates(s, [(r.id, r.expr) for r in s.sql(f"SELECT id, expr FROM {_SEEDS}").collect()]))
+
+
+# -- archives and shaping; profiles come from the event bars of each type
+
+_ARCHIVE = "(VALUES ('h1', 3), ('h1', 1), ('h2', 12), ('h3', 1), ('h3', 2)) AS a(hash, count)"
+_BATCH = "(VALUES (1, 'h1', 'f1', 0.20, 0.10), (2, 'h2', 'f2', 0.05, 0.30), (3, 'h4', 'f9', 0.15, -0.20), (4, 'h4', 'f2', 0.01, 0.0), (5, 'h5', 'f3', -1.0, 0.2)) AS c(id, hash, family, raw, base)"
+_FAMILIES = "(VALUES ('f1', 2), ('f2', 12)) AS f(family, count)"
+
+
+def _counts(spark):
+    return shaping.counts(spark.sql(f"SELECT hash, cast(count AS bigint) AS count FROM {_ARCHIVE}"))
+
+
+def _batch_rows(spark):
+    return spark.sql(f"SELECT id, hash, family, cast(raw AS double) AS raw, cast(base AS double) AS base FROM {_BATCH}")
+
+
+_add("archive_counts", f"SELECT hash, max(count)::BIGINT AS count FROM {_ARCHIVE} GROUP BY hash")(lambda s, d: _counts(s))
+_add("archive_record", f"SELECT hash, (coalesce(m, 0) + n)::BIGINT AS count FROM (SELECT hash, count(*) AS n FROM {_BATCH} GROUP BY hash) LEFT JOIN (SELECT hash, max(count) AS m FROM {_ARCHIVE} GROUP BY hash) USING (hash)")(lambda s, d: shaping.record(_batch_rows(s), _counts(s)))
+_add("archive_topk", f"SELECT hash, max(raw)::DOUBLE AS raw_score FROM {_BATCH} GROUP BY hash ORDER BY 2 DESC, 1 LIMIT 3")(lambda s, d: shaping.best(_batch_rows(s).selectExpr("hash", "raw as raw_score", "id as seq"), 3).select("hash", "raw_score"))
+_add("archive_anti_join", f"SELECT DISTINCT hash FROM {_BATCH} WHERE hash NOT IN (SELECT hash FROM {_ARCHIVE})")(lambda s, d: shaping.fresh(_batch_rows(s), _counts(s)).select("hash"))
+_add("shape_repeat", f"SELECT id, CASE WHEN m > 0 THEN 0.25 ELSE 0.0 END::DOUBLE AS penalty FROM {_BATCH} LEFT JOIN (SELECT hash, max(count) AS m FROM {_ARCHIVE} GROUP BY hash) USING (hash)")(
+    lambda s, d: shaping.with_counts(_batch_rows(s), _counts(s), "seen").select("id", shaping.repeat_penalty(F.col("seen")).cast("double").alias("penalty"))
+)
+_add("shape_family", f"SELECT id, CASE WHEN count IS NULL AND raw >= 0.10 THEN 0.02 WHEN coalesce(count, 0) > 8 AND raw < 0.08 THEN -0.02 ELSE 0.0 END::DOUBLE AS shift FROM {_BATCH} LEFT JOIN {_FAMILIES} USING (family)")(
+    lambda s, d: shaping.with_counts(_batch_rows(s), s.sql(f"SELECT family, cast(count AS bigint) AS count FROM {_FAMILIES}"), "seen", "family").select("id", shaping.family_shift(F.col("raw"), F.col("seen")).cast("double").alias("shift"))
+)
+_add("shape_relative", f"SELECT id, round(raw + 0.5 * greatest(raw - base, 0) - 0.1 * greatest(base - raw, 0), 6)::DOUBLE AS shaped FROM {_BATCH}")(
+    lambda s, d: _round(_batch_rows(s).select("id", shaping.relative(F.col("raw"), F.col("base"), 0.5, 0.1).alias("shaped")))
+)
+_add("shape_final", f"""SELECT id, CASE WHEN raw > -1 THEN round(greatest(-1, least(1, raw + CASE WHEN fc IS NULL AND raw >= 0.10 THEN 0.02 WHEN coalesce(fc, 0) > 8 AND raw < 0.08 THEN -0.02 ELSE 0.0 END - CASE WHEN m > 0 THEN 0.25 ELSE 0.0 END)), 6) ELSE -1 END::DOUBLE AS reward
+    FROM {_BATCH} LEFT JOIN (SELECT hash, max(count) AS m FROM {_ARCHIVE} GROUP BY hash) USING (hash) LEFT JOIN (SELECT family, count AS fc FROM {_FAMILIES}) USING (family)""")(
+    lambda s, d: _round(shaping.score_batch(_batch_rows(s).drop("raw").withColumn("job", F.col("id")), _batch_rows(s).select(F.col("id").alias("job"), "raw"), _counts(s), s.sql(f"SELECT family AS hash, cast(count AS bigint) AS count FROM {_FAMILIES}")).select("id", "reward"))
+)
+
+
+def _split_profiles(spark, sf):
+    rows = panel.direction_profile(scored(spark, sf)).withColumnRenamed("symbol", "expr_hash")
+    return rows.where("expr_hash < 'm'"), rows.where("expr_hash >= 'm'")
+
+
+_PROFILE = _SCORED + """, s AS (SELECT symbol, ts, sign(factor) AS pred, sign(lead(close) OVER (PARTITION BY symbol ORDER BY ts) / close - 1) AS label FROM f),
+ p AS (SELECT *, pred <> 0 AS mask, pred <> 0 AND pred = label AS correct FROM s WHERE label IS NOT NULL)"""
+
+
+@_add("behavior_corr", _PROFILE + """, j AS (SELECT a.symbol, b.symbol AS item, count(*) AS n, abs(covar_pop(a.pred, b.pred) / nullif(stddev_pop(a.pred) * stddev_pop(b.pred), 0)) AS r FROM p a JOIN p b ON a.ts = b.ts AND a.symbol < 'm' AND b.symbol >= 'm' GROUP BY ALL)
+    SELECT symbol AS expr_hash, round(coalesce(max(r), 0), 6) AS max_corr FROM j WHERE n >= 20 GROUP BY symbol""")
+def _behaviour(spark, sf):
+    return _round(shaping.max_behaviour_corr(*_split_profiles(spark, sf)))
+
+
+@_add("residual_vote", _PROFILE + """, v AS (SELECT ts, sign(sum(pred)) AS vote FROM p WHERE symbol >= 'm' AND mask GROUP BY ts HAVING sum(pred) <> 0)
+    SELECT symbol AS expr_hash, count(*) AS samples, round((avg(correct::INT) - 0.5) * 200, 6) AS residual FROM p JOIN v USING (ts) WHERE symbol < 'm' AND mask AND vote <> label GROUP BY symbol""")
+def _residual(spark, sf):
+    return _round(shaping.residual_score(*_split_profiles(spark, sf)))
+
+
+def _rank_profiles(spark, sf):
+    rows = panel.percentile_ranks(panel_rows(spark, sf))
+    other = panel.percentile_ranks(panel.evaluate_panel(nation_bars(spark, sf), "sub(last(open(4)), ts_mean(high(4)))", 1, 8))
+    return rows.select(F.lit("a").alias("expr_hash"), "ts", "symbol", "rank_pct"), other.select(F.lit("b").alias("expr_hash"), "ts", "symbol", "rank_pct")
+
+
+_add("behavior_rank_corr")(lambda s, d: _round(shaping.rank_behaviour_corr(*_rank_profiles(s, d))))
+
+
+# -- text
+
+_TEXTS = """(VALUES (1, 'so <expr> last(close(5)) </expr> it is'), (2, 'see <EXPR>vwap(9)</EXPR>'), (3, concat('thinking', chr(10), 'ts_mean(close(9))')), (4, 'nothing here'),
+ (5, concat('```yaml', chr(10), 'a: 1', chr(10), '```')), (6, ' a   b,c ,, d ')) AS t(id, body)"""
+
+
+@_add("text_extract_tag", f"""SELECT id, coalesce(trim(nullif(regexp_extract(body, '(?s)<expr>(.*?)</expr>', 1), '')), trim(nullif(regexp_extract(body, '(?is)<expr>(.*?)</expr>', 1), '')),
+    nullif(regexp_extract(string_split(body, chr(10))[-1], '^([A-Za-z_][A-Za-z_0-9]*[(].*[)])$', 1), '')) AS expr FROM {_TEXTS}""")
+def _tags(spark, sf):
+    return spark.sql(f"SELECT * FROM {_TEXTS}").select("id", text.expression(F.col("body")).alias("expr"))
+
+
+@_add("text_normalise_hash", f"SELECT id, substr(sha1(trim(regexp_replace(body, '[[:space:]]+', ' ', 'g'))), 1, 16) AS hash FROM {_TEXTS}")
+def _hashes(spark, sf):
+    return spark.sql(f"SELECT * FROM {_TEXTS}").select("id", text.exact_hash(F.col("body")).alias("hash"))
+
+
+@_add("text_fence", f"SELECT id, coalesce(trim(nullif(regexp_extract(body, '(?is)```(?:yaml|yml|json)?[[:space:]]*(.*?)```', 1), ''), ' ' || chr(10)), trim(body)) AS body FROM {_TEXTS}")
+def _fences(spark, sf):
+    return spark.sql(f"SELECT * FROM {_TEXTS}").select("id", F.trim(text.fenced(F.col("body")), F.lit(" \n")).alias("body"))
+
+
+@_add("text_list", f"SELECT id, array_to_string(list_filter(list_transform(string_split(body, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS items FROM {_TEXTS}")
+def _lists(spark, sf):
+    return spark.sql(f"SELECT * FROM {_TEXTS}").select("id", F.concat_ws("|", text.listed(F.col("body"))).alias("items"))
+
+
+@_add("text_conversations_hash", "SELECT conv_id, turn, substr(sha1(trim(regexp_replace(text, '[[:space:]]+', ' ', 'g'))), 1, 16) AS hash FROM conversations")
+def _conversation_hashes(spark, sf):
+    return _table(spark, sf, "conversations").select("conv_id", "turn", text.exact_hash(F.col("text")).alias("hash"))
+
+
+@_add("text_bar_label", "SELECT m AS minutes, CASE WHEN m < 60 THEN m || '-minute' WHEN m < 1440 THEN (m // 60) || '-hour' ELSE (m // 1440) || '-day' END AS label FROM (VALUES (5), (60), (240), (1440), (2880)) AS t(m)")
+def _labels(spark, sf):
+    return spark.sql("SELECT * FROM (VALUES (5), (60), (240), (1440), (2880)) AS t(minutes)").select("minutes", text.bar_label(F.col("minutes")).alias("label"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, (f, _) in _Q.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: sql for k, (_, sql) in _Q.items() if sql is not None}
