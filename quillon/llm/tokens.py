@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -27,8 +28,8 @@ from quillon.llm._spark import arrow_map
 
 #: The pretoken pattern of byte-level BPE files with use_regex.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pretokens and token pairs that a worker remembers.
-CACHE = 600_000
+#: Pretokens that a worker remembers in each of two generations, and token pairs.
+CACHE = 400_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -91,38 +92,43 @@ class PrefixCounter:
         if self.engine.ranks is None:
             raise ValueError(f"{path}: prefix counts need a plain byte-level BPE file")
         self.ranks = self.engine.ranks
-        self.longest = max(map(len, self.ranks))
+        self.tokens = {i: t for t, i in self.ranks.items()}
+        # finds all tokens that end at each byte in one pass
+        self.finder = ahocorasick.Automaton()
+        for t, i in self.ranks.items():
+            self.finder.add_word(t.decode("latin-1"), (len(t), i))
+        self.finder.make_automaton()
         self.pattern = regex.compile(PATTERN)
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.engine.special, key=len, reverse=True))) if self.engine.special else None
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.counts: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
-    def _follows(self, u: bytes, t: bytes) -> bool:
-        ok = self.pairs.get((u, t))
-        if ok is None:
-            if len(self.pairs) > CACHE:
-                self.pairs.clear()
-            ok = self.pairs[u, t] = self.engine.piece(u + t) == [self.ranks[u], self.ranks[t]]
+    def _follows(self, u: int, t: int) -> bool:
+        """Whether tokens u, t are the encoding of their bytes."""
+        if len(self.pairs) > CACHE:
+            self.pairs.clear()
+        ok = self.pairs[u << 32 | t] = self.engine.piece(self.tokens[u] + self.tokens[t]) == [u, t]
         return ok
 
     def piece_table(self, raw: bytes) -> list[int]:
         """count[i]: tokens of raw[:i], for i from 0 to len(raw)."""
-        ranks, pairs, longest = self.ranks, self.pairs, self.longest
-        count, last = [0], [b""]
-        for i in range(1, len(raw) + 1):
-            j = i - longest if i > longest else 0
-            while True:
-                t = raw[j:i]
-                if t in ranks:
-                    u = last[j]
-                    ok = pairs.get((u, t)) if j else True
-                    if ok is None:
-                        ok = self._follows(u, t)
-                    if ok:
-                        count.append(count[j] + 1)
-                        last.append(t)
-                        break
-                j += 1
+        pairs = self.pairs
+        count, last = [0] * (len(raw) + 1), [0] * (len(raw) + 1)
+        for end, (size, t) in self.finder.iter(raw.decode("latin-1")):
+            i = end + 1
+            if count[i]:
+                continue
+            j = i - size
+            if j:
+                u = last[j]
+                ok = pairs.get(u << 32 | t)
+                if ok is None:
+                    ok = self._follows(u, t)
+                if not ok:
+                    continue
+            count[i] = count[j] + 1
+            last[i] = t
         return count
 
     def total(self, piece: str) -> int:
@@ -130,10 +136,13 @@ class PrefixCounter:
         n = self.counts.get(piece)
         if n is None:
             if len(self.counts) > CACHE:
-                self.counts.clear()
-            raw = piece.encode()
-            # a token that is a whole pretoken is its own encoding
-            n = self.counts[piece] = 1 if raw in self.ranks else self.piece_table(raw)[-1]
+                self.counts, self.older = {}, self.counts
+            n = self.older.get(piece)
+            if n is None:
+                raw = piece.encode()
+                # a token that is a whole pretoken is its own encoding
+                n = 1 if raw in self.ranks else self.piece_table(raw)[-1]
+            self.counts[piece] = n
         return n
 
     def pieces(self, text: str) -> list[tuple[str, bool]]:
@@ -150,8 +159,8 @@ class PrefixCounter:
         """(code points, tokens) before each pretoken and at the end: the coarse table."""
         pieces = self.pieces(text)
         chars = np.fromiter((len(p) for p, _ in pieces), np.int64, len(pieces))
-        known = self.counts
-        tokens = np.fromiter((1 if s else known.get(p) or self.total(p) for p, s in pieces), np.int64, len(pieces))
+        known = self.counts.get
+        tokens = np.fromiter((1 if s else known(p) or self.total(p) for p, s in pieces), np.int64, len(pieces))
         return np.concatenate(([0], np.cumsum(chars))), np.concatenate(([0], np.cumsum(tokens))), pieces
 
     def _inner(self, text: str, k: int, coarse) -> np.ndarray:
