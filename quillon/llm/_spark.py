@@ -30,10 +30,34 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/quillon/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and cut its lineage; survives lost executors."""
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Materialise df in the shared folder and cut its lineage; survives lost executors.
+
+    parts: into that many files at most, for tables whose size is known.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if parts is None else df.coalesce(parts)).checkpoint(eager=True)
+
+
+def parts_for(spark: SparkSession, rows: int, per_part: int = 50_000) -> int:
+    """Partitions for a narrow table of so many rows: small control tables are not spread over many files."""
+    return max(1, min(-(-rows // per_part), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def stash(df: DataFrame, label: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: a compact cut of the lineage."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Tables of a few numbers a row are broadcast up to so many rows (a few MB), after a count; larger ones are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, a materialised narrow table, with a broadcast hint if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
 def fold(col: str | Column, buckets: int) -> Column:
