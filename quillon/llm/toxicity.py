@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import _kernels as K
@@ -44,9 +44,9 @@ class ToxicModel:
         return out
 
 
-def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias; x: (rows, features) of 0/1, positive: rows that are confirmed, all others unlabelled."""
-    p, u = x[positive].astype(np.float32), x[~positive].astype(np.float32)
+def fit_nnpu(x: np.ndarray, n_positive: int, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 2e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias; x: (rows, features) of 0/1; the first n_positive rows are confirmed, all others unlabelled."""
+    p, u = x[:n_positive], x[n_positive:]
     w = np.zeros(x.shape[1] + 1, np.float32)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -69,11 +69,14 @@ def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400
     return w[:-1].astype(np.float64), float(w[-1])
 
 
-def _likelihood_ratio(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
-    """2 log likelihood ratio of presence in positives against unlabelled."""
-    def part(k, n, q):
-        q = np.clip(q, 1e-12, 1 - 1e-12)
-        return k * np.log(q) + (n - k) * np.log(1 - q)
+def _likelihood_ratio(n_p: int, n_u: int) -> Column:
+    """2 log likelihood ratio of presence in positives (p of n_p) against unlabelled (u of n_u)."""
+
+    def part(k: Column, n: int, q: Column) -> Column:
+        q = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), q))
+        return k * F.log(q) + (n - k) * F.log(1 - q)
+
+    p, u = F.col("p").cast("double"), F.col("u").cast("double")
     both = (p + u) / (n_p + n_u)
     return 2 * (part(p, n_p, p / n_p) + part(u, n_u, u / n_u) - part(p, n_p, both) - part(u, n_u, both))
 
@@ -122,29 +125,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n_p, n_u = counts.where("f = -1").select("p", "u").first() or (0, 0)
     if not n_p or not n_u:
         return ToxicModel(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))), prior)
-    # with at most 2^20 features this is a bounded table; the rare ones stay behind
-    table = counts.where(F.col("f") >= 0).where(F.col("p") + F.col("u") >= 5).toPandas()
-    f, p, u = (table[c].to_numpy() for c in ("f", "p", "u"))
-    ratio = _likelihood_ratio(p.astype(float), u.astype(float), n_p, n_u)
-    order = np.lexsort((f, -ratio))[:max_features]
-    features = np.sort(f[order[ratio[order] > 12]])
-    where = np.full(1 << BITS, -1, np.int64)
+    ranked = counts.where(F.col("f") >= 0).select("f", _likelihood_ratio(n_p, n_u).alias("ratio")).where("ratio > 12")
+    features = np.sort(np.array([r.f for r in ranked.orderBy(F.desc("ratio"), "f").limit(max_features).collect()], np.int64))
+    where = np.full(1 << BITS, -1, np.int16)
     where[features] = np.arange(len(features))
     sent = docs.sparkSession.sparkContext.broadcast(where)
 
     def pick(batch: pa.RecordBatch):
         for lo, hi, data, offs in K.chunks(batch.column(0)):
             f, d = distinct(*ngrams(data, offs, bits=BITS), bits=BITS)
-            col = sent.value[f]
+            col = sent.value[f].astype(np.int64)
             d, col = d[col >= 0], col[col >= 0]
             ends = np.searchsorted(d, np.arange(hi - lo + 1))
             yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(col, pa.int64()))], ["y", "f"])
 
-    got = arrow_map(sample.select("text", "y"), pick, "y int, f array<long>").toPandas()
+    got = arrow_map(sample.select("text", "y"), pick, "y int, f array<long>").collect()  # about max_pos + max_unl rows of few numbers
     x = np.zeros((len(got), len(features)), np.float32)
-    for i, cols in enumerate(got["f"]):
-        x[i, cols] = 1
-    weights, bias = fit_nnpu(x, got["y"].to_numpy() == 1, prior)
+    for i, row in enumerate(got):
+        x[i, row.f] = 1
+    positive = np.array([row.y == 1 for row in got])
+    del got
+    x = x[np.argsort(~positive, kind="stable")]
+    weights, bias = fit_nnpu(x, int(positive.sum()), prior)
     return ToxicModel(features, weights, bias, prior)
 
 
