@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = cut(group.join(torn, "g").select(F.col("node").alias("id"), "g", "size"), parts)
     if not reps.isEmpty():
         sizes = sig.select("id", "n_shingles").groupBy("id").agg(F.max("n_shingles").alias("n"))
-        stats = cut(_own_shingles(texts, reps.select("id"), width).join(sizes, "id").join(reps, "id"), parts)
+        stats = cut(_own_shingles(texts, reps.select("id"), width).join(sizes, "id").join(reps, "id")).coalesce(parts)
         # a group is one table while that takes fewer rows than its sub-key tables: size / (2 * PER_BLOCK) < subkeys
         whole = F.col("size") <= 2 * PER_BLOCK * subkeys
         open_ = stats.where(whole).select(F.xxhash64("g").alias("bucket"), F.col("id").alias("rep"), "n", "u")
