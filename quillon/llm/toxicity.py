@@ -84,7 +84,7 @@ def _likelihood_ratio(n_p: int, n_u: int) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", prior: float | None = None, max_pos: int = MAX_POS, max_unl: int = MAX_UNL, max_features: int = MAX_FEATURES) -> ToxicModel:
     """Learn from rows of labels that are 1 and from texts of docs.  Null ids, labels and texts teach nothing.
 
-    prior: share of toxic documents; by default that of the given labels.  Without a positive row the model
+    prior: share of toxic documents; by default that of the given labels, which must then be a fair sample of docs.  Without a positive row the model
     gives every text the prior, or 0.01.
     """
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
