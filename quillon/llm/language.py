@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 
 from quillon.llm._spark import arrow_map, cut
 
-MAX_DOCS, MAX_WORDS, MAX_GRAMS, MAX_N = 20_000, 60_000, 20_000, 5
+MAX_DOCS, MAX_WORDS, MAX_GRAMS, MAX_N = 2_000, 60_000, 20_000, 5
 UNKNOWN = "und"
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-_CACHE = 200_000
+#: Unseen words that a worker remembers.
+_CACHE = 400_000
 
 
 def text_words(text: str | None) -> Counter:
@@ -40,10 +41,20 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class LanguageModel:
-    def __init__(self, langs: list[str], tables: dict[int, dict[str, np.ndarray]], floor: dict[int, np.ndarray]):
-        """tables[0]: words, tables[n]: n-grams, each to log frequencies by language; floor: those of an unseen entry."""
-        self.langs, self.tables, self.floor = langs, tables, floor
-        self.known: dict[str, np.ndarray] = {}
+    def __init__(self, langs: list[str], tables: dict[int, tuple[dict[str, int], np.ndarray]]):
+        """tables[0]: words, tables[n]: n-grams, each to a row of log frequencies by language."""
+        self.langs, self.tables = langs, tables
+        self.words, known = tables.get(0, ({}, np.zeros((0, len(langs)))))
+        self.n_known = len(known)
+        # rows of known words, then of unseen ones met so far
+        self.rows = np.concatenate([known, np.zeros((_CACHE, len(langs)))])
+        self.unseen: dict[str, int] = {}
+
+    def __getstate__(self):
+        return self.langs, self.tables
+
+    def __setstate__(self, state):
+        self.__init__(*state)
 
     @classmethod
     def from_counts(cls, rows: list[tuple[int, str, str, int]], alpha: float = 0.5) -> LanguageModel:
@@ -53,39 +64,49 @@ class LanguageModel:
         counts: dict[int, dict[str, np.ndarray]] = {}
         for n, entry, lang, c in rows:
             counts.setdefault(n, {}).setdefault(entry, np.zeros(len(langs)))[at[lang]] += c
-        tables, floor = {}, {}
+        tables = {}
         for n, table in counts.items():
-            total = sum(table.values(), np.zeros(len(langs))) + alpha * (len(table) + 1)
-            tables[n] = {e: np.log((c + alpha) / total) for e, c in table.items()}
-            floor[n] = np.log(alpha / total)
-        return cls(langs, tables, floor)
+            c = np.array(list(table.values()))
+            tables[n] = {e: i for i, e in enumerate(table)}, np.log((c + alpha) / (c.sum(axis=0) + alpha * (len(c) + 1)))
+        return cls(langs, tables)
+
+    def _row(self, word: str) -> int:
+        """Row of a word that training did not see."""
+        at = self.unseen.get(word)
+        if at is None:
+            if len(self.unseen) >= _CACHE:
+                self.unseen.clear()
+            at = self.unseen[word] = self.n_known + len(self.unseen)
+            self.rows[at] = self._back_off(word)
+        return at
 
     def word(self, word: str) -> np.ndarray:
-        got = self.tables.get(0, {}).get(word)
-        if got is None:
-            got = self.known.get(word)
-        if got is None:
-            if len(self.known) > _CACHE:
-                self.known.clear()
-            got = self.known[word] = self._back_off(word)
-        return got
-
-    def _back_off(self, word: str) -> np.ndarray:
+        at = self.words.get(word)
+        return self.rows[self._row(word) if at is None else at]
+
+    def _back_off(self, word: str) -> np.ndarray | float:
         for n in sorted((n for n in self.tables if n), reverse=True):
-            table = self.tables[n]
+            table, rows = self.tables[n]
             found = [table[g] for g in grams(word, n) if g in table]
             if found:
-                return sum(found) / len(found)
-        return np.zeros(len(self.langs))
+                return rows[found].sum(axis=0) / len(found)
+        return 0.0
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, share of the evidence in 0..1); ties go to the first language in alphabetical order."""
         counts = text_words(text)
         if not counts or not self.langs:
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.langs))
-        for w, c in counts.items():
-            total += c * self.word(w)
+        total, known = np.zeros(len(self.langs)), self.words.get
+        items = list(counts.items())
+        # rows of unseen words may be reused after so many new ones
+        for i in range(0, len(items), _CACHE // 2):
+            part = items[i : i + _CACHE // 2]
+            if len(self.unseen) + len(part) > _CACHE:
+                self.unseen.clear()
+            at = [known(w, -1) for w, _ in part]
+            at = [self._row(w) if a < 0 else a for a, (w, _) in zip(at, part, strict=True)]
+            total += np.array([c for _, c in part], float) @ self.rows[at]
         best = int(total.argmax())
         n = sum(counts.values())
         # words of a text are not independent: at most 20 of them count as evidence
