@@ -66,9 +66,22 @@ def fold(col: str | Column, buckets: int) -> Column:
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(buckets))
 
 
+#: Bytes of an Arrow batch between the JVM and Python; Spark's own default is 64 MB, doubled for every running task.
+ARROW_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory of Arrow exchanges of this session, unless it already is."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "64m").lower().rstrip("b").replace("k", "000").replace("m", "000000").replace("g", "000000000")) > ARROW_BYTES:
+        spark.conf.set(key, f"{ARROW_BYTES}b")
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:

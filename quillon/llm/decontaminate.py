@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import _kernels as K
+from quillon.llm._spark import small_batches
 
 WINDOW, BLOCK_BYTES, SHARD_BYTES = 10, 32 << 20, 4 << 20
 _BITS = 22
@@ -180,6 +181,7 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(spark)
     parts = []
     blocks = _blocks(bench, id_col=item_col, text_col="text", block_bytes=block_bytes)
     for block in blocks:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import _kernels as K
+from quillon.llm._spark import small_batches
 
 K_BYTES, S_BYTES, ANCHORS, TOLERANCE = 16, 5, 128, 64
 
@@ -151,11 +152,12 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     for c, v in zip(out, row, strict=True):
                         c.append(v)
                 held = None if tail[i].as_py() else (p, ids[i].as_py(), raw, own)
-            if len(out[0]) >= 500:
+            if len(out[0]) >= 200:
                 yield flush()
         if out[0]:
             yield flush()
 
+    small_batches(docs.sparkSession)
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_next(docs, id_col, text_col, parts).select("part", "tail", "id", "text").mapInArrow(run, schema).withColumnRenamed("id", id_col)
 

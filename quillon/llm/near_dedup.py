@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.llm import _kernels as K
-from quillon.llm._spark import arrow_map, broadcast_if_small, cut, parts_for, stash
+from quillon.llm._spark import arrow_map, broadcast_if_small, cut, parts_for, small_batches, stash
 from quillon.llm.graph import connected_components
 
 WIDTH, SUBKEYS, PER_KEY = 5, 24, 3
@@ -152,6 +152,7 @@ def compare(spark: SparkSession, blocks: DataFrame, asks: DataFrame, texts: Data
 
     blocks: (block, id) of pivots, asks: (block, id) of texts.
     """
+    small_batches(spark)
     load = asks.groupBy("block").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts"))
     ask = asks.join(load, "block").select("block", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "id")
     give = blocks.join(load, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "id")
