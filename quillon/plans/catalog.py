@@ -31,7 +31,8 @@ def _add(name: str, sql: str | None = None):
 
 
 def _round(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    # + 0.0 turns a negative zero into zero, in the SQL too
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 # -- bars
@@ -109,7 +110,7 @@ def _over(text: str) -> str:
 
 def _dsl(name: str, expr: str, sql: str, extra: str = "", digits: int = 4) -> None:
     source = f", c AS (SELECT *, {_over(extra)} FROM b)" if extra else ", c AS (SELECT * FROM b)"
-    _add(name, f"{_FRAMED}{source} SELECT symbol, ts, round(coalesce({_over(sql)}, 0), {digits})::DOUBLE AS factor FROM c")(
+    _add(name, f"{_FRAMED}{source} SELECT symbol, ts, round(coalesce({_over(sql)}, 0), {digits})::DOUBLE + 0.0::DOUBLE AS factor FROM c")(
         lambda s, d: _round(factors(B.finite_rows(event_bars(s, d)), {"factor": expr}).select("symbol", "ts", "factor"), digits)
     )
 

@@ -238,9 +238,11 @@ class Lowering:
             }[op]()
             return self._num(key, level, F.when(F.count(v).over(over) == 0, F.lit(0.0)).otherwise(finite(agg)))
         a, m = F.col(x.col), {k: F.col(v.col) for k, v in self._moments(x).items()}
+        # a spread within the rounding error of the mean is none
+        spread = m["m2"] > F.pow(1e-14 * m["mean"], F.lit(2.0)) + 1e-150
         agg = {
             "ts_mean": lambda: m["mean"], "ts_std": lambda: F.sqrt(m["m2"]) + EPS, "ts_max": lambda: F.array_max(a), "ts_min": lambda: F.array_min(a), "ts_sum": lambda: m["sum"],
-            "ts_skew": lambda: F.when(m["m2"] > 1e-300, F.try_divide(m["m3"], F.pow(m["m2"], F.lit(1.5)))), "ts_kurt": lambda: F.when(m["m2"] > 1e-150, F.try_divide(m["m4"], m["m2"] * m["m2"]) - 3),
+            "ts_skew": lambda: F.when(spread, F.try_divide(m["m3"], F.pow(m["m2"], F.lit(1.5)))), "ts_kurt": lambda: F.when(spread, F.try_divide(m["m4"], m["m2"] * m["m2"]) - 3),
             "last": lambda: F.try_element_at(a, F.lit(-1)), "first": lambda: F.get(a, F.lit(0)),
         }[op]()
         return self._num(key, level + 3, F.when(F.size(a) == 0, F.lit(0.0)).otherwise(finite(agg)))

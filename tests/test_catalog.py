@@ -22,7 +22,7 @@ def duck():
 
 
 def cell(v):
-    return f"{v:.3e}" if isinstance(v, float) and not math.isnan(v) else str(v)
+    return f"{v + 0.0:.3e}" if isinstance(v, float) and not math.isnan(v) else str(v)
 
 
 SAMPLE = sorted(catalog.oracle_sql())
