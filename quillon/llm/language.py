@@ -124,29 +124,42 @@ def train(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", t
             share = F.when(F.col("lang") == lang, F.lit(max_docs / n)).otherwise(share)
     sample = rows.where("text is not null").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
 
-    def run(batches):
+    def tally(batches, entries, names: list[str], types: list[pa.DataType]):
+        """Sums of the (key, count) pairs of each batch's entries, as rows of the key's fields and the sum."""
         counts: Counter = Counter()
 
         def flush():
             keys = list(counts)
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], ["n", "entry", "lang", "c"])
+            out = pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], t) for i, t in enumerate(types)] + [pa.array(list(counts.values()), pa.int64())], [*names, "c"])
             counts.clear()
             return out
 
         for batch in batches:
-            for text, lang in zip(batch.column(0), batch.column(1), strict=True):
-                lang = lang.as_py()
-                for w, c in text_words(text.as_py()).items():
-                    counts[0, w, lang] += c
-                    for n in range(1, max_n + 1):
-                        for g in grams(w, n):
-                            counts[n, g, lang] += c
+            for key, c in entries(batch):
+                counts[key] += c
                 if len(counts) > 300_000:
                     yield flush()
         if counts:
             yield flush()
 
-    counted = sample.select("text", "lang").mapInArrow(run, "n int, entry string, lang string, c long").groupBy("n", "entry", "lang").agg(F.sum("c").alias("c"))
+    def words_of(batch):
+        for text, lang in zip(batch.column(0), batch.column(1), strict=True):
+            lang = lang.as_py()
+            for w, c in text_words(text.as_py()).items():
+                yield (w, lang), c
+
+    def grams_of(batch):
+        for w, lang, c in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+            for n in range(1, max_n + 1):
+                for g in grams(w, n):
+                    yield (n, g, lang), c
+
+    # n-grams are counted over the distinct words, weighted by the words' counts
+    words = sample.select("text", "lang").mapInArrow(lambda b: tally(b, words_of, ["entry", "lang"], [pa.string(), pa.string()]), "entry string, lang string, c long")
+    words = cut(words.groupBy("entry", "lang").agg(F.sum("c").alias("c")))
+    parts = words.mapInArrow(lambda b: tally(b, grams_of, ["n", "entry", "lang"], [pa.int32(), pa.string(), pa.string()]), "n int, entry string, lang string, c long")
+    parts = parts.groupBy("n", "entry", "lang").agg(F.sum("c").alias("c"))
+    counted = words.select(F.lit(0).alias("n"), "entry", "lang", "c").union(parts)
     counted = cut(counted)
     whole = counted.groupBy("n", "entry").agg(F.sum("c").alias("t"))
     got: list[tuple[int, str, str, int]] = []
