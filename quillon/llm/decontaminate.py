@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from quillon.llm import _kernels as K
 from quillon.llm._spark import small_batches
 
-WINDOW, BLOCK_BYTES, SHARD_BYTES = 10, 32 << 20, 4 << 20
+#: A block of 8 MB has about 1.5 million suffixes, each of 10 hashes: some 120 MB in a broadcast.
+WINDOW, BLOCK_BYTES, SHARD_BYTES = 10, 8 << 20, 4 << 20
 _BITS = 22
 
 
@@ -58,28 +59,24 @@ def prepare(ids: list[int], texts: list[str | None], window: int = WINDOW, depth
     data = [(t or "").encode() for t in texts]
     offs = np.concatenate(([0], np.cumsum([len(x) for x in data]))).astype(np.int64)
     h, _, _, first = K.words(np.frombuffer(b"".join(data), np.uint8), offs, K.ALNUM_WORDS)
-    rows, length, item, place, whole = [], [], [], [], []
-    for i in range(len(ids)):
-        w = h[first[i] : first[i + 1]]
-        whole.append(w)
-        need = min(window, len(w))
-        for j in range(len(w) - need + 1 if len(w) else 0):
-            row = np.zeros(depth, np.uint64)
-            part = w[j : j + depth]
-            row[: len(part)] = part
-            rows.append(row)
-            length.append(need)
-            item.append(i)
-            place.append(j)
-    words = np.array(rows, np.uint64).reshape(len(rows), depth)
-    length = np.array(length, np.int64)
+    n = np.diff(first)
+    need = np.minimum(window, n)
+    count = np.where(n > 0, n - need + 1, 0)
+    item = np.repeat(np.arange(len(ids)), count)
+    place = _expand(np.zeros(len(ids), np.int64), count)
+    at, stop, length = first[item] + place, first[item + 1], need[item]
+    words = np.zeros((len(item), depth), np.uint64)
+    for j in range(depth):
+        ok = at + j < stop
+        words[ok, j] = h[at[ok] + j]
+    whole = [h[first[i] : first[i + 1]] for i in range(len(ids))]
     pairs, singles = np.zeros(1 << _BITS, bool), np.zeros(1 << _BITS, bool)
     many = length > 1
     if many.any():
         pairs[_slot(_pair(words[many, 0], words[many, 1]))] = True
     if (~many).any():
         singles[_slot(words[~many, 0] * K._SEQ[2])] = True
-    return Queries(words, length, np.array(item, np.int64), np.array(place, np.int64), whole, [str(x) for x in ids], list(ids), pairs, singles)
+    return Queries(words, length, item, place, whole, [str(x) for x in ids], list(ids), pairs, singles)
 
 
 class SuffixArray:
