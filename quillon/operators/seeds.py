@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions.stats import normal_text
+from quillon.operators import panel
 from quillon.plans.expr import validate
+from quillon.plans.lower import factors
+from quillon.sources.bars import finite_rows
 
 #: Default weights, filters and library sizes.
 WEIGHTS = {"reward": 1.0, "robustness": 0.2, "novelty": 0.2, "coverage": 0.1, "complexity": -0.05}
 FILTERS = {"min_coverage": 0.6, "min_factor_std": 0.01}
 CONTRARIAN = ("direction_acc", 0.49)
 ELITE, DIVERSE, CONTRARIANS = 10, 20, 10
+#: The time splits used where none are given.
+SPLITS = [("q1", "2026-02-23", "2026-03-03", 1.0), ("q2", "2026-03-03", "2026-03-10", 1.0), ("q3", "2026-03-10", "2026-03-18", 1.0), ("q4", "2026-03-18", "2026-03-25", 1.0)]
 
 
 def with_defaults(df: DataFrame) -> DataFrame:
@@ -31,6 +36,38 @@ def validate_candidates(spark: SparkSession, rows: list[tuple[str, str]], **limi
     return spark.createDataFrame(out, "id string, valid boolean, status string, reasons array<string>, depth int, nodes int, canonical_hash string")
 
 
+def evaluate(bars: DataFrame, candidates: list[tuple[str, str]], horizon: int = 1, warmup: int = 1, min_samples: int = 50, keys: tuple[str, ...] = ("id", "symbol")) -> DataFrame:
+    """(id, symbol, valid, status, reasons, metrics) of each candidate (id, expr) over bars, by direction accuracy.
+
+    All expressions share one shuffle and sort; each has labels of its own, over the rows where it is valid.
+    Candidates that do not validate are eval_error in one row without a symbol.
+    """
+    verdicts = [(key, expr, validate(expr)) for key, expr in candidates]
+    good = [(key, expr) for key, expr, v in verdicts if v.valid]
+    spark = bars.sparkSession
+    bad = spark.createDataFrame([(key, None, False, "eval_error", v.reasons, {}) for key, _, v in verdicts if not v.valid], "id string, symbol string, valid boolean, status string, reasons array<string>, metrics map<string,double>")
+    if not good:
+        return bad
+    wide = panel.skip_warmup(factors(finite_rows(bars), {f"f{i}": expr for i, (_, expr) in enumerate(good)}), warmup)
+    ids = F.array(*[F.lit(key) for key, _ in good])
+    rows = wide.select("symbol", "ts", "close", F.posexplode(F.array(*[f"f{i}" for i in range(len(good))])).alias("at", "factor"))
+    rows = rows.select(F.element_at(ids, F.col("at") + 1).alias("id"), "symbol", "ts", "close", "factor")
+    labelled = panel.aligned(panel.series_labels(rows, horizon, keys=("id", "symbol")))
+    got = panel.direction_accuracy(labelled, keys, min_samples)
+    metrics = F.map_concat("metrics", F.create_map(F.lit("reward"), F.col("value"), F.lit("direction_acc"), F.col("metrics")["acc"]))
+    symbol = F.col("symbol") if "symbol" in keys else F.lit(None).cast("string")
+    out = got.select("id", symbol.alias("symbol"), "passed", "reason", metrics.alias("metrics"))
+    return out.select(
+        "id", "symbol", F.col("passed").alias("valid"), F.when(F.col("passed"), "evaluated").otherwise("eval_filtered").alias("status"),
+        F.filter(F.array("reason"), lambda x: x != "").alias("reasons"), "metrics",
+    ).unionByName(bad)
+
+
+def sample_pool(df: DataFrame, contrarian: bool = True) -> DataFrame:
+    """Rows to sample from: valid ones and, if asked, those that work inverted."""
+    return df.where(F.col("valid") | F.col("invert")) if contrarian else df.where("valid")
+
+
 def _metric(name: str) -> Column:
     return F.try_element_at("metrics", F.lit(name))
 
@@ -100,17 +137,39 @@ def softmax_sample(pool: DataFrame, k: int, temperature: float = 1.0, explore: f
 
 
 def stratified_sample(tasks: DataFrame, n: int, family: str = "category", seed: int = 0) -> DataFrame:
-    """n rows, round robin over families in random order."""
-    noise = F.xxhash64("task_id", F.lit(seed))
-    turn = F.row_number().over(Window.partitionBy(family).orderBy(noise))
-    return tasks.withColumn("_turn", turn).orderBy("_turn", F.xxhash64(family, "_turn", F.lit(seed))).limit(n).drop("_turn")
+    """n draws with replacement: rounds over the families, shuffled anew in each, with one task of the family each.
+
+    No rows for an empty table.  A missing family is ``general``.
+    """
+    rows = tasks.withColumn("_family", F.coalesce(F.nullif(F.col(family), F.lit("")), F.lit("general")))
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_family").orderBy("task_id")) - 1)
+    sizes = rows.groupBy("_family").agg(F.count("*").alias("_size"))
+    families = sizes.count()
+    if not families or n <= 0:
+        return tasks.limit(0)
+    # one row for each family and round: n rows, and the rest of the last round
+    rounds = tasks.sparkSession.range(-(-n // families)).withColumnRenamed("id", "_round")
+    turn = Window.partitionBy("_round").orderBy(F.xxhash64("_family", "_round", F.lit(seed)))
+    draws = rounds.join(F.broadcast(sizes)).withColumn("draw", F.col("_round") * families + F.row_number().over(turn) - 1).where(F.col("draw") < n)
+    draws = draws.select("_family", "draw", F.pmod(F.xxhash64("draw", F.lit(seed + 1)), "_size").alias("_place"))
+    return rows.join(draws, ["_family", "_place"]).orderBy(F.xxhash64("draw", F.lit(seed + 2))).select(*tasks.columns)
+
+
+def cycle_tasks(spark: SparkSession, splits: DataFrame, n: int, family: str = "no_seed") -> DataFrame:
+    """n tasks without a candidate, one split after another in the order of their names."""
+    s = splits.select(F.col("name").alias("split"), "start_date", "end_date", (F.row_number().over(Window.orderBy("name")) - 1).alias("_at"))
+    k = splits.count()
+    rows = spark.range(n).withColumn("_at", F.pmod("id", F.lit(max(1, k))))
+    return rows.join(F.broadcast(s), "_at").select(F.concat_ws("__", F.lit(family), "split", "id").alias("task_id"), F.lit("").alias("seed_id"), "split", F.lit("").alias("expr"), F.lit(family).alias("category"), "start_date", "end_date")
 
 
 def task_bank(seeds: DataFrame, splits: DataFrame, max_seeds: int = 64, valid_only: bool = True, sort_by: str = "seed_score") -> DataFrame:
     """Seeds times splits, after dedup by hash (else by text) and a cut to the best; splits are a handful of rows."""
     rows = seeds.where("valid") if valid_only else seeds
     key = F.coalesce(F.nullif(F.col("canonical_hash"), F.lit("")), normal_text("expr"))
-    order = [F.desc(sort_by), F.asc("idx")]
+    # another metric than the score orders by it where a row has it
+    first = F.col("seed_score") if sort_by == "seed_score" else F.coalesce(_metric(sort_by), F.col("seed_score"))
+    order = [F.desc(first), F.asc("idx")]
     best = rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").orderBy(*order).limit(max_seeds)
     joined = best.join(F.broadcast(splits.withColumnRenamed("name", "split")))
     return joined.select(F.concat_ws("__", "id", "split").alias("task_id"), F.col("id").alias("seed_id"), "split", "expr", "category", "start_date", "end_date", "seed_score", F.coalesce("weight", F.lit(1.0)).alias("weight"))
@@ -129,7 +188,7 @@ def prompt_rows(tasks: DataFrame, system: str, template: str, source: str = "fac
         text = F.replace(text, F.lit("{" + f + "}"), F.col(f).cast("string"))
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     return tasks.select(
-        F.lit(source).alias("data_source"), F.array(message("system", F.lit(system)), message("user", text)).alias("prompt"),
-        F.struct(F.array("expr").alias("ground_truth"), F.lit("rule").alias("style")).alias("reward_model"),
-        F.struct("task_id", "seed_id", "split", "start_date", "end_date", "category").alias("extra_info"),
+        F.concat_ws("/", F.lit(source), "category", "split").alias("data_source"), F.array(message("system", F.lit(system)), message("user", text)).alias("prompt"),
+        F.struct(F.array().cast("array<string>").alias("ground_truth"), F.lit("rule").alias("style")).alias("reward_model"),
+        F.struct("task_id", "seed_id", F.col("expr").alias("seed_expr"), "split", "start_date", "end_date", "category").alias("extra_info"),
     )

@@ -121,6 +121,57 @@ def score_batch(candidates: DataFrame, jobs: DataFrame, exact: DataFrame, family
     return rows.withColumns({"shift": shift, "reward": final(F.col("raw"), shift)})
 
 
+JOB = ("expr", "start_date", "end_date", "bar_minutes", "horizon")
+
+
+def jobs(batch: DataFrame, relative_reward: bool = False) -> DataFrame:
+    """Each evaluation that a batch needs, once: of its expressions and, for relative rewards, of their seeds."""
+    own = batch.select(*JOB)
+    if relative_reward:
+        own = own.union(batch.select(F.col("seed_expr").alias("expr"), *JOB[1:]))
+    return own.where("coalesce(expr, '') <> ''").distinct()
+
+
+def with_scores(batch: DataFrame, scored: DataFrame, relative_reward: bool = False) -> DataFrame:
+    """Adds raw (-1 if the expression was not scored) and baseline (the seed's score on the same window, else 0)."""
+    out = batch.join(scored.select(*JOB, "raw"), list(JOB), "left").withColumn("raw", F.coalesce("raw", F.lit(-1.0)))
+    if not relative_reward:
+        return out.withColumn("baseline", F.lit(0.0))
+    seed = scored.select(F.col("expr").alias("seed_expr"), *JOB[1:], F.col("raw").alias("baseline"))
+    # a row without a seed has no baseline, so it is left as it is
+    return out.join(seed, ["seed_expr", *JOB[1:]], "left").withColumn("baseline", F.when(F.coalesce("seed_expr", F.lit("")) == "", F.col("raw")).otherwise(F.coalesce("baseline", F.lit(0.0))))
+
+
+def shape(rows: DataFrame, relative_reward: bool = False, exact: bool = True, diversity: bool = False, residual: bool = False, behaviour: bool = False) -> DataFrame:
+    """Adds every shift and the reward to rows with raw and, for what is asked, their statistics.
+
+    relative_reward: baseline; exact: exact_seen; diversity: family_seen; residual: residual, samples, max_corr; behaviour:
+    rank_max_corr, rank_samples.  Missing statistics count as 0.  Thresholds look at raw; failures stay -1.
+    """
+    raw, of = F.col("raw"), lambda n: F.coalesce(F.col(n).cast("double"), F.lit(0.0))
+    none = F.lit(0.0)
+    out = rows.withColumns({
+        "relative_shift": relative(raw, F.col("baseline")) - raw if relative_reward else none,
+        "exact_penalty": repeat_penalty(of("exact_seen"), diversity) if exact else none,
+        "family_shift": family_shift(raw, of("family_seen")) if diversity else none,
+        "residual_shift": residual_shift(raw, of("residual"), of("samples"), of("max_corr")) if residual else none,
+        "behaviour_shift": behaviour_shift(raw, of("rank_max_corr"), of("rank_samples")) if behaviour else none,
+    })
+    total = F.col("relative_shift") - F.col("exact_penalty") + F.col("family_shift") + F.col("residual_shift") + F.col("behaviour_shift")
+    return out.withColumn("reward", final(raw, total))
+
+
+def updates(batch: DataFrame, exact: DataFrame, family: DataFrame, residual_good: float = 0.16, behaviour_good: float = 0.12) -> dict[str, DataFrame]:
+    """What a scored batch (expr, hash, family, raw) adds to the archives: counts of every expression, and the good ones' rows."""
+    some = batch.where("coalesce(expr, '') <> ''")
+    return {
+        "exact": record(some, exact),
+        "family": record(some.select(F.col("family").alias("hash")), family),
+        "residual": some.where(F.col("raw") >= residual_good),
+        "behaviour": some.where(F.col("raw") >= behaviour_good),
+    }
+
+
 def densify(df: DataFrame, names: list[str], metrics: str = "metrics") -> DataFrame:
     """A column for each metric, 0.0 where a row has none."""
     return df.select("*", *[F.coalesce(F.try_element_at(metrics, F.lit(n)), F.lit(0.0)).alias(n) for n in names]).drop(metrics)

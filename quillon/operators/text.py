@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.stats import normal_text
@@ -47,4 +47,48 @@ def size_class(x: Column) -> Column:
 
 
 def bar_label(minutes: Column) -> Column:
-    return F.when(minutes < 60, F.format_string("%d-minute", minutes)).when(minutes < 1440, F.format_string("%d-hour", (minutes / 60).cast("int"))).otherwise(F.format_string("%d-day", (minutes / 1440).cast("int")))
+    """Whole days, else whole hours, else minutes."""
+    days, hours = F.pmod(minutes, F.lit(1440)) == 0, F.pmod(minutes, F.lit(60)) == 0
+    return F.when(days, F.format_string("%d-day", (minutes / 1440).cast("int"))).when(hours, F.format_string("%d-hour", (minutes / 60).cast("int"))).otherwise(F.format_string("%d-minute", minutes))
+
+
+#: Windows that the lookback hint names.
+HINT_WINDOWS = (20, 60, 120, 240)
+
+
+def lookback_hint(minutes: Column) -> Column:
+    """How long each window is: in whole days for bars of a day or more, else in whole hours."""
+    daily = minutes >= 1440
+    unit = F.when(daily, 1440).otherwise(60)
+    parts = [F.concat(F.lit(f"{w} bars = "), F.floor(minutes * w / unit).cast("string"), F.when(daily, "d").otherwise("h")) for w in HINT_WINDOWS]
+    return F.concat_ws(", ", *parts)
+
+
+_PAIR = r"^\s*(?:-\s*)?(name|expr|intuition|category)\s*:\s*(.*)$"
+
+
+def loose_candidates(df: DataFrame, key: str = "id", text: str = "body") -> DataFrame:
+    """(key, idx, seed_id, name, expr, intuition, category) of candidates in texts of loose ``key: value`` lines.
+
+    A line that begins with a dash starts an item, and so does a name once the item has an expr.  Items without
+    an expr are left out but numbered; a text without items has no rows.  The lines of a text are folded in
+    order within its row, without a shuffle.
+    """
+    lines = F.filter(F.split(F.col(text), r"\r?\n"), lambda x: x.rlike(_PAIR))
+    bare = lambda x: F.regexp_replace(F.regexp_replace(F.trim(F.regexp_extract(x, _PAIR, 2)), r'^"+|"+$', ""), r"^'+|'+$", "")
+    pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, _PAIR, 1).alias("k"), bare(x).alias("v"), F.ltrim(x).startswith("-").alias("dash")))
+    shape = "struct<done:array<map<string,string>>,own:map<string,string>>"
+    put_away = lambda acc: F.when(F.size(acc["own"]) > 0, F.concat(acc["done"], F.array(acc["own"]))).otherwise(acc["done"])
+
+    def step(acc, x):
+        new = x["dash"] | ((x["k"] == "name") & F.map_contains_key(acc["own"], F.lit("expr")))
+        rest = F.map_filter(acc["own"], lambda k, _: k != x["k"])
+        one = F.map_from_arrays(F.array(x["k"]), F.array(x["v"]))
+        return F.struct(F.when(new, put_away(acc)).otherwise(acc["done"]).alias("done"), F.when(new, one).otherwise(F.map_concat(rest, one)).alias("own")).cast(shape)
+
+    start = F.struct(F.array().cast("array<map<string,string>>").alias("done"), F.create_map().cast("map<string,string>").alias("own")).cast(shape)
+    items = F.aggregate(pairs, start, step, put_away)
+    rows = df.select(key, F.posexplode(items).alias("idx", "item")).where("coalesce(item['expr'], '') <> ''")
+    number = F.format_string("seed_%04d", F.col("idx"))
+    field = lambda n, other: F.coalesce(F.try_element_at("item", F.lit(n)), other)
+    return rows.select(key, "idx", number.alias("seed_id"), field("name", number).alias("name"), F.col("item")["expr"].alias("expr"), field("intuition", F.lit("")).alias("intuition"), field("category", F.lit("general")).alias("category"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillon.operators import panel, seeds, shaping, text
 from quillon.plans.lower import factors
 from quillon.sources import bars as B
+from quillon.sources import tables as T
 
 _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -436,9 +437,206 @@ def _conversation_hashes(spark, sf):
     return _table(spark, sf, "conversations").select("conv_id", "turn", text.exact_hash(F.col("text")).alias("hash"))
 
 
-@_add("text_bar_label", "SELECT m AS minutes, CASE WHEN m < 60 THEN m || '-minute' WHEN m < 1440 THEN (m // 60) || '-hour' ELSE (m // 1440) || '-day' END AS label FROM (VALUES (5), (60), (240), (1440), (2880)) AS t(m)")
+_MINUTES = "(VALUES (5), (60), (90), (240), (1440), (1500), (2880)) AS t(minutes)"
+
+
+@_add("text_bar_label", f"SELECT minutes, CASE WHEN minutes % 1440 = 0 THEN (minutes // 1440) || '-day' WHEN minutes % 60 = 0 THEN (minutes // 60) || '-hour' ELSE minutes || '-minute' END AS label FROM {_MINUTES}")
 def _labels(spark, sf):
-    return spark.sql("SELECT * FROM (VALUES (5), (60), (240), (1440), (2880)) AS t(minutes)").select("minutes", text.bar_label(F.col("minutes")).alias("label"))
+    return spark.sql(f"SELECT * FROM {_MINUTES}").select("minutes", text.bar_label(F.col("minutes")).alias("label"))
+
+
+@_add("text_lookback_hint", f"SELECT minutes, array_to_string(list_transform([20, 60, 120, 240], lambda w: w || ' bars = ' || CASE WHEN minutes >= 1440 THEN (w * minutes // 1440) || 'd' ELSE (w * minutes // 60) || 'h' END), ', ') AS hint FROM {_MINUTES}")
+def _hints(spark, sf):
+    return spark.sql(f"SELECT * FROM {_MINUTES}").select("minutes", text.lookback_hint(F.col("minutes")).alias("hint"))
+
+
+_CODES = "(VALUES (1, concat('as <code>class A: pass', chr(10), '</code> shows')), (2, 'class B: pass'), (3, 'no code'), (4, '')) AS t(id, body)"
+
+
+@_add("text_code", f"SELECT id, CASE WHEN regexp_matches(body, '(?s)<code>.*?</code>') THEN trim(regexp_extract(body, '(?s)<code>(.*?)</code>', 1), ' ' || chr(10)) WHEN contains(body, 'class ') THEN body END AS code FROM {_CODES}")
+def _codes(spark, sf):
+    return spark.sql(f"SELECT * FROM {_CODES}").select("id", F.trim(text.code(F.col("body")), F.lit(" \n")).alias("code"))
+
+
+@_add("text_profile_hash", f"SELECT id, substr(sha1(body), 1, 12) AS hash FROM {_TEXTS}")
+def _profile_hashes(spark, sf):
+    return spark.sql(f"SELECT * FROM {_TEXTS}").select("id", text.profile_hash(F.col("body")).alias("hash"))
+
+
+@_add("text_size_class", "SELECT x, CASE WHEN abs(x) <= 5 THEN 0 WHEN abs(x) <= 20 THEN 1 WHEN abs(x) <= 60 THEN 2 WHEN abs(x) <= 120 THEN 3 WHEN abs(x) <= 240 THEN 4 ELSE 5 END::INT AS bucket FROM (VALUES (-5), (6), (20), (61), (120), (240), (241)) AS t(x)")
+def _classes(spark, sf):
+    return spark.sql("SELECT * FROM (VALUES (-5), (6), (20), (61), (120), (240), (241)) AS t(x)").select("x", text.size_class(F.col("x")).alias("bucket"))
+
+
+_LOOSE = r"""(VALUES (1, '- name: a: b\n  expr: last(close(5))\n  intuition: "so: it is"\n- expr: vwap(9)\n  category: volume'), (2, 'name: x\nexpr: ts_mean(close(9))\nname: y\nexpr: close(3)'), (3, '- name: no expression'), (4, 'none')) AS t(id, body)"""
+_LOOSE_SQL = """(VALUES (1, 0, 'a: b', 'last(close(5))', 'so: it is', 'general'), (1, 1, 'seed_0001', 'vwap(9)', '', 'volume'), (2, 0, 'x', 'ts_mean(close(9))', '', 'general'), (2, 1, 'y', 'close(3)', '', 'general')) AS t(id, idx, name, expr, intuition, category)"""
+
+
+@_add("text_loose_candidates", f"SELECT id, idx, name, expr, intuition, category, format('seed_{{:04d}}', idx) AS seed_id FROM {_LOOSE_SQL}")
+def _loose(spark, sf):
+    return text.loose_candidates(spark.sql(f"SELECT * FROM {_LOOSE}"))
+
+
+@_add("text_iso_date", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, strftime(ts - INTERVAL 12 DAY, '%Y-%m-%d') AS loaded_from FROM events")
+def _iso(spark, sf):
+    rows = _table(spark, sf, "events")
+    return rows.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.date_format(F.col("ts") - F.expr("INTERVAL 12 DAY"), "yyyy-MM-dd").alias("loaded_from"))
+
+
+# -- bars with other edges, ranges after windows, callables
+
+_LEFT_SQL = _bars_sql().replace(_label_sql("ts", EVENT_MINUTES), f"make_timestamp((epoch_us(ts) // {EVENT_MINUTES * 60_000_000}) * {EVENT_MINUTES * 60_000_000})")
+
+
+@_add("bars_left_closed", f"SELECT symbol, ts, {_OHLCV} FROM ({_LEFT_SQL})")
+def _left(spark, sf):
+    return _round(B.resample(B.trades(_table(spark, sf, "events"), "event_type", "ts", "value", F.lit(1.0)), EVENT_MINUTES, closed="left"), 8)
+
+
+_ORIGIN_US = 1_704_067_200_000_000
+_ORIGIN_LABEL = f"make_timestamp({_ORIGIN_US} + ((epoch_us(ts) - {_ORIGIN_US} + 7 * 60000000 - 1) // (7 * 60000000)) * 7 * 60000000)"
+
+
+@_add("bars_anchored", f"SELECT symbol, ts, {_OHLCV} FROM ({_bars_sql(7).replace(_label_sql('ts', 7), _ORIGIN_LABEL)})")
+def _anchored(spark, sf):
+    return _round(B.resample(B.trades(_table(spark, sf, "events"), "event_type", "ts", "value", F.lit(1.0)), 7, origin="2024-01-01"), 8)
+
+
+@_add("bars_finite", f"SELECT symbol, count(*) AS n FROM ({_bars_sql()}) WHERE isfinite(open) AND isfinite(high) AND isfinite(low) AND isfinite(close) AND isfinite(volume) GROUP BY symbol")
+def _finite(spark, sf):
+    return B.finite_rows(event_bars(spark, sf)).groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+@_add("evaluation_start", _SCORED + " SELECT symbol, ts, round(factor, 4) AS factor FROM f WHERE ts >= TIMESTAMP '2024-01-10'")
+def _from_start(spark, sf):
+    return _round(panel.after_start(scored(spark, sf), "2024-01-10").select("symbol", "ts", "factor"), 4)
+
+
+def _body_share(rows):
+    return rows.assign(factor=(rows.close - rows.open).rolling(3, min_periods=1).mean())[["symbol", "ts", "factor"]]
+
+
+@_add("user_factor", f"WITH bars AS ({_bars_sql()}) SELECT symbol, ts, round(avg(close - open) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) + 0.0::DOUBLE AS factor FROM bars")
+def _user(spark, sf):
+    return _round(panel.user_factor(event_bars(spark, sf), _body_share), 4)
+
+
+@_add("warmup_ladder", """SELECT m AS minutes, CASE WHEN m >= 1440 OR m <= 5 THEN 240 WHEN m <= 60 THEN 96 WHEN m <= 240 THEN 64 ELSE 32 END::INT AS bars,
+    CASE WHEN m >= 1440 THEN greatest(180, 2 * 100 + 30) ELSE greatest(10, ceil(m * 100 / 1440)::INT + 5) END::INT AS days FROM (VALUES (1), (5), (15), (60), (240), (480), (1440)) AS t(m)""")
+def _ladder(spark, sf):
+    return spark.createDataFrame([(m, panel.warmup_bars(m), panel.warmup_days(m, 100)) for m in (1, 5, 15, 60, 240, 480, 1440)], "minutes int, bars int, days int")
+
+
+# -- evaluation of candidates, gates, pools, cycles
+
+_SHORT = "round((avg(CASE WHEN factor <> 0 THEN (sign(factor) = sign(fwd))::INT END) - 0.5) * 200, 6) AS reward, round(avg((factor <> 0)::INT), 6) AS coverage, count(*)::DOUBLE AS samples"
+
+
+@_add("seed_evaluate", f"""WITH bars AS ({_bars_sql()}), f AS (SELECT symbol, ts, close, unnest([{{'id': 'trend', 'factor': close - avg(close) OVER w}}, {{'id': 'body', 'factor': close - open}}], recursive := true)
+    FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+    s AS (SELECT *, lead(close) OVER (PARTITION BY id, symbol ORDER BY ts) / close - 1 AS fwd FROM f WHERE close > 0)
+    SELECT id, symbol, true AS valid, 'evaluated' AS status, {_SHORT} FROM s WHERE fwd IS NOT NULL GROUP BY id, symbol HAVING count(*) >= 50
+    UNION ALL SELECT id, symbol, false, 'eval_filtered', -100, round(avg((factor <> 0)::INT), 6), count(*)::DOUBLE FROM s WHERE fwd IS NOT NULL GROUP BY id, symbol HAVING count(*) < 50
+    UNION ALL SELECT 'broken', NULL, false, 'eval_error', NULL, NULL, NULL""")
+def _seed_evaluate(spark, sf):
+    out = seeds.evaluate(event_bars(spark, sf), [("trend", "sub(last(close(5)), ts_mean(close(5)))"), ("body", "last(close(2)) - last(open(2))"), ("broken", "bad(")])
+    m = lambda n: F.try_element_at("metrics", F.lit(n)).alias(n)
+    return _round(out.select("id", "symbol", "valid", "status", m("reward"), m("coverage"), m("samples")))
+
+
+_FOUND = """(VALUES (1, 'direction', 2.5, 0.52, 0.7, 0.0, 0.0, 90.0), (2, 'direction', 2.5, 0.50, 0.7, 0.0, 0.0, 90.0), (3, 'ic', 0.0, 0.0, 0.0, 0.02, 0.0, 60.0), (4, 'rank_ic', 0.0, 0.0, 0.0, 0.02, 0.0, 40.0),
+ (5, 'cross_sectional_rankic', 0.0, 0.0, 0.6, 0.0, 0.01, 0.0), (6, 'cross_sectional_rankic', 0.0, 0.0, 0.5, 0.0, 0.02, 0.0), (7, 'signal_return', 0.0, 0.0, 0.0, -1.0, 0.0, 0.0)) AS t(id, kind, predictive, acc, coverage, value, mean_rank_ic, samples)"""
+
+
+@_add("quality_gate", f"""SELECT id FROM {_FOUND} WHERE CASE WHEN kind = 'direction' THEN predictive >= 2 AND acc >= 0.51 AND coverage >= 0.6 WHEN kind IN ('ic', 'rank_ic') THEN value >= 0.01 AND samples >= 50
+    WHEN kind = 'cross_sectional_rankic' THEN mean_rank_ic >= 0.01 AND coverage >= 0.6 ELSE true END""")
+def _gate(spark, sf):
+    return panel.quality_gate(spark.sql(f"SELECT * FROM {_FOUND}"), F.col("kind"), F.col).select("id")
+
+
+@_add("seed_pool", f"{_SCORED_SEEDS} SELECT id FROM s WHERE valid OR invert")
+def _pool(spark, sf):
+    return seeds.sample_pool(_seed_rows(spark)).select("id")
+
+
+@_add("seed_defaults", """SELECT idx, coalesce(id, format('seed_{:04d}', idx)) AS id, coalesce(name, id, format('seed_{:04d}', idx)) AS name, expr, coalesce(intuition, '') AS intuition, coalesce(category, 'general') AS category
+    FROM (VALUES (0, NULL, NULL, 'vwap(9)', NULL, NULL), (1, 'b', NULL, 'close(3)', 'why', 'risk'), (2, NULL, 'n', 'open(3)', NULL, NULL)) AS t(idx, id, name, expr, intuition, category)""")
+def _defaults(spark, sf):
+    rows = "(VALUES (0, NULL, NULL, 'vwap(9)', NULL, NULL), (1, 'b', NULL, 'close(3)', 'why', 'risk'), (2, NULL, 'n', 'open(3)', NULL, NULL)) AS t(idx, id, name, expr, intuition, category)"
+    return seeds.with_defaults(spark.sql(f"SELECT idx, cast(id AS string) AS id, cast(name AS string) AS name, expr, cast(intuition AS string) AS intuition, cast(category AS string) AS category FROM {rows}"))
+
+
+@_add("task_cycle", f"""SELECT 'no_seed__' || s.name || '__' || i.id AS task_id, s.name AS split, start_date, end_date FROM (SELECT unnest(range(7)) AS id) i JOIN (SELECT *, row_number() OVER (ORDER BY name) - 1 AS at FROM {_SPLITS}) s ON s.at = i.id % 3""")
+def _cycle(spark, sf):
+    return seeds.cycle_tasks(spark, spark.sql(f"SELECT * FROM {_SPLITS}"), 7).select("task_id", "split", "start_date", "end_date")
+
+
+# -- batches against scores and archives
+
+_ANSWERS = """(VALUES (1, 'e1', 's1', 'd1', 0.10), (2, 'e2', 's1', 'd1', 0.20), (3, 'e1', 's2', 'd2', 0.20), (4, 'e2', 's1', 'd1', 0.20), (5, '', 's1', 'd1', 0.0), (6, 'e9', '', 'd1', 0.0)) AS t(id, expr, seed_expr, start_date, other)"""
+_DONE = "(VALUES ('e1', 'd1', 0.10), ('e2', 'd1', 0.20), ('e1', 'd2', 0.30), ('s1', 'd1', 0.15), ('e9', 'd1', 0.25)) AS t(expr, start_date, raw)"
+
+
+def _answers(spark):
+    return spark.sql(f"SELECT id, expr, seed_expr, start_date, 'z' AS end_date, 5 AS bar_minutes, 1 AS horizon FROM {_ANSWERS}")
+
+
+@_add("batch_jobs", f"SELECT DISTINCT expr, start_date FROM (SELECT expr, start_date FROM {_ANSWERS} UNION ALL SELECT seed_expr, start_date FROM {_ANSWERS}) WHERE expr <> ''")
+def _jobs(spark, sf):
+    return shaping.jobs(_answers(spark), True).select("expr", "start_date")
+
+
+@_add("batch_baseline", f"""SELECT a.id, coalesce(r.raw, -1)::DOUBLE AS raw, CASE WHEN a.seed_expr = '' THEN coalesce(r.raw, -1) ELSE coalesce(b.raw, 0) END::DOUBLE AS baseline
+    FROM {_ANSWERS.replace("AS t(", "AS a(")} LEFT JOIN (SELECT * FROM {_DONE}) r USING (expr, start_date) LEFT JOIN (SELECT expr AS seed_expr, start_date, raw FROM {_DONE}) b ON a.seed_expr = b.seed_expr AND a.start_date = b.start_date""")
+def _baseline(spark, sf):
+    done = spark.sql(f"SELECT expr, start_date, 'z' AS end_date, 5 AS bar_minutes, 1 AS horizon, cast(raw AS double) AS raw FROM {_DONE}")
+    return shaping.with_scores(_answers(spark), done, True).select("id", "raw", "baseline")
+
+
+_STATS = """(VALUES (1, 0.20, 0.15, 0, 0, 8.0, 300, 0.95, 0.9, 250), (2, 0.20, 0.25, 2, 0, 20.0, 300, 0.5, 0.4, 250), (3, 0.05, 0.0, 0, 9, 5.0, 300, 0.5, 0.9, 250), (4, -1.0, 0.0, 3, 9, 5.0, 300, 0.99, 0.9, 250),
+ (5, 0.14, 0.1, 0, 3, 9.0, 10, 0.1, 0.95, 20), (6, 0.99, 0.1, 0, 0, -4.0, 400, 0.1, 0.1, 1), (7, 0.18, 0.1, 1, 0, 4.0, 200, 0.92, 0.85, 200)) AS t(id, raw, baseline, exact_seen, family_seen, residual, samples, max_corr, rank_max_corr, rank_samples)"""
+_RESIDUAL = "CASE WHEN raw >= 0.16 AND samples >= 200 THEN 0.04 * greatest(0, least(1, residual / 10)) ELSE 0 END - CASE WHEN max_corr > 0.92 THEN 0.03 * (max_corr - 0.92) ELSE 0 END"
+_RANKS = "CASE WHEN raw < 0.12 THEN 0 WHEN rank_samples >= 200 AND rank_max_corr > 0.85 THEN -0.08 * (rank_max_corr - 0.85) WHEN rank_samples > 0 AND rank_max_corr < 0.5 THEN 0.02 ELSE 0 END"
+
+
+def _stats_rows(spark):
+    names = ("raw", "baseline", "residual", "max_corr", "rank_max_corr")
+    return spark.sql(f"SELECT * FROM {_STATS}").withColumns({n: F.col(n).cast("double") for n in names})
+
+
+@_add("shape_residual", f"SELECT id, round({_RESIDUAL}, 6)::DOUBLE AS shift FROM {_STATS}")
+def _shape_residual(spark, sf):
+    return _round(shaping.shape(_stats_rows(spark), residual=True).select("id", F.col("residual_shift").alias("shift")))
+
+
+@_add("shape_behaviour", f"SELECT id, round({_RANKS}, 6)::DOUBLE AS shift FROM {_STATS}")
+def _shape_behaviour(spark, sf):
+    return _round(shaping.shape(_stats_rows(spark), behaviour=True).select("id", F.col("behaviour_shift").alias("shift")))
+
+
+@_add("shape_everything", f"""SELECT id, round(CASE WHEN raw > -1 THEN greatest(-1, least(1, raw + 0.5 * greatest(raw - baseline, 0) - CASE WHEN exact_seen > 0 THEN 0.15 ELSE 0 END
+    + CASE WHEN family_seen = 0 AND raw >= 0.1 THEN 0.02 WHEN family_seen > 8 AND raw < 0.08 THEN -0.02 ELSE 0 END + {_RESIDUAL} + {_RANKS})) ELSE -1 END, 6)::DOUBLE AS reward FROM {_STATS}""")
+def _shape_everything(spark, sf):
+    return _round(shaping.shape(_stats_rows(spark), True, True, True, True, True).select("id", "reward"))
+
+
+@_add("archive_updates", f"SELECT 'exact' AS archive, count(DISTINCT hash) AS n FROM {_BATCH} UNION ALL SELECT 'family', count(DISTINCT family) FROM {_BATCH} UNION ALL SELECT 'residual', count(*) FROM {_BATCH} WHERE raw >= 0.16 UNION ALL SELECT 'behaviour', count(*) FROM {_BATCH} WHERE raw >= 0.12")
+def _updates(spark, sf):
+    families = spark.sql(f"SELECT family AS hash, cast(count AS bigint) AS count FROM {_FAMILIES}")
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("archive"), "n") for name, df in shaping.updates(_batch_rows(spark).withColumn("expr", F.col("hash")), _counts(spark), families).items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@_add("metrics_densify", "SELECT * FROM (VALUES (1, 1.0::DOUBLE, 0.0::DOUBLE), (2, 0.0, 2.0), (3, 0.0, 0.0)) AS t(id, a, b)")
+def _densify(spark, sf):
+    rows = spark.sql("SELECT id, m AS metrics FROM (VALUES (1, map('a', 1.0D)), (2, map('b', 2.0D)), (3, map('c', 3.0D))) AS t(id, m)")
+    return shaping.densify(rows, ["a", "b"])
+
+
+@_add("task_attribute", "SELECT * FROM (VALUES (1, 'x', 5), (2, 'y', 60)) AS t(id, split, bar_minutes)")
+def _attribute(spark, sf):
+    rows = spark.sql("SELECT id, split, named_struct('bar_minutes', m) AS extra_info FROM (VALUES (1, 'x', NULL), (2, 'y', 60)) AS t(id, split, m)")
+    return rows.select("id", T.attribute(rows, "split", "").alias("split"), T.attribute(rows, "bar_minutes", 5, "int").alias("bar_minutes"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
