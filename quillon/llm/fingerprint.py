@@ -3,13 +3,15 @@
 A window of ``K_BYTES`` bytes is an anchor if the smallest hash among its inner
 substrings of ``S_BYTES`` bytes is that of the first or the last one.  Whether a
 window is an anchor depends on its own bytes only, so an edit moves no anchor
-outside the windows it touches.  A fingerprint keeps the ``ANCHORS`` anchors with
-the smallest hashes and their first positions; equal texts have equal
-fingerprints, and its size is bounded.
-
-Likeness matches anchors by hash *and* position: among equal hashes only those
-on the most common shift (within a tolerance) count.  From the matched share of
-the smallest hashes of both comes the share of anchors in common (Dice).
+outside the windows it touches.  A fingerprint holds all anchors with all their
+positions; equal texts have equal fingerprints, and its size is about two bytes
+for a byte of text.
+
+Likeness matches anchors by hash *and* position: for the best shift (within a
+tolerance) it counts the anchors of each text that have a partner of the same
+hash there, of each hash as many as in the text with fewer.  Twice their number
+over the anchors of both is the share in common (Dice).  It is exact: hashes
+with few repeats are matched pair by pair, others by two correlations.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ from pyspark.sql import functions as F
 from quillon.llm import _kernels as K
 from quillon.llm._spark import small_batches
 
-K_BYTES, S_BYTES, ANCHORS, TOLERANCE = 16, 5, 128, 64
+K_BYTES, S_BYTES, TOLERANCE = 16, 5, 64
+#: Pairs of repeated anchors that are matched at a time; bytes of fingerprints in an Arrow batch.
+_PAIRS, _OUT_BYTES = 1 << 20, 4 << 20
 
 
-def anchors(data: np.ndarray, k: int = K_BYTES, s: int = S_BYTES, limit: int = ANCHORS) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, positions) of a text's smallest distinct anchors; a text without any is one anchor itself."""
+def anchors(data: np.ndarray, k: int = K_BYTES, s: int = S_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of all anchors of a text, by hash, then position; a text without any is one anchor itself."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -47,34 +51,105 @@ def anchors(data: np.ndarray, k: int = K_BYTES, s: int = S_BYTES, limit: int = A
     else:
         at = np.zeros(1, np.int64)
         h = K.span_hash(prefix, at, np.array([n]))
-    h, first = np.unique(h, return_index=True)
-    return h[:limit], at[first[:limit]]
+    order = np.argsort(h, kind="stable")
+    return h[order], at[order]
 
 
 def encode(print_: tuple[np.ndarray, np.ndarray]) -> str:
-    """Base64 of the hashes, then the positions."""
-    return base64.b64encode(print_[0].astype("<u8").tobytes() + print_[1].astype("<u4").tobytes()).decode()
+    """Base64 of the hashes in the order of the text, then of the gaps between their positions.
+
+    A gap is one byte: of ``K_BYTES - S_BYTES`` windows in a row at least one is an anchor.
+    """
+    order = np.argsort(print_[1])
+    return base64.b64encode(print_[0][order].astype("<u8").tobytes() + np.diff(print_[1][order], prepend=0).astype(np.uint8).tobytes()).decode()
 
 
 def decode(text: str) -> tuple[np.ndarray, np.ndarray]:
     raw = base64.b64decode(text)
-    n = len(raw) // 12
-    return np.frombuffer(raw, "<u8", n).astype(np.uint64), np.frombuffer(raw, "<u4", n, 8 * n).astype(np.int64)
-
-
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], limit: int = ANCHORS, tolerance: int = TOLERANCE) -> float:
+    n = len(raw) // 9
+    h, at = np.frombuffer(raw, "<u8", n).astype(np.uint64), np.cumsum(np.frombuffer(raw, np.uint8, n, 8 * n), dtype=np.int64)
+    order = np.argsort(h, kind="stable")
+    return h[order], at[order]
+
+
+def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array, the first place and the number of each."""
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    return h[first], first, np.diff(np.append(first, len(h)))
+
+
+def _steps_by_pairs(p: np.ndarray, q: np.ndarray, sa: np.ndarray, ca: np.ndarray, sb: np.ndarray, cb: np.ndarray, lo: int, size: int, tolerance: int) -> np.ndarray:
+    """Changes, by shift, of the matched anchors of hashes that stand at p[sa:sa + ca] and q[sb:sb + cb]."""
+    times = ca * cb
+    g = np.repeat(np.arange(len(times)), times)
+    k = np.arange(len(g)) - np.repeat(np.cumsum(times) - times, times)
+    keys = []
+    # an anchor has a partner in windows that start in [d - tolerance, d], for any of its shifts d; made disjoint
+    i = sa[g] + k // cb[g]
+    d = p[i] - q[sb[g] + k % cb[g]]  # falls within an anchor of the first text
+    end = d.copy()
+    same = i[1:] == i[:-1]
+    end[1:][same] = np.minimum(d[1:], d[:-1] - tolerance - 1)[same]
+    keys += [d - tolerance, end + 1]
+    j = sb[g] + k // ca[g]
+    d = p[sa[g] + k % ca[g]] - q[j]  # rises within an anchor of the second text
+    start = d - tolerance
+    same = j[1:] == j[:-1]
+    start[1:][same] = np.maximum(start[1:], d[:-1] + 1)[same]
+    keys += [start, d + 1]
+    key = np.concatenate([g * (size + 1) + x - lo for x in keys])
+    order = np.argsort(key)
+    one = np.ones(len(g), np.int64)
+    none = np.zeros(2 * len(g), np.int64)
+    a, b = np.concatenate([one, -one, none]), np.concatenate([none, one, -one])
+    m = np.minimum(np.cumsum(a[order]), np.cumsum(b[order]))
+    return np.rint(np.bincount(key[order] % (size + 1), np.diff(m, prepend=0), size + 1)).astype(np.int64)
+
+
+def _steps_by_correlation(p: np.ndarray, q: np.ndarray, last_p: int, last_q: int, size: int, tolerance: int) -> np.ndarray:
+    """The same for one hash at the positions p and q."""
+    n = 1 << int(size).bit_length()
+
+    def reach(at: np.ndarray, length: int) -> np.ndarray:
+        return (np.cumsum(np.bincount(at, minlength=length + 1) - np.bincount(at + tolerance + 1, minlength=length + 1)[: length + 1])[:length] > 0).astype(float)
+
+    def matched(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.rint(np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(y[::-1], n), n)[:size]).astype(np.int64)
+
+    of_p = matched(np.bincount(p, minlength=last_p + 1).astype(float), reach(q, last_q + tolerance + 1))
+    # reach() of the mirrored positions, mirrored back, marks what lies before an anchor
+    before = reach(last_p - p, last_p + tolerance + 1)[::-1]
+    of_q = matched(before, np.bincount(q, minlength=last_q + 1).astype(float))
+    return np.diff(np.minimum(of_p, of_q), prepend=0, append=0)
+
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], tolerance: int = TOLERANCE) -> float:
     """0 (nothing in common) to 1 (equal); two empty fingerprints are alike."""
-    if not len(a[0]) or not len(b[0]):
-        return float(len(a[0]) == len(b[0]))
-    union = np.union1d(a[0], b[0])[:limit]
-    both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    inside = both <= union[-1]
-    if not inside.any():
+    (ha, p), (hb, q) = a, b
+    if not len(ha) or not len(hb):
+        return float(len(ha) == len(hb))
+    if np.array_equal(ha, hb) and np.array_equal(p, q):
+        return 1.0
+    (ua, sa, ca), (ub, sb, cb) = _groups(ha), _groups(hb)
+    at = np.minimum(np.searchsorted(ub, ua), len(ub) - 1)
+    both = ub[at] == ua
+    if not both.any():
         return 0.0
-    shift = np.sort((a[1][i] - b[1][j])[inside])
-    m = int((np.searchsorted(shift, shift + tolerance, side="right") - np.arange(len(shift))).max())
-    jaccard = m / len(union)
-    return 2 * jaccard / (1 + jaccard)
+    sa, ca, sb, cb = sa[both], ca[both], sb[at[both]], cb[at[both]]
+    last_p, last_q = int(p.max()), int(q.max())
+    lo, size = -last_q - tolerance, last_p + last_q + tolerance + 1  # first start of a window, number of starts
+    once = (ca == 1) & (cb == 1)
+    d = p[sa[once]] - q[sb[once]] - lo
+    steps = np.bincount(d - tolerance, minlength=size + 1) - np.bincount(d + 1, minlength=size + 1)
+    times = ca * cb
+    many = times > size
+    for i in np.flatnonzero(many):
+        steps += _steps_by_correlation(p[sa[i] : sa[i] + ca[i]], q[sb[i] : sb[i] + cb[i]], last_p, last_q, size, tolerance)
+    few = np.flatnonzero(~once & ~many)
+    if len(few):
+        for some in np.split(few, np.flatnonzero(np.diff(np.cumsum(times[few]) // _PAIRS)) + 1):
+            steps += _steps_by_pairs(p, q, sa[some], ca[some], sb[some], cb[some], lo, size, tolerance)
+    return 2 * int(np.cumsum(steps).max()) / (len(ha) + len(hb))
 
 
 def _code_point_ends(raw: bytes) -> np.ndarray:
@@ -130,6 +205,7 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         held = None  # the row that waits for its successor
+        size = 0
         out: list[list] = [[] for _ in range(7)]
 
         def flush():
@@ -151,9 +227,11 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     row = (one, len(_code_point_ends(before)) - 1, hashlib.sha256(text).hexdigest(), encode(print_), encode(other), likeness(print_, other), likeness(print_, own))
                     for c, v in zip(out, row, strict=True):
                         c.append(v)
+                    size += len(row[3]) + len(row[4])
+                    if size > _OUT_BYTES or len(out[0]) >= 1000:
+                        yield flush()
+                        size = 0
                 held = None if tail[i].as_py() else (p, ids[i].as_py(), raw, own)
-            if len(out[0]) >= 200:
-                yield flush()
         if out[0]:
             yield flush()
 
@@ -167,8 +245,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in batches:
-            prints = [encode(anchors(np.frombuffer((t.as_py() or "").encode(), np.uint8))) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.string())], ["id", "fingerprint"])
+            first, prints, size = 0, [], 0
+            for i, t in enumerate(batch.column(1), 1):
+                prints.append(encode(anchors(np.frombuffer((t.as_py() or "").encode(), np.uint8))))
+                size += len(prints[-1])
+                if size > _OUT_BYTES or i == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i - first), pa.array(prints, pa.string())], ["id", "fingerprint"])
+                    first, prints, size = i, [], 0
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, fingerprint string").withColumnRenamed("id", id_col)

@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quillon.llm import decontaminate, fingerprint, graph, language, line_dedup, near_dedup, packing, quality, tokens, toxicity, warc
@@ -186,6 +187,48 @@ def test_fingerprints(spark):
     assert rows[3].fingerprint == rows[4].fingerprint
 
 
+def test_likeness_counts_every_anchor(monkeypatch):
+    rng = random.Random(11)
+
+    def print_of(text):
+        return fingerprint.anchors(np.frombuffer(text.encode(), np.uint8))
+
+    def brute(a, b, reach=fingerprint.TOLERANCE):
+        at = [{}, {}]
+        for own, (h, p) in zip(at, (a, b), strict=True):
+            for x, y in zip(h.tolist(), p.tolist(), strict=True):
+                own.setdefault(x, []).append(y)
+        pairs = {h: [(x, y) for x in at[0][h] for y in at[1][h]] for h in at[0].keys() & at[1].keys()}
+        best = 0
+        for d in {x - y - o for both in pairs.values() for x, y in both for o in (0, reach)}:
+            near = [[(x, y) for x, y in both if d <= x - y <= d + reach] for both in pairs.values()]
+            best = max(best, sum(min(len({x for x, _ in m}), len({y for _, y in m})) for m in near))
+        return 2 * best / (len(a[0]) + len(b[0]))
+
+    # repeated anchors by pairs and by correlation
+    def correlated(p, q, sa, ca, sb, cb, lo, size, tolerance):
+        one = [fingerprint._steps_by_correlation(p[s : s + c], q[t : t + d], int(p.max()), int(q.max()), size, tolerance) for s, c, t, d in zip(sa, ca, sb, cb, strict=True)]
+        return sum(one)
+
+    cases = []
+    for k in range(40):
+        vocab = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range((1, 2, 4, 20)[k % 4])]
+        one, two = (" ".join(rng.choice(vocab) for _ in range(60)) for _ in range(2))
+        a, b = print_of(one), print_of(one[: len(one) // 2] + two if k % 8 < 4 else two)
+        cases.append((a, b, brute(a, b)))
+    assert any(len(set(a[0].tolist())) < len(a[0]) for a, _, _ in cases)
+    assert all(fingerprint.likeness(a, b) == pytest.approx(w, abs=1e-12) for a, b, w in cases)
+    monkeypatch.setattr(fingerprint, "_steps_by_pairs", correlated)
+    assert all(fingerprint.likeness(a, b) == pytest.approx(w, abs=1e-12) for a, b, w in cases)
+    # a short passage that two long texts share is seen, and their whole fingerprints are stored
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 9))) for _ in range(20_000)]
+    for _ in range(10):
+        passage = [rng.choice(vocab) for _ in range(60)]
+        a, b = (print_of(" ".join([rng.choice(vocab) for _ in range(n)] + passage + [rng.choice(vocab) for _ in range(1500)])) for n in (1500, 1800))
+        assert fingerprint.likeness(a, b) > 0
+        assert len(a[0]) > 2000 and all((x == y).all() for x, y in zip(fingerprint.decode(fingerprint.encode(a)), a, strict=True))
+
+
 def test_language_toxicity_and_quality(spark):
     rng = random.Random(8)
     de, en = ["der", "die", "nicht", "schön", "straße", "haus"], ["the", "of", "with", "house", "thing", "these"]
