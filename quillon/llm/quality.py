@@ -6,7 +6,7 @@ document's weight is the log ratio of its probabilities under them; adding
 Gumbel noise and taking the top k samples k documents without replacement in
 proportion to their weights.  Noise is a function of id and seed.
 
-The raw counts cover every document; each task adds them up in one array of
+The counts cover every target document and every document; each task adds them up in one array of
 ``BUCKETS`` counters.  Top-k needs neither a sort nor a gather: the k-th key is
 found by histograms over ever narrower ranges, with ties broken by id.
 """
@@ -19,17 +19,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import _kernels as K
-from quillon.llm._spark import arrow_map, cut
+from quillon.llm._spark import arrow_map, broadcast_if_small, cut
 from quillon.llm.features import ngrams
 
-BUCKET_BITS, MAX_TARGET, SHARE = 14, 20_000, 0.25
+BUCKET_BITS, SHARE = 14, 0.25
 _BINS = 1024
 
 
 def bucket_counts(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """N-gram counts by bucket of the target documents and of all documents; target_ids is a bounded table."""
+    """N-gram counts by bucket of the target documents and of all documents, each of them counted."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    marked = rows.join(F.broadcast(target_ids.select(F.col(id_col).cast("long").alias("t")).where("t is not null").distinct()), F.col("id") == F.col("t"), "left")
+    aims = cut(target_ids.select(F.col(id_col).cast("long").alias("t")).where("t is not null").distinct())
+    # rows without an id match nothing and stay out of the join, which may be a shuffle
+    marked = rows.where("id is not null").join(broadcast_if_small(aims), F.col("id") == F.col("t"), "left").select("text", "t")
+    marked = marked.union(rows.where("id is null").select("text", F.lit(None).cast("long").alias("t")))
     n = 1 << BUCKET_BITS
 
     def run(batches):

@@ -67,11 +67,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = load(spark, sf_dir, "labels").where("quality = 1")
-    n = labels.count()
-    # a bounded sample of the target: about MAX_TARGET ids
-    some = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < int(min(1, quality.MAX_TARGET / max(1, n)) * (1 << 24)))
-    return quality.resample(load(spark, sf_dir, "documents"), some.select("doc_id"))
+    return quality.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from quillon.llm import decontaminate, fingerprint, graph, language, line_dedup, near_dedup, packing, quality, tokens, toxicity, warc
+from quillon.llm import _spark, decontaminate, fingerprint, graph, language, line_dedup, near_dedup, packing, quality, queries, tokens, toxicity, warc
 from quillon.llm._spark import scratch
 from quillon.llm.queries import tokenizer_path
 
@@ -250,6 +250,23 @@ def test_language_toxicity_and_quality(spark):
     assert {r.gumbel_key for r in picked} == set(keys[:100])
 
 
+def test_quality_counts_every_target(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(4))) for i in range(30_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    # where every document is a target, both models are equal
+    assert queries.op10_importance_resampling(spark, str(tmp_path)).selectExpr("max(abs(log_weight))").first()[0] < 1e-9
+    docs = spark.createDataFrame([*rows[:500], (None, "w1 w2"), (3, "w7")], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 500, 3)] + [(3,), (None,), (9999,)], "doc_id long")
+    few = quality.bucket_counts(docs, ids, "doc_id", "text")
+    assert (few[1].sum(), few[0].sum()) == (502 * 7 - 4 - 6, 168 * 7 - 6)  # 4 words and 3 pairs a text
+    monkeypatch.setattr(_spark, "BROADCAST_ROWS", 0)
+    many = quality.bucket_counts(docs, ids, "doc_id", "text")
+    assert (few[0] == many[0]).all() and (few[1] == many[1]).all()
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert near_dedup.near_duplicates(none).count() == 0
