@@ -9,10 +9,12 @@ the non-negative risk of Kiryo et al. (2017):
 so unlabelled texts count as negative less the share of positives among them,
 and a negative part that falls below zero is pushed back up rather than fitted.
 
-Fitting uses a sample of about ``max_pos`` positive and ``max_unl`` unlabelled
-documents (whole texts).  Feature counts are aggregated on the executors; the
-``max_features`` with the highest likelihood ratio are used, so the driver gets
-a matrix of bounded size.  Scoring is a scan without a shuffle.
+Feature counts cover every labelled positive and every document; they are
+aggregated on the executors in a table of ``2^BITS`` rows at most, and the
+``max_features`` with the highest likelihood ratio are used.  Only the gradient
+steps use a sample, of about ``max_pos`` positive and ``max_unl`` unlabelled
+documents (whole texts), so the driver gets a matrix of bounded size.  Scoring
+is a scan without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import _kernels as K
-from quillon.llm._spark import arrow_map, cut
+from quillon.llm._spark import arrow_map, broadcast_if_small, cut, small_batches
 from quillon.llm.features import distinct, ngrams
 
 MAX_POS, MAX_UNL, MAX_FEATURES, BITS = 4_000, 8_000, 1_024, 20
@@ -98,30 +100,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def about(n: int, most: int, salt: int):
         return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 24)) < int(min(1, most / n) * (1 << 24))
 
+    toxic = cut(marks.where("y = 1").select("id").distinct().withColumn("y", F.lit(1)))
     # about max_pos ids: a bounded broadcast
-    chosen = marks.where("y = 1").where(about(n_pos, max_pos, 1)).select("id").distinct().withColumn("y", F.lit(1))
+    chosen = toxic.where(about(n_pos, max_pos, 1))
     sample = rows.join(F.broadcast(chosen), "id").select("id", "text", "y").union(rows.where(about(n_docs, max_unl, 2)).select("id", "text", F.lit(0).alias("y")))
 
     def count(batches):
-        total: dict[int, dict[int, int]] = {0: {}, 1: {}}
+        # positives, all documents; unlabelled are all, as in the risk
+        total = np.zeros((2, 1 << BITS), np.int64)
         n = [0, 0]
         for batch in batches:
-            y = batch.column(1).to_numpy()
+            y = batch.column(1).to_numpy(zero_copy_only=False)
             for lo, hi, data, offs in K.chunks(batch.column(0)):
                 f, d = distinct(*ngrams(data, offs, bits=BITS), bits=BITS)
-                for k in (0, 1):
-                    one, c = np.unique(f[y[lo:hi][d] == k], return_counts=True)
-                    own = total[k]
-                    for a, b in zip(one.tolist(), c.tolist(), strict=True):
-                        own[a] = own.get(a, 0) + b
-                    n[k] += int((y[lo:hi] == k).sum())
-        for k in (0, 1):
-            keys = [-1, *total[k]]
-            zero = [0] * len(keys)
-            c = [n[k], *total[k].values()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(c if k else zero, pa.int64()), pa.array(zero if k else c, pa.int64())], ["f", "p", "u"])
-
-    counts = cut(sample.select("text", "y").mapInArrow(count, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")))
+                np.add.at(total[0], f[y[lo:hi][d]], 1)
+                np.add.at(total[1], f, 1)
+                n[0] += int(y[lo:hi].sum())
+                n[1] += hi - lo
+        if n[1]:
+            some = np.flatnonzero(total[1])
+            # pieces, as a task may hold every feature
+            for at in np.array_split(some, len(some) // 200_000 + 1):
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], ["f", "p", "u"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array(n[:1], pa.int64()), pa.array(n[1:], pa.int64())], ["f", "p", "u"])
+
+    small_batches(docs.sparkSession)
+    marked = rows.join(broadcast_if_small(toxic), "id", "left").select("text", F.col("y").isNotNull().alias("y"))
+    counts = cut(marked.mapInArrow(count, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")))
     n_p, n_u = counts.where("f = -1").select("p", "u").first() or (0, 0)
     if not n_p or not n_u:
         return ToxicModel(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))), prior)
@@ -145,6 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         x[i, row.f] = 1
     positive = np.array([row.y == 1 for row in got])
     del got
+    if not positive.any() or positive.all():
+        return ToxicModel(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))), prior)
     x = x[np.argsort(~positive, kind="stable")]
     weights, bias = fit_nnpu(x, int(positive.sum()), prior)
     return ToxicModel(features, weights, bias, prior)

@@ -11,6 +11,7 @@ import pytest
 
 from quillon.llm import _spark, decontaminate, fingerprint, graph, language, line_dedup, near_dedup, packing, quality, queries, tokens, toxicity, warc
 from quillon.llm._spark import scratch
+from quillon.llm.features import ngrams
 from quillon.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, bucket string, _id string"
@@ -250,6 +251,20 @@ def test_language_toxicity_and_quality(spark):
     assert {r.gumbel_key for r in picked} == set(keys[:100])
 
 
+def test_toxicity_counts_features_of_every_document(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["the", "of", "house", "thing", "green"]) for _ in range(12)) + (" scum" if i % 10 == 0 else "") + (" zork" if i % 150 == 0 else "")) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(2000)], "doc_id long, toxic int")
+    raw = np.frombuffer(b"zork", np.uint8)
+    rare = int(ngrams(raw, np.array([0, 4]), (1,), toxicity.BITS)[0][0])
+    # 14 texts have the word, of which a sample of this size holds one or two
+    one = toxicity.train(docs, labels, max_pos=20, max_unl=40)
+    assert rare in one.features.tolist()
+    monkeypatch.setattr(_spark, "BROADCAST_ROWS", 0)
+    assert (toxicity.train(docs, labels, max_pos=20, max_unl=40).features == one.features).all()
+
+
 def test_quality_counts_every_target(spark, tmp_path, monkeypatch):
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(3000)]
