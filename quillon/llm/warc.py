@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 from quillon.llm._spark import arrow_map, cut
 
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
-#: Revisit tables up to so many rows are broadcast (24 bytes each); larger ones are joined by shuffle.
+#: Revisit tables up to so many rows are broadcast (36 bytes each); larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Candidates of unfinished length that a task follows at a time; the others are left to the second scan.
 FOLLOWED = 64
@@ -44,16 +44,16 @@ def digest(payload: bytes) -> str:
 
 
 def plan_revisits(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int = 0) -> DataFrame:
-    """(id, refers_to) of every page that repeats the payload of one with a smaller id."""
+    """(id, sha1, refers_to) of every page that repeats the payload of one with a smaller id."""
 
     def run(batch: pa.RecordBatch):
         raw = [(x.as_py() or "").encode() for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(x) for x in raw], pa.string()), pa.array([len(x) for x in raw], pa.int64())], ["id", "digest", "n"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha1(x).digest() for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64())], ["id", "sha1", "n"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(payload_col).cast("string").alias("payload")).where("id is not null")
-    known = cut(arrow_map(rows, run, "id long, digest string, n long").where(F.col("n") >= min_bytes))
-    first = known.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count("*").alias("times")).where("times > 1").select("digest", "refers_to")
-    return known.join(first, "digest").where("id > refers_to").select("id", "refers_to").distinct()
+    known = cut(arrow_map(rows, run, "id long, sha1 binary, n long").where(F.col("n") >= min_bytes))
+    first = known.groupBy("sha1").agg(F.min("id").alias("refers_to"), F.count("*").alias("times")).where("times > 1").select("sha1", "refers_to")
+    return known.join(first, "sha1").where("id > refers_to").select("id", "sha1", "refers_to").distinct()
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
@@ -82,10 +82,12 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     revisit it.  A null payload counts as empty, a null url too; rows with a null id are responses without an id;
     rows that repeat an id are written each.
     """
-    revisits = cut(plan_revisits(pages, id_col, payload_col, min_bytes).select(F.col("id").alias("r"), "refers_to"))
+    revisits = cut(plan_revisits(pages, id_col, payload_col, min_bytes).select(F.col("id").alias("r"), F.col("sha1").alias("s"), "refers_to"))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("payload"))
     few = revisits.count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(revisits) if few else revisits, F.col("id") == F.col("r"), "left").select("id", "url", "payload", "refers_to")
+    # an id may repeat with another payload, which is not a revisit
+    same = (F.col("id") == F.col("r")) & (F.unhex(F.sha1(F.coalesce("payload", F.lit("")).cast("binary"))) == F.col("s"))
+    rows = rows.join(F.broadcast(revisits) if few else revisits, same, "left").select("id", "url", "payload", "refers_to")
 
     def run(batch: pa.RecordBatch):
         out, size = [], 0

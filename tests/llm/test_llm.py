@@ -173,6 +173,23 @@ def test_warc_round_trip_with_magic_in_payloads(spark, split):
         assert (r.full, r.digest, r.type, r.refers_to, r.ok) == (len(raw), sha, "response" if ref == i else "revisit", None if ref == i else f"urn:page:{ref}", True)
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_warc_repeated_ids(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast)
+    pages = [(1, "a"), (2, "b"), (3, "a"), (3, "b"), (3, "own"), (3, "own"), (4, None), (5, ""), (5, "own"), (None, "a")]
+    path = scratch(spark, "t")
+    warc.write_warc(spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id long, url string, html string"), path)
+    first = {}
+    for i, h in pages:
+        if i is not None:
+            first[h or ""] = min(i, first.get(h or "", i))
+    want = []
+    for i, h in pages:
+        ref = None if i is None or first[h or ""] == i else f"urn:page:{first[h or '']}"
+        want.append((f"urn:page:{'' if i is None else i}", warc.digest((h or "").encode()), "revisit" if ref else "response", ref or ""))
+    assert sorted((r.record_id, r.digest, r.type, r.refers_to or "") for r in warc.read_warc(spark, path).collect()) == sorted(want)
+
+
 def test_fingerprints(spark):
     ts = texts(4)
     rows = {r.doc_id: r for r in fingerprint.edit_likeness(frame(spark, ts), parts=4).collect()}
