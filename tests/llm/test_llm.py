@@ -268,6 +268,12 @@ def test_language_toxicity_and_quality(spark):
     assert {r.gumbel_key for r in picked} == set(keys[:100])
 
 
+def test_language_learns_from_more_than_a_few_thousand_documents(spark):
+    words = ["".join(w) for w in itertools.islice(itertools.product("abcdefghijklmnopqrst", repeat=4), 6000)]
+    rows = spark.createDataFrame([(i, w, "en") for i, w in enumerate(words)], "doc_id long, text string, lang string")
+    assert set(language.train(rows).words) == set(words)
+
+
 def test_toxicity_counts_features_of_every_document(spark, monkeypatch):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["the", "of", "house", "thing", "green"]) for _ in range(12)) + (" scum" if i % 10 == 0 else "") + (" zork" if i % 150 == 0 else "")) for i in range(2000)]
