@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) one is made below the working folder's temporary place.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a
+    local session gets one below /tmp; on a cluster that is an error, since a
+    folder of one machine is not shared.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = f"file:///tmp/quillon-shared-{os.getpid()}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(own)
@@ -90,5 +93,19 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
+def free_name(name: str, *taken: DataFrame) -> str:
+    """name, with underscores added until no column of the tables is called that in any case."""
+    used = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of docs, with their columns, whose id is not among ids (its only column); rows with a null id stay."""
+    name = free_name("gone", docs)
+    return docs.join(ids.toDF(name).distinct(), F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -9,12 +9,13 @@ the non-negative risk of Kiryo et al. (2017):
 so unlabelled texts count as negative less the share of positives among them,
 and a negative part that falls below zero is pushed back up rather than fitted.
 
-Feature counts cover every labelled positive and every document; they are
-aggregated on the executors in a table of ``2^BITS`` rows at most, and the
-``max_features`` with the highest likelihood ratio are used.  Only the gradient
-steps use a sample, of about ``max_pos`` positive and ``max_unl`` unlabelled
-documents (whole texts), so the driver gets a matrix of bounded size.  Scoring
-is a scan without a shuffle.
+Everything covers all rows: feature counts, and both means of the risk.  The
+counts are aggregated on the executors in a table of ``2^BITS`` rows at most.
+Features are those that confirmed texts have more often than all texts, with a
+likelihood ratio above what the best of as many useless features would reach.
+Every document is then kept as the numbers of its features, in blocks in the
+shared folder, and each of the ``STEPS`` gradient steps is one pass over these
+blocks that adds up one row a feature.  Scoring is a scan without a shuffle.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import _kernels as K
-from quillon.llm._spark import arrow_map, broadcast_if_small, cut, small_batches
+from quillon.llm._spark import arrow_map, broadcast_if_small, cut, small_batches, stash
 from quillon.llm.features import distinct, ngrams
 
-MAX_POS, MAX_UNL, MAX_FEATURES, BITS = 4_000, 8_000, 1_024, 20
+BITS, STEPS, RATE, L2 = 20, 60, 0.3, 1e-5
+#: Bytes of blocks that a task of a gradient step reads, about.
+_TASK_BYTES = 32 << 20
 
 
 @dataclass
@@ -46,29 +49,44 @@ class ToxicModel:
         return out
 
 
-def fit_nnpu(x: np.ndarray, n_positive: int, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias; x: (rows, features) of 0/1; the first n_positive rows are confirmed, all others unlabelled."""
-    p, u = x[:n_positive], x[n_positive:]
-    w = np.zeros(x.shape[1] + 1, np.float32)
-    w[-1] = np.log(prior / (1 - prior))
-    m, v = np.zeros_like(w), np.zeros_like(w)
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def sigmoid(z: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def pull(rows: np.ndarray, slope: np.ndarray) -> np.ndarray:
-        return np.append(slope @ rows, slope.sum()) / max(1, len(rows))
+def slopes(ends: np.ndarray, cols: np.ndarray, positive: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positives, all documents): sums of the sigmoid by feature, of the sigmoid, and of log(1 + e^g), of one block.
 
+    ends: number of entries of cols up to and including each document; weights: of the features and the bias.
+    """
+    k = len(weights) - 1
+    sums = np.concatenate(([0.0], np.cumsum(weights[cols])))
+    g = np.diff(sums[np.concatenate(([0], ends))]) + weights[-1]
+    s, loss = sigmoid(g), np.logaddexp(0, g)
+    n = np.diff(ends, prepend=0)
+    out = np.zeros((2, k + 2))
+    for i, own in enumerate((s * positive, s)):
+        out[i, :k] = np.bincount(cols, np.repeat(own, n), k)
+        out[i, k] = own.sum()
+    out[0, k + 1], out[1, k + 1] = loss[positive].sum(), loss.sum()
+    return out[0], out[1]
+
+
+def fit_nnpu(risk, present: np.ndarray, n_p: int, n_u: int, prior: float, steps: int = STEPS, rate: float = RATE, l2: float = L2) -> tuple[np.ndarray, float]:
+    """Weights and bias.  risk(weights): the sums of ``slopes`` over all documents; present: positives that have each feature."""
+    w = np.zeros(len(present) + 1)
+    w[-1] = np.log(prior / (1 - prior))
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    ones = np.append(present, n_p) / n_p
     for step in range(1, steps + 1):
-        gp, gu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        up = prior * pull(p, sigmoid(gp) - 1)
-        down = pull(u, sigmoid(gu)) - prior * pull(p, sigmoid(gp))
-        grad = up + down if negative >= 0 else -down
+        p, u = risk(w)
+        p, u = p / n_p, u / n_u
+        negative = u[-1] - prior * p[-1]
+        down = u[:-1] - prior * p[:-1]
+        grad = prior * (p[:-1] - ones) + down if negative >= 0 else -down
         grad[:-1] += l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return w[:-1].astype(np.float64), float(w[-1])
+    return w[:-1], float(w[-1])
 
 
 def _likelihood_ratio(n_p: int, n_u: int) -> Column:
@@ -83,27 +101,25 @@ def _likelihood_ratio(n_p: int, n_u: int) -> Column:
     return 2 * (part(p, n_p, p / n_p) + part(u, n_u, u / n_u) - part(p, n_p, both) - part(u, n_u, both))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", prior: float | None = None, max_pos: int = MAX_POS, max_unl: int = MAX_UNL, max_features: int = MAX_FEATURES) -> ToxicModel:
-    """Learn from rows of labels that are 1 and from texts of docs.  Null ids, labels and texts teach nothing.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", prior: float | None = None, min_ratio: float | None = None, steps: int = STEPS) -> ToxicModel:
+    """Learn from rows of labels that are 1 and from all texts of docs.  Null ids, labels and texts teach nothing.
 
-    prior: share of toxic documents; by default that of the given labels, which must then be a fair sample of docs.  Without a positive row the model
-    gives every text the prior, or 0.01.
+    prior: share of toxic documents; by default that of the given labels, which must then be a fair sample of docs.
+    min_ratio: least likelihood ratio of a feature; by default 2 ln(features that positives have); 0 takes all that
+    speak for toxicity.  Without a positive row the model gives every text the prior, or 0.01.  Rows that repeat an id
+    count each; a document is positive if any of its labels is 1.
     """
+    spark = docs.sparkSession
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     n_pos, n_all = marks.agg(F.coalesce(F.sum((F.col("y") == 1).cast("long")), F.lit(0)), F.count("*")).first()
     prior = min(0.9, max(1e-3, prior if prior is not None else n_pos / n_all if n_all else 0.01))
+    nothing = ToxicModel(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))), prior)
+    if not n_pos:
+        return nothing
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    n_docs = rows.select("id").count()
-    if not n_pos or not n_docs:
-        return ToxicModel(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))), prior)
-
-    def about(n: int, most: int, salt: int):
-        return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 24)) < int(min(1, most / n) * (1 << 24))
-
     toxic = cut(marks.where("y = 1").select("id").distinct().withColumn("y", F.lit(1)))
-    # about max_pos ids: a bounded broadcast
-    chosen = toxic.where(about(n_pos, max_pos, 1))
-    sample = rows.join(F.broadcast(chosen), "id").select("id", "text", "y").union(rows.where(about(n_docs, max_unl, 2)).select("id", "text", F.lit(0).alias("y")))
+    marked = rows.join(broadcast_if_small(toxic), "id", "left").select("text", F.col("y").isNotNull().alias("y"))
+    small_batches(spark)
 
     def count(batches):
         # positives, all documents; unlabelled are all, as in the risk
@@ -113,47 +129,60 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             y = batch.column(1).to_numpy(zero_copy_only=False)
             for lo, hi, data, offs in K.chunks(batch.column(0)):
                 f, d = distinct(*ngrams(data, offs, bits=BITS), bits=BITS)
-                np.add.at(total[0], f[y[lo:hi][d]], 1)
-                np.add.at(total[1], f, 1)
+                total[0] += np.bincount(f[y[lo:hi][d]], minlength=1 << BITS)
+                total[1] += np.bincount(f, minlength=1 << BITS)
                 n[0] += int(y[lo:hi].sum())
                 n[1] += hi - lo
         if n[1]:
+            # features that positives of this task do not have matter only if other tasks' do, so all are sent
             some = np.flatnonzero(total[1])
             # pieces, as a task may hold every feature
             for at in np.array_split(some, len(some) // 200_000 + 1):
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], ["f", "p", "u"])
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array(n[:1], pa.int64()), pa.array(n[1:], pa.int64())], ["f", "p", "u"])
 
-    small_batches(docs.sparkSession)
-    marked = rows.join(broadcast_if_small(toxic), "id", "left").select("text", F.col("y").isNotNull().alias("y"))
     counts = cut(marked.mapInArrow(count, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")))
     n_p, n_u = counts.where("f = -1").select("p", "u").first() or (0, 0)
-    if not n_p or not n_u:
-        return ToxicModel(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))), prior)
-    ranked = counts.where(F.col("f") >= 0).select("f", _likelihood_ratio(n_p, n_u).alias("ratio")).where("ratio > 12")
-    features = np.sort(np.array([r.f for r in ranked.orderBy(F.desc("ratio"), "f").limit(max_features).collect()], np.int64))
-    where = np.full(1 << BITS, -1, np.int16)
+    if not n_p:
+        return nothing
+    held = counts.where("f >= 0 and p > 0")
+    least = 2 * float(np.log(max(1, held.count()))) if min_ratio is None else min_ratio
+    ranked = held.where(F.col("p") * n_u > F.col("u") * n_p).where(_likelihood_ratio(n_p, n_u) > least)
+    got = ranked.select("f", "p").toPandas().sort_values("f")  # 2^BITS rows at most
+    features, present = got["f"].to_numpy(np.int64), got["p"].to_numpy(np.float64)
+    where = np.full(1 << BITS, -1, np.int32)
     where[features] = np.arange(len(features))
-    sent = docs.sparkSession.sparkContext.broadcast(where)
+    sent = spark.sparkContext.broadcast(where)
 
     def pick(batch: pa.RecordBatch):
         for lo, hi, data, offs in K.chunks(batch.column(0)):
             f, d = distinct(*ngrams(data, offs, bits=BITS), bits=BITS)
-            col = sent.value[f].astype(np.int64)
-            d, col = d[col >= 0], col[col >= 0]
-            ends = np.searchsorted(d, np.arange(hi - lo + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(col, pa.int64()))], ["y", "f"])
-
-    got = arrow_map(sample.select("text", "y"), pick, "y int, f array<long>").collect()  # about max_pos + max_unl rows of few numbers
-    x = np.zeros((len(got), len(features)), np.float32)
-    for i, row in enumerate(got):
-        x[i, row.f] = 1
-    positive = np.array([row.y == 1 for row in got])
-    del got
-    if not positive.any() or positive.all():
-        return ToxicModel(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))), prior)
-    x = x[np.argsort(~positive, kind="stable")]
-    weights, bias = fit_nnpu(x, int(positive.sum()), prior)
+            col = sent.value[f]
+            ends = np.searchsorted(d[col >= 0], np.arange(1, hi - lo + 1)).astype(np.int32)
+            yes = batch.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ends, col[col >= 0], yes)], ["ends", "cols", "y"])
+
+    blocks = stash(arrow_map(marked, pick, "ends binary, cols binary, y binary"), "toxic-features")
+    size = blocks.agg(F.coalesce(F.sum(F.octet_length("cols") + F.octet_length("ends")), F.lit(0))).first()[0]
+    blocks = blocks.coalesce(max(1, -(-size // _TASK_BYTES)))
+
+    def risk(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches):
+            total = np.zeros((2, len(weights) + 1))
+            for batch in batches:
+                for ends, cols, y in zip(*batch.columns, strict=True):
+                    raw = [np.frombuffer(x.as_buffer(), t) for x, t in ((ends, np.int32), (cols, np.int32), (y, bool))]
+                    total += slopes(*raw, weights)
+            at = np.arange(total.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0]), pa.array(total[1])], ["i", "p", "u"])
+
+        # a row a feature
+        sums = blocks.mapInArrow(run, "i long, p double, u double").groupBy("i").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toPandas()
+        out = np.zeros((2, len(weights) + 1))
+        out[0, sums["i"]], out[1, sums["i"]] = sums["p"], sums["u"]
+        return out[0], out[1]
+
+    weights, bias = fit_nnpu(risk, present, n_p, n_u, prior, steps)
     return ToxicModel(features, weights, bias, prior)
 
 
@@ -161,7 +190,7 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
     """id and score (0 to 1) of every row, from the whole text.
 
     Defined cases: a null or empty text has no features and gets the score of the bias; repeated rows are each
-    answered; null ids are kept; other columns are not read.
+    answered; null ids are kept; an empty table gives an empty table; other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.table(), model.bias))
 
@@ -172,7 +201,7 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
             some = table[f] != 0
             f, d = distinct(f[some], d[some], bits=BITS)
             z = np.bincount(d, weights=table[f], minlength=hi - lo) + bias
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sigmoid(z))], ["id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return arrow_map(rows, run, "id long, score double").withColumnRenamed("id", id_col)
