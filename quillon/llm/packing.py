@@ -2,24 +2,29 @@
 
 A document's tokens (plus an end token) become pieces: what fits a sequence is
 one piece; longer documents are cut into full sequences, a shorter piece
-first.  Full pieces fill a sequence of their own.  Every other piece goes
-where the sum over gaps of (open bins with that gap)^2 becomes smallest
-(Csirik et al., 2006), largest pieces first; a new bin is opened only if no
-open one fits, and ties go to the tightest gap.  Measured on 6,000 of the test
-documents: 2,710 sequences, as best-fit decreasing and 2 over the sum of
-lengths; with the rule free to open bins early 2,755, in arrival order 2,844.
+first.  Full pieces fill a sequence of their own.  Every other piece goes, the
+largest first, where the sum over gaps of (open bins with that gap)^2 becomes
+smallest (Csirik et al., 2006): into an open bin of some gap, ties to the
+tightest, or into a new bin if that gives a smaller sum.
+
+The rule opens bins that later pieces would fill; at the end of a finite list
+some never do.  Pieces of bins that are not full are therefore packed again:
+with those of other groups first, and in the last round by the same rule but
+with a new bin only if no open one fits.
 
 Pieces are dealt by a hash to groups of about ``GROUP`` rows, each packed on
-its own with one counter per gap.  Bins that a group leaves open are then
-items of the next level, packed again in the same way, until one group is left
-or a level no longer brings the number of bins down.  No task sees more than
-about GROUP rows, so neither a hot length nor the corpus size matters.
+its own with one counter per gap.  Bins that a group fills exactly are done;
+the pieces of the others (about a twelfth) are dealt to new groups, until one
+group is left or a round no longer fills bins, where about one sequence a group is lost.  No task sees more than about
+GROUP rows, so neither a hot length nor the corpus size matters; ``group=None``
+packs everything as one group.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._spark import arrow_map, cut
+from quillon.llm._spark import arrow_map, cut, free_name
 from quillon.llm.tokens import load
 
 CAPACITY, END_ID, GROUP = 1024, 2, 20_000
@@ -57,8 +62,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     return arrow_map(rows, run, "id long, piece int, start long, length long, ids_crc32 long")
 
 
-def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bin, offset) of each size in the order given, and the fill of each bin."""
+def sum_of_squares(sizes: np.ndarray, capacity: int, early: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, offset) of each size in the order given, and the fill of each bin.
+
+    early: a new bin may be opened while an open one fits, if the sum of squares becomes smaller.
+    """
     open_by_gap: dict[int, list[int]] = defaultdict(list)
     count = np.zeros(capacity + 1, np.int64)  # of open bins by gap; count[0] stays 0: full bins are not open
     bins, offsets = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
@@ -68,13 +76,15 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
         gaps = s + np.flatnonzero(count[s:capacity])
         cost = 2 * (count[gaps - s] - count[gaps]) + 2
         cost[gaps == s] -= 1
-        if len(gaps):
-            g = int(gaps[cost.argmin()])
-            b = open_by_gap[g].pop()
-            count[g] -= 1
-        else:
+        best = int(cost.argmin()) if len(gaps) else -1
+        # a new bin of gap capacity - s changes it by 2 * count[capacity - s] + 1
+        if best < 0 or early and 2 * count[capacity - s] + 1 < cost[best]:
             b, g = len(fill), capacity
             fill.append(0)
+        else:
+            g = int(gaps[best])
+            b = open_by_gap[g].pop()
+            count[g] -= 1
         bins[i], offsets[i] = b, fill[b]
         fill[b] += s
         if g > s:
@@ -83,56 +93,58 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets, np.array(fill, np.int64)
 
 
-def _pack_level(items: DataFrame, groups: int, level: int, capacity: int) -> DataFrame:
-    """(item, size) -> (item, size, bin, shift, fill): where each item goes in its group's bins."""
+def pack_sizes(sizes: np.ndarray, capacity: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, offset, done) of sizes in descending order; done: its bin is full, or this round is the last."""
+    bins, offsets, fill = sum_of_squares(sizes, capacity)
+    done = fill[bins] == capacity if len(sizes) else np.zeros(0, bool)
+    if last and not done.all():
+        again, at, _ = sum_of_squares(sizes[~done], capacity, early=False)
+        bins[~done], offsets[~done], done = len(fill) + again, at, np.ones(len(sizes), bool)
+    return bins, offsets, done
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+
+def _pack_level(items: DataFrame, groups: int, level: int, capacity: int, last: bool) -> DataFrame:
+    """(item, size) -> (item, size, bin, shift, done): where each item goes in its group's bins."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "item"], ascending=[False, True], kind="stable")
-        bins, offsets, fill = sum_of_squares(pdf["size"].to_numpy(), capacity)
+        bins, offsets, done = pack_sizes(pdf["size"].to_numpy(), capacity, last)
         base = (np.int64(level) << 56) + (np.int64(key[0]) << 24)
-        return pd.DataFrame({"item": pdf["item"], "size": pdf["size"], "bin": base + bins, "shift": offsets, "fill": fill[bins]})
+        return pd.DataFrame({"item": pdf["item"], "size": pdf["size"], "bin": base + bins, "shift": offsets, "done": done})
 
     dealt = items.withColumn("g", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(groups)))
-    return dealt.groupBy("g").applyInPandas(run, "item long, size long, bin long, shift long, fill long")
+    return dealt.groupBy("g").applyInPandas(run, "item long, size long, bin long, shift long, done boolean")
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, group: int | None = GROUP) -> DataFrame:
     """Rows with a ``length`` of 1 to capacity -> the same rows with sequence_id and offset.
 
     Offsets are gapless from 0 within a sequence.  Deterministic up to the order of rows that are equal in every column.
+    group: pieces of a task, about; None packs all of them in one.  Input columns called sequence_id or offset are left out.
     """
-    numbered = cut(parts.withColumn("_item", F.monotonically_increasing_id()))
-    short = numbered.where(F.col("length") < capacity)
-    n = short.count()
-    place, level = None, 1
-    items = short.select(F.col("_item").alias("item"), F.col("length").alias("size"))
-    done = []
+    kept = [c for c in parts.columns if c.lower() not in ("sequence_id", "offset")]
+    own = [free_name(c, parts) for c in ("item_", "bin_", "shift_")]
+    numbered = cut(parts.withColumn(own[0], F.monotonically_increasing_id()))
+    items = numbered.where(F.col("length") < capacity).select(F.col(own[0]).alias("item"), F.col("length").alias("size"))
+    n, level, placed = items.count(), 1, []
     while n:
-        groups = -(-n // group)
-        packed = cut(_pack_level(items, groups, level, capacity))
-        step = packed.select("item", F.col("bin").alias("to"), "shift")
-        if place is None:
-            place = packed.select(F.col("item").alias("_item"), "bin", F.col("shift").alias("offset"), "fill")
-        else:
-            moved = place.join(step, F.col("bin") == F.col("item"), "left")
-            place = moved.select("_item", F.coalesce("to", "bin").alias("bin"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"), "fill")
-            place = cut(place)
-        done.append(groups)
-        bins = packed.groupBy("bin").agg(F.first("fill").alias("size")).where(F.col("size") < capacity).withColumnRenamed("bin", "item")
-        left = bins.count() if groups > 1 else 0
-        if not left or left > 0.9 * n:
-            break
-        # only bins that are open are packed again; the others keep their place
-        items, n, level = cut(bins), left, level + 1
-    rows = numbered
-    if place is not None:
-        rows = rows.join(place.select("_item", "bin", "offset"), "_item", "left")
+        groups = 1 if group is None else -(-n // group)
+        packed = cut(_pack_level(items, groups, level, capacity, groups == 1))
+        left = packed.where("not done").count()
+        # sizes that fill no bins are not dealt again and again
+        if left > 0.5 * n:
+            packed, left = cut(_pack_level(items, groups, level, capacity, True)), 0
+        placed.append(packed.where("done").select("item", "bin", "shift"))
+        items, n, level = packed.where("not done").select("item", "size"), left, level + 1
+    place = reduce(DataFrame.union, placed) if placed else None
+    if place is None:
+        rows = numbered.withColumns({own[1]: F.lit(None).cast("long"), own[2]: F.lit(None).cast("long")})
     else:
-        rows = rows.withColumns({"bin": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
-    return rows.select(*[f"`{c}`" for c in parts.columns], F.coalesce("bin", "_item").alias("sequence_id"), F.coalesce("offset", F.lit(0).cast("long")).alias("offset"))
+        rows = numbered.join(place.toDF(*own), own[0], "left")
+    return rows.select(*[f"`{c}`" for c in kept], F.coalesce(own[1], own[0]).alias("sequence_id"), F.coalesce(own[2], F.lit(0).cast("long")).alias("offset"))
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", group: int | None = GROUP) -> DataFrame:
     """id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row of docs.
 
     Defined cases: null and empty texts are one piece, the end token; rows that repeat are packed each;
