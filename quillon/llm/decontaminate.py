@@ -1,21 +1,25 @@
 """Benchmark decontamination with suffix arrays over shards of the training text.
 
 Every task splits its documents into shards of whole documents and builds, per
-shard, a word-level suffix array.  Each suffix of each benchmark item is
-binary-searched in it, which gives its range of verbatim occurrences, the
-longest match and its places.  The array is *sparse*: it holds only positions
-whose word (for items of one word) or word pair occurs in the benchmark,
-looked up in a bit table; a false positive costs one entry, nothing is missed.
-Suffixes end with their document.  Comparisons are on 64-bit word hashes.
+shard, a word-level suffix array.  Each distinct suffix of the benchmark that
+has at least a window (the other suffixes cannot hold one) is binary-searched
+in it, which gives its range of verbatim occurrences; from these follow the
+words hit, the longest match and its places.  The array is *sparse*: it holds only
+positions whose word (for items of one word) or word pair occurs in the
+benchmark, looked up in a bit table; a false positive costs one entry, nothing
+is missed.  Suffixes end with their document.  Comparisons are on 64-bit word hashes.
 
 The benchmark reaches the tasks by broadcast in blocks of at most
-``block_bytes`` of text, a checked size: a larger benchmark makes more blocks,
-each searched against all rows, and the hits of a document are united.
+``block_bytes`` of text.  Longer items are cut into overlapping pieces, so the
+bound holds for every block.  A larger benchmark makes more blocks, and every
+shard is searched for all of them in the same scan of the documents; a task
+holds ``_HELD`` blocks at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,26 +28,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import _kernels as K
-from quillon.llm._spark import small_batches
+from quillon.llm._spark import arrow_map, cut, small_batches, without
 
-#: A block of 8 MB has about 1.5 million suffixes, each of 10 hashes: some 120 MB in a broadcast.
+#: A block of 8 MB has about 1.5 million suffixes: some 50 MB in a broadcast.
 WINDOW, BLOCK_BYTES, SHARD_BYTES = 10, 8 << 20, 4 << 20
-_BITS = 22
+_BITS, _HELD = 22, 4
+#: Matches that are extended at a time.
+_PAIRS = 1 << 18
 
 
 @dataclass
 class Queries:
-    """Benchmark suffixes as rows of word hashes, padded with 0 beyond each suffix's end."""
+    """The suffixes of a block of the benchmark; equal ones are one query."""
 
-    words: np.ndarray  # (n, depth)
+    words: np.ndarray  # hashes of all words, item after item
+    stop: np.ndarray  # end of the item that each word belongs to
+    start: np.ndarray  # its begin
+    item: np.ndarray  # its index in ids
+    at: np.ndarray  # a place of each query
     length: np.ndarray  # words that must match: the window, or a whole short item
-    item: np.ndarray  # index into items
-    place: np.ndarray  # first word within the item
-    whole: list[np.ndarray]  # all words of each item
-    items: list[str]
-    ids: list[int]
+    first: np.ndarray  # of each query in places, + total
+    places: np.ndarray  # all places of each query
+    ids: np.ndarray
+    skip: np.ndarray  # words of an item before the piece that ids stands for
     pairs: np.ndarray  # bit table of first word pairs
     singles: np.ndarray  # bit table of the words of one-word items
+    depth: int
+
+    def word(self, query: np.ndarray, j: int) -> np.ndarray:
+        return self.words[np.minimum(self.at[query] + j, len(self.words) - 1)]
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -54,8 +67,7 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * K._SEQ[0] + b) * K._SEQ[1]
 
 
-def prepare(ids: list[int], texts: list[str | None], window: int = WINDOW, depth: int | None = None) -> Queries:
-    depth = max(depth or window, window)
+def prepare(ids: list[int], texts: list[str | None], window: int = WINDOW, skip: list[int] | None = None) -> Queries:
     data = [(t or "").encode() for t in texts]
     offs = np.concatenate(([0], np.cumsum([len(x) for x in data]))).astype(np.int64)
     h, _, _, first = K.words(np.frombuffer(b"".join(data), np.uint8), offs, K.ALNUM_WORDS)
@@ -63,81 +75,94 @@ def prepare(ids: list[int], texts: list[str | None], window: int = WINDOW, depth
     need = np.minimum(window, n)
     count = np.where(n > 0, n - need + 1, 0)
     item = np.repeat(np.arange(len(ids)), count)
-    place = _expand(np.zeros(len(ids), np.int64), count)
-    at, stop, length = first[item] + place, first[item + 1], need[item]
-    words = np.zeros((len(item), depth), np.uint64)
-    for j in range(depth):
-        ok = at + j < stop
-        words[ok, j] = h[at[ok] + j]
-    whole = [h[first[i] : first[i + 1]] for i in range(len(ids))]
+    at, length = first[item] + _expand(np.zeros(len(ids), np.int64), count), need[item]
+    key = np.zeros(len(at), np.uint64)
+    for j in range(window):
+        ok = j < length
+        key[ok] += h[at[ok] + j] * K._SEQ[j]
+    key = K.mix(key + length.astype(np.uint64) * K._SEQ[61])
+    order = np.argsort(key, kind="stable")
+    new = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(order) else np.zeros(0, np.int64)
+    places = at[order]
+    one, size = places[new], length[order][new]
     pairs, singles = np.zeros(1 << _BITS, bool), np.zeros(1 << _BITS, bool)
-    many = length > 1
+    many = size > 1
     if many.any():
-        pairs[_slot(_pair(words[many, 0], words[many, 1]))] = True
+        pairs[_slot(_pair(h[one[many]], h[one[many] + 1]))] = True
     if (~many).any():
-        singles[_slot(words[~many, 0] * K._SEQ[2])] = True
-    return Queries(words, length, item, place, whole, [str(x) for x in ids], list(ids), pairs, singles)
+        singles[_slot(h[one[~many]] * K._SEQ[2])] = True
+    return Queries(h, np.repeat(first[1:], n), np.repeat(first[:-1], n), np.repeat(np.arange(len(ids)), n), one, size, np.append(new, len(places)), places, np.array(ids, np.int64), np.array(skip or [0] * len(ids), np.int64), pairs, singles, window)
 
 
 class SuffixArray:
     """Word suffixes of one shard in lexicographic order of their first ``depth`` hashes."""
 
     def __init__(self, words: np.ndarray, first: np.ndarray, queries: Queries):
-        self.words, self.depth = words, queries.words.shape[1]
+        self.words, self.q = words, queries
         n = len(words)
-        stop = np.repeat(first[1:], np.diff(first))
+        self.start, self.stop = np.repeat(first[:-1], np.diff(first)), np.repeat(first[1:], np.diff(first))
         at = np.arange(n)
         take = np.zeros(n, bool)
         if n > 1:
-            take[:-1] = queries.pairs[_slot(_pair(words[:-1], words[1:]))] & (at[:-1] + 1 < stop[:-1])
+            take[:-1] = queries.pairs[_slot(_pair(words[:-1], words[1:]))] & (at[:-1] + 1 < self.stop[:-1])
         if queries.singles.any():
             take |= queries.singles[_slot(words * K._SEQ[2])]
         at = np.flatnonzero(take)
-        self.stop = stop
-        keys = np.zeros((self.depth, len(at)), np.uint64)
-        for j in range(self.depth):
-            ok = at + j < stop[at]
+        keys = np.zeros((queries.depth, len(at)), np.uint64)
+        for j in range(queries.depth):
+            ok = at + j < self.stop[at]
             keys[j, ok] = words[at[ok] + j]
         order = np.lexsort(keys[::-1])
         self.at, self.keys = at[order], keys[:, order]
 
-    def _bound(self, q: np.ndarray, length: np.ndarray, upper: bool) -> np.ndarray:
-        lo, hi = np.zeros(len(q), np.int64), np.full(len(q), len(self.at), np.int64)
-        while (lo < hi).any():
-            live = lo < hi
-            mid = np.where(live, (lo + hi) >> 1, 0)
-            less, same = np.zeros(len(q), bool), np.ones(len(q), bool)
-            for j in range(self.depth):
-                seen = same & (j < length)
+    def _bound(self, upper: bool) -> np.ndarray:
+        q = self.q
+        lo, hi = np.zeros(len(q.at), np.int64), np.full(len(q.at), len(self.at), np.int64)
+        live = np.arange(len(q.at))
+        while len(live):
+            mid = (lo[live] + hi[live]) >> 1
+            less, same = np.zeros(len(live), bool), np.ones(len(live), bool)
+            for j in range(q.depth):
+                seen = same & (j < q.length[live])
                 if not seen.any():
                     break
-                key = self.keys[j, mid]
-                less |= seen & (key < q[:, j])
-                same &= ~seen | (key == q[:, j])
+                key, want = self.keys[j, mid], q.word(live, j)
+                less |= seen & (key < want)
+                same &= ~seen | (key == want)
             right = less | (same if upper else False)
-            lo, hi = np.where(live & right, mid + 1, lo), np.where(live & ~right, mid, hi)
+            lo[live[right]], hi[live[~right]] = mid[right] + 1, mid[~right]
+            live = live[lo[live] < hi[live]]
         return lo
 
-    def ranges(self, q: Queries) -> tuple[np.ndarray, np.ndarray]:
-        """Range of suffixes that start with each query's required words."""
-        if not len(self.at) or not len(q.words):
-            none = np.zeros(len(q.words), np.int64)
+    def matches(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the shard, query) of every occurrence of every query."""
+        if not len(self.at) or not len(self.q.at):
+            none = np.zeros(0, np.int64)
             return none, none
-        return self._bound(q.words, q.length, False), self._bound(q.words, q.length, True)
-
-    def longest(self, q: Queries, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, length in words, word position) of the longest match of each query that occurs."""
-        hit = np.flatnonzero(hi > lo)
-        out_n, out_at = np.zeros(len(hit), np.int64), np.zeros(len(hit), np.int64)
-        for k, i in enumerate(hit):
-            own = q.whole[q.item[i]][q.place[i] :]
-            for p in self.at[lo[i] : hi[i]]:
-                m = min(len(own), self.stop[p] - p)
-                diff = np.flatnonzero(own[:m] != self.words[p : p + m])
-                n = int(diff[0]) if len(diff) else int(m)
-                if n > out_n[k]:
-                    out_n[k], out_at[k] = n, p
-        return hit, out_n, out_at
+        lo, hi = self._bound(False), self._bound(True)
+        return self.at[_expand(lo, hi - lo)], np.repeat(np.arange(len(lo)), hi - lo)
+
+    def extended(self, at: np.ndarray, query: np.ndarray, heads: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in the shard, place in the benchmark, words) of the longest match from each pair of equal places.
+
+        heads: only from pairs whose preceding words differ; the others are parts of these.
+        """
+        q = self.q
+        times = q.first[query + 1] - q.first[query]
+        for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(times) // _PAIRS)) + 1):
+            p = np.repeat(at[some], times[some])
+            f = q.places[_expand(q.first[query[some]], times[some])]
+            n = np.repeat(q.length[query[some]], times[some])
+            if heads:
+                inner = (p > self.start[p]) & (f > q.start[f])
+                inner[inner] = self.words[p[inner] - 1] == q.words[f[inner] - 1]
+                p, f, n = p[~inner], f[~inner], n[~inner]
+            live = np.arange(len(p))
+            while len(live):
+                live = live[(p[live] + n[live] < self.stop[p[live]]) & (f[live] + n[live] < q.stop[f[live]])]
+                live = live[self.words[p[live] + n[live]] == q.words[f[live] + n[live]]]
+                n[live] += 1
+            yield p, f, n
 
 
 def _expand(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -146,93 +171,129 @@ def _expand(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) - np.repeat(begin - lo, n)
 
 
-def _shards(queries: Queries, column: pa.Array):
-    """(first row, last row + 1, words before each document, documents, starts, lengths, items, array, ranges)"""
+def _shards(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, word hashes, words before each document)"""
     for a, b, data, offs in K.chunks(column, SHARD_BYTES):
         words, _, _, first = K.words(data, offs, K.ALNUM_WORDS)
-        array = SuffixArray(words, first, queries)
-        lo, hi = array.ranges(queries)
-        n = hi - lo
-        at = array.at[_expand(lo, n)] if n.any() else np.zeros(0, np.int64)
-        doc = np.searchsorted(first, at, side="right") - 1
-        yield a, b, first, doc, at, np.repeat(queries.length, n), np.repeat(queries.item, n), array, (lo, hi)
+        yield a, b, words, first
+
+
+def _pieces(rows: DataFrame, most: int, window: int) -> DataFrame:
+    """(id, text, skip): texts of more than ``most`` bytes as pieces of that many, each but the first from ``window - 1`` words before the last one's end."""
+
+    def run(batch: pa.RecordBatch):
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            raw = text.as_py().encode()
+            _, starts, ends, _ = K.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), K.ALNUM_WORDS)
+            out, k = [], 0
+            while True:
+                # at least a window of words, whatever their size
+                end = len(raw) if not len(starts) or len(raw) - starts[k] <= most else int(ends[min(len(ends) - 1, max(k + window - 1, int(np.searchsorted(ends, starts[k] + most, side="right")) - 1))])
+                out.append((raw[starts[k] if k else 0 : end].decode(), k))
+                done = int(np.searchsorted(ends, end, side="right"))
+                if done >= len(starts):
+                    break
+                k = max(k + 1, done - window + 1)
+            yield pa.RecordBatch.from_arrays([pa.array([i] * len(out), pa.int64()), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.int64())], ["id", "text", "skip"])
 
+    small = rows.where(F.octet_length("text") <= most).withColumn("skip", F.lit(0).cast("long"))
+    return small.union(arrow_map(rows.where(F.octet_length("text") > most), run, "id long, text string, skip long"))
 
-def _blocks(bench: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
+
+def _blocks(bench: DataFrame, id_col: str, text_col: str, block_bytes: int, window: int) -> list:
+    """Broadcasts of the benchmark's blocks, each of at most block_bytes of text."""
+    spark = bench.sparkSession
     rows = bench.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    n = max(1, -(-size * 2 // block_bytes)) if size > block_bytes else 1
-    return [rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i) if n > 1 else rows for i in range(n)]
+    weight = F.octet_length("text") + 64
+    size = rows.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    n = 1
+    if size > block_bytes:
+        # equal rows add nothing
+        rows, n = cut(_pieces(rows.distinct(), max(1, block_bytes // 16), window)), -(-size * 2 // block_bytes)
+        block = lambda n: F.pmod(F.xxhash64("id", "skip", "text"), F.lit(n))
+        while n < 64 * size and rows.groupBy(block(n)).agg(F.sum(weight).alias("w")).agg(F.max("w")).first()[0] > block_bytes:
+            n *= 2
+    out = []
+    for i in range(n):
+        got = (rows.where(block(n) == i) if n > 1 else rows).collect()  # at most block_bytes of text
+        if got or n == 1:
+            out.append(spark.sparkContext.broadcast(prepare([r.id for r in got], [r.text for r in got], window, [r["skip"] for r in got] if n > 1 else None)))
+    return out
+
+
+def _searched(blocks: list, words: np.ndarray, first: np.ndarray) -> Iterator[SuffixArray]:
+    for sent in blocks:
+        yield SuffixArray(words, first, sent.value)
+        if len(blocks) > _HELD:
+            vars(sent).pop("_value", None)  # read again from the worker's disk
+
+
+_COLUMNS = "id long, n_words long, n_hit long, items array<long>, spans array<struct<begin:long,end:long>>, longest_words long, longest_item long, longest_item_word long, longest_doc_word long"
 
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """id, n_words, n_hit, n_items, items_sha256, contaminated and spans (begin, end of hit words) for each row of docs.
+    """A row for each row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated, the longest match and spans.
 
     Words are runs of digits, letters and non-ASCII, A-Z lower-cased.  A window is ``window``
     consecutive words of an item; an item of fewer words, but some, is one window.  A word is hit if
-    it lies inside an occurrence of a window.
+    it lies inside an occurrence of a window.  The longest match is the longest run of words that a document shares with an
+    item, of at least a window: longest_words (else 0), and where it stands (else null): longest_item, longest_item_word,
+    longest_doc_word.  Ties go to the smallest item, then place in the document, then in the item.  Spans are (begin, end) of hit words.
 
     Defined cases: a null, empty or wordless text has no words and no hits; null item ids or texts and
     wordless items have no windows; rows that repeat an item id are one item with the windows of all;
-    rows that repeat a document are each answered; empty tables give no hits or no rows.
+    rows that repeat a document are each answered; a null id is kept; empty tables give no hits or no rows; very long
+    texts are searched whole; very long items in pieces, and a match that runs over a piece's end is reported up to it.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    small_batches(spark)
-    parts = []
-    blocks = _blocks(bench, id_col=item_col, text_col="text", block_bytes=block_bytes)
-    for block in blocks:
-        got = block.collect()  # at most block_bytes of text
-        sent = spark.sparkContext.broadcast(prepare([r.id for r in got], [r.text for r in got], window))
-
-        def run(batches, sent=sent, alone=len(blocks) == 1):
-            for batch in batches:
-                for a, b, first, doc, at, length, item, _, _ in _shards(sent.value, batch.column(1)):
-                    n_words = np.diff(first)
-                    delta = np.zeros(int(first[-1]) + 1, np.int64)
-                    np.add.at(delta, at, 1)
-                    np.add.at(delta, at + length, -1)
-                    hit = np.cumsum(delta)[:-1] > 0
-                    sums = np.concatenate(([0], np.cumsum(hit)))
-                    n_hit = sums[first[1:]] - sums[first[:-1]]
-                    found = np.unique(np.stack([doc, item]), axis=1) if len(doc) else np.zeros((2, 0), np.int64)
-                    edges = np.searchsorted(found[0], np.arange(b - a + 1))
-                    items, spans = [], []
-                    for i in range(b - a):
-                        own = sorted({sent.value.items[k] for k in found[1][edges[i] : edges[i + 1]]})
-                        items.append(own)
-                        if n_hit[i]:
-                            h = np.diff(hit[first[i] : first[i + 1]].astype(np.int8), prepend=0, append=0)
-                            spans.append([{"begin": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(h == 1), np.flatnonzero(h == -1), strict=True)])
-                        else:
-                            spans.append([])
-                    cols = [batch.column(0).slice(a, b - a), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))]
-                    names = ["id", "n_words", "n_hit", "items", "spans"]
-                    if not alone:
-                        cols.append(batch.column(2).slice(a, b - a))
-                        names.append("row")
-                    yield pa.RecordBatch.from_arrays(cols, names)
-
-        schema = "id long, n_words long, n_hit long, items array<string>, spans array<struct<begin:long,end:long>>"
-        source = rows if len(blocks) == 1 else rows.withColumn("row", F.xxhash64("id", "text"))
-        parts.append(source.mapInArrow(run, schema + ("" if len(blocks) == 1 else ", row long")))
-    if len(parts) == 1:
-        out = parts[0]
-    else:
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        spans = F.array_sort(F.flatten(F.collect_list("spans")))
-        merged = F.aggregate(
-            spans, F.expr("cast(array() as array<struct<begin:long,end:long>>)"),
-            lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= x["begin"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["begin"].alias("begin"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
-        )
-        grouped = every.groupBy("id", "row").agg((F.count("*") / len(parts)).cast("int").alias("times"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), merged.alias("spans"))
-        grouped = grouped.withColumn("copy", F.explode(F.sequence(F.lit(1), "times")))
-        out = grouped.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["begin"]))
+    blocks = _blocks(bench, item_col, "text", block_bytes, window)
+    span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+
+    def run(batch: pa.RecordBatch):
+        for a, b, words, first in _shards(batch.column(1)):
+            delta = np.zeros(len(words) + 1, np.int64)
+            found, best = [np.zeros((2, 0), np.int64)], [np.zeros((5, 0), np.int64)]
+            for array in _searched(blocks, words, first):
+                at, query = array.matches()
+                if not len(at):
+                    continue
+                q = array.q
+                np.add.at(delta, at, 1)
+                np.add.at(delta, at + q.length[query], -1)
+                doc = np.searchsorted(first, at, side="right") - 1
+                once = np.unique(np.stack([doc, query]), axis=1)
+                times = q.first[once[1] + 1] - q.first[once[1]]
+                items = q.ids[q.item[q.places[_expand(q.first[once[1]], times)]]]
+                found.append(np.unique(np.stack([np.repeat(once[0], times), items]), axis=1))
+                for p, f, n in array.extended(at, query, heads=True):
+                    d = np.searchsorted(first, p, side="right") - 1
+                    k = q.item[f]
+                    best.append(np.stack([d, -n, q.ids[k], p - first[d], f - q.start[f] + q.skip[k]]))
+            hit = np.cumsum(delta)[:-1] > 0
+            sums = np.concatenate(([0], np.cumsum(hit)))
+            n_hit = sums[first[1:]] - sums[first[:-1]]
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            edges = np.searchsorted(pairs[0], np.arange(b - a + 1))
+            best = np.concatenate(best, axis=1)
+            best = best[:, np.lexsort(best[::-1])]
+            best = best[:, np.append(True, best[0][1:] != best[0][:-1])] if best.shape[1] else best
+            some = np.zeros(b - a, bool)
+            some[best[0]] = True
+            top = np.zeros((4, b - a), np.int64)
+            top[:, best[0]] = [-best[1], best[2], best[4], best[3]]
+            spans = []
+            for i in range(b - a):
+                h = np.diff(hit[first[i] : first[i + 1]].astype(np.int8), prepend=0, append=0) if n_hit[i] else np.zeros(0)
+                spans.append([{"begin": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(h == 1), np.flatnonzero(h == -1), strict=True)])
+            cols = [batch.column(0).slice(a, b - a), pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(pairs[1])), pa.array(spans, span), pa.array(top[0])]
+            cols += [pa.array(x, mask=~some) for x in top[1:]]
+            yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _COLUMNS.split(", ")])
+
+    out = arrow_map(rows, run, _COLUMNS)
+    digest = F.sha2(F.concat_ws(",", F.array_sort(F.col("items").cast("array<string>"))), 256)
     return out.select(
-        F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans",
+        F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"), "longest_words", "longest_item", "longest_item_word", "longest_doc_word", "spans",
     )
 
 
@@ -240,35 +301,31 @@ def longest_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", t
     """The longest verbatim match of every benchmark suffix that occurs: (item, item_word, n_words, id, doc_word).
 
     One row for each suffix over all shards; ties go to the smallest document, then place.  Suffixes that match
-    fewer than ``window`` words (or less than the whole of a shorter item) have no row.
+    fewer than ``window`` words (or less than the whole of a shorter item) have no row; null ids take no part.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = None
-    for block in _blocks(bench, item_col, "text", block_bytes):
-        got = block.collect()
-        sent = spark.sparkContext.broadcast(prepare([r.id for r in got], [r.text for r in got], window))
-
-        def run(batches, sent=sent):
-            q = sent.value
-            for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                for a, _, first, _, _, _, _, array, (lo, hi) in _shards(q, batch.column(1)):
-                    hit, n, at = array.longest(q, lo, hi)
-                    doc = np.searchsorted(first, at, side="right") - 1
-                    cols = [[q.ids[i] for i in q.item[hit]], q.place[hit], n, ids[a + doc] if len(doc) else [], at - first[doc] if len(doc) else []]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["item", "item_word", "n_words", "id", "doc_word"])
-
-        part = rows.where("id is not null").mapInArrow(run, "item long, item_word long, n_words long, id long, doc_word long")
-        out = part if out is None else out.union(part)
+    blocks = _blocks(bench, item_col, "text", block_bytes, window)
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, _, words, first in _shards(batch.column(1)):
+                for array in _searched(blocks, words, first):
+                    q = array.q
+                    for p, f, n in array.extended(*array.matches(), heads=False):
+                        doc = np.searchsorted(first, p, side="right") - 1
+                        cols = [q.ids[q.item[f]], f - q.start[f] + q.skip[q.item[f]], n, ids[a + doc], p - first[doc]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["item", "item_word", "n_words", "id", "doc_word"])
+
+    out = rows.where("id is not null").mapInArrow(run, "item long, item_word long, n_words long, id long, doc_word long")
     best = F.max(F.struct("n_words", (-F.col("id")).alias("i"), (-F.col("doc_word")).alias("w"))).alias("b")
     return out.groupBy("item", "item_word").agg(best).select("item", "item_word", F.col("b.n_words"), (-F.col("b.i")).alias("id"), (-F.col("b.w")).alias("doc_word"))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of docs, with their columns, that no benchmark window occurs in."""
-    hit = contamination(docs, bench, id_col, text_col, **options).where("contaminated").select(F.col(id_col).alias("_hit")).distinct()
-    return docs.join(hit, F.col(id_col) == F.col("_hit"), "left_anti")
+    """Rows of docs, with their columns, that no benchmark window occurs in.  Rows with a null id stay; rows that repeat an id go together."""
+    return without(docs, contamination(docs, bench, id_col, text_col, **options).where("contaminated").select(id_col).where(F.col(id_col).isNotNull()), id_col)
 
 
 def items_digest(items: list[str]) -> str:

@@ -104,15 +104,19 @@ ORACLE: dict[str, str] = {
     "op5_decontamination": f"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
-        i AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda k: array_to_string(w[k:k + least(10, len(w)) - 1], ' '))) AS x FROM b WHERE len(w) > 0),
+        i AS (SELECT item_id, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS j, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda k: array_to_string(w[k:k + least(10, len(w)) - 1], ' '))) AS x FROM b WHERE len(w) > 0),
         sizes AS (SELECT DISTINCT n FROM i),
         p AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n),
-        h AS (SELECT doc_id, p.n, k, item_id FROM p JOIN i ON i.n = p.n AND i.x = array_to_string(p.w[k:k + p.n - 1], ' ')),
+        h AS (SELECT doc_id, p.n, k, item_id, j FROM p JOIN i ON i.n = p.n AND i.x = array_to_string(p.w[k:k + p.n - 1], ' ')),
         q AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM h) GROUP BY doc_id),
-        g AS (SELECT doc_id, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS t FROM h) GROUP BY doc_id)
+        g AS (SELECT doc_id, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS t FROM h) GROUP BY doc_id),
+        runs AS (SELECT doc_id, n, item_id, k, j, k - row_number() OVER (PARTITION BY doc_id, n, item_id, k - j ORDER BY k) AS run FROM h),
+        longest AS (SELECT doc_id, item_id, min(k) - 1 AS doc_word, min(j) - 1 AS item_word, count(*) + n - 1 AS words FROM runs GROUP BY doc_id, n, item_id, k - j, run),
+        top AS (SELECT * FROM longest QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, item_id, doc_word, item_word) = 1)
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM d LEFT JOIN q USING (doc_id) LEFT JOIN g USING (doc_id)""",
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(words, 0)::BIGINT AS longest_words,
+               top.item_id::BIGINT AS longest_item, item_word::BIGINT AS longest_item_word, doc_word::BIGINT AS longest_doc_word
+        FROM d LEFT JOIN q USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN top USING (doc_id)""",
     "op9_line_dedup": f"""
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
         k AS (SELECT *, {_LOWER.format("regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g')")} AS key FROM l),
