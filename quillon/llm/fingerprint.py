@@ -20,6 +20,7 @@ import base64
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,10 @@ from quillon.llm import _kernels as K
 from quillon.llm._spark import small_batches
 
 K_BYTES, S_BYTES, TOLERANCE = 16, 5, 64
+#: Bytes of text that a part of the layout holds at most, about; cells that parts are made of.
+PART_BYTES, _CELLS = 128 << 20, 4096
 #: Pairs of repeated anchors that are matched at a time; bytes of fingerprints in an Arrow batch.
-_PAIRS, _OUT_BYTES = 1 << 20, 4 << 20
+_PAIRS, _OUT_BYTES = 1 << 17, 4 << 20
 
 
 def anchors(data: np.ndarray, k: int = K_BYTES, s: int = S_BYTES) -> tuple[np.ndarray, np.ndarray]:
@@ -166,41 +169,65 @@ def edited(raw: bytes, following: bytes) -> bytes:
     return raw[: own[n - third]] + following[: other[min(third, len(other) - 1)]]
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """Documents laid out so that each one's successor by descending id follows it in its partition.
 
     (part, tail, id, text): rows of a part are sorted by descending id and end with a copy, marked ``tail``, of the
-    row that follows the part (after the last: the first of all).  Parts are ranges of ids between quantiles.
+    row that follows the part (after the last: the first of all).  Parts are ranges of ids that hold about as many bytes
+    of text, found from fine cells between quantiles; rows without an id come last, in ranges of a hash of their text.
+    At least ``parts`` parts (the shuffle partitions by default), more if they would hold more than ``part_bytes``.
     """
     spark = docs.sparkSession
+    least = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fine = min(_CELLS, 16 * least)
     ids = rows.select("id").where("id is not null")
-    cuts = sorted({int(x) for x in ids.stat.approxQuantile("id", [i / parts for i in range(1, parts)], 0.001)}) if parts > 1 else []
-    bounds = F.array(*[F.lit(-c) for c in cuts]) if cuts else F.array().cast("array<long>")
-    # descending: part 0 has the largest ids; rows without an id come last of all
-    key = F.when(F.col("id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(F.array_sort(bounds), lambda c: c <= -F.col("id") - 1)))
-    dealt = rows.withColumn("part", key.cast("int"))
-    # an id may repeat, so the order within it is fixed by the text's hash
+    cuts = np.array(sorted({int(x) for x in ids.stat.approxQuantile("id", [i / fine for i in range(1, fine)], 0.25 / fine)}), np.int64)
+    # ascending order of the last key is descending order of ids; the hash orders rows of one id, and those without one
+    cell = _numbered(lambda i: len(cuts) - np.searchsorted(cuts, i, side="left"), "int")
+    none = (F.shiftright(F.xxhash64("text"), 58) + 32 + len(cuts) + 1).cast("int")
+    celled = rows.withColumn("cell", F.when(F.col("id").isNull(), none).otherwise(cell(F.coalesce("id", F.lit(0).cast("long")))))
+    stats = celled.groupBy("cell").agg(F.sum(F.octet_length("text") + 64).alias("size"), F.max("id").alias("id"), F.min(F.xxhash64("text")).alias("h")).toPandas().sort_values("cell")  # a row a cell
+    if not len(stats):
+        return rows.select(F.lit(0).alias("part"), F.lit(False).alias("tail"), "id", "text")
+    ends = np.cumsum(stats["size"].to_numpy())
+    n = max(least, int(-(-ends[-1] // part_bytes)))
+    _, part = np.unique((ends - stats["size"].to_numpy() // 2) * n // (ends[-1] + 1), return_inverse=True)
+    of_cell = np.zeros(len(cuts) + 66, np.int64)
+    of_cell[stats["cell"]] = part
+    heads = stats.assign(part=part).drop_duplicates("part")
+    n = len(heads)
+    by_id = np.full(n, np.iinfo(np.int64).min)
+    has = heads["id"].notna().to_numpy()
+    by_id[has] = heads["id"].to_numpy()[has].astype(np.int64)
+    by_hash = heads["h"].to_numpy(np.int64)
+    # a part whose first row has an id is told by the id, else by the hash
+    dealt = celled.withColumn("part", _numbered(lambda c: of_cell[c], "int")("cell"))
+    head = F.when(F.col("id").isNull(), ~F.array(*[F.lit(bool(x)) for x in has])[F.col("part")] & (F.xxhash64("text") == F.array(*[F.lit(int(x)) for x in by_hash])[F.col("part")])).otherwise(
+        F.col("id") == F.array(*[F.lit(int(x)) for x in by_id])[F.col("part")])
+    place = lambda p, tail: F.struct(p.cast("int").alias("part"), F.lit(tail).alias("tail"))
+    here, before = place(F.col("part"), False), place(F.pmod(F.col("part") - 1, F.lit(n)), True)
+    laid = dealt.select(F.explode(F.when(head, F.array(here, before)).otherwise(F.array(here))).alias("p"), "id", "text").select("p.part", "p.tail", "id", "text")
     order = [F.col("id").desc_nulls_last(), F.xxhash64("text")]
-    heads = {r.part: r.id for r in dealt.groupBy("part").agg(F.max("id").alias("id")).collect()}  # one row a part
-    filled = sorted(heads)
-    if not filled:
-        return dealt.select("part", F.lit(False).alias("tail"), "id", "text")
-    tails = {p: filled[(i + 1) % len(filled)] for i, p in enumerate(filled)}
-    target = spark.createDataFrame([(p, q, heads[q]) for p, q in tails.items()], "to int, of int, head long")
-    first = dealt.join(F.broadcast(target), (F.col("part") == F.col("of")) & F.col("id").eqNullSafe(F.col("head")))
-    first = first.groupBy("to").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "id", "text")).alias("m")).select(F.col("to").alias("part"), F.lit(True).alias("tail"), "m.id", "m.text")
-    laid = dealt.select("part", F.lit(False).alias("tail"), "id", "text").union(first)
-    return laid.repartition(max(len(filled), 1), "part").sortWithinPartitions("part", "tail", *order)
+    return laid.repartitionById(n, F.col("part")).sortWithinPartitions("part", "tail", *order)
+
+
+def _numbered(fn, kind: str):
+    """A column function of one long column by a function of numpy arrays; only that column goes to Python."""
+
+    @F.pandas_udf(kind)
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series(fn(x.to_numpy()))
+
+    return run
 
 
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     Defined cases: a null text counts as empty; the next of the last document is the first, so a single document
-    follows itself; rows that repeat an id follow each other in the order of a hash of their texts; rows with a
-    null id come last; an empty table gives an empty table.
+    follows itself; rows that repeat an id follow each other in the order of a hash of their texts, and share a part; rows with a
+    null id come last, in that order; an empty table gives an empty table.
     """
 
     def run(batches):
