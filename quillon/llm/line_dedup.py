@@ -141,6 +141,12 @@ class LineRuns:
                 self._drop(x)
             level += 1
 
+    def close(self) -> None:
+        """Drops all runs; what was read from them must be materialised before."""
+        for name in self.runs():
+            self._drop(name)
+        self.levels = []
+
     def repeated(self, min_docs: int) -> DataFrame:
         """(h1, h2, owner) of keys that at least min_docs documents hold."""
         names = self.runs()
@@ -149,8 +155,10 @@ class LineRuns:
         return self.merge([self.spark.table(x) for x in names]).where(F.col("n_docs") >= min_docs).select("h1", "h2", "owner")
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, keep_text: bool = True) -> DataFrame:
-    """All columns of docs, with n_lines, n_dropped, kept_sha256 and, if keep_text, the shortened text.
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, keep_text: bool = True, measures: tuple[str, str, str] = ("n_lines", "n_dropped", "kept_sha256")) -> DataFrame:
+    """All columns of docs, with n_lines, n_dropped, kept_sha256 and, if keep_text, the shortened text; without it, the id and these.
+
+    measures: other names for the three.  An input column with a name of them, in any case, is left out.
 
     Documents reach the store in ``batches`` parts, largest ids first.  A key of at least
     ``min_chars`` code points in at least ``min_docs`` documents loses all its lines
@@ -171,8 +179,10 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         part = part.where(F.col("id") <= hi) if hi is not None else part
         store.add(part)
     gone = lines.join(store.repeated(min_docs), ["h1", "h2"]).where("id <> owner")
-    gone = gone.groupBy("id").agg(F.collect_list("h1").alias("g1"), F.collect_list("h2").alias("g2"))
-    own = [c for c in docs.columns if c.lower() != text_col.lower()]
+    gone = cut(gone.groupBy("id").agg(F.collect_list("h1").alias("g1"), F.collect_list("h2").alias("g2")))
+    store.close()
+    new = {m.lower() for m in measures}
+    own = [c for c in docs.columns if c.lower() != text_col.lower() and c.lower() not in new]
     names = {c: f"_c{i}" for i, c in enumerate(own)}
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(f"`{c}`").alias(a) for c, a in names.items()])
     if not keep_text:
@@ -212,8 +222,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     schema = "_id long, n_lines long, n_dropped long, kept_sha256 string" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in extra) + ", _text string" * keep_text
     done = arrow_map(joined, run, schema)
-    measures = [F.col(c) for c in ("n_lines", "n_dropped", "kept_sha256")]
+    found = [F.col(c).alias(m) for c, m in zip(("n_lines", "n_dropped", "kept_sha256"), measures, strict=True)]
     if not keep_text:
-        return done.select(F.col("_id").alias(id_col), *measures)
-    back = [F.col("_text").alias(text_col) if c.lower() == text_col.lower() else F.col(names[c]).alias(c) for c in docs.columns]
-    return done.select(*back, *[m for m in measures if m._jc.toString() not in docs.columns])
+        return done.select(F.col("_id").alias(id_col), *found)
+    back = [F.col("_text").alias(c) if c.lower() == text_col.lower() else F.col(names[c]).alias(c) for c in docs.columns if c in names or c.lower() == text_col.lower()]
+    return done.select(*back, *found)
