@@ -42,6 +42,8 @@ from quillon.llm.graph import connected_components
 WIDTH, SUBKEYS, PER_KEY = 5, 24, 3
 #: Pivots whose shingles a task holds at a time, and texts that it compares with a block of them.
 PER_BLOCK, PER_SALT = 256, 1024
+#: Parts that a bucket is ranked in.
+SALTS = 64
 
 
 def document_shingles(data: np.ndarray, offs: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +208,17 @@ def _own_shingles(texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
 def _unresolved(members: DataFrame) -> DataFrame:
     """Members (bucket, rep, c) of the tables that span several components c."""
     open_ = members.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    return members.join(open_, "bucket")
+    return members.join(broadcast_if_small(cut(open_)), "bucket")
+
+
+def _first_rows(members: DataFrame, n: int) -> DataFrame:
+    """The n first members of each bucket by (u, rep), with their rank r from 1.
+
+    Ranked within salts first, so no task sorts a whole bucket.
+    """
+    salted = Window.partitionBy("bucket", "salt").orderBy("u", "rep")
+    some = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS))).withColumn("r", F.row_number().over(salted)).where(F.col("r") <= n).drop("salt", "r")
+    return some.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("u", "rep"))).where(F.col("r") <= n)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = WIDTH, subkeys: int = SUBKEYS, per_key: int = PER_KEY) -> DataFrame:
@@ -218,10 +230,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id reachable over links.
 
     Defined cases: a null or blank text has no shingles, no links and its own
-    component.  Ids are unique by contract; rows that repeat an id are linked
-    through it and each gets the id's result per text.  A null id takes part
-    in no link; its component_id is null and it is kept.  Other columns are
-    not read, so clashing names do no harm.  An empty table gives an empty table.
+    component.  Rows that repeat an id are compared as texts of their own and each
+    gets its text's result; different texts whose smallest id is the same count as
+    linked.  A null id takes part in no link; its component_id is null and it is
+    kept.  Very long texts are compared whole.  Other columns are not read, so
+    clashing names do no harm.  An empty table gives an empty table.
     """
     spark = docs.sparkSession
     sig = cut(signatures(docs, id_col, text_col, width, subkeys, per_key))
@@ -246,8 +259,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # look-alikes that hang together over candidates but not yet over links
     group = connected_components(first_asks.select(F.col("block").alias("a"), F.col("id").alias("b")), parts=parts)
     group = group.join(comp.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", group["component"].alias("g"), F.coalesce(comp["component"], F.col("node")).alias("c"))
-    torn = group.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("g", "size")
-    reps = cut(group.join(torn, "g").select(F.col("node").alias("id"), "g", "size"), parts)
+    group = cut(group, parts)
+    torn = cut(group.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("g", "size"), 1)
+    # one row a group, so a group that holds most texts is not dealt by its number
+    reps = cut(group.join(broadcast_if_small(torn), "g").select(F.col("node").alias("id"), "g", "size"), parts)
     if not reps.isEmpty():
         sizes = sig.select("id", "n_shingles").groupBy("id").agg(F.max("n_shingles").alias("n"))
         stats = cut(_own_shingles(texts, reps.select("id"), width).join(sizes, "id").join(reps, "id")).coalesce(parts)
@@ -258,23 +273,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wide = parts_for(spark, stats.count() + large.count() * subkeys)
         keyed = own.join(large, F.col("rep") == F.col("id")).select("rep", "n", "u", F.explode("own").alias("k")).select(F.xxhash64("k.t", "k.key").alias("bucket"), "rep", "n", "u")
         open_ = open_.union(keyed)
-        least = open_.groupBy("bucket").agg(F.min("n").alias("least"))
+        open_ = cut(open_, wide)
+        least = broadcast_if_small(cut(open_.groupBy("bucket").agg(F.min("n").alias("least"))))
         open_ = open_.join(least, "bucket").where(100 * (F.col("n") - F.col("u")) >= percent * (F.col("least") + F.col("u"))).select("bucket", "rep", "u")
         first = PER_BLOCK
         while True:
-            here = open_.join(comp, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "u", F.coalesce("component", "rep").alias("c"))
-            ranked = cut(_unresolved(here).withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("u", "rep"))), wide)
-            if ranked.isEmpty():
+            here = cut(open_.join(comp, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "u", F.coalesce("component", "rep").alias("c")), wide)
+            members = cut(_unresolved(here), wide)
+            if members.isEmpty():
                 break
-            heads = ranked.where(F.col("r") <= first)
+            heads = cut(_first_rows(members, first), wide)
             # a pivot belongs to one block, that of its first table, so tables that share pivots share blocks
             home = heads.groupBy(F.col("rep").alias("id")).agg(F.min(F.struct("bucket", "r")).alias("h"))
             blocks = cut(home.select(F.xxhash64("h.bucket", F.floor((F.col("h.r") - 1) / PER_BLOCK)).alias("block"), "id"), parts)
             of_bucket = heads.join(blocks, F.col("rep") == F.col("id")).groupBy("bucket", "block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("id").alias("last"), F.min("id").alias("one"))
-            asks = ranked.join(of_bucket, "bucket").where("not (lo = c and hi = c) and not (last = rep and one = rep)").select("block", F.col("rep").alias("id")).distinct()
+            asks = members.join(broadcast_if_small(cut(of_bucket)), "bucket").where("not (lo = c and hi = c) and not (last = rep and one = rep)").select("block", F.col("rep").alias("id")).distinct()
             links = links.union(cut(compare(spark, blocks, cut(asks, wide), texts, percent, width, wide)).coalesce(wide))
             comp = cut(connected_components(links, parts=wide), parts)
-            open_, first = cut(ranked.where(F.col("r") > first).select("bucket", "rep", "u"), wide), first * 16
+            bound = broadcast_if_small(cut(heads.groupBy("bucket").agg(F.max(F.struct("u", "rep")).alias("bound"))))
+            open_ = members.join(bound, "bucket").where(F.struct("u", "rep") > F.col("bound")).select("bucket", "rep", "u")
+            first *= 16
 
     of_set = classes.select("s1", "s2", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     out = sig.join(of_set, ["s1", "s2"], "left")
