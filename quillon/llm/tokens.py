@@ -8,8 +8,13 @@ the order of its merges), else from the tokenizers library itself.
 encoding of a prefix ends in token t exactly if t is a suffix of it, the
 encoding of what precedes ends in some token u, and (u, t) is its own
 encoding; so one pass over the pretoken stores the token count of every
-prefix.  A text's table is these tables set end to end.  Limits, truncation
-and budgets are then read off the table; nothing is encoded again.
+prefix.  The tables of pretokens are kept by a worker, within a bound in bytes,
+and a text's table is these tables set end to end.  A prefix that ends within a
+pretoken splits like the text but in three places, which have tables of their
+own: a run of white space is one pretoken as long as nothing follows, an
+unfinished contraction is an apostrophe and letters, and an unfinished special
+string is ordinary text.  Limits, truncation and budgets are then read off the
+table; nothing is encoded again.
 """
 
 from __future__ import annotations
@@ -28,8 +33,8 @@ from quillon.llm._spark import arrow_map
 
 #: The pretoken pattern of byte-level BPE files with use_regex.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pretokens that a worker remembers in each of two generations, and token pairs.
-CACHE = 400_000
+#: Bytes of tables that a worker remembers in each of two generations, about; longer pretokens are not kept; token pairs.
+CACHE_BYTES, LONGEST, CACHE = 48 << 20, 64, 400_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -101,8 +106,10 @@ class PrefixCounter:
         self.pattern = regex.compile(PATTERN)
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(self.engine.special, key=len, reverse=True))) if self.engine.special else None
         self.pairs: dict[int, bool] = {}
-        self.counts: dict[str, int] = {}
-        self.older: dict[str, int] = {}
+        # pretoken: (tokens, token count before each code point and at the end)
+        self.tables: dict[str, tuple[int, np.ndarray]] = {}
+        self.older: dict[str, tuple[int, np.ndarray]] = {}
+        self.held = 0
 
     def _follows(self, u: int, t: int) -> bool:
         """Whether tokens u, t are the encoding of their bytes."""
@@ -131,19 +138,25 @@ class PrefixCounter:
             last[i] = t
         return count
 
-    def total(self, piece: str) -> int:
-        """Tokens of a pretoken: the last entry of its table."""
-        n = self.counts.get(piece)
-        if n is None:
-            if len(self.counts) > CACHE:
-                self.counts, self.older = {}, self.counts
-            n = self.older.get(piece)
-            if n is None:
-                raw = piece.encode()
-                # a token that is a whole pretoken is its own encoding
-                n = 1 if raw in self.ranks else self.piece_table(raw)[-1]
-            self.counts[piece] = n
-        return n
+    def entry(self, piece: str) -> tuple[int, np.ndarray]:
+        """(tokens of a pretoken, its table by code point)."""
+        got = self.tables.get(piece) or self.older.get(piece)
+        if got is None:
+            raw = piece.encode()
+            count = self.piece_table(raw)
+            if len(raw) > len(piece):
+                data = np.frombuffer(raw, np.uint8)
+                table = np.array(count, np.int32)[np.append(np.flatnonzero((data & 0xC0) != 0x80), len(raw))]
+            else:
+                table = np.array(count, np.int32)
+            got = count[-1], table.astype(np.uint8) if len(piece) <= LONGEST else table
+        if len(piece) <= LONGEST:
+            if self.held > CACHE_BYTES:
+                self.tables, self.older, self.held = {}, self.tables, 0
+            if piece not in self.tables:
+                self.tables[piece] = got
+                self.held += 300 + 5 * len(piece)
+        return got
 
     def pieces(self, text: str) -> list[tuple[str, bool]]:
         """Pretokens in order; True marks a special string."""
@@ -156,36 +169,56 @@ class PrefixCounter:
         return out + [(p, False) for p in self.pattern.findall(text[at:])]
 
     def boundaries(self, text: str) -> tuple[np.ndarray, np.ndarray, list[tuple[str, bool]]]:
-        """(code points, tokens) before each pretoken and at the end: the coarse table."""
+        """(code points, tokens) before each pretoken and at the end: the table at pretokens."""
         pieces = self.pieces(text)
         chars = np.fromiter((len(p) for p, _ in pieces), np.int64, len(pieces))
-        known = self.counts.get
-        tokens = np.fromiter((1 if s else known(p) or self.total(p) for p, s in pieces), np.int64, len(pieces))
+        known, entry = self.tables.get, self.entry
+        tokens = np.fromiter((1 if s else (known(p) or entry(p))[0] for p, s in pieces), np.int64, len(pieces))
         return np.concatenate(([0], np.cumsum(chars))), np.concatenate(([0], np.cumsum(tokens))), pieces
 
-    def _inner(self, text: str, k: int, coarse) -> np.ndarray:
-        """Token counts of the prefixes that end inside pretoken k, or at its end, one for each code point."""
+    def _within(self, out: np.ndarray, text: str, k: int, coarse) -> None:
+        """Fills out[i], the tokens of text[:i], for the prefixes that end inside pretoken k or at its end."""
         chars, tokens, pieces = coarse
         piece, special = pieces[k]
-        # a cut among the first characters can change how this pretoken and the one before are split
-        near = len(piece) if special else min(3, len(piece))
-        back = max(0, k - 1)
-        out = np.empty(len(piece), np.int64)
-        for i in range(near):
-            out[i] = tokens[back] + self._tail(text[chars[back] : chars[k] + i + 1])
-        if near < len(piece):
-            count = np.array(self.piece_table(piece.encode()), np.int64)
-            ends = np.cumsum([len(c.encode()) for c in piece])
-            out[near:] = tokens[k] + count[ends[near:]]
+        a, b = int(chars[k]), int(chars[k + 1])
+        if special:
+            # as ordinary text, an unfinished special string can continue the pretoken before it
+            back = k - 1 if k and not pieces[k - 1][1] else k
+            base = text[int(chars[back]) : a]
+            plain = base + piece[:-1]
+            sub = self.ordinary(plain)
+            out[a + 1 : b] = tokens[back] + sub[len(base) + 1 :]
+            out[b] = tokens[k + 1]
+            return
+        out[a + 1 : b + 1] = tokens[k] + self.entry(piece)[1][1:]
+        if piece[0] == "'" and len(piece) == 3 and piece[1].isalpha():
+            out[a + 2] = tokens[k] + self.entry("'")[0] + self.entry(piece[1])[0]
+        if piece[0].isspace():
+            # white space that ends a prefix is one pretoken, from where its run begins
+            run = k
+            while run and not pieces[run - 1][1] and pieces[run - 1][0].isspace():
+                run -= 1
+            start = int(chars[run])
+            end = a + (len(piece) if piece.isspace() else 1)
+            out[a + 1 : end + 1] = tokens[run] + self.entry(text[start:end])[1][a + 1 - start :]
+
+    def ordinary(self, text: str) -> np.ndarray:
+        """The table of a text without special strings."""
+        pieces = [(p, False) for p in self.pattern.findall(text)]
+        sizes = [self.entry(p)[0] for p, _ in pieces]
+        coarse = np.cumsum([0, *(len(p) for p, _ in pieces)]), np.cumsum([0, *sizes]), pieces
+        out = np.zeros(len(text) + 1, np.int64)
+        for k in range(len(pieces)):
+            self._within(out, text, k, coarse)
         return out
 
     def table(self, text: str) -> np.ndarray:
         """count[i]: tokens of text[:i], for every code point i."""
         coarse = self.boundaries(text)
-        return np.concatenate([np.zeros(1, np.int64), *(self._inner(text, k, coarse) for k in range(len(coarse[2])))])
-
-    def _tail(self, text: str) -> int:
-        return sum(1 if s else self.total(p) for p, s in self.pieces(text))
+        out = np.zeros(len(text) + 1, np.int64)
+        for k in range(len(coarse[2])):
+            self._within(out, text, k, coarse)
+        return out
 
     def cut(self, text: str, limit: int, coarse=None) -> int:
         """The largest number of code points whose prefix has at most ``limit`` tokens."""
@@ -194,13 +227,17 @@ class PrefixCounter:
         if tokens[-1] <= limit:
             return len(text)
         k = int(np.searchsorted(tokens, limit, side="right")) - 1
-        best = int(chars[k])
-        # later pretokens start beyond the limit; one more covers cuts that re-split white space
+        out = np.full(int(chars[min(k + 2, len(pieces))]) + 1, limit + 1, np.int64)
+        out[int(chars[k])] = tokens[k]
+        # later pretokens start beyond the limit; one more covers white space that is one pretoken at an end
         for m in range(k, min(k + 2, len(pieces))):
-            fits = np.flatnonzero(self._inner(text, m, coarse) <= limit)
-            if len(fits):
-                best = max(best, int(chars[m]) + int(fits[-1]) + 1)
-        return best
+            self._within(out, text, m, coarse)
+        return int(np.flatnonzero(out <= limit)[-1])
+
+
+def within(table: np.ndarray, limit: int) -> int:
+    """The largest number of code points within a budget, read off a table."""
+    return int(np.flatnonzero(table <= limit)[-1])
 
 
 @lru_cache(maxsize=2)
@@ -212,7 +249,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
     """id, n_bytes, n_tokens, over_limit, fit_chars: the longest prefix, in code points, of at most ``limit`` tokens.
 
     Defined cases: a null text counts as empty: no bytes, no tokens, fits.  Strings of special tokens inside a text are
-    one token, as the library's default has it.  Repeated rows are each answered; other columns are not read.
+    one token, as the library's default has it.  Repeated rows are each answered, null ids kept; an empty table gives an
+    empty table; very long texts are counted whole; other columns are not read.
     """
 
     def run(batch: pa.RecordBatch):
@@ -231,4 +269,25 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
     return arrow_map(rows, run, "id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long").withColumnRenamed("id", id_col)
 
 
-__all__ = ["Engine", "PrefixCounter", "counter", "load", "token_counts"]
+def prefix_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and counts: the exact token count of every prefix of every text, by code points from 0 to all.
+
+    Stored once, it answers any budget: ``F.size(F.filter("counts", lambda n: n <= limit)) - 1`` code points at least.
+    Null texts count as empty and have the table [0]; null ids are kept, repeated rows answered each.
+    """
+
+    def run(batch: pa.RecordBatch):
+        own, first, held, size = counter(path), 0, [], 0
+        for i, text in enumerate(batch.column(1), 1):
+            held.append(own.table(text.as_py() or ""))
+            size += len(held[-1])
+            if size > 1 << 20 or i == batch.num_rows:
+                ends = np.cumsum([0, *(len(t) for t in held)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i - first), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(held), pa.int32()))], ["id", "counts"])
+                first, held, size = i, [], 0
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return arrow_map(rows, run, "id long, counts array<int>").withColumnRenamed("id", id_col)
+
+
+__all__ = ["Engine", "PrefixCounter", "counter", "load", "prefix_tables", "token_counts", "within"]
