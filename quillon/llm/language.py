@@ -7,9 +7,11 @@ and is scored by their mean log frequency.  A text is scored by the sum over
 its words.
 
 Training counts words and n-grams on the executors, over a sample of about
-``max_docs`` documents per language, and keeps the ``max_words`` most frequent
-words and ``max_grams`` n-grams of each length: the model's size does not grow
-with the corpus.  Prediction is a scan without a shuffle.
+``max_docs`` labelled documents per language, and keeps the ``max_words`` most
+frequent words and ``max_grams`` n-grams of each length, None for all of the
+sample's: the model's size does not grow with the corpus.  A word that is cut
+off is scored by its n-grams, as an unseen one.  Prediction is a scan without
+a shuffle.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from quillon.llm._spark import arrow_map, cut
 MAX_DOCS, MAX_WORDS, MAX_GRAMS, MAX_N = 20_000, 60_000, 20_000, 5
 UNKNOWN = "und"
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-#: Unseen words that a worker remembers.
-_CACHE = 400_000
+#: Bytes of rows of unseen words that a worker remembers, and such words at most.
+_CACHE_BYTES, _CACHE = 16 << 20, 400_000
 
 
 def text_words(text: str | None) -> Counter:
@@ -47,7 +49,8 @@ class LanguageModel:
         self.words, known = tables.get(0, ({}, np.zeros((0, len(langs)))))
         self.n_known = len(known)
         # rows of known words, then of unseen ones met so far
-        self.rows = np.concatenate([known, np.zeros((_CACHE, len(langs)))])
+        self.room = max(1000, min(_CACHE, _CACHE_BYTES // (8 * max(1, len(langs)))))
+        self.rows = np.concatenate([known, np.zeros((self.room, len(langs)))])
         self.unseen: dict[str, int] = {}
 
     def __getstate__(self):
@@ -74,7 +77,7 @@ class LanguageModel:
         """Row of a word that training did not see."""
         at = self.unseen.get(word)
         if at is None:
-            if len(self.unseen) >= _CACHE:
+            if len(self.unseen) >= self.room:
                 self.unseen.clear()
             at = self.unseen[word] = self.n_known + len(self.unseen)
             self.rows[at] = self._back_off(word)
@@ -100,9 +103,9 @@ class LanguageModel:
         total, known = np.zeros(len(self.langs)), self.words.get
         items = list(counts.items())
         # rows of unseen words may be reused after so many new ones
-        for i in range(0, len(items), _CACHE // 2):
-            part = items[i : i + _CACHE // 2]
-            if len(self.unseen) + len(part) > _CACHE:
+        for i in range(0, len(items), self.room // 2):
+            part = items[i : i + self.room // 2]
+            if len(self.unseen) + len(part) > self.room:
                 self.unseen.clear()
             at = [known(w, -1) for w, _ in part]
             at = [self._row(w) if a < 0 else a for a, (w, _) in zip(at, part, strict=True)]
@@ -114,8 +117,11 @@ class LanguageModel:
         return self.langs[best], float(1 / np.exp(z).sum())
 
 
-def train(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, max_n: int = MAX_N) -> LanguageModel:
-    """Learn from (text, language) rows; rows without either are skipped.  No rows give a model that predicts ``und``."""
+def train(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS, max_words: int | None = MAX_WORDS, max_grams: int | None = MAX_GRAMS, max_n: int = MAX_N) -> LanguageModel:
+    """Learn from (text, language) rows; rows without either are skipped, rows that repeat count each.  No rows give a model that predicts ``und``.
+
+    Among equally frequent entries at a cut, the first in alphabetical order stay.
+    """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
     per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.lit(1.0)
@@ -164,16 +170,21 @@ def train(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", t
     whole = counted.groupBy("n", "entry").agg(F.sum("c").alias("t"))
     got: list[tuple[int, str, str, int]] = []
     for n in range(max_n + 1):
-        best = whole.where(F.col("n") == n).orderBy(F.desc("t"), "entry").limit(max_words if n == 0 else max_grams).select("n", "entry")
-        got += [tuple(r) for r in counted.join(F.broadcast(best), ["n", "entry"]).select("n", "entry", "lang", "c").collect()]
+        most = max_words if n == 0 else max_grams
+        own = counted.where(F.col("n") == n)
+        if most is not None:
+            best = whole.where(F.col("n") == n).orderBy(F.desc("t"), "entry").limit(most).select("entry")
+            own = own.join(F.broadcast(best), "entry")
+        got += [tuple(r) for r in own.select("n", "entry", "lang", "c").collect()]
     return LanguageModel.from_counts(got)
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score of every row.
 
-    Defined cases: a null text, or one without letters, is ``und`` with score 0; repeated rows are each answered;
-    other columns are not read.
+    Defined cases: a null text, or one without letters, is ``und`` with score 0; ties go to the first language in
+    alphabetical order; repeated rows are each answered, null ids kept; very long texts are scored whole; an empty table
+    gives an empty table; other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
