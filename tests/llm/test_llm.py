@@ -112,6 +112,31 @@ def test_contamination(spark, block):
         assert sum(s["end"] - s["begin"] for s in got[d].spans) == len(hit)
     longest = {(r["item"], r["item_word"]): r.n_words for r in decontaminate.longest_matches(frame(spark, docs), bench).collect()}
     assert longest[0, 0] == 25 and longest[20, 0] == 3
+    for d, t in enumerate(docs):
+        w, best = words(t), None
+        for i, item in enumerate(items):
+            q = words(item)
+            for j, p in itertools.product(range(len(q)), range(len(w))):
+                n = next((n for n in range(min(len(q) - j, len(w) - p)) if q[j + n] != w[p + n]), min(len(q) - j, len(w) - p))
+                if n >= min(10, len(q)) > 0:
+                    best = min(best or (1,), (-n, 10 * i, p, j))
+        r = got[d]
+        if block > 600 or not best or best[0] >= -10:
+            assert (-r.longest_words, r.longest_item, r.longest_doc_word, r.longest_item_word) == (best or (0, None, None, None))
+
+
+def test_blocks_of_the_benchmark_share_one_scan(spark):
+    item = " ".join(f"u{i} v{i % 7}" for i in range(400))
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item[:90]), (3, "x " * 300), (None, "x y"), (4, None), (5, "one two")], "item_id long, text string")
+    docs = frame(spark, [item, "a " + item[30:170] + " b", "x " * 30, "one", "one two", None, "x y"])
+    whole = decontaminate.contamination(docs, bench)
+    blocks = decontaminate.contamination(docs, bench, block_bytes=1500)
+    assert len(decontaminate._blocks(bench, "item_id", "text", 1500, 10)) >= 3
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Exchange" not in plan
+    cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert sorted(whole.select(cols).collect()) == sorted(blocks.select(cols).collect())
+    assert [r.n_items for r in whole.orderBy("doc_id").collect()] == [2, 2, 1, 0, 1, 0, 0]
 
 
 def test_prefix_counts_match_the_library():
@@ -281,11 +306,12 @@ def test_toxicity_counts_features_of_every_document(spark, monkeypatch):
     labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(2000)], "doc_id long, toxic int")
     raw = np.frombuffer(b"zork", np.uint8)
     rare = int(ngrams(raw, np.array([0, 4]), (1,), toxicity.BITS)[0][0])
-    # 14 texts have the word, of which a sample of this size holds one or two
-    one = toxicity.train(docs, labels, max_pos=20, max_unl=40)
+    # 14 texts have the word
+    one = toxicity.train(docs, labels, steps=2)
     assert rare in one.features.tolist()
     monkeypatch.setattr(_spark, "BROADCAST_ROWS", 0)
-    assert (toxicity.train(docs, labels, max_pos=20, max_unl=40).features == one.features).all()
+    monkeypatch.setattr(toxicity, "broadcast_if_small", lambda df: df)
+    assert (toxicity.train(docs, labels, steps=1).features == one.features).all()
 
 
 def test_quality_counts_every_target(spark, tmp_path, monkeypatch):
