@@ -1,6 +1,7 @@
 """A corpus pipeline of five stages over the documents table.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, in the order and with
+the column names of its input whatever other columns that has; between stages
 the rows are written as Parquet and read again, so a stage that is lost is
 run again from its input alone.  Stages 1 to 4 return the columns of documents.
 
@@ -18,35 +19,50 @@ from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, line_dedup, near_dedup, packing
 from quillon.llm import toxicity as tox
-from quillon.llm._spark import fold, load, scratch
+from quillon.llm._spark import fold, free_name, load, scratch, without
 from quillon.llm.queries import tokenizer_path
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a score below 0.5; null and empty texts have no evidence against them and stay."""
+    """Rows with a score below 0.5.
+
+    Null and empty texts have no evidence against them and stay; so do rows with a null id, which no decision names; rows
+    that repeat an id go together.  Without documents or labels nothing goes.
+    """
     seen = fold("doc_id", 5) != 0
     model = tox.train(docs.where(seen), load(spark, sf_dir, "labels").where(seen))
-    bad = tox.score(docs, model).where("score >= 0.5").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs.doc_id == F.col("_bad"), "left_anti")
+    bad = tox.score(docs, model).where("score >= 0.5 and doc_id is not null")
+    return without(docs, bad.select("doc_id"), "doc_id")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated lines; n_chars follows the text."""
-    out = line_dedup.drop_repeated_lines(docs)
-    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Texts without their repeated lines; n_chars follows a text that lost some.
+
+    A null text stays null, a text that loses all lines becomes empty, a null id loses none.  An empty table stays empty.
+    """
+    names = tuple(free_name(n, docs) for n in ("n_lines", "n_dropped", "kept_sha256"))
+    out = line_dedup.drop_repeated_lines(docs, measures=names)
+    n_chars = F.when(F.col(names[1]) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dedup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    """Of each group of near-duplicates the row with the smallest id.
+
+    Texts without words are in no group and stay, as do rows with a null id; rows that repeat an id stay or go together.
+    """
+    gone = near_dedup.near_duplicates(docs.select("doc_id", "text")).where("not kept")
+    return without(docs, gone.select("doc_id"), "doc_id")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that no passage of the benchmark occurs in; null texts and rows with a null id stay."""
     return decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, tokenizer_path())
+    """The pieces of all rows and their sequences; a null text is the end token alone, a null id is kept."""
+    return packing.pack_documents(docs.select("doc_id", "text"), tokenizer_path())
 
 
 STAGES = [
