@@ -10,7 +10,8 @@ so unlabelled texts count as negative less the share of positives among them,
 and a negative part that falls below zero is pushed back up rather than fitted.
 
 Everything covers all rows: feature counts, and both means of the risk.  The
-counts are aggregated on the executors in a table of ``2^BITS`` rows at most.
+counts are aggregated on the executors in tables of ``2^BITS`` rows at most, first
+of the confirmed texts, then of all texts for the features that can still pass.
 Features are those that confirmed texts have more often than all texts, with a
 likelihood ratio above what the best of as many useless features would reach.
 Every document is then kept as the numbers of its features, in blocks in the
@@ -119,36 +120,45 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     toxic = cut(marks.where("y = 1").select("id").distinct().withColumn("y", F.lit(1)))
     marked = rows.join(broadcast_if_small(toxic), "id", "left").select("text", F.col("y").isNotNull().alias("y"))
+    confirmed = rows.join(broadcast_if_small(toxic), "id").select("text")
     small_batches(spark)
 
-    def count(batches):
-        # positives, all documents; unlabelled are all, as in the risk
-        total = np.zeros((2, 1 << BITS), np.int64)
-        n = [0, 0]
-        for batch in batches:
-            y = batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offs in K.chunks(batch.column(0)):
-                f, d = distinct(*ngrams(data, offs, bits=BITS), bits=BITS)
-                total[0] += np.bincount(f[y[lo:hi][d]], minlength=1 << BITS)
-                total[1] += np.bincount(f, minlength=1 << BITS)
-                n[0] += int(y[lo:hi].sum())
-                n[1] += hi - lo
-        if n[1]:
-            # features that positives of this task do not have matter only if other tasks' do, so all are sent
-            some = np.flatnonzero(total[1])
-            # pieces, as a task may hold every feature
-            for at in np.array_split(some, len(some) // 200_000 + 1):
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], ["f", "p", "u"])
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array(n[:1], pa.int64()), pa.array(n[1:], pa.int64())], ["f", "p", "u"])
-
-    counts = cut(marked.mapInArrow(count, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")))
-    n_p, n_u = counts.where("f = -1").select("p", "u").first() or (0, 0)
+    def counted(texts: DataFrame, index: np.ndarray | None = None) -> DataFrame:
+        """(f, n): texts that have each feature, those of index >= 0 if given; n of f = -1 is all texts."""
+        of = None if index is None else spark.sparkContext.broadcast(index)
+
+        def count(batches):
+            total, n = np.zeros(1 << BITS, np.int64), 0
+            for batch in batches:
+                for lo, hi, data, offs in K.chunks(batch.column(0)):
+                    f, d = ngrams(data, offs, bits=BITS)
+                    if of is not None:
+                        some = of.value[f] >= 0
+                        f, d = f[some], d[some]
+                    np.add.at(total, distinct(f, d, bits=BITS)[0], 1)
+                    n += hi - lo
+            if n:
+                some = np.flatnonzero(total)
+                # pieces, as a task may hold every feature
+                for at in np.array_split(some, len(some) // 200_000 + 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["f", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([n], pa.int64())], ["f", "n"])
+
+        return texts.mapInArrow(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
+
+    own = cut(counted(confirmed))
+    n_p = own.where("f = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not n_p:
         return nothing
-    held = counts.where("f >= 0 and p > 0")
-    least = 2 * float(np.log(max(1, held.count()))) if min_ratio is None else min_ratio
-    ranked = held.where(F.col("p") * n_u > F.col("u") * n_p).where(_likelihood_ratio(n_p, n_u) > least)
-    got = ranked.select("f", "p").toPandas().sort_values("f")  # 2^BITS rows at most
+    n_u, kinds = rows.count(), own.count() - 1
+    least = 2 * float(np.log(max(1, kinds))) if min_ratio is None else min_ratio
+    # a feature's ratio is at most what it is if no other text has it; only those that can pass are counted over all texts
+    able = own.where("f >= 0").select("f", F.col("n").alias("p"), F.col("n").alias("u"))
+    able = able.where(_likelihood_ratio(n_p, n_u) > least).select("f", "p").toPandas()  # 2^BITS rows at most
+    index = np.full(1 << BITS, -1, np.int32)
+    index[able["f"]] = 1
+    got = counted(rows.select("text"), index).where("f >= 0").select("f", F.col("n").alias("u")).join(own.select("f", F.col("n").alias("p")), "f")
+    got = got.where(F.col("p") * n_u > F.col("u") * n_p).where(_likelihood_ratio(n_p, n_u) > least).select("f", "p").toPandas().sort_values("f")
     features, present = got["f"].to_numpy(np.int64), got["p"].to_numpy(np.float64)
     where = np.full(1 << BITS, -1, np.int32)
     where[features] = np.arange(len(features))
@@ -156,11 +166,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def pick(batch: pa.RecordBatch):
         for lo, hi, data, offs in K.chunks(batch.column(0)):
-            f, d = distinct(*ngrams(data, offs, bits=BITS), bits=BITS)
-            col = sent.value[f]
-            ends = np.searchsorted(d[col >= 0], np.arange(1, hi - lo + 1)).astype(np.int32)
+            f, d = ngrams(data, offs, bits=BITS)
+            col = sent.value[f].astype(np.int64)
+            col, d = distinct(col[col >= 0], d[col >= 0], bits=BITS)
+            ends = np.searchsorted(d, np.arange(1, hi - lo + 1)).astype(np.int32)
             yes = batch.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ends, col[col >= 0], yes)], ["ends", "cols", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ends, col.astype(np.int32), yes)], ["ends", "cols", "y"])
 
     blocks = stash(arrow_map(marked, pick, "ends binary, cols binary, y binary"), "toxic-features")
     size = blocks.agg(F.coalesce(F.sum(F.octet_length("cols") + F.octet_length("ends")), F.lit(0))).first()[0]
