@@ -1,4 +1,4 @@
-"""python -m quillon validate FILE | evaluate BARS EXPR [HORIZON] | task-bank EVALUATIONS OUT [MAX_SEEDS]"""
+"""python -m quillon validate FILE | evaluate BARS EXPR [HORIZON] | task-bank EVALUATIONS OUT.yaml [MAX_SEEDS] | build-prompts BANK OUT [MODE]"""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from quillon.sources.config import read_config
 
 
 def main(args: list[str]) -> int:
-    if not args or args[0] not in ("validate", "evaluate", "task-bank"):
+    if not args or args[0] not in ("validate", "evaluate", "task-bank", "build-prompts"):
         print(__doc__)
         return 2
     if args[0] == "validate":
@@ -30,9 +30,11 @@ def main(args: list[str]) -> int:
         out = seeds.evaluate(bars.scan(spark, args[1]), [("given", args[2])], int(args[3]) if len(args) > 3 else 1)
         for row in out.toJSON().take(1000):
             print(row)
+    elif args[0] == "build-prompts":
+        seeds.prompts(tables.load_tasks(spark, args[1]), args[3] if len(args) > 3 else "seeded_ocd", "You design factors from the operators of the factor language.").write.mode("overwrite").parquet(args[2])
     else:
         splits = spark.createDataFrame(seeds.SPLITS, "name string, start_date string, end_date string, weight double")
-        seeds.task_bank(tables.load_evaluations(spark, args[1]), splits, int(args[3]) if len(args) > 3 else 64).write.mode("overwrite").json(args[2])
+        tables.save_tasks(seeds.task_bank(tables.load_evaluations(spark, args[1]), splits, int(args[3]) if len(args) > 3 else 64), args[2])
     return 0
 
 

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.functions.stats import EPS, average_rank, clip, corr, finite, is_finite
+from quillon.functions.stats import EPS, average_rank, clip, corr, is_finite
 from quillon.plans.lower import factors
 from quillon.sources.bars import finite_rows
 
 FAIL = -1.0
+#: Fixed values below: the warm-up ladders by bar size, and the limits of the quality gate.
 
 
 def forward_return(horizon: int, close: str = "close", keys: tuple[str, ...] = ("symbol",), order: str = "ts") -> Column:
@@ -41,6 +42,11 @@ def warmup_days(minutes: int, bars: int) -> int:
     return max(180, 2 * bars + 30) if minutes >= 1440 else max(10, -(-minutes * bars // 1440) + 5)
 
 
+def backtest_warmup(minutes: int, days: int) -> int:
+    """Rows of a symbol before its first that a backtest keeps: a day ladder, none for bars of about a day."""
+    return 1 if minutes >= 1440 else days * (1440 // minutes)
+
+
 def after_start(df: DataFrame, start: str, order: str = "ts") -> DataFrame:
     """Evaluation rows; apply it after windows are computed."""
     return df.where(F.col(order) >= F.lit(start).cast("timestamp_ntz"))
@@ -65,82 +71,136 @@ def align(factor: DataFrame, returns: DataFrame, on: tuple[str, ...] = ("symbol"
     return aligned(factor.join(returns, list(on)))
 
 
-# -- rewards: each gives (value, passed, reason, metrics) from aligned rows
+# -- rewards: each is a set of aggregates over the rows where factor and return are finite, and what follows from them
 
 
-def direction_accuracy(df: DataFrame, keys: tuple[str, ...] = (), min_samples: int = 50) -> DataFrame:
-    """(acc - 0.5) * 200 over rows with a signal; a zero label counts as wrong."""
-    sign, truth = F.signum("factor"), F.signum("fwd")
-    acc = F.avg(F.when(sign != 0, (sign == truth).cast("double")))
-    n, signals = F.count("*"), F.sum((sign != 0).cast("long"))
-    out = df.groupBy(*keys).agg(n.alias("samples"), signals.alias("signals"), acc.alias("acc"), F.avg((sign != 0).cast("double")).alias("coverage"))
-    fail = (F.col("samples") < min_samples) | (F.coalesce("signals", F.lit(0)) == 0)
-    reason = F.when(F.col("samples") < min_samples, "too_few_samples").when(F.coalesce("signals", F.lit(0)) == 0, "no_signal").otherwise("")
-    return _reward(out, keys, "direction_accuracy", F.when(fail, -100.0).otherwise((F.col("acc") - 0.5) * 200), ~fail, reason, {"acc": "acc", "coverage": "coverage", "samples": "samples"})
+@dataclass(frozen=True)
+class Reward:
+    """columns: added before the aggregation; sums: aggregates by name; then value, passed, reason and metrics of these."""
 
+    columns: dict[str, Column]
+    sums: dict[str, Column]
+    value: Column
+    reason: Column
+    metrics: dict[str, Column]
 
-def ic(df: DataFrame, keys: tuple[str, ...] = (), min_samples: int = 30) -> DataFrame:
-    out = df.groupBy(*keys).agg(F.count("*").alias("samples"), corr("factor", "fwd").alias("r"))
-    return _correlation(out, keys, "ic", min_samples)
 
+def _direction(tag: str, fwd: str, keys: tuple[str, ...], min_samples: int = 50) -> Reward:
+    """(acc - 0.5) * 200 over rows with a signal; a zero return counts as wrong."""
+    c, ok = (lambda n: F.col(tag + n)), is_finite("factor") & is_finite(fwd)
+    signal = ok & (F.signum("factor") != 0)
+    right = F.when(signal, (F.signum("factor") == F.signum(fwd)).cast("double"))
+    sums = {"n": F.count(F.when(ok, 1)), "k": F.count(F.when(signal, 1)), "acc": F.avg(right)}
+    few, none = c("n") < min_samples, c("k") == 0
+    metrics = {
+        "samples": F.when(few, c("n")).when(~none, c("k")), "coverage": F.when(~few & none, 0.0).when(~few, c("k") / c("n")), "direction_acc": F.when(~few & ~none, c("acc")),
+    }
+    return Reward({}, sums, F.when(few | none, -100.0).otherwise((c("acc") - 0.5) * 200), F.when(few, "too_few_samples").when(none, "zero_signal"), metrics)
 
-def rank_ic(df: DataFrame, keys: tuple[str, ...] = (), min_samples: int = 30) -> DataFrame:
-    """Spearman over time.  Without keys this ranks all rows together: give keys that bound the groups."""
-    part = keys or ("_all",)
-    rows = df if keys else df.withColumn("_all", F.lit(0))
-    ranked = rows.withColumns({"rf": average_rank("factor", *part), "rr": average_rank("fwd", *part)})
-    out = ranked.groupBy(*keys).agg(F.count("*").alias("samples"), corr("rf", "rr").alias("r"))
-    return _correlation(out, keys, "rank_ic", min_samples)
 
+def _correlation(name: str, ranked: bool):
+    def make(tag: str, fwd: str, keys: tuple[str, ...], min_samples: int = 50) -> Reward:
+        c, ok = (lambda n: F.col(tag + n)), is_finite("factor") & is_finite(fwd)
+        pair, columns = (F.when(ok, F.col("factor")), F.when(ok, F.col(fwd))), {}
+        if ranked:
+            # without keys all rows are ranked together: give keys that bound the groups
+            columns = {f"{tag}ok": ok, f"{tag}f": average_rank("factor", *keys, f"{tag}ok"), f"{tag}r": average_rank(fwd, *keys, f"{tag}ok")}
+            pair = F.when(ok, c("f")), F.when(ok, c("r"))
+        few, none = c("n") < min_samples, c("v").isNull()
+        sums = {"n": F.count(F.when(ok, 1)), "v": corr(*pair)}
+        metrics = {"samples": c("n").cast("double"), name: F.when(~few, c("v"))}
+        return Reward(columns, sums, F.when(few | none, FAIL).otherwise(c("v")), F.when(few, "too_few_samples").when(none, "undefined"), metrics)
 
-def _correlation(out: DataFrame, keys, name: str, min_samples: int) -> DataFrame:
-    few = F.col("samples") < min_samples
-    bad = few | F.col("r").isNull()
-    reason = F.when(few, "too_few_samples").when(F.col("r").isNull(), "undefined").otherwise("")
-    return _reward(out, keys, name, F.when(bad, FAIL).otherwise(F.col("r")), ~bad, reason, {name: "r", "samples": "samples"})
+    return make
 
 
-def signal_return(df: DataFrame, keys: tuple[str, ...] = (), min_samples: int = 50, periods: float = 365 * 24 * 12) -> DataFrame:
+def _signal_return(tag: str, fwd: str, keys: tuple[str, ...], min_samples: int = 50, periods: float = 365 * 24 * 12) -> Reward:
     """Annualised mean over deviation of sign(factor) * fwd."""
-    pnl = F.signum("factor") * F.col("fwd")
-    out = df.groupBy(*keys).agg(F.count("*").alias("samples"), F.avg(pnl).alias("mean"), F.stddev_pop(pnl).alias("std"))
-    few = F.col("samples") < min_samples
-    value = F.col("mean") / (F.col("std") + 1e-12) * float(periods) ** 0.5
-    return _reward(out, keys, "signal_return", F.when(few, FAIL).otherwise(value), ~few, F.when(few, "too_few_samples").otherwise(""), {"mean": "mean", "std": "std", "samples": "samples"})
+    c, ok = (lambda n: F.col(tag + n)), is_finite("factor") & is_finite(fwd)
+    pnl = F.when(ok, F.signum("factor") * F.col(fwd))
+    few, std = c("n") < min_samples, c("std") + 1e-12
+    ratio = c("mean") / std * float(periods) ** 0.5
+    metrics = {"samples": F.when(few, c("n")), **{k: F.when(~few, v) for k, v in {"mean_pnl": c("mean"), "pnl_std": std, "sharpe_like": ratio}.items()}}
+    return Reward({}, {"n": F.count(pnl), "mean": F.avg(pnl), "std": F.stddev_pop(pnl)}, F.when(few, FAIL).otherwise(ratio), F.when(few, "too_few_samples"), metrics)
 
 
-def _reward(df: DataFrame, keys, name: str, value: Column, passed: Column, reason: Column, metrics: dict[str, str]) -> DataFrame:
-    items = [x for k, v in metrics.items() for x in (F.lit(k), F.coalesce(F.col(v).cast("double"), F.lit(0.0)))]
-    return df.select(*keys, F.lit(name).alias("reward"), value.alias("value"), passed.alias("passed"), reason.alias("reason"), F.create_map(*items).alias("metrics"))
+REWARDS: dict[str, Callable[..., Reward]] = {"direction_accuracy": _direction, "ic": _correlation("ic", False), "rank_ic": _correlation("rank_ic", True), "signal_return": _signal_return}
 
 
-REWARDS: dict[str, Callable[..., DataFrame]] = {"direction_accuracy": direction_accuracy, "ic": ic, "rank_ic": rank_ic, "signal_return": signal_return}
+def register(name: str, make: Callable[..., Reward]) -> None:
+    """Adds a reward: a function of (tag, fwd, keys, min_samples, ...) to a Reward whose sums carry the tag."""
+    if name in REWARDS:
+        raise ValueError(f"there is a reward {name!r} already")
+    REWARDS[name] = make
 
 
 def reward(name: str) -> Callable[..., DataFrame]:
+    """A reward by name, as a function of (rows, keys, options) to (keys, reward, value, passed, reason, metrics)."""
     if name not in REWARDS:
         raise KeyError(f"unknown reward {name!r}; known: {sorted(REWARDS)}")
-    return REWARDS[name]
 
+    def run(df: DataFrame, keys: tuple[str, ...] = (), **options) -> DataFrame:
+        out = composite(df, {name: {"weight": 1.0, **options}}, keys)
+        reason = F.regexp_replace("reason", f"^{name}:", "")
+        metrics = F.transform_keys(F.map_filter("metrics", lambda k, _: k != f"{name}/value"), lambda k, _: F.substring_index(k, "/", -1))
+        return out.select(*keys, F.lit(name).alias("reward"), "value", "passed", reason.alias("reason"), metrics.alias("metrics"))
+
+    return run
+
+
+def direction_accuracy(df: DataFrame, keys: tuple[str, ...] = (), **options) -> DataFrame:
+    return reward("direction_accuracy")(df, keys, **options)
+
+
+def ic(df: DataFrame, keys: tuple[str, ...] = (), **options) -> DataFrame:
+    return reward("ic")(df, keys, **options)
 
-def single_asset_reward(kind: str) -> tuple[str, int]:
-    """(reward name, least samples) of a reward kind; unknown kinds mean direction."""
+
+def rank_ic(df: DataFrame, keys: tuple[str, ...] = (), **options) -> DataFrame:
+    return reward("rank_ic")(df, keys, **options)
+
+
+def signal_return(df: DataFrame, keys: tuple[str, ...] = (), **options) -> DataFrame:
+    return reward("signal_return")(df, keys, **options)
+
+
+def single_asset_reward(kind: str, horizon: int = 1) -> tuple[str, int, int]:
+    """(reward name, least samples, horizon of at least 1) of a reward kind; unknown kinds mean direction."""
     name = {"direction": "direction_accuracy"}.get(kind, kind)
     name = name if name in REWARDS else "direction_accuracy"
-    return name, 30 if name in ("ic", "rank_ic") else 50
+    return name, 30 if name in ("ic", "rank_ic") else 50, max(1, horizon)
 
 
-def composite(df: DataFrame, weights: dict[str, float], keys: tuple[str, ...] = (), primary: str = "direction_accuracy") -> DataFrame:
-    """Weighted sum of several rewards; passed if all pass; metrics carry the reward's name."""
-    weights = weights or {primary: 1.0}
-    rows = reduce(DataFrame.unionByName, [reward(n)(df, keys) for n in weights])
-    w = F.coalesce(F.element_at(F.create_map(*[x for n, v in weights.items() for x in (F.lit(n), F.lit(float(v)))]), F.col("reward")), F.lit(0.0))
-    named = F.transform_keys("metrics", lambda k, _: F.concat_ws("/", "reward", k))
-    merged = F.map_from_entries(F.flatten(F.collect_list(F.map_entries(named))))
-    return rows.groupBy(*keys).agg(
-        F.sum(w * F.col("value")).alias("value"), F.min(F.col("passed").cast("int")).cast("boolean").alias("passed"),
-        F.concat_ws(";", F.array_sort(F.collect_list(F.when(F.col("reason") != "", F.concat_ws(":", "reward", "reason"))))).alias("reason"), merged.alias("metrics"),
-    )
+def composite(df: DataFrame, components: dict[str, float | dict], keys: tuple[str, ...] = (), primary: str = "direction_accuracy") -> DataFrame:
+    """(keys, value, passed, reason, metrics): a weighted sum of rewards, in one aggregation.
+
+    components: a weight for each reward, or its options: weight (1 for the primary, else 0), horizon (then its returns are
+    computed from close over the rows at hand, else ``fwd`` is taken), min_samples and so on.  Passed if all pass; reasons
+    and metrics carry the reward's name, in the order of the components.  Without keys a table without rows gives one row.
+    """
+    parts: list[tuple[str, float, str, Reward]] = []
+    rows = df
+    for i, (name, given) in enumerate((components or {primary: {"weight": 1.0}}).items()):
+        if name not in REWARDS:
+            raise KeyError(f"unknown reward {name!r}; known: {sorted(REWARDS)}")
+        options = dict(given) if isinstance(given, dict) else {"weight": given}
+        weight, horizon, tag, fwd = float(options.pop("weight", 1.0 if name == primary else 0.0)), options.pop("horizon", None), f"_{i}_", "fwd"
+        if horizon is not None:
+            fwd = f"_fwd{horizon}"
+            rows = rows if fwd in rows.columns else rows.withColumn(fwd, forward_return(int(horizon)))
+        part = REWARDS[name](tag, fwd, keys, **options)
+        for k, v in part.columns.items():
+            rows = rows.withColumn(k, v)
+        parts.append((name, weight, tag, part))
+    out = rows.groupBy(*keys).agg(*[v.alias(tag + k) for _, _, tag, p in parts for k, v in p.sums.items()])
+    total, passed = F.lit(0.0), F.lit(True)
+    reasons, metrics = [], []
+    for name, weight, _, p in parts:
+        total, passed = total + F.lit(weight) * p.value, passed & p.reason.isNull()
+        reasons.append(F.when(p.reason.isNotNull(), F.concat(F.lit(f"{name}:"), p.reason)))
+        metrics += [F.struct(F.lit(f"{name}/{k}").alias("key"), v.cast("double").alias("value")) for k, v in {**p.metrics, "value": p.value}.items()]
+    kept = F.map_from_entries(F.filter(F.array(*metrics), lambda x: x["value"].isNotNull()))
+    return out.select(*keys, total.alias("value"), passed.alias("passed"), F.concat_ws(";", *reasons).alias("reason"), kept.alias("metrics"))
 
 
 def raw_reward(kind: str, value: Column, passed: Column) -> Column:
@@ -148,11 +208,15 @@ def raw_reward(kind: str, value: Column, passed: Column) -> Column:
     return F.when(~passed | value.isNull(), FAIL).otherwise(value)
 
 
-def direction_profile(df: DataFrame, horizon: int = 1) -> DataFrame:
-    """(…, pred, label, mask, correct) of every labelled row; the horizon is 1 unless asked."""
-    rows = aligned(df.withColumn("fwd", forward_return(horizon)))
+def direction_signs(rows: DataFrame, *keep: str) -> DataFrame:
+    """(…, symbol, ts, pred, label, mask, correct) of aligned rows."""
     pred, label = F.signum("factor").cast("tinyint"), F.signum("fwd").cast("tinyint")
-    return rows.select("symbol", "ts", pred.alias("pred"), label.alias("label"), (pred != 0).alias("mask"), ((pred != 0) & (pred == label)).alias("correct"))
+    return rows.select(*keep, "symbol", "ts", pred.alias("pred"), label.alias("label"), (pred != 0).alias("mask"), ((pred != 0) & (pred == label)).alias("correct"))
+
+
+def direction_profile(df: DataFrame, horizon: int = 1) -> DataFrame:
+    """(symbol, ts, pred, label, mask, correct) of every labelled row; the horizon is 1 unless asked."""
+    return direction_signs(aligned(df.withColumn("fwd", forward_return(horizon))))
 
 
 # -- cross-section
@@ -174,36 +238,50 @@ def cross_section(df: DataFrame, keys: tuple[str, ...] = ("ts",), min_symbols: i
 
 
 def percentile_ranks(df: DataFrame, keys: tuple[str, ...] = ("ts",), min_symbols: int = 8) -> DataFrame:
-    """symbol and average rank / n per timestamp."""
-    rows = aligned(df).withColumn("n", F.count("*").over(Window.partitionBy(*keys))).where(F.col("n") >= min_symbols)
-    return rows.select(*keys, "symbol", (average_rank("factor", *keys) / F.col("n")).alias("rank_pct"))
+    """symbol and average rank / n per timestamp whose RankIC is defined."""
+    per = Window.partitionBy(*keys)
+    rows = aligned(df).withColumn("n", F.count("*").over(per)).where(F.col("n") >= min_symbols)
+    rows = rows.withColumns({"rf": average_rank("factor", *keys), "rr": average_rank("fwd", *keys)})
+    rows = rows.withColumn("r", corr("rf", "rr", per)).where("r is not null")
+    return rows.select(*keys, "symbol", (F.col("rf") / F.col("n")).alias("rank_pct"))
 
 
-def summarise(cross: DataFrame, total_symbols: int | Column, keys: tuple[str, ...] = (), min_times: int = 20) -> DataFrame:
-    """One row: mean and deviation of RankIC, ICIR, long-short statistics, coverage and the score."""
+def summarise(cross: DataFrame, total_symbols: int | Column, keys: tuple[str, ...] = (), min_times: int = 20, min_symbols: int = 0) -> DataFrame:
+    """One row: mean and deviation of RankIC, ICIR, long-short statistics, coverage and the score.
+
+    Timestamps whose RankIC is undefined take no part.  The score is -1 with fewer than min_times of the others, or fewer
+    than min_symbols symbols in all.
+    """
     t = F.count("rank_ic")
     mean, std = F.avg("rank_ic"), F.stddev_pop("rank_ic")
     total = F.lit(total_symbols) if isinstance(total_symbols, int) else total_symbols
-    out = cross.groupBy(*keys).agg(
+    out = cross.where("rank_ic is not null").groupBy(*keys).agg(
         t.alias("times"), mean.alias("mean_rank_ic"), std.alias("std_rank_ic"), (mean / (std + EPS) * F.sqrt(t)).alias("icir"),
         F.avg("ls_return").alias("mean_ls"), (F.avg("ls_return") / (F.stddev_pop("ls_return") + EPS) * F.sqrt(F.count("ls_return"))).alias("ls_sharpe"),
-        F.avg("n_symbols").alias("mean_symbols"), F.avg(F.col("n_symbols") / total).alias("coverage"),
+        F.avg("n_symbols").alias("mean_symbols"), F.avg(F.col("n_symbols") / total).alias("coverage"), F.max(total).alias("_total"),
     )
     score = clip(5 * F.col("mean_rank_ic") + 0.02 * F.tanh("icir"), -1, 1)
-    return out.withColumns({"predictive": 100 * F.col("mean_rank_ic"), "score": F.when((F.col("times") < min_times) | score.isNull(), FAIL).otherwise(score)})
+    few = (F.col("times") < min_times) | (F.coalesce("_total", F.lit(0)) < min_symbols)
+    return out.withColumns({"predictive": 100 * F.col("mean_rank_ic"), "score": F.when(few | score.isNull(), FAIL).otherwise(score)}).drop("_total")
 
 
-def evaluate_panel(bars: DataFrame, expr: str, horizon: int = 6, warmup: int = 1, start: str | None = None, min_symbols: int = 8) -> DataFrame:
-    """(symbol, ts, factor, fwd): labels over all bars, factors over finite ones."""
-    labels = panel_labels(bars, horizon).select("symbol", "ts", "fwd")
-    rows = skip_warmup(factors(finite_rows(bars), {"factor": expr}), warmup).select("symbol", "ts", "factor").join(labels, ["symbol", "ts"])
+def evaluate_panel(bars: DataFrame, expr: str, horizon: int = 6, warmup: int = 1, start: str | None = None) -> DataFrame:
+    """(symbol, ts, factor, fwd): returns over all bars, factors over finite ones, in one shuffle and sort."""
+    rows = skip_warmup(factors(finite_rows(panel_labels(bars, horizon)), {"factor": expr}), warmup).select("symbol", "ts", "factor", "fwd")
     return after_start(rows, start) if start else rows
 
 
+def panel_score(rows: DataFrame, min_symbols: int = 8, min_times: int = 20) -> DataFrame:
+    """The summary of panel rows; symbols without a row count neither for the gate on symbols nor for the coverage."""
+    symbols = rows.agg(F.count_distinct("symbol").alias("symbols"))
+    cross = cross_section(rows, min_symbols=min_symbols).join(F.broadcast(symbols))  # one row
+    return summarise(cross, F.col("symbols"), (), min_times, min_symbols)
+
+
 def quality_gate(df: DataFrame, kind: Column, m: Callable[[str], Column]) -> DataFrame:
     """Factors worth keeping, by reward kind; other kinds have no gate."""
     fair = (
-        F.when(kind.startswith("direction"), (m("predictive") >= 2.0) & (m("acc") >= 0.51) & (m("coverage") >= 0.6))
+        F.when(kind.startswith("direction"), (m("predictive") >= 2.0) & (m("direction_acc") >= 0.51) & (m("coverage") >= 0.6))
         .when(kind.isin("ic", "rank_ic"), (m("value") >= 0.01) & (m("samples") >= 50))
         .when(kind.startswith("cross_sectional"), (m("mean_rank_ic") >= 0.01) & (m("coverage") >= 0.6))
         .otherwise(True)
@@ -217,7 +295,3 @@ def user_factor(bars: DataFrame, fn: Callable, schema: str = "symbol string, ts
     For what the factor language cannot say.  A symbol's bars are one group in one task, so its history must fit there.  Text is never executed.
     """
     return bars.groupBy("symbol").applyInPandas(lambda rows: fn(rows.sort_values("ts", kind="stable").reset_index(drop=True)), schema)
-
-
-def finite_column(name: str) -> Column:
-    return finite(name)

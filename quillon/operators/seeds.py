@@ -28,12 +28,25 @@ def with_defaults(df: DataFrame) -> DataFrame:
 
 
 def validate_candidates(spark: SparkSession, rows: list[tuple[str, str]], **limits) -> DataFrame:
-    """(id, valid, status, reasons, depth, nodes, canonical_hash) of (id, expr); a few hundred on the driver."""
+    """(id, valid, status, reasons, metrics, canonical_hash) of (id, expr); a few hundred on the driver.
+
+    status is static_valid, static_invalid or invalid_syntax, which has no metrics and no hash.
+    """
     out = []
     for key, text in rows:
         v = validate(text, **limits)
-        out.append((key, v.valid, "valid" if v.valid else "invalid", v.reasons, v.stats.depth, v.stats.nodes, v.stats.hash))
-    return spark.createDataFrame(out, "id string, valid boolean, status string, reasons array<string>, depth int, nodes int, canonical_hash string")
+        status = "static_valid" if v.valid else "static_invalid" if v.stats.valid else "invalid_syntax"
+        metrics = {"expr_depth": float(v.stats.depth), "expr_nodes": float(v.stats.nodes)} if v.stats.valid else {}
+        out.append((key, v.valid, status, v.reasons, metrics, v.stats.hash))
+    return spark.createDataFrame(out, "id string, valid boolean, status string, reasons array<string>, metrics map<string,double>, canonical_hash string")
+
+
+def smoke(bars: DataFrame, expr: str, minutes: int = 5, min_samples: int = 50) -> DataFrame:
+    """One expression over all its symbols: (valid, score, direction_acc, coverage, error), with the usual warm-up rows."""
+    got = evaluate(bars, [("given", expr)], 1, 240 if minutes == 5 else 96, min_samples, ("id",))
+    of = lambda n: F.coalesce(_metric(n), F.lit(0.0)).alias(n)
+    error = F.nullif(F.concat_ws(";", "reasons"), F.lit(""))
+    return got.select("valid", F.coalesce(_metric("reward"), F.lit(0.0)).alias("score"), of("direction_acc"), of("coverage"), error.alias("error"))
 
 
 def evaluate(bars: DataFrame, candidates: list[tuple[str, str]], horizon: int = 1, warmup: int = 1, min_samples: int = 50, keys: tuple[str, ...] = ("id", "symbol")) -> DataFrame:
@@ -53,8 +66,8 @@ def evaluate(bars: DataFrame, candidates: list[tuple[str, str]], horizon: int =
     rows = wide.select("symbol", "ts", "close", F.posexplode(F.array(*[f"f{i}" for i in range(len(good))])).alias("at", "factor"))
     rows = rows.select(F.element_at(ids, F.col("at") + 1).alias("id"), "symbol", "ts", "close", "factor")
     labelled = panel.aligned(panel.series_labels(rows, horizon, keys=("id", "symbol")))
-    got = panel.direction_accuracy(labelled, keys, min_samples)
-    metrics = F.map_concat("metrics", F.create_map(F.lit("reward"), F.col("value"), F.lit("direction_acc"), F.col("metrics")["acc"]))
+    got = panel.direction_accuracy(labelled, keys, min_samples=min_samples)
+    metrics = F.map_concat("metrics", F.create_map(F.lit("reward"), F.col("value")))
     symbol = F.col("symbol") if "symbol" in keys else F.lit(None).cast("string")
     out = got.select("id", symbol.alias("symbol"), "passed", "reason", metrics.alias("metrics"))
     return out.select(
@@ -73,52 +86,73 @@ def _metric(name: str) -> Column:
 
 
 def score(df: DataFrame, weights: dict[str, float] = WEIGHTS, filters: dict[str, float] = FILTERS, contrarian: tuple[str, float] = CONTRARIAN) -> DataFrame:
-    """Adds seed_score, reasons, valid, status and invert to rows with (valid, metrics map)."""
-    total = sum((F.coalesce(_metric("expr_nodes" if m == "complexity" else m), _metric(f"composite/{m}"), F.lit(0.0)) * w for m, w in weights.items()), F.lit(0.0))
+    """Adds seed_score, reasons, valid, status and invert to rows with (valid, metrics map).
+
+    Reasons and inversions found before stay, and a row with any reason is not valid.  A metric that a row lacks counts
+    as 0 in the score and passes the filters; complexity is the node count.
+    """
+    total = F.lit(0.0)
+    for m, w in weights.items():
+        own = _metric("expr_nodes") if m == "complexity" else F.coalesce(_metric(m), _metric(f"composite/{m}"))
+        total = total + F.coalesce(own, F.lit(0.0)) * w
     failed = []
     for f, limit in filters.items():
         side, m = f.split("_", 1)
         bad = _metric(m) < limit if side == "min" else _metric(m) > limit
         failed.append(F.when(bad, F.lit(f"{m}{'<' if side == 'min' else '>'}{limit:g}")))
-    reasons = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
-    ok = F.col("valid") & (F.size("reasons") == 0)
-    out = df.withColumn("seed_score", total).withColumn("reasons", reasons).withColumn("valid", ok)
-    status = F.when(~F.col("valid"), "filtered").when(F.col("seed_score") >= 0, "elite_candidate").otherwise("valid_low_score")
-    return out.withColumns({"status": status, "invert": F.coalesce(_metric(contrarian[0]) < contrarian[1], F.lit(False))})
+    before = F.coalesce("reasons", F.array().cast("array<string>")) if "reasons" in df.columns else F.array().cast("array<string>")
+    found = F.concat(before, F.array_compact(F.array(*failed))) if failed else before
+    out = df.withColumns({"seed_score": total, "reasons": found}).withColumn("valid", F.col("valid") & (F.size("reasons") == 0))
+    status = F.when(~F.col("valid"), "filtered").when(F.col("seed_score") > 0, "elite_candidate").otherwise("valid_low_score")
+    invert = F.coalesce(_metric(contrarian[0]) < contrarian[1], F.lit(False))
+    return out.withColumns({"status": status, "invert": invert | F.coalesce("invert", F.lit(False)) if "invert" in df.columns else invert})
+
+
+KEPT, COPY, QUOTA = "kept", "duplicate_ast", "duplicate_category_quota"
 
 
 def dedup(df: DataFrame, quota: int | None = None) -> DataFrame:
-    """Marks duplicates by hash (first in score order wins; an empty hash never repeats), then rows beyond the category quota.
+    """Adds dup_status to rows with idx: kept, duplicate_ast or duplicate_category_quota; NULL for rows that are not valid.
 
-    Input order breaks ties: rows need idx.  Adds dup_status: kept, duplicate_ast or duplicate_category_quota.
+    Valid rows are taken in the order of score, then idx.  One whose hash a kept row has is a copy (an empty hash never
+    repeats), else one whose category already has ``quota`` kept rows is beyond it; it does not stand in the way of later copies.
     """
-    order = [F.desc("seed_score"), F.asc("idx")]
     has = F.coalesce(F.col("canonical_hash"), F.lit("")) != ""
     # rows without a hash are dealt out by idx, so they make no hot group
-    group = F.when(has, F.col("canonical_hash")).otherwise(F.concat(F.lit("#"), F.col("idx")))
-    out = df.withColumn("_first", F.row_number().over(Window.partitionBy(group).orderBy(*order)) == 1)
-    status = F.when(~F.col("_first"), "duplicate_ast")
-    if quota is not None:
-        out = out.withColumn("_place", F.row_number().over(Window.partitionBy("category", "_first").orderBy(*order)))
-        status = status.when(F.col("_place") > quota, "duplicate_category_quota")
-    return out.withColumn("dup_status", status.otherwise("kept")).drop("_first", "_place")
+    rows = df.withColumn("_hash", F.when(has, F.col("canonical_hash")).otherwise(F.concat(F.lit("#"), F.col("idx"))))
+    rows = rows.withColumn("_family", F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit("general")))
+    order = [F.desc("seed_score"), F.asc("idx")]
+    part = F.coalesce("valid", F.lit(False))
+    copies, family = Window.partitionBy("_hash", part).orderBy(*order), Window.partitionBy("_family", part).orderBy(*order)
+    if quota is None:
+        done = rows.withColumn("dup_status", F.when(part, F.when(F.row_number().over(copies) == 1, KEPT).otherwise(COPY)))
+        return done.drop("_hash", "_family")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("dup_status", F.lit(None).cast("string"))
+    open_ = part & F.col("dup_status").isNull()
+    while True:
+        # what is settled before a row settles it; the first open row always can be
+        ahead = lambda cond, w: F.coalesce(F.sum(cond.cast("int")).over(before(w)), F.lit(0))
+        rows = rows.withColumns({"_kept": ahead(F.col("dup_status") == KEPT, copies), "_open": ahead(open_, copies), "_full": ahead(F.col("dup_status") == KEPT, family), "_wait": ahead(open_, family)})
+        first = (F.col("_open") == 0) & (F.col("_kept") == 0)
+        settled = F.when(F.col("_kept") > 0, COPY).when(first & (F.col("_full") >= quota), QUOTA).when(first & (F.col("_full") + F.col("_wait") < quota), KEPT)
+        rows = rows.withColumn("dup_status", F.coalesce("dup_status", F.when(part, settled))).drop("_kept", "_open", "_full", "_wait")
+        if rows.where(open_).isEmpty():
+            return rows.drop("_hash", "_family")
 
 
 def library(df: DataFrame, elite: int = ELITE, diverse: int = DIVERSE, contrarians: int = CONTRARIANS, least: float = 0.0) -> DataFrame:
-    """Adds the flags elite, diverse, contrarian and rejected to deduplicated rows; flags may overlap."""
-    order = [F.desc("seed_score"), F.asc("idx")]
-    kept = df.where("valid and dup_status = 'kept'")
+    """Adds the flags elite, diverse, contrarian and rejected to deduplicated rows; flags may overlap.
 
-    def top(rows: DataFrame, n: int, name: str) -> DataFrame:
-        return rows.orderBy(*order).limit(n).select("id").withColumn(name, F.lit(True))
-
-    best = F.row_number().over(Window.partitionBy("category").orderBy(*order))
-    out = df.join(top(kept.where(F.col("seed_score") >= least), elite, "elite"), "id", "left")
-    out = out.join(top(kept.withColumn("b", best).where("b = 1"), diverse, "diverse"), "id", "left")
-    out = out.join(top(df.where("invert"), contrarians, "contrarian"), "id", "left")
-    flags = {f: F.coalesce(F.col(f), F.lit(False)) for f in ("elite", "diverse", "contrarian")}
-    out = out.withColumns(flags)
-    return out.withColumn("rejected", ~(F.col("elite") | F.col("diverse") | F.col("contrarian")))
+    Only rows that are valid and kept are taken, the best first: elite of those with a score of at least ``least``,
+    diverse of all, contrarian of those that work inverted.  All others are rejected.
+    """
+    kept = df.where(F.col("valid") & (F.col("dup_status") == KEPT))
+    out = df
+    for name, rows, n in (("elite", kept.where(F.col("seed_score") >= least), elite), ("diverse", kept, diverse), ("contrarian", kept.where("invert"), contrarians)):
+        best = rows.orderBy(F.desc("seed_score"), F.asc("idx")).limit(n).select("idx", F.lit(True).alias(name))
+        out = out.join(F.broadcast(best), "idx", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return out.withColumn("rejected", ~(F.col("elite") | F.col("diverse") | F.col("contrarian"))).select(*df.columns, "elite", "diverse", "contrarian", "rejected")
 
 
 def softmax_sample(pool: DataFrame, k: int, temperature: float = 1.0, explore: float = 0.2, seed: int = 0) -> DataFrame:
@@ -181,14 +215,43 @@ def in_splits(df: DataFrame, splits: DataFrame, order: str = "ts") -> DataFrame:
     return df.join(F.broadcast(s), (F.col(order) >= F.col("_a")) & (F.col(order) <= F.col("_b"))).drop("_a", "_b")
 
 
-def prompt_rows(tasks: DataFrame, system: str, template: str, source: str = "factor_tasks") -> DataFrame:
-    """Nested training rows; template has {expr}, {split}, {start_date} and {end_date}."""
-    text = F.lit(template)
-    for f in ("expr", "split", "start_date", "end_date"):
-        text = F.replace(text, F.lit("{" + f + "}"), F.col(f).cast("string"))
+#: The modes of a prompt: whether a seed is needed, and what the user's message holds before and after the task's context.
+MODES: dict[str, tuple[bool, str, str]] = {
+    "seeded_ocd": (True, "Improve the seed expression below; change its structure, windows, normalisation or direction.", "Seed expression:\n<expr>{expr}</expr>\nAnswer with one <expr>...</expr> only."),
+    "ocd": (False, "Design a new expression from the operators.", "Answer with one <expr>...</expr> only."),
+    "seed_only": (True, "Repeat this expression.", "<expr>{expr}</expr>"),
+    "free_code": (False, "Write a factor as code.", "Answer with one <code>...</code> only."),
+}
+CONTEXT = ("category", "split", "start_date", "end_date", "scenario", "hint")
+
+
+def prompts(tasks: DataFrame, mode: str, system: str, source: str = "factor_tasks", modes: dict[str, tuple[bool, str, str]] = MODES) -> DataFrame:
+    """Prompt rows of a mode; the user's message names what a task says of itself.
+
+    Modes that need a seed leave out tasks without an expression.
+    """
+    if mode not in modes:
+        raise ValueError(f"unknown mode {mode!r}; known: {sorted(modes)}")
+    seeded, before, after = modes[mode]
+    rows = tasks.where("coalesce(expr, '') <> ''") if seeded else tasks
+    said = [F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in CONTEXT if c in tasks.columns]
+    known = F.concat_ws("\n", *said) if said else F.lit("")
+    user = F.concat_ws("\n", F.lit(before), F.nullif(known, F.lit("")), F.replace(F.lit(after), F.lit("{expr}"), F.coalesce("expr", F.lit(""))))
+    return _rows(rows, F.lit(system), user, source)
+
+
+def _rows(tasks: DataFrame, system: Column, user: Column, source: str) -> DataFrame:
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     return tasks.select(
-        F.concat_ws("/", F.lit(source), "category", "split").alias("data_source"), F.array(message("system", F.lit(system)), message("user", text)).alias("prompt"),
+        F.concat_ws("/", F.lit(source), "category", "split").alias("data_source"), F.array(message("system", system), message("user", user)).alias("prompt"),
         F.struct(F.array().cast("array<string>").alias("ground_truth"), F.lit("rule").alias("style")).alias("reward_model"),
         F.struct("task_id", "seed_id", F.col("expr").alias("seed_expr"), "split", "start_date", "end_date", "category").alias("extra_info"),
     )
+
+
+def prompt_rows(tasks: DataFrame, system: str, template: str, source: str = "factor_tasks") -> DataFrame:
+    """Nested training rows; template has {expr}, {split}, {start_date} and {end_date}."""
+    user = F.lit(template)
+    for f in ("expr", "split", "start_date", "end_date"):
+        user = F.replace(user, F.lit("{" + f + "}"), F.col(f).cast("string"))
+    return _rows(tasks, F.lit(system), user, source)

@@ -64,7 +64,9 @@ def lookback_hint(minutes: Column) -> Column:
     return F.concat_ws(", ", *parts)
 
 
-_PAIR = r"^\s*(?:-\s*)?(name|expr|intuition|category)\s*:\s*(.*)$"
+#: The keys of a loose candidate.
+LOOSE_KEYS = ("name", "expr", "intuition", "category")
+_PAIR = rf"^\s*-?\s*({'|'.join(LOOSE_KEYS)})\s*:\s*(.*)$"
 
 
 def loose_candidates(df: DataFrame, key: str = "id", text: str = "body") -> DataFrame:

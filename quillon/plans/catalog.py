@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import panel, seeds, shaping, text
+from quillon.operators import panel, scoring, seeds, shaping, text
+from quillon.plans.expr import family_hash
 from quillon.plans.lower import factors
 from quillon.sources import bars as B
 from quillon.sources import tables as T
@@ -88,7 +89,7 @@ def _bypass(spark, sf):
 
 @_add("bars_range_filter", "SELECT event_type AS symbol, ts, round(value, 6) AS close FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-15'")
 def _range(spark, sf):
-    rows = _table(spark, sf, "events").where(F.col("ts").between(F.expr("timestamp_ntz '2024-01-05'"), F.expr("timestamp_ntz '2024-01-15'")))
+    rows = B.between(_table(spark, sf, "events"), F.col("ts"), "2024-01-05", "2024-01-15")
     return rows.select(F.col("event_type").alias("symbol"), "ts", F.round("value", 6).alias("close"))
 
 
@@ -186,17 +187,18 @@ for _h in (1, 6):
 
 @_add("label_after_drop", f"WITH bars AS ({_bars_sql()}) SELECT symbol, ts, round(lead(close, 2) OVER (PARTITION BY symbol ORDER BY ts) / close - 1, 6) AS fwd FROM bars WHERE close > 50")
 def _after_drop(spark, sf):
-    return _round(event_bars(spark, sf).where("close > 50").select("symbol", "ts", panel.forward_return(2).alias("fwd")))
+    rows = event_bars(spark, sf).withColumn("factor", F.when(F.col("close") > 50, F.col("close")))
+    return _round(panel.series_labels(rows, 2).select("symbol", "ts", "fwd"))
 
 
 _REWARDS_SQL = {
     "direction": """, g AS (SELECT symbol, count(*) AS n, avg(CASE WHEN factor <> 0 THEN (sign(factor) = sign(fwd))::INT END) AS acc, avg((factor <> 0)::INT) AS coverage, sum((factor <> 0)::INT) AS k FROM a GROUP BY symbol)
         SELECT symbol, round(CASE WHEN n < 50 OR k = 0 THEN -100 ELSE (acc - 0.5) * 200 END, 6)::DOUBLE AS value, n >= 50 AND k > 0 AS passed FROM g""",
     "ic": """, g AS (SELECT symbol, count(*) AS n, covar_pop(factor, fwd) / nullif(stddev_pop(factor) * stddev_pop(fwd), 0) AS r FROM a GROUP BY symbol)
-        SELECT symbol, round(CASE WHEN n < 30 OR r IS NULL THEN -1 ELSE r END, 6)::DOUBLE AS value, n >= 30 AND r IS NOT NULL AS passed FROM g""",
+        SELECT symbol, round(CASE WHEN n < 50 OR r IS NULL THEN -1 ELSE r END, 6)::DOUBLE AS value, n >= 50 AND r IS NOT NULL AS passed FROM g""",
     "rank_ic": """, k AS (SELECT symbol, rank() OVER (PARTITION BY symbol ORDER BY factor) + (count(*) OVER (PARTITION BY symbol, factor) - 1) / 2 AS rf, rank() OVER (PARTITION BY symbol ORDER BY fwd) + (count(*) OVER (PARTITION BY symbol, fwd) - 1) / 2 AS rr FROM a),
         g AS (SELECT symbol, count(*) AS n, covar_pop(rf, rr) / nullif(stddev_pop(rf) * stddev_pop(rr), 0) AS r FROM k GROUP BY symbol)
-        SELECT symbol, round(CASE WHEN n < 30 OR r IS NULL THEN -1 ELSE r END, 6)::DOUBLE AS value, n >= 30 AND r IS NOT NULL AS passed FROM g""",
+        SELECT symbol, round(CASE WHEN n < 50 OR r IS NULL THEN -1 ELSE r END, 6)::DOUBLE AS value, n >= 50 AND r IS NOT NULL AS passed FROM g""",
     "signal_return": """, g AS (SELECT symbol, count(*) AS n, avg(sign(factor) * fwd) / (stddev_pop(sign(factor) * fwd) + 1e-12) * sqrt(365 * 6) AS v FROM a GROUP BY symbol)
         SELECT symbol, round(CASE WHEN n < 50 THEN -1 ELSE v END, 6)::DOUBLE AS value, n >= 50 AS passed FROM g""",
 }
@@ -260,19 +262,65 @@ def _long_short(spark, sf):
     return _round(panel.cross_section(panel_rows(spark, sf)).select("ts", "ls_return"))
 
 
-@_add("panel_pct_rank", _PANEL.format(h=1) + " SELECT ts, symbol, round(rf / n, 6) AS rank_pct FROM k")
+@_add("panel_pct_rank", _PANEL.format(h=1) + " SELECT ts, symbol, round(rf / n, 6) AS rank_pct FROM k JOIN x USING (ts) WHERE rank_ic IS NOT NULL")
 def _pct(spark, sf):
     return _round(panel.percentile_ranks(panel_rows(spark, sf)))
 
 
-@_add("panel_summary", _PANEL.format(h=1) + """ SELECT count(rank_ic) AS times, round(avg(rank_ic), 6) AS mean_rank_ic, round(stddev_pop(rank_ic), 6) AS std_rank_ic,
+_SUMMARY = """ SELECT count(rank_ic) AS times, round(avg(rank_ic), 6) AS mean_rank_ic, round(stddev_pop(rank_ic), 6) AS std_rank_ic,
     round(avg(rank_ic) / (stddev_pop(rank_ic) + 1e-8) * sqrt(count(rank_ic)), 6) AS icir, round(avg(ls_return), 6) AS mean_ls,
     round(avg(ls_return) / (stddev_pop(ls_return) + 1e-8) * sqrt(count(ls_return)), 6) AS ls_sharpe, round(avg(n_symbols), 6) AS mean_symbols, round(avg(n_symbols / 25), 6) AS coverage,
-    round(100 * avg(rank_ic), 6) AS predictive, round(greatest(-1, least(1, 5 * avg(rank_ic) + 0.02 * tanh(avg(rank_ic) / (stddev_pop(rank_ic) + 1e-8) * sqrt(count(rank_ic))))), 6) AS score FROM x""")
+    round(100 * avg(rank_ic), 6) AS predictive, round(greatest(-1, least(1, 5 * avg(rank_ic) + 0.02 * tanh(avg(rank_ic) / (stddev_pop(rank_ic) + 1e-8) * sqrt(count(rank_ic))))), 6) AS score FROM x WHERE rank_ic IS NOT NULL"""
+
+
+@_add("panel_summary", _PANEL.format(h=1) + _SUMMARY)
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return _round(panel.summarise(panel.cross_section(panel_rows(spark, sf)), 25))
 
 
+_HOLES = _PANEL.format(h=1).replace(" k AS (SELECT *,", " e AS (SELECT * REPLACE (CASE WHEN dayofyear(ts) % 5 = 0 THEN 0 WHEN symbol > 'U' THEN NULL ELSE factor END AS factor) FROM f), g AS (SELECT * REPLACE (count(*) OVER (PARTITION BY ts) AS n) FROM e WHERE factor IS NOT NULL),\n k AS (SELECT *,").replace("AS low FROM f WHERE", "AS low FROM g WHERE")
+
+
+def holed_rows(spark, sf):
+    """Panel rows where some timestamps have a constant factor and some symbols none."""
+    factor = F.when(F.dayofyear("ts") % 5 == 0, 0.0).when(F.col("symbol") > "U", None).otherwise(F.col("factor"))
+    return panel_rows(spark, sf).withColumn("factor", factor)
+
+
+@_add("panel_summary_constant_times", _HOLES + _SUMMARY)
+def _holed_summary(spark, sf):
+    return _round(panel.summarise(panel.cross_section(holed_rows(spark, sf)), 25))
+
+
+@_add("panel_pct_rank_constant_times", _HOLES + " SELECT ts, symbol, round(rf / n, 6) AS rank_pct FROM k JOIN x USING (ts) WHERE rank_ic IS NOT NULL")
+def _holed_ranks(spark, sf):
+    return _round(panel.percentile_ranks(holed_rows(spark, sf)))
+
+
+@_add("panel_score_gate", _PANEL.format(h=1) + """, y AS (SELECT round(greatest(-1, least(1, 5 * avg(rank_ic) + 0.02 * tanh(avg(rank_ic) / (stddev_pop(rank_ic) + 1e-8) * sqrt(count(rank_ic))))), 6) AS score, count(rank_ic) AS times FROM x WHERE rank_ic IS NOT NULL),
+    z AS (SELECT count(DISTINCT symbol) AS symbols FROM f0 WHERE n >= 8)
+    SELECT least_symbols, CASE WHEN times < 20 OR symbols < least_symbols THEN -1 ELSE score END::DOUBLE AS score FROM y, z, (VALUES (8), (99)) AS t(least_symbols)""")
+def _score_gate(spark, sf):
+    rows = panel_rows(spark, sf)
+    cross = panel.cross_section(rows).join(F.broadcast(rows.agg(F.count_distinct("symbol").alias("symbols"))))
+    one = lambda n: panel.summarise(cross, F.col("symbols"), (), 20, n).select(F.lit(n).alias("least_symbols"), "score")
+    return _round(one(8).union(one(99)))
+
+
+@_add("reward_composite_horizons", _SCORED + """, s AS (SELECT *, lead(close, 3) OVER o / close - 1 AS r3, lead(close, 6) OVER o / close - 1 AS r6 FROM f WHERE close > 0 WINDOW o AS (PARTITION BY symbol ORDER BY ts)),
+    k AS (SELECT *, rank() OVER (PARTITION BY symbol, r6 IS NULL ORDER BY factor) + (count(*) OVER (PARTITION BY symbol, r6 IS NULL, factor) - 1) / 2 AS rf, rank() OVER (PARTITION BY symbol, r6 IS NULL ORDER BY r6) + (count(*) OVER (PARTITION BY symbol, r6 IS NULL, r6) - 1) / 2 AS rr FROM s),
+    g AS (SELECT symbol, count(r3) AS n, count(r3) FILTER (factor <> 0) AS signals, (avg(CASE WHEN factor <> 0 AND r3 IS NOT NULL THEN (sign(factor) = sign(r3))::INT END) - 0.5) * 200 AS d, count(r6) AS m,
+      covar_pop(rf, rr) FILTER (r6 IS NOT NULL) / nullif(stddev_pop(rf) FILTER (r6 IS NOT NULL) * stddev_pop(rr) FILTER (r6 IS NOT NULL), 0) AS r FROM k GROUP BY symbol),
+    v AS (SELECT symbol, n, m, CASE WHEN n < 100 THEN -100 ELSE d END AS d, CASE WHEN m < 1000000 THEN -1 ELSE r END AS r, CASE WHEN n < 100 THEN n ELSE signals END AS samples FROM g)
+    SELECT symbol, round(d + 2 * r, 6)::DOUBLE AS value, false AS passed, (CASE WHEN n < 100 THEN 'direction_accuracy:too_few_samples;' ELSE '' END) || 'rank_ic:too_few_samples' AS reason,
+      round(d, 6)::DOUBLE AS direction, samples::DOUBLE AS samples FROM v""")
+def _composite_horizons(spark, sf):
+    parts = {"direction_accuracy": {"horizon": 3, "min_samples": 100}, "rank_ic": {"weight": 2.0, "horizon": 6, "min_samples": 1_000_000}}
+    out = panel.composite(panel.valid_scores(scored(spark, sf)), parts, ("symbol",))
+    m = lambda n: F.element_at("metrics", n)
+    return _round(out.select("symbol", "value", "passed", "reason", m("direction_accuracy/value").alias("direction"), m("direction_accuracy/samples").alias("samples")))
+
+
 # -- seeds and tasks on fixed rows, the same text in both engines
 
 _SEEDS = """(VALUES
@@ -280,7 +328,8 @@ _SEEDS = """(VALUES
  (2, 's2', 'last(close(5)) ', 'momentum', true, 2.5, 0.7, 0.3, 11.0, 'h1', 0.55), (3, 's3', 'ts_std(close(9))', 'risk', true, -0.5, 0.9, 0.5, 12.0, 'h3', 0.48),
  (4, 's4', 'bad(', 'risk', false, 0.0, 0.0, 0.0, 0.0, '', 0.5), (5, 's5', 'vwap(9)', 'volume', true, 0.7, 0.5, 0.4, 5.0, 'h5', 0.51),
  (6, 's6', 'corr(close(9), volume(9))', 'volume', true, 0.9, 0.95, 0.001, 20.0, 'h6', 0.5), (7, 's7', 'ts_mean(close(9))', 'momentum', true, 0.9, 0.95, 0.4, 12.0, 'h7', 0.5),
- (8, 's8', '', 'risk', false, 0.0, 0.0, 0.0, 0.0, '', 0.5)) AS t(idx, id, expr, category, valid, reward, coverage, factor_std, expr_nodes, canonical_hash, direction_acc)"""
+ (8, 's8', '', 'risk', false, 0.0, 0.0, 0.0, 0.0, '', 0.5), (9, 's9', 'open(3)', 'zero', true, 0.0, 1.0, 0.5, 2.0, 'h9', 0.5), (10, 's10', 'high(3)', 'risk', true, 3.0, 0.2, 0.5, 4.0, 'h3', 0.30),
+ (11, 's11', 'ts_mean( close(9))', 'late', true, 0.5, 0.9, 0.5, 6.0, 'h7', 0.47)) AS t(idx, id, expr, category, valid, reward, coverage, factor_std, expr_nodes, canonical_hash, direction_acc)"""
 _SPLITS = "(VALUES ('a', '2024-01-01', '2024-01-10', 1.0), ('b', '2024-01-10', '2024-01-20', 2.0), ('c', '2024-01-20', '2024-01-31', 1.0)) AS t(name, start_date, end_date, weight)"
 _SCORE = """SELECT *, reward + 0.1 * coverage - 0.05 * expr_nodes AS seed_score, list_filter([CASE WHEN coverage < 0.6 THEN 'coverage<0.6' END, CASE WHEN factor_std < 0.01 THEN 'factor_std<0.01' END], lambda x: x IS NOT NULL) AS reasons FROM """
 
@@ -291,30 +340,33 @@ def _seed_rows(spark):
 
 
 _SCORED_SEEDS = f"""WITH s0 AS ({_SCORE}{_SEEDS}), s AS (SELECT * EXCLUDE (valid), valid AND len(reasons) = 0 AS valid, direction_acc < 0.49 AS invert FROM s0),
- d0 AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN canonical_hash = '' THEN '#' || idx ELSE canonical_hash END ORDER BY seed_score DESC, idx) AS r FROM s),
- d AS (SELECT *, row_number() OVER (PARTITION BY category, r = 1 ORDER BY seed_score DESC, idx) AS p FROM d0)"""
+ d AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN canonical_hash = '' THEN '#' || idx ELSE canonical_hash END ORDER BY seed_score DESC, idx) AS r FROM s WHERE valid)"""
 
 
-@_add("seed_score", f"{_SCORED_SEEDS} SELECT id, valid, round(seed_score, 6)::DOUBLE AS seed_score, array_to_string(reasons, ';') AS reasons, CASE WHEN NOT valid THEN 'filtered' WHEN seed_score >= 0 THEN 'elite_candidate' ELSE 'valid_low_score' END AS status, invert FROM s")
+@_add("seed_score", f"{_SCORED_SEEDS} SELECT id, valid, round(seed_score, 6)::DOUBLE AS seed_score, array_to_string(reasons, ';') AS reasons, CASE WHEN NOT valid THEN 'filtered' WHEN seed_score > 0 THEN 'elite_candidate' ELSE 'valid_low_score' END AS status, invert FROM s")
 def _seed_score(spark, sf):
     return _round(_seed_rows(spark).select("id", "valid", "seed_score", F.concat_ws(";", "reasons").alias("reasons"), "status", "invert"))
 
 
-@_add("seed_dedup", f"{_SCORED_SEEDS} SELECT id, CASE WHEN r > 1 THEN 'duplicate_ast' ELSE 'kept' END AS dup_status FROM d")
+@_add("seed_dedup", f"{_SCORED_SEEDS} SELECT id, CASE WHEN r > 1 THEN 'duplicate_ast' WHEN r = 1 THEN 'kept' END AS dup_status FROM s LEFT JOIN (SELECT id, r FROM d) USING (id)")
 def _seed_dedup(spark, sf):
     return seeds.dedup(_seed_rows(spark)).select("id", "dup_status")
 
 
-@_add("seed_quota", f"{_SCORED_SEEDS} SELECT id, CASE WHEN r > 1 THEN 'duplicate_ast' WHEN p > 1 THEN 'duplicate_category_quota' ELSE 'kept' END AS dup_status FROM d")
+@_add("seed_quota", f"""{_SCORED_SEEDS.replace("WITH s0", "WITH RECURSIVE s0")}, o AS (SELECT *, row_number() OVER (ORDER BY seed_score DESC, idx) AS n FROM s WHERE valid),
+    walk AS (SELECT 0::BIGINT AS n, ''::VARCHAR AS id, ''::VARCHAR AS dup_status, []::VARCHAR[] AS hashes, []::VARCHAR[] AS families
+      UNION ALL SELECT n, id, st, CASE WHEN st = 'kept' AND canonical_hash <> '' THEN list_append(hashes, canonical_hash) ELSE hashes END, CASE WHEN st = 'kept' THEN list_append(families, category) ELSE families END
+      FROM (SELECT o.n, o.id, o.canonical_hash, o.category, hashes, families, CASE WHEN list_contains(hashes, o.canonical_hash) THEN 'duplicate_ast' WHEN list_contains(families, o.category) THEN 'duplicate_category_quota' ELSE 'kept' END AS st FROM walk JOIN o ON o.n = walk.n + 1))
+    SELECT s.id, dup_status FROM s LEFT JOIN (SELECT id, dup_status FROM walk WHERE n > 0) USING (id)""")
 def _seed_quota(spark, sf):
     return seeds.dedup(_seed_rows(spark), 1).select("id", "dup_status")
 
 
-@_add("seed_library", f"""{_SCORED_SEEDS}, k AS (SELECT *, row_number() OVER (ORDER BY seed_score DESC, idx) AS o, row_number() OVER (PARTITION BY category ORDER BY seed_score DESC, idx) AS b FROM d WHERE valid AND r = 1)
-    SELECT id, coalesce(o <= 2 AND seed_score >= 0, false) AS elite, coalesce(b = 1, false) AS diverse, invert AS contrarian, NOT (coalesce(o <= 2 AND seed_score >= 0, false) OR coalesce(b = 1, false) OR invert) AS rejected
-    FROM s LEFT JOIN (SELECT id, o, b FROM k) USING (id)""")
+@_add("seed_library", f"""{_SCORED_SEEDS}, k AS (SELECT id, seed_score, invert, row_number() OVER (ORDER BY seed_score DESC, idx) AS o, row_number() OVER (PARTITION BY invert ORDER BY seed_score DESC, idx) AS c FROM d WHERE r = 1),
+    l AS (SELECT s.id, coalesce(o <= 2 AND k.seed_score >= 0, false) AS elite, coalesce(o <= 4, false) AS diverse, coalesce(k.invert AND c <= 1, false) AS contrarian FROM s LEFT JOIN k USING (id))
+    SELECT *, NOT (elite OR diverse OR contrarian) AS rejected FROM l""")
 def _seed_library(spark, sf):
-    return seeds.library(seeds.dedup(_seed_rows(spark)), elite=2).select("id", "elite", "diverse", "contrarian", "rejected")
+    return seeds.library(seeds.dedup(_seed_rows(spark)), elite=2, diverse=4, contrarians=1).select("id", "elite", "diverse", "contrarian", "rejected")
 
 
 @_add("seed_topk", f"{_SCORED_SEEDS} SELECT id, round(seed_score, 6)::DOUBLE AS seed_score FROM s ORDER BY s.seed_score DESC, idx LIMIT 3")
@@ -338,6 +390,12 @@ def _interval(spark, sf):
 _add("seed_softmax_sample")(lambda s, d: seeds.softmax_sample(_seed_rows(s).where("valid"), 20))
 _add("task_stratified_sample")(lambda s, d: seeds.stratified_sample(seeds.task_bank(_seed_rows(s), s.sql(f"SELECT * FROM {_SPLITS}")), 5))
 _add("prompt_rows")(lambda s, d: seeds.prompt_rows(seeds.task_bank(_seed_rows(s), s.sql(f"SELECT * FROM {_SPLITS}")), "Improve a factor.", "Start from {expr} on {start_date} to {end_date}."))
+for _mode in seeds.MODES:
+    _add(f"prompt_{_mode}", f"""{_SCORED_SEEDS}, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(nullif(canonical_hash, ''), trim(expr)) ORDER BY seed_score DESC, idx) AS z FROM s WHERE valid) WHERE z = 1 ORDER BY seed_score DESC, idx LIMIT 3)
+    SELECT u.id || '__' || t.name AS task_id, 'factor_tasks/' || category || '/' || t.name AS data_source, 'Design factors.' AS system,
+      '{seeds.MODES[_mode][1]}' || chr(10) || 'category: ' || category || chr(10) || 'split: ' || t.name || chr(10) || 'start_date: ' || start_date || chr(10) || 'end_date: ' || end_date || chr(10) || replace('{seeds.MODES[_mode][2]}', '{{expr}}', expr) AS user_text
+    FROM u CROSS JOIN {_SPLITS}""")(lambda s, d, m=_mode: seeds.prompts(seeds.task_bank(_seed_rows(s), s.sql(f"SELECT * FROM {_SPLITS}"), 3), m, "Design factors.").select(
+        "extra_info.task_id", "data_source", F.col("prompt")[0]["content"].alias("system"), F.col("prompt")[1]["content"].alias("user_text")))
 _add("seed_validation")(lambda s, d: seeds.validate_candidates(s, [(r.id, r.expr) for r in s.sql(f"SELECT id, expr FROM {_SEEDS}").collect()]))
 
 
@@ -407,29 +465,34 @@ _add("behavior_rank_corr")(lambda s, d: _round(shaping.rank_behaviour_corr(*_ran
 
 # -- text
 
-_TEXTS = """(VALUES (1, 'so <expr> last(close(5)) </expr> it is'), (2, 'see <EXPR>vwap(9)</EXPR>'), (3, concat('thinking', chr(10), 'ts_mean(close(9))')), (4, 'nothing here'),
- (5, concat('```yaml', chr(10), 'a: 1', chr(10), '```')), (6, ' a   b,c ,, d ')) AS t(id, body)"""
+#: Fixed rows for the cases that the table lacks, and every turn of the conversations.
+_TEXTS = """(SELECT * FROM (VALUES (1, 'so <expr> last(close(5)) </expr> it is'), (2, 'see <EXPR>vwap(9)</EXPR>'), (3, concat('thinking', chr(10), 'ts_mean(close(9))')), (4, 'nothing here'),
+ (5, concat('```yaml', chr(10), 'a: 1', chr(10), '```')), (6, ' a   b,c ,, d ')) AS v(id, body) UNION ALL SELECT 1000 * (conv_id + 1) + turn AS id, text AS body FROM conversations) AS t"""
+
+
+def _with_texts(spark, sf, source):
+    return spark.sql(f"SELECT * FROM {source.replace('FROM conversations', 'FROM {c}')}", c=_table(spark, sf, "conversations"))
 
 
 @_add("text_extract_tag", f"""SELECT id, coalesce(trim(nullif(regexp_extract(body, '(?s)<expr>(.*?)</expr>', 1), '')), trim(nullif(regexp_extract(body, '(?is)<expr>(.*?)</expr>', 1), '')),
     nullif(regexp_extract(string_split(body, chr(10))[-1], '^([A-Za-z_][A-Za-z_0-9]*[(].*[)])$', 1), '')) AS expr FROM {_TEXTS}""")
 def _tags(spark, sf):
-    return spark.sql(f"SELECT * FROM {_TEXTS}").select("id", text.expression(F.col("body")).alias("expr"))
+    return _with_texts(spark, sf, _TEXTS).select("id", text.expression(F.col("body")).alias("expr"))
 
 
 @_add("text_normalise_hash", f"SELECT id, substr(sha1(trim(regexp_replace(body, '[[:space:]]+', ' ', 'g'))), 1, 16) AS hash FROM {_TEXTS}")
 def _hashes(spark, sf):
-    return spark.sql(f"SELECT * FROM {_TEXTS}").select("id", text.exact_hash(F.col("body")).alias("hash"))
+    return _with_texts(spark, sf, _TEXTS).select("id", text.exact_hash(F.col("body")).alias("hash"))
 
 
 @_add("text_fence", f"SELECT id, coalesce(trim(nullif(regexp_extract(body, '(?is)```(?:yaml|yml|json)?[[:space:]]*(.*?)```', 1), ''), ' ' || chr(10)), trim(body)) AS body FROM {_TEXTS}")
 def _fences(spark, sf):
-    return spark.sql(f"SELECT * FROM {_TEXTS}").select("id", F.trim(text.fenced(F.col("body")), F.lit(" \n")).alias("body"))
+    return _with_texts(spark, sf, _TEXTS).select("id", F.trim(text.fenced(F.col("body")), F.lit(" \n")).alias("body"))
 
 
 @_add("text_list", f"SELECT id, array_to_string(list_filter(list_transform(string_split(body, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS items FROM {_TEXTS}")
 def _lists(spark, sf):
-    return spark.sql(f"SELECT * FROM {_TEXTS}").select("id", F.concat_ws("|", text.listed(F.col("body"))).alias("items"))
+    return _with_texts(spark, sf, _TEXTS).select("id", F.concat_ws("|", text.listed(F.col("body"))).alias("items"))
 
 
 @_add("text_conversations_hash", "SELECT conv_id, turn, substr(sha1(trim(regexp_replace(text, '[[:space:]]+', ' ', 'g'))), 1, 16) AS hash FROM conversations")
@@ -450,17 +513,17 @@ def _hints(spark, sf):
     return spark.sql(f"SELECT * FROM {_MINUTES}").select("minutes", text.lookback_hint(F.col("minutes")).alias("hint"))
 
 
-_CODES = "(VALUES (1, concat('as <code>class A: pass', chr(10), '</code> shows')), (2, 'class B: pass'), (3, 'no code'), (4, '')) AS t(id, body)"
+_CODES = "(SELECT * FROM (VALUES (1, concat('as <code>class A: pass', chr(10), '</code> shows')), (2, 'class B: pass'), (3, 'no code'), (4, '')) AS v(id, body) UNION ALL SELECT 1000 * (conv_id + 1) + turn AS id, text AS body FROM conversations) AS t"
 
 
 @_add("text_code", f"SELECT id, CASE WHEN regexp_matches(body, '(?s)<code>.*?</code>') THEN trim(regexp_extract(body, '(?s)<code>(.*?)</code>', 1), ' ' || chr(10)) WHEN contains(body, 'class ') THEN body END AS code FROM {_CODES}")
 def _codes(spark, sf):
-    return spark.sql(f"SELECT * FROM {_CODES}").select("id", F.trim(text.code(F.col("body")), F.lit(" \n")).alias("code"))
+    return _with_texts(spark, sf, _CODES).select("id", F.trim(text.code(F.col("body")), F.lit(" \n")).alias("code"))
 
 
 @_add("text_profile_hash", f"SELECT id, substr(sha1(body), 1, 12) AS hash FROM {_TEXTS}")
 def _profile_hashes(spark, sf):
-    return spark.sql(f"SELECT * FROM {_TEXTS}").select("id", text.profile_hash(F.col("body")).alias("hash"))
+    return _with_texts(spark, sf, _TEXTS).select("id", text.profile_hash(F.col("body")).alias("hash"))
 
 
 @_add("text_size_class", "SELECT x, CASE WHEN abs(x) <= 5 THEN 0 WHEN abs(x) <= 20 THEN 1 WHEN abs(x) <= 60 THEN 2 WHEN abs(x) <= 120 THEN 3 WHEN abs(x) <= 240 THEN 4 ELSE 5 END::INT AS bucket FROM (VALUES (-5), (6), (20), (61), (120), (240), (241)) AS t(x)")
@@ -480,7 +543,7 @@ def _loose(spark, sf):
 @_add("text_iso_date", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, strftime(ts - INTERVAL 12 DAY, '%Y-%m-%d') AS loaded_from FROM events")
 def _iso(spark, sf):
     rows = _table(spark, sf, "events")
-    return rows.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.date_format(F.col("ts") - F.expr("INTERVAL 12 DAY"), "yyyy-MM-dd").alias("loaded_from"))
+    return rows.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.date_format(B.load_start(F.col("ts"), 10), "yyyy-MM-dd").alias("loaded_from"))
 
 
 # -- bars with other edges, ranges after windows, callables
@@ -529,14 +592,14 @@ def _ladder(spark, sf):
 
 # -- evaluation of candidates, gates, pools, cycles
 
-_SHORT = "round((avg(CASE WHEN factor <> 0 THEN (sign(factor) = sign(fwd))::INT END) - 0.5) * 200, 6) AS reward, round(avg((factor <> 0)::INT), 6) AS coverage, count(*)::DOUBLE AS samples"
+_SHORT = "round((avg(CASE WHEN factor <> 0 THEN (sign(factor) = sign(fwd))::INT END) - 0.5) * 200, 6) AS reward, round(avg((factor <> 0)::INT), 6) AS coverage, sum((factor <> 0)::INT)::DOUBLE AS samples"
 
 
 @_add("seed_evaluate", f"""WITH bars AS ({_bars_sql()}), f AS (SELECT symbol, ts, close, unnest([{{'id': 'trend', 'factor': close - avg(close) OVER w}}, {{'id': 'body', 'factor': close - open}}], recursive := true)
     FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
     s AS (SELECT *, lead(close) OVER (PARTITION BY id, symbol ORDER BY ts) / close - 1 AS fwd FROM f WHERE close > 0)
     SELECT id, symbol, true AS valid, 'evaluated' AS status, {_SHORT} FROM s WHERE fwd IS NOT NULL GROUP BY id, symbol HAVING count(*) >= 50
-    UNION ALL SELECT id, symbol, false, 'eval_filtered', -100, round(avg((factor <> 0)::INT), 6), count(*)::DOUBLE FROM s WHERE fwd IS NOT NULL GROUP BY id, symbol HAVING count(*) < 50
+    UNION ALL SELECT id, symbol, false, 'eval_filtered', -100, NULL, count(*)::DOUBLE FROM s WHERE fwd IS NOT NULL GROUP BY id, symbol HAVING count(*) < 50
     UNION ALL SELECT 'broken', NULL, false, 'eval_error', NULL, NULL, NULL""")
 def _seed_evaluate(spark, sf):
     out = seeds.evaluate(event_bars(spark, sf), [("trend", "sub(last(close(5)), ts_mean(close(5)))"), ("body", "last(close(2)) - last(open(2))"), ("broken", "bad(")])
@@ -545,10 +608,10 @@ def _seed_evaluate(spark, sf):
 
 
 _FOUND = """(VALUES (1, 'direction', 2.5, 0.52, 0.7, 0.0, 0.0, 90.0), (2, 'direction', 2.5, 0.50, 0.7, 0.0, 0.0, 90.0), (3, 'ic', 0.0, 0.0, 0.0, 0.02, 0.0, 60.0), (4, 'rank_ic', 0.0, 0.0, 0.0, 0.02, 0.0, 40.0),
- (5, 'cross_sectional_rankic', 0.0, 0.0, 0.6, 0.0, 0.01, 0.0), (6, 'cross_sectional_rankic', 0.0, 0.0, 0.5, 0.0, 0.02, 0.0), (7, 'signal_return', 0.0, 0.0, 0.0, -1.0, 0.0, 0.0)) AS t(id, kind, predictive, acc, coverage, value, mean_rank_ic, samples)"""
+ (5, 'cross_sectional_rankic', 0.0, 0.0, 0.6, 0.0, 0.01, 0.0), (6, 'cross_sectional_rankic', 0.0, 0.0, 0.5, 0.0, 0.02, 0.0), (7, 'signal_return', 0.0, 0.0, 0.0, -1.0, 0.0, 0.0)) AS t(id, kind, predictive, direction_acc, coverage, value, mean_rank_ic, samples)"""
 
 
-@_add("quality_gate", f"""SELECT id FROM {_FOUND} WHERE CASE WHEN kind = 'direction' THEN predictive >= 2 AND acc >= 0.51 AND coverage >= 0.6 WHEN kind IN ('ic', 'rank_ic') THEN value >= 0.01 AND samples >= 50
+@_add("quality_gate", f"""SELECT id FROM {_FOUND} WHERE CASE WHEN kind = 'direction' THEN predictive >= 2 AND direction_acc >= 0.51 AND coverage >= 0.6 WHEN kind IN ('ic', 'rank_ic') THEN value >= 0.01 AND samples >= 50
     WHEN kind = 'cross_sectional_rankic' THEN mean_rank_ic >= 0.01 AND coverage >= 0.6 ELSE true END""")
 def _gate(spark, sf):
     return panel.quality_gate(spark.sql(f"SELECT * FROM {_FOUND}"), F.col("kind"), F.col).select("id")
@@ -627,6 +690,35 @@ def _updates(spark, sf):
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
+# -- a batch from text to shaped reward
+
+_TRIED = ("sub(last(close(5)), ts_mean(close(5)))", "last(close(2)) - last(open(2))", "bad(")
+_TAGGED = "CASE (conv_id + turn) % 5 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_TRIED)) + " WHEN 3 THEN '' END"
+_SEEN = f"(VALUES ('{_TRIED[0]}', 2), ('{_TRIED[2]}', 5)) AS e(expr, count)"
+
+
+def batch_answers(spark, sf):
+    rows = _table(spark, sf, "conversations")
+    tag = F.expr(_TAGGED)
+    body = F.when(tag.isNull(), F.col("text")).otherwise(F.concat(F.coalesce("text", F.lit("")), F.lit(" <expr> "), tag, F.lit("</expr>")))
+    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), body.alias("text"), F.lit("").alias("seed_expr"), F.lit("2024-01-05").alias("start_date"), F.lit("2024-01-20").alias("end_date"), F.lit(EVENT_MINUTES).alias("bar_minutes"), (1 + F.col("conv_id") % 2).cast("int").alias("horizon"))
+
+
+@_add("batch_end_to_end", f"""WITH bars AS ({_bars_sql()}), b AS (SELECT * FROM bars WHERE ts <= TIMESTAMP '2024-01-20'),
+    f AS (SELECT symbol, ts, close, unnest([{{'expr': '{_TRIED[0]}', 'factor': close - avg(close) OVER w}}, {{'expr': '{_TRIED[1]}', 'factor': close - open}}], recursive := true) FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+    s AS (SELECT f.*, h.horizon, CASE WHEN horizon = 1 THEN lead(close) OVER o ELSE lead(close, 2) OVER o END / close - 1 AS fwd FROM f, (VALUES (1), (2)) AS h(horizon) WHERE close > 0 AND ts <= TIMESTAMP '2024-01-20' WINDOW o AS (PARTITION BY expr, horizon, symbol ORDER BY ts)),
+    r AS (SELECT expr, horizon, CASE WHEN count(*) >= 50 THEN (avg(CASE WHEN factor <> 0 THEN (sign(factor) = sign(fwd))::INT END) - 0.5) * 2 + 0.1 ELSE -1 END AS raw FROM s WHERE fwd IS NOT NULL AND ts >= TIMESTAMP '2024-01-05' GROUP BY ALL),
+    a AS (SELECT conv_id * 1000 + turn AS id, 1 + conv_id % 2 AS horizon, coalesce({_TAGGED}, '') AS expr FROM conversations),
+    j AS (SELECT a.id, a.expr, coalesce(raw, -1) AS raw, coalesce(e.count, 0) AS seen FROM a LEFT JOIN r USING (expr, horizon) LEFT JOIN {_SEEN} ON e.expr = a.expr),
+    k AS (SELECT *, CASE WHEN seen > 0 THEN 0.15 ELSE 0 END AS penalty, CASE WHEN expr <> '{_TRIED[1]}' AND raw >= 0.1 THEN 0.02 WHEN expr = '{_TRIED[1]}' AND raw < 0.08 THEN -0.02 ELSE 0 END AS family FROM j)
+    SELECT id, expr, round(raw, 6)::DOUBLE AS raw, round(CASE WHEN raw > -1 THEN greatest(-1, least(1, raw - penalty + family)) ELSE -1 END, 6)::DOUBLE AS reward FROM k""")
+def _end_to_end(spark, sf):
+    exact = spark.sql(f"SELECT expr, cast(count AS bigint) AS count FROM {_SEEN}").select(text.exact_hash(F.col("expr")).alias("hash"), "count")
+    family = spark.createDataFrame([(family_hash(_TRIED[1]), 9)], "hash string, count long")
+    out = scoring.score_answers(batch_answers(spark, sf), event_bars(spark, sf), exact, family)
+    return _round(out.rows.select("id", "expr", "raw", "reward"))
+
+
 @_add("metrics_densify", "SELECT * FROM (VALUES (1, 1.0::DOUBLE, 0.0::DOUBLE), (2, 0.0, 2.0), (3, 0.0, 0.0)) AS t(id, a, b)")
 def _densify(spark, sf):
     rows = spark.sql("SELECT id, m AS metrics FROM (VALUES (1, map('a', 1.0D)), (2, map('b', 2.0D)), (3, map('c', 3.0D))) AS t(id, m)")

@@ -32,6 +32,7 @@ SIGNATURES: dict[str, tuple[tuple[str, ...], str]] = {
     **{f: ((SCALAR, SCALAR), SCALAR) for f in ("add", "sub", "mul", "div")},
 }
 INFIX = {ast.Add: "add", ast.Sub: "sub", ast.Mult: "mul", ast.Div: "div"}
+SYMBOLS = {ast.Add: "+", ast.Sub: "-", ast.Mult: "*", ast.Div: "/"}
 
 
 class ExprError(ValueError):
@@ -82,11 +83,7 @@ def _build(node: ast.expr) -> Node:
 
 
 def parse(text: str) -> Node:
-    try:
-        tree = ast.parse(text.strip(), mode="eval")
-    except SyntaxError as e:
-        raise ExprError(f"syntax: {e.msg}") from e
-    return _build(tree.body)
+    return _build(_tree(text))
 
 
 def lookback(node: Node) -> int:
@@ -98,8 +95,45 @@ def lookback(node: Node) -> int:
     return max((lookback(a) for a in node.args), default=0)
 
 
+def _tree(text: str) -> ast.expr:
+    try:
+        return ast.parse(text.strip(), mode="eval").body
+    except SyntaxError as e:
+        raise ExprError(f"syntax: {e.msg}") from e
+
+
+def shape(node: ast.AST, number=repr) -> str:
+    """S-expression of any expression, known or not; the same under every version of Python.
+
+    Calls are headed by their name, infix operators and the minus sign by their symbol, what else the grammar
+    allows by its kind in angle brackets.
+    """
+    match node:
+        case ast.Constant(value=v):
+            return number(v)
+        case ast.Name(id=name):
+            return name
+        case ast.Call(func=ast.Name(id=name), args=args, keywords=[]):
+            parts = [name, *args]
+        case ast.BinOp(op=op, left=a, right=b) if type(op) in SYMBOLS:
+            parts = [SYMBOLS[type(op)], a, b]
+        case ast.UnaryOp(op=ast.USub(), operand=a):
+            parts = ["-", a]
+        case _:
+            parts = [f"<{type(node).__name__}>", *(x for x in ast.iter_child_nodes(node) if not isinstance(x, ast.expr_context))]
+    return f"({' '.join(x if isinstance(x, str) else shape(x, number) for x in parts)})"
+
+
+def _extent(node: ast.AST) -> tuple[int, int]:
+    """(nodes, depth) of a syntax tree, operators and contexts counted."""
+    inner = [_extent(x) for x in ast.iter_child_nodes(node)]
+    return 1 + sum(n for n, _ in inner), 1 + max([d for _, d in inner], default=0)
+
+
 @dataclass
 class Stats:
+    """What is known of an expression before its types: nodes and depth count the root."""
+
     valid: bool
     depth: int = 0
     nodes: int = 0
@@ -109,19 +143,17 @@ class Stats:
     error: str = ""
 
 
-def stats(text: str) -> Stats:
-    """Depth and node count of the syntax tree (names and contexts count), operators, canonical form and hash."""
-    try:
-        tree = ast.parse(text.strip(), mode="eval")
-    except SyntaxError as e:
-        return Stats(False, error=str(e.msg))
+_HEAD = re.compile(r"\((\S+)")
 
-    def depth(n: ast.AST) -> int:
-        return 1 + max((depth(x) for x in ast.iter_child_nodes(n)), default=0)
 
-    names = Counter(n.func.id for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name))
-    shape = ast.dump(tree.body, annotate_fields=False)
-    return Stats(True, depth(tree), sum(1 for _ in ast.walk(tree)), dict(names), shape, hashlib.sha256(shape.encode()).hexdigest()[:16])
+def stats(text: str) -> Stats:
+    """Size, operators by number of uses (calls by name, infix by symbol), S-expression and its hash."""
+    try:
+        tree = _tree(text)
+    except ExprError as e:
+        return Stats(False, error=str(e))
+    (nodes, depth), form = _extent(tree), shape(tree)
+    return Stats(True, depth + 1, nodes + 1, dict(Counter(_HEAD.findall(form))), form, hashlib.sha256(form.encode()).hexdigest()[:16])
 
 
 def exact_hash(text: str) -> str:
@@ -136,16 +168,18 @@ def profile_hash(text: str) -> str:
 BUCKETS = (5, 20, 60, 120, 240)
 
 
+def _size_class(v) -> str:
+    whole = isinstance(v, int | float) and not isinstance(v, bool)
+    return f"c{sum(abs(v) > top for top in BUCKETS)}" if whole else repr(v)
+
+
 def family_hash(text: str) -> str:
-    """Hash of the structure with constants replaced by their size class; texts that do not parse hash as themselves."""
+    """Hash of the S-expression with numbers replaced by their size class; texts that do not parse hash as themselves."""
     try:
-        tree = ast.parse(text.strip(), mode="eval")
-    except SyntaxError:
-        return hashlib.sha1(f"invalid:{' '.join(text.split())}".encode()).hexdigest()[:16]
-    for n in ast.walk(tree):
-        if isinstance(n, ast.Constant) and isinstance(n.value, int | float) and not isinstance(n.value, bool):
-            n.value = f"c{next((i for i, top in enumerate(BUCKETS) if abs(n.value) <= top), len(BUCKETS))}"
-    return hashlib.sha1(ast.dump(tree.body, annotate_fields=False).encode()).hexdigest()[:16]
+        form = shape(_tree(text), _size_class)
+    except ExprError:
+        form = f"invalid:{' '.join(text.split())}"
+    return hashlib.sha1(form.encode()).hexdigest()[:16]
 
 
 @dataclass
@@ -159,22 +193,14 @@ def validate(text: str, max_depth: int = 18, max_nodes: int = 120, max_lookback:
     """Static checks of a candidate: syntax, operators, size, types; a lookback limit only if given."""
     st = stats(text)
     if not st.valid:
-        return Verdict(False, [f"syntax_error: {st.error}"], st)
-    reasons = [f"unknown_operator: {n}" for n in sorted(st.operators) if n not in SIGNATURES]
-    if st.depth > max_depth:
-        reasons.append(f"too_deep: {st.depth}")
-    if st.nodes > max_nodes:
-        reasons.append(f"too_large: {st.nodes}")
-    if not reasons:
-        try:
-            node = parse(text)
-            if max_lookback is not None and lookback(node) > max_lookback:
-                reasons.append(f"lookback: {lookback(node)}")
-        except ExprError as e:
-            reasons.append(f"type_error: {e}")
+        return Verdict(False, [st.error], st)
+    unknown = sorted(n for n in st.operators if n.isidentifier() and n not in SIGNATURES)
+    reasons = [f"unknown_ops={','.join(unknown)}"] if unknown else []
+    reasons += [f"{what}>{most}" for what, n, most in (("depth", st.depth, max_depth), ("nodes", st.nodes, max_nodes)) if n > most]
+    try:
+        node = parse(text)
+        if max_lookback is not None and lookback(node) > max_lookback:
+            reasons.append(f"lookback>{max_lookback}")
+    except ExprError as e:
+        reasons.append(f"compile_error={e}")
     return Verdict(not reasons, reasons, st)
-
-
-def strip_tags(text: str) -> str:
-    m = re.search(r"<expr>(.*?)</expr>", text, re.S | re.I)
-    return (m.group(1) if m else text).strip()

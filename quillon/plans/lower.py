@@ -21,6 +21,9 @@ from quillon.functions.stats import EPS, corr, finite
 from quillon.plans.expr import ARRAY, FIELDS, Node, parse
 
 
+REDUCERS = ("ts_mean", "ts_std", "ts_max", "ts_min", "ts_sum", "ts_skew", "ts_kurt", "first", "last")
+
+
 @dataclass(frozen=True)
 class Frame:
     col: str
@@ -95,6 +98,8 @@ class Lowering:
         args = [self.node(a) for a in n.args if not (a.op == "const" and op in ("ema_arr", "slice_arr"))]
         if op == "neg" and not isinstance(args[0], Num):
             args = [self._last(args[0])]
+        if op in REDUCERS:
+            return self._reduce(op, key, args[0])
         if op.startswith("infix_"):
             return self._infix(op[6:], key, *args)
         if hasattr(self, f"_{op}"):
@@ -288,10 +293,6 @@ class Lowering:
         return self._num(key, level, F.size(F.filter(x.col, lambda v: v <= F.col(s.col))) / (F.size(x.col) + 1))
 
 
-for _op in ("ts_mean", "ts_std", "ts_max", "ts_min", "ts_sum", "ts_skew", "ts_kurt", "first"):
-    setattr(Lowering, f"_{_op}", lambda self, key, n, x, op=_op: self._reduce(op, key, x))
-Lowering._last_ = Lowering._last
-Lowering._last = lambda self, *a: self._last_(a[0]) if len(a) == 1 else self._reduce("last", a[0], a[2])
 
 
 def factors(bars: DataFrame, exprs: dict[str, str], nonfinite: str = "zero", force_arrays: bool = False) -> DataFrame:
@@ -308,16 +309,3 @@ def factors(bars: DataFrame, exprs: dict[str, str], nonfinite: str = "zero", for
         out[name] = F.coalesce(col, F.lit(0.0)) if nonfinite == "zero" else col
     keep = [F.col(c) for c in bars.columns]
     return low.apply(bars).select(*keep, *[v.alias(k) for k, v in out.items()])
-
-
-def factor_table(bars: DataFrame, exprs: dict[str, str], nonfinite: str = "zero", chunk: int = 50) -> DataFrame:
-    """Long form (expr_id, symbol, ts, close, factor) of many expressions, chunked to bound the size of generated code."""
-    out = None
-    names = list(exprs)
-    for i in range(0, len(names), chunk):
-        part = {f"_f{j}": exprs[n] for j, n in enumerate(names[i : i + chunk])}
-        wide = factors(bars, part, nonfinite)
-        items = F.array(*[F.struct(F.lit(names[i + j]).alias("expr_id"), F.col(f"_f{j}").alias("factor")) for j in range(len(part))])
-        long_ = wide.select("symbol", "ts", "close", F.explode(items).alias("e")).select("e.expr_id", "symbol", "ts", "close", "e.factor")
-        out = long_ if out is None else out.unionByName(long_)
-    return out

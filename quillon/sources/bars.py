@@ -5,8 +5,6 @@ A bar table is (symbol, ts, open, high, low, close, volume) with ts TIMESTAMP_NT
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +19,24 @@ def symbol_file(symbol: str) -> str:
     return symbol.translate(str.maketrans("/:", "__"))
 
 
-def scan(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, time_col: str = "ts", symbol_col: str | None = "symbol", template: str = "{symbol}.parquet") -> DataFrame:
+def load_start(start: str | Column, warmup_days: int, buffer_days: int = 2) -> Column:
+    """The midnight to load from so that windows are full at ``start``."""
+    first = F.lit(start) if isinstance(start, str) else start
+    return F.date_sub(first.cast("date"), warmup_days + buffer_days).cast("timestamp_ntz")
+
+
+def between(rows: DataFrame, ts: Column, start: str | Column | None = None, end: str | Column | None = None) -> DataFrame:
+    """Rows of a time range, both ends inclusive; a date means its midnight."""
+    at = lambda x: (F.lit(x) if isinstance(x, str) else x).cast("timestamp_ntz")
+    rows = rows if start is None else rows.where(ts >= at(start))
+    return rows if end is None else rows.where(ts <= at(end))
+
+
+def scan(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, time_col: str = "ts", symbol_col: str | None = "symbol", template: str = "{symbol}.parquet", warmup_days: int | None = None) -> DataFrame:
     """One table from a folder of Parquet files; symbol from a column, else from the file name.
 
-    Both ends of the range are inclusive; an end date means its midnight.  Columns are pruned and the range is pushed
-    into the scan.
+    Both ends of the range are inclusive; an end date means its midnight; with warmup_days the range begins that many
+    days and a buffer earlier.  Columns are pruned and the range is pushed into the scan.
     """
     raw = spark.read.parquet(path)
     missing = [f for f in (*FIELDS, time_col) if f not in raw.columns]
@@ -38,11 +49,7 @@ def scan(spark: SparkSession, path: str, start: str | None = None, end: str | No
         stem = F.regexp_extract(F.col("_metadata.file_name"), f"^{before}(.*){after}$", 1)
         symbol = F.regexp_replace(stem, "_", "/")
     ts = F.col(time_col).cast("timestamp_ntz")
-    rows = raw
-    if start is not None:
-        rows = rows.where(ts >= F.lit(start).cast("timestamp_ntz"))
-    if end is not None:
-        rows = rows.where(ts <= F.lit(end).cast("timestamp_ntz"))
+    rows = between(raw, ts, load_start(start, warmup_days) if start is not None and warmup_days is not None else start, end)
     return rows.select(symbol.alias("symbol"), ts.alias("ts"), *[F.col(f).cast("double").alias(f) for f in FIELDS])
 
 
@@ -51,11 +58,6 @@ def universe(bars: DataFrame, limit: int | None = None) -> DataFrame:
     return out if limit is None else out.limit(limit)
 
 
-def warm_start(start: str, warmup_days: int, buffer_days: int = 2) -> str:
-    """The date to load from so that windows are full at ``start``."""
-    return (datetime.strptime(start, "%Y-%m-%d") - timedelta(days=warmup_days + buffer_days)).strftime("%Y-%m-%d")
-
-
 def finite_rows(bars: DataFrame) -> DataFrame:
     keep = is_finite(FIELDS[0])
     for f in FIELDS[1:]:

@@ -33,6 +33,12 @@ def parse(text: str, kind: str = "yaml") -> Any:
     return {} if got is None else got
 
 
+def unfenced(answer: str) -> str:
+    """The body of the first fenced block of an answer, else the answer."""
+    parts = answer.split("```")
+    return parts[1].partition("\n")[2] if len(parts) > 2 else answer
+
+
 def read_config(path: str | Path) -> Any:
     kind = _kind(path)
     return parse(Path(path).read_text(encoding="utf-8"), kind)

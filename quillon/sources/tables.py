@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import panel, seeds, shaping, text
-from quillon.sources.config import parse, read_config
+from quillon.sources.config import parse, read_config, unfenced, write_config
 
 CANDIDATES = "idx long, id string, name string, expr string, intuition string, category string, metadata map<string,string>"
 EVALUATIONS = CANDIDATES + ", valid boolean, status string, seed_score double, metrics map<string,double>, reasons array<string>, canonical_hash string, invert boolean"
@@ -28,11 +28,16 @@ def read_if_there(spark: SparkSession, path: str, schema: str, kind: str = "parq
         return spark.createDataFrame([], schema)
 
 
-def candidate_rows(items: list[dict[str, Any]]) -> list[tuple]:
-    """Rows of CANDIDATES with defaults: numbered id, name from id, category general."""
+def candidate_rows(items: list[dict[str, Any]], skip: bool = False) -> list[tuple]:
+    """Rows of CANDIDATES with defaults: id numbered by place, name from id, category general.
+
+    An item without an expr is an error, or left out (but numbered) if skip is set.
+    """
     out = []
     for i, x in enumerate(items):
-        if "expr" not in x:
+        if not isinstance(x, dict) or "expr" not in x:
+            if skip:
+                continue
             raise ValueError(f"candidate {i} has no expr")
         key = str(x.get("id", f"seed_{i:04d}"))
         out.append((i, key, str(x.get("name", key)), str(x["expr"]), str(x.get("intuition", "")), str(x.get("category", "general")), {k: str(v) for k, v in (x.get("metadata") or {}).items()}))
@@ -48,13 +53,27 @@ def candidates(spark: SparkSession, path: str | Path) -> DataFrame:
     return spark.createDataFrame(candidate_rows(_items(read_config(path))), CANDIDATES)
 
 
-def parse_candidates(answer: str, kind: str = "yaml") -> list[dict[str, Any]]:
-    """Candidates of an answer in YAML or JSON, fenced or not; items without an expr are left out, none at all is an error."""
-    body = answer.split("```")[1].partition("\n")[2] if answer.count("```") >= 2 else answer
-    found = [x for x in _items(parse(body, kind)) if isinstance(x, dict) and x.get("expr")]
-    if not found:
+def answered_candidates(spark: SparkSession, answer: str) -> DataFrame:
+    """Candidates of one answer, fenced or not: as YAML or JSON, else by its loose lines; none at all is an error."""
+    body = unfenced(answer)
+    try:
+        data = parse(body)
+    except ValueError:
+        data = None
+    except Exception as e:  # the YAML library's errors have no common built-in base
+        if type(e).__module__.partition(".")[0] != "yaml":
+            raise
+        data = None
+    if data is None:
+        loose = text.loose_candidates(spark.createDataFrame([(0, body)], "key int, body string"), "key", "body")
+        rows = [tuple(r) for r in loose.select("idx", "seed_id", "name", "expr", "intuition", "category", F.create_map().cast("map<string,string>")).collect()]  # of one answer
+    elif isinstance(data, dict | list):
+        rows = candidate_rows(_items(data), skip=True)
+    else:
+        raise ValueError("the answer is neither a list nor a mapping")
+    if not rows:
         raise ValueError("no candidate with an expr")
-    return found
+    return spark.createDataFrame(rows, CANDIDATES)
 
 
 def save_evaluations(df: DataFrame, path: str) -> None:
@@ -86,6 +105,57 @@ def append_counts(batch: DataFrame, path: str, key: str = "hash") -> None:
     shaping.record(batch, shaping.counts(read_if_there(spark, path, f"{key} string, count long", "json"), key), key).write.mode("append").json(path)
 
 
+PROFILE_KEYS = ("expr_hash", "expr", "raw_score", "task_id", "start_date", "end_date")
+DIRECTION = "ts timestamp_ntz, pred tinyint, label tinyint, mask boolean, correct boolean"
+RANKS = "ts timestamp_ntz, symbol string, rank_pct double"
+
+
+def _profile_schema(cells: str) -> str:
+    return f"expr_hash string, expr string, raw_score double, task_id string, start_date string, end_date string, seq long, profile array<struct<{cells.replace(' ', ': ').replace(',:', ',')}>>"
+
+
+def load_items(spark: SparkSession, path: str, cells: str, k: int = 128) -> DataFrame:
+    """The archived items of a folder of JSON lines: the best of each expression, the k best; malformed lines are skipped."""
+    rows = read_if_there(spark, path, _profile_schema(cells), "json").where("coalesce(expr_hash, '') <> ''")
+    return shaping.best(rows.withColumn("raw_score", F.coalesce("raw_score", F.lit(-9.0))), k, "expr_hash")
+
+
+def load_profiles(spark: SparkSession, path: str, cells: str, k: int = 128) -> DataFrame:
+    """A row for each cell of the archived items' profiles: DIRECTION for residual archives, RANKS for behaviour archives."""
+    return load_items(spark, path, cells, k).select("expr_hash", "raw_score", F.inline("profile"))
+
+
+def append_profiles(items: DataFrame, cells_of: DataFrame, path: str, cells: str) -> None:
+    """Adds items (PROFILE_KEYS) with their profiles, rows of (expr_hash, cells).
+
+    Items without a profile, or worse than what the archive holds of their expression, are left out; one writer at a time.
+    """
+    spark = items.sparkSession
+    names = [c.split()[0] for c in cells.split(", ")]
+    # a profile is as long as the bars of its interval
+    profile = cells_of.groupBy("expr_hash").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("profile"))
+    old = read_if_there(spark, path, _profile_schema(cells), "json").groupBy("expr_hash").agg(F.max("raw_score").alias("_old"), F.max("seq").alias("_seq"))
+    rows = items.select(*PROFILE_KEYS).join(profile, "expr_hash").join(old, "expr_hash", "left").where("_old is null or raw_score >= _old")
+    rows.withColumn("seq", F.coalesce("_seq", F.lit(0)) + 1).drop("_old", "_seq").write.mode("append").json(path)
+
+
+def save_tasks(tasks: DataFrame, path: str | Path) -> None:
+    """A task bank as YAML or JSON, by suffix; some thousands of rows."""
+    rows = [{k: v for k, v in r.asDict(True).items() if v is not None} for r in tasks.collect()]
+    write_config({"metadata": {"num_tasks": len(rows)}, "tasks": rows}, path)
+
+
+TASKS = "task_id string, seed_id string, split string, expr string, category string, start_date string, end_date string, seed_score double, weight double"
+
+
+def load_tasks(spark: SparkSession, path: str | Path) -> DataFrame:
+    """A saved task bank; a missing category is general, a missing split full."""
+    defaults = {"category": "general", "split": "full", "weight": 1.0}
+    kinds = dict(c.split() for c in TASKS.split(", "))
+    read = lambda t, c: None if (v := t.get(c, defaults.get(c))) is None else float(v) if kinds[c] == "double" else str(v)
+    return spark.createDataFrame([tuple(read(t, c) for c in kinds) for t in (read_config(path) or {}).get("tasks", [])], TASKS)
+
+
 def append_mined(df: DataFrame, path: str, kind: Column, metric: Callable[[str], Column]) -> None:
     """Factors (expr, score, ...) that pass the quality gate, once for each expression; one writer at a time."""
     good = panel.quality_gate(df, kind, metric).withColumn("expr_hash", text.profile_hash(F.col("expr"))).select("expr_hash", "expr", F.col("score").cast("double").alias("score"))

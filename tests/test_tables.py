@@ -1,7 +1,6 @@
 """Files, banks, prompts, archives, scenarios and the command line; sampling against its definition."""
 
 import json
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,10 +37,15 @@ def test_candidates_and_validation(spark, tmp_path):
     assert cli.main([]) == 2
 
 
-def test_parse_candidates():
-    assert tables.parse_candidates("so\n```yaml\nseeds:\n- expr: close(3)\n- name: none\n```")[0]["expr"] == "close(3)"
-    with pytest.raises(ValueError):
-        tables.parse_candidates("seeds: []")
+def test_answered_candidates(spark):
+    fenced = "so\n```yaml\nseeds:\n- name: none\n- expr: close(3)\n- {id: x, expr: open(3), category: k}\n```"
+    assert [(r.idx, r.id, r.expr, r.category) for r in tables.answered_candidates(spark, fenced).collect()] == [(1, "seed_0001", "close(3)", "general"), (2, "x", "open(3)", "k")]
+    # not YAML: a second colon in a value
+    loose = "- name: a: b\n- name: c: d\n  expr: close(4)\n"
+    assert [(r.idx, r.id, r.name, r.expr) for r in tables.answered_candidates(spark, loose).collect()] == [(1, "seed_0001", "c: d", "close(4)")]
+    for bad in ("seeds: []", "just words", "- name: a: b"):
+        with pytest.raises(ValueError):
+            tables.answered_candidates(spark, bad)
 
 
 def test_evaluations_tasks_and_prompts(spark, tmp_path):
@@ -83,37 +87,32 @@ def test_scenario():
 
     def chat(messages):
         asked.append(messages)
-        return "```yaml\nuniverse: BTC, ETH\nhorizon: soon\nconstraints: none\ntarget: ic\nextra: 1\n```"
+        return "```yaml\nuniverse: BTC, ETH\nhorizon: soon\nconstraints: none\ntarget: ic\nextra: 1\nfields:\n```"
 
-    got = scenario.refine("a request", chat)
-    assert (got.raw, got.universe, got.horizon, got.constraints, got.target, got.market) == ("a request", ["BTC", "ETH"], 1, {"notes": "none"}, "ic", "generic")
+    got = scenario.refine("a request", chat, market="fx")
+    assert list(got) == list(scenario.FIELDS)
+    assert {k: got[k] for k in ("raw", "universe", "horizon", "constraints", "target", "market")} == {"raw": "a request", "universe": ["BTC", "ETH"], "horizon": 1, "constraints": {"notes": "none"}, "target": "ic", "market": "fx"}
+    assert got["fields"] == ["open", "high", "low", "close", "volume"]
     assert asked[0][-1]["content"] == "a request"
-    assert scenario.coerce(None) == scenario.Scenario()
-
-
-def loose(body):
-    """Brute force of the loose parser."""
-    items, own = [], None
-    for line in body.split("\n"):
-        m = re.match(r"^\s*(?:-\s*)?(name|expr|intuition|category)\s*:\s*(.*)$", line)
-        if not m:
-            continue
-        k, v = m[1], m[2].strip().strip('"').strip("'")
-        if own is None or line.lstrip().startswith("-") or (k == "name" and "expr" in own):
-            items += [own] if own else []
-            own = {}
-        own[k] = v
-    items += [own] if own else []
-    return [(i, x.get("name", f"seed_{i:04d}"), x["expr"], x.get("category", "general")) for i, x in enumerate(items) if x.get("expr")]
-
-
-def test_loose_candidates(spark):
-    bodies = ["", "x", "name: a\nexpr: 'f(1)'\nexpr: g(2)\n\nname: b\n- category: c\nexpr: \"h: 3\"", "- name: only\n- expr: k(1)\n junk\n  category: z", "expr: a\nname: n\nname: m\nexpr: b"]
-    df = spark.createDataFrame(list(enumerate(bodies)) + [(9, None)], "id long, body string")
-    got = {}
-    for r in text.loose_candidates(df).collect():
-        got.setdefault(r.id, []).append((r.idx, r.name, r.expr, r.category))
-    assert got == {i: loose(b) for i, b in enumerate(bodies) if loose(b)}
+    assert scenario.scenario() == {k: v for k, (_, v) in scenario.FIELDS.items()}
+    assert scenario.scenario({"horizon": "7", "universe": ("A", 2)}) | {} == scenario.scenario() | {"horizon": 7, "universe": ["A", "2"]}
+    assert scenario.refine("r", lambda m: '{"raw": "own", "horizon": 3}')["raw"] == "own"
+    with pytest.raises(ValueError):
+        scenario.refine("r", lambda m: "- a")
+    assert "universe: A, 2" in scenario.context(scenario.scenario({"universe": "A,2"}))
+
+
+@pytest.mark.parametrize("body, rows", [
+    ("", []),
+    ("x", []),
+    (None, []),
+    ("name: a\nexpr: 'f(1)'\nexpr: g(2)\n\nname: b\n- category: c\nexpr: \"h: 3\"", [(0, "a", "g(2)", "general"), (2, "seed_0002", "h: 3", "c")]),
+    ("- name: only\n- expr: k(1)\n junk\n  category: z", [(1, "seed_0001", "k(1)", "z")]),
+    ("expr: a\nname: n\nname: m\nexpr: b", [(0, "seed_0000", "a", "general"), (1, "m", "b", "general")]),
+])
+def test_loose_candidates(spark, body, rows):
+    got = text.loose_candidates(spark.createDataFrame([(1, body)], "id long, body string")).orderBy("idx").collect()
+    assert [(r.idx, r.name, r.expr, r.category) for r in got] == rows
 
 
 def test_evaluate_and_user_factor(spark):
@@ -121,7 +120,7 @@ def test_evaluate_and_user_factor(spark):
     bars = spark.createDataFrame(rows, "symbol string, ts string, open double, high double, low double, close double, volume double").withColumn("ts", F.to_timestamp_ntz("ts"))
     got = {r.id: r for r in seeds.evaluate(bars, [("a", "neg(last(close(2)))"), ("zero", "sub(last(close(2)), last(close(2)))"), ("bad", "nope(1)")]).collect()}
     assert got["a"].status == "evaluated" and got["a"].metrics["samples"] == 119 and got["a"].metrics["reward"] == (got["a"].metrics["direction_acc"] - 0.5) * 200
-    assert (got["zero"].status, got["zero"].reasons) == ("eval_filtered", ["no_signal"])
+    assert (got["zero"].status, got["zero"].reasons) == ("eval_filtered", ["zero_signal"])
     assert got["bad"].status == "eval_error" and not got["bad"].valid
     out = panel.user_factor(bars, lambda r: r.assign(factor=r.close.diff().fillna(0.0))[["symbol", "ts", "factor"]])
     assert out.count() == 120
