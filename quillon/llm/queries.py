@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, fingerprint, language, line_dedup, near_dedup, packing, quality, tokens, toxicity, warc
+from quillon.llm import decontaminate, filter_audit, fingerprint, language, line_dedup, near_dedup, packing, quality, target_resampling, tokens, toxicity, warc
 from quillon.llm._spark import fold, load, scratch
 
 
@@ -70,9 +70,20 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language, op2_token_counts, op3_warc, op4_near_duplicates, op5_decontamination, op6_toxicity, op7_fingerprints, op8_packing, op9_line_dedup, op10_importance_resampling)
+    for f in (
+        op1_language, op2_token_counts, op3_warc, op4_near_duplicates, op5_decontamination, op6_toxicity, op7_fingerprints, op8_packing, op9_line_dedup, op10_importance_resampling,
+        op11_target_resampling, op13_filter_audit,
+    )
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -125,4 +136,39 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM j GROUP BY doc_id""",
+    "op11_target_resampling": f"""
+        WITH crc AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, b)) AS tbl),
+        d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        b AS (SELECT regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+        dw AS (SELECT doc_id, unnest(w) AS x FROM d), bw AS (SELECT unnest(w) AS x FROM b),
+        words AS (SELECT x, xor(list_reduce(list_transform(range(strlen(x)), lambda i: ('0x' || substr(hex(x), 2 * i::INT + 1, 2))::BIGINT),
+                     lambda c, v: xor(tbl[(xor(c, v) & 255)::INT + 1], c >> 8), 4294967295), 4294967295) % 10000 AS slot
+                  FROM (SELECT x FROM dw UNION SELECT x FROM bw), crc),
+        s AS (SELECT slot, count(*) AS s FROM dw JOIN words USING (x) GROUP BY slot), t AS (SELECT slot, count(*) AS t FROM bw JOIN words USING (x) GROUP BY slot),
+        n AS (SELECT (SELECT count(*) FROM dw)::DOUBLE AS s_all, (SELECT count(*) FROM bw)::DOUBLE AS t_all),
+        g AS (SELECT slot, floor(1000 * ln((coalesce(t, 0) + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (slot), n),
+        v AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM dw JOIN words USING (x) JOIN g USING (slot) GROUP BY doc_id),
+        r AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN v USING (doc_id)),
+        k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS i, count(*) OVER () AS n FROM r WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score::BIGINT AS score, CASE WHEN i <= n * 10 // 100 THEN i END::BIGINT AS rank FROM r LEFT JOIN k USING (doc_id)""",
+    "op13_filter_audit": """
+        WITH f AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        m AS (SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+                       regexp_matches(text, '[#$%&*|]'), doc_id > min(doc_id) OVER (PARTITION BY text)] AS bad,
+                     coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic
+              FROM f LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)),
+        c AS (SELECT part, bad, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS t FROM m GROUP BY ALL),
+        x AS (SELECT unnest(range(1, 6)) AS i),
+        o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+        r AS (SELECT part, p, i AS step, n, g, t, bad[p[i]::INT] AS fails, list_bool_or(list_transform(p[:i - 1], lambda j: bad[j::INT])) AS gone,
+                     list_sum(list_transform(bad, lambda z: z::INT)) AS n_bad FROM c, o, x),
+        s AS (SELECT part, array_to_string(list_transform(p, lambda j: substr('ABCDE', j::INT, 1)), '') AS filter_order, step, substr('ABCDE', p[step]::INT, 1) AS filter,
+                sum(n) FILTER (NOT fails AND NOT coalesce(gone, false)) AS kept, sum(n) FILTER (fails AND NOT coalesce(gone, false)) AS removed,
+                sum(n) FILTER (fails AND gone) AS redundant, sum(n) FILTER (fails AND n_bad = 1) AS unique_fails,
+                sum(g) FILTER (fails AND NOT coalesce(gone, false)) AS good_lost, sum(t) FILTER (fails AND NOT coalesce(gone, false)) AS toxic_lost
+              FROM r GROUP BY part, p, step)
+        SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+               coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+               coalesce(sum(removed) OVER (PARTITION BY part, filter), 0)::BIGINT AS shapley FROM s""",
 }
