@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, filter_audit, fingerprint, language, line_dedup, near_dedup, packing, quality, target_resampling, tokens, toxicity, warc
+from quillon.llm import decontaminate, filter_audit, fingerprint, language, line_dedup, near_dedup, packing, quality, substring_dedup, target_resampling, tokens, toxicity, warc
 from quillon.llm._spark import fold, load, scratch
 
 
@@ -74,6 +74,10 @@ def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_resampling.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(load(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -82,7 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language, op2_token_counts, op3_warc, op4_near_duplicates, op5_decontamination, op6_toxicity, op7_fingerprints, op8_packing, op9_line_dedup, op10_importance_resampling,
-        op11_target_resampling, op13_filter_audit,
+        op11_target_resampling, op12_substring_dedup, op13_filter_audit,
     )
 }
 
@@ -152,6 +156,20 @@ ORACLE: dict[str, str] = {
                 coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN v USING (doc_id)),
         k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS i, count(*) OVER () AS n FROM r WHERE n_features >= 20)
         SELECT doc_id, n_features, weight, score::BIGINT AS score, CASE WHEN i <= n * 10 // 100 THEN i END::BIGINT AS rank FROM r LEFT JOIN k USING (doc_id)""",
+    "op12_substring_dedup": """
+        WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+        b AS (SELECT doc_id, n, unnest(range(0, n - 99, 100)) AS j, h FROM d WHERE n >= 100),
+        c AS (SELECT doc_id, n, j, substr(h, 2 * j + 1, 400) AS h FROM b),
+        w AS (SELECT doc_id, j + unnest(range(least(100, n - 99 - j))) AS x, substr(h, 2 * unnest(range(least(100, n - 99 - j))) + 1, 200) AS s FROM c),
+        r AS (SELECT doc_id, x, row_number() OVER (PARTITION BY s ORDER BY doc_id, x) AS i FROM w),
+        g AS (SELECT doc_id, x, sum(CASE WHEN x <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY x) AS span
+              FROM (SELECT doc_id, x, lag(x, 1, -1000) OVER (PARTITION BY doc_id ORDER BY x) AS before FROM r WHERE i > 1)),
+        p AS (SELECT doc_id, min(x) AS lo, max(x) + 100 AS hi FROM g GROUP BY doc_id, span),
+        k AS (SELECT doc_id, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS kept_from FROM p),
+        a AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, max(hi) AS tail,
+                string_agg(substr(h, 2 * kept_from + 1, 2 * (lo - kept_from)), '' ORDER BY lo) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)""",
     "op13_filter_audit": """
         WITH f AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         m AS (SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
