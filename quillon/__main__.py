@@ -1,4 +1,4 @@
-"""python -m quillon validate FILE | evaluate BARS EXPR [HORIZON] | task-bank EVALUATIONS OUT.yaml [MAX_SEEDS] | build-prompts BANK OUT [MODE]"""
+"""python -m quillon validate FILE | evaluate BARS EXPR [HORIZON [MINUTES]] | task-bank EVALUATIONS OUT.yaml [MAX_SEEDS] | build-prompts BANK OUT [MODE]"""
 
 from __future__ import annotations
 
@@ -27,8 +27,9 @@ def main(args: list[str]) -> int:
         return int(bad > 0)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args[0] == "evaluate":
-        out = seeds.evaluate(bars.scan(spark, args[1]), [("given", args[2])], int(args[3]) if len(args) > 3 else 1)
-        for row in out.toJSON().take(1000):
+        horizon, minutes = (int(args[i]) if len(args) > i else n for i, n in ((3, 1), (4, 5)))
+        out = seeds.evaluate(bars.scan(spark, args[1]), [("given", args[2])], horizon, seeds.smoke_warmup(minutes))
+        for row in out.toJSON().toLocalIterator():  # a row a symbol, a partition at a time
             print(row)
     elif args[0] == "build-prompts":
         seeds.prompts(tables.load_tasks(spark, args[1]), args[3] if len(args) > 3 else "seeded_ocd", "You design factors from the operators of the factor language.").write.mode("overwrite").parquet(args[2])

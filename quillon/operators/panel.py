@@ -9,12 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.functions.ordered import average_ranks
 from quillon.functions.stats import EPS, average_rank, clip, corr, is_finite
 from quillon.plans.lower import factors
 from quillon.sources.bars import finite_rows
 
 FAIL = -1.0
-#: Fixed values below: the warm-up ladders by bar size, and the limits of the quality gate.
+#: Bars of warm-up by the largest bar size in minutes they hold for, beyond these, and from a day on.
+_WARMUP, _LONG_WARMUP, _DAY_WARMUP = ((5, 240), (60, 96), (240, 64)), 32, 240
+#: Days of warm-up of a panel, its bars by bar size in minutes and for all other sizes; days loaded beyond any warm-up.
+PANEL_DAYS, PANEL_BARS, PANEL_OTHER, BUFFER_DAYS = 10, {5: 240}, 96, 2
 
 
 def forward_return(horizon: int, close: str = "close", keys: tuple[str, ...] = ("symbol",), order: str = "ts") -> Column:
@@ -32,19 +36,30 @@ def skip_warmup(df: DataFrame, bars: int, keys: tuple[str, ...] = ("symbol",), o
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("_n") >= bars).drop("_n")
 
 
-def warmup_bars(minutes: int) -> int:
-    if minutes >= 1440 or minutes <= 5:
-        return 240
-    return 96 if minutes <= 60 else 64 if minutes <= 240 else 32
+def warmup_bars(minutes: int | Column) -> int | Column:
+    """Bars before a factor of single-asset jobs counts, by bar size."""
+    if isinstance(minutes, int):
+        return _DAY_WARMUP if minutes >= 1440 else next((n for top, n in _WARMUP if minutes <= top), _LONG_WARMUP)
+    out = F.when(minutes >= 1440, _DAY_WARMUP)
+    for top, n in _WARMUP:
+        out = out.when(minutes <= top, n)
+    return out.otherwise(_LONG_WARMUP)
 
 
-def warmup_days(minutes: int, bars: int) -> int:
-    return max(180, 2 * bars + 30) if minutes >= 1440 else max(10, -(-minutes * bars // 1440) + 5)
+def warmup_days(minutes: int | Column, bars: int | Column) -> int | Column:
+    """Days that hold so many bars, with a reserve."""
+    if isinstance(minutes, int) and isinstance(bars, int):
+        return max(180, 2 * bars + 30) if minutes >= 1440 else max(10, -(-minutes * bars // 1440) + 5)
+    minutes, bars = (F.lit(x) if isinstance(x, int) else x for x in (minutes, bars))
+    return F.when(minutes >= 1440, F.greatest(F.lit(180), 2 * bars + 30)).otherwise(F.greatest(F.lit(10), F.ceil(minutes * bars / 1440).cast("int") + 5))
 
 
-def backtest_warmup(minutes: int, days: int) -> int:
-    """Rows of a symbol before its first that a backtest keeps: a day ladder, none for bars of about a day."""
-    return 1 if minutes >= 1440 else days * (1440 // minutes)
+def backtest_warmup(minutes: int | Column, days: int | Column) -> int | Column:
+    """Bars of a symbol that a backtest counts before its first row: a day ladder, none for bars of about a day."""
+    if isinstance(minutes, int) and isinstance(days, int):
+        return 1 if minutes >= 1440 else days * (1440 // minutes)
+    minutes, days = (F.lit(x) if isinstance(x, int) else x for x in (minutes, days))
+    return F.when(minutes >= 1440, 1).otherwise(days * F.floor(F.lit(1440) / minutes).cast("int"))
 
 
 def after_start(df: DataFrame, start: str, order: str = "ts") -> DataFrame:
@@ -76,13 +91,14 @@ def align(factor: DataFrame, returns: DataFrame, on: tuple[str, ...] = ("symbol"
 
 @dataclass(frozen=True)
 class Reward:
-    """columns: added before the aggregation; sums: aggregates by name; then value, passed, reason and metrics of these."""
+    """columns, then prepare: added before the aggregation; sums: aggregates by name; then value, passed, reason and metrics of these."""
 
     columns: dict[str, Column]
     sums: dict[str, Column]
     value: Column
     reason: Column
     metrics: dict[str, Column]
+    prepare: Callable[[DataFrame], DataFrame] | None = None
 
 
 def _direction(tag: str, fwd: str, keys: tuple[str, ...], min_samples: int = 50) -> Reward:
@@ -101,15 +117,17 @@ def _direction(tag: str, fwd: str, keys: tuple[str, ...], min_samples: int = 50)
 def _correlation(name: str, ranked: bool):
     def make(tag: str, fwd: str, keys: tuple[str, ...], min_samples: int = 50) -> Reward:
         c, ok = (lambda n: F.col(tag + n)), is_finite("factor") & is_finite(fwd)
-        pair, columns = (F.when(ok, F.col("factor")), F.when(ok, F.col(fwd))), {}
+        pair, columns, prepare = (F.when(ok, F.col("factor")), F.when(ok, F.col(fwd))), {}, None
         if ranked:
-            # without keys all rows are ranked together: give keys that bound the groups
-            columns = {f"{tag}ok": ok, f"{tag}f": average_rank("factor", *keys, f"{tag}ok"), f"{tag}r": average_rank(fwd, *keys, f"{tag}ok")}
-            pair = F.when(ok, c("f")), F.when(ok, c("r"))
+            columns, pair = {f"{tag}ok": ok}, (F.when(ok, c("f")), F.when(ok, c("r")))
+            if keys:
+                columns |= {f"{tag}f": average_rank("factor", *keys, f"{tag}ok"), f"{tag}r": average_rank(fwd, *keys, f"{tag}ok")}
+            else:  # all rows are ranked together, by ranges
+                prepare = lambda rows: average_ranks(rows, {f"{tag}f": "factor", f"{tag}r": fwd}, c("ok"))
         few, none = c("n") < min_samples, c("v").isNull()
         sums = {"n": F.count(F.when(ok, 1)), "v": corr(*pair)}
         metrics = {"samples": c("n").cast("double"), name: F.when(~few, c("v"))}
-        return Reward(columns, sums, F.when(few | none, FAIL).otherwise(c("v")), F.when(few, "too_few_samples").when(none, "undefined"), metrics)
+        return Reward(columns, sums, F.when(few | none, FAIL).otherwise(c("v")), F.when(few, "too_few_samples").when(none, "undefined"), metrics, prepare)
 
     return make
 
@@ -191,6 +209,7 @@ def composite(df: DataFrame, components: dict[str, float | dict], keys: tuple[st
         part = REWARDS[name](tag, fwd, keys, **options)
         for k, v in part.columns.items():
             rows = rows.withColumn(k, v)
+        rows = part.prepare(rows) if part.prepare else rows
         parts.append((name, weight, tag, part))
     out = rows.groupBy(*keys).agg(*[v.alias(tag + k) for _, _, tag, p in parts for k, v in p.sums.items()])
     total, passed = F.lit(0.0), F.lit(True)

@@ -1,22 +1,29 @@
 """A batch of answers from text to shaped reward: expressions, jobs, evaluation, archives, shaping.
 
 Distinct expressions and jobs of a batch (some hundreds) pass through the driver, since expressions are lowered
-there; bars and profiles never do.  All expressions share one shuffle and sort of the bars.
+there; bars and profiles never do.  All bar sizes of a batch come from one scan (``bars.lattice``), each job is
+scored on its own, and all expressions of a size share one shuffle and sort of its bars.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillon.operators import panel, shaping, text
 from quillon.plans.expr import family_hash, validate
 from quillon.plans.lower import factors
-from quillon.sources.bars import finite_rows
+from quillon.sources.bars import finite_rows, lattice
 
 JOBS = "job int, expr string, start_date string, end_date string, bar_minutes int, horizon int"
+#: The kind of reward that compares symbols at a time; all others are rewards of ``panel`` for single assets.
+CROSS = "cross_sectional_rankic"
+_SIGNS = "expr_hash string, symbol string, ts timestamp_ntz, pred tinyint, label tinyint, mask boolean, correct boolean"
+_RANKS = "expr_hash string, ts timestamp_ntz, symbol string, rank_pct double"
 
 
 @dataclass
@@ -35,50 +42,114 @@ class Batch:
         return items, cells
 
 
-def score_jobs(bars: DataFrame, jobs: DataFrame, kind: str = "direction", warmup: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(jobs with raw, profiles) of jobs (JOBS) over bars, by the reward of a kind; an expression that does not validate has raw -1.
+def job_window(kind: str, minutes: Column, start: Column, warmup: int | None = None) -> tuple[Column, Column]:
+    """(time to load from, number of the first bar kept among those loaded) of a job.
 
-    A job sees the bars up to its end, windows may begin before its start, labels do not reach beyond its end.
+    Single assets: a factor counts from the end of its warm-up on, and the day ladder counts from there.  Panels have a fixed
+    number of days and the warm-up of the series evaluator.  warmup: that many bars of the whole history instead.
     """
-    found = jobs.collect()
-    names = {e: f"f{i}" for i, e in enumerate(sorted({r.expr for r in found if validate(r.expr).valid}))}
-    spark = bars.sparkSession
-    name, least, _ = panel.single_asset_reward(kind)
-    if not names:
-        return jobs.withColumn("raw", F.lit(-1.0)), spark.createDataFrame([], "expr_hash string, symbol string, ts timestamp_ntz, pred tinyint, label tinyint, mask boolean, correct boolean")
-    wide = panel.skip_warmup(factors(finite_rows(bars), {n: e for e, n in names.items()}), warmup)
-    at = F.element_at(F.create_map(*[x for i, e in enumerate(names) for x in (F.lit(e), F.lit(i))]), F.col("expr"))
-    known = spark.createDataFrame([tuple(r) for r in found if r.expr in names], jobs.schema).withColumn("at", at)
-    rows = wide.select("symbol", "ts", "close", F.posexplode(F.array(*names.values())).alias("at", "factor")).join(F.broadcast(known), "at")
-    rows = panel.valid_scores(rows.where(F.col("ts") <= F.col("end_date").cast("timestamp_ntz")))
+    if warmup is not None:
+        return F.lit("0001-01-01").cast("timestamp_ntz"), F.lit(warmup)
+    if kind == CROSS:
+        bars, days = F.lit(panel.PANEL_OTHER), F.lit(panel.PANEL_DAYS)
+        for size, n in panel.PANEL_BARS.items():
+            bars = F.when(minutes == size, n).otherwise(bars)
+        first = bars
+    else:
+        bars = panel.warmup_bars(minutes)
+        days = panel.warmup_days(minutes, bars)
+        first = bars - 1 + panel.backtest_warmup(minutes, days)
+    return F.date_sub(start.cast("date"), days + panel.BUFFER_DAYS).cast("timestamp_ntz"), first
+
+
+def job_rows(rows: DataFrame, jobs: list, kind: str, warmup: int | None, **grid) -> DataFrame:
+    """(job, symbol, ts, start, close, factor, n, first, horizon) of every job: the bars it loads, numbered within a symbol."""
+    spark = rows.sparkSession
+    grids = lattice(rows, {r.bar_minutes for r in jobs}, **grid)
+    parts = []
+    for minutes, bars in grids.items():
+        own = [r for r in jobs if r.bar_minutes == minutes]
+        names = {e: f"f{i}" for i, e in enumerate(sorted({r.expr for r in own}))}
+        at = {e: i for i, e in enumerate(names)}
+        wide = factors(finite_rows(bars), {n: e for e, n in names.items()})
+        known = spark.createDataFrame([(r.job, at[r.expr], r.start_date, r.end_date, r.bar_minutes, max(1, r.horizon)) for r in own], "job int, at int, start_date string, end_date string, bar_minutes int, horizon int")
+        load, first = job_window(kind, F.col("bar_minutes"), F.col("start_date"), warmup)
+        known = known.select("job", "at", "horizon", F.col("start_date").cast("timestamp_ntz").alias("start"), F.col("end_date").cast("timestamp_ntz").alias("end"), load.alias("load"), first.cast("int").alias("first"))
+        long = wide.select("symbol", "ts", "close", F.posexplode(F.array(*names.values())).alias("at", "factor"))
+        parts.append(long.join(F.broadcast(known), "at").where((F.col("ts") >= F.col("load")) & (F.col("ts") <= F.col("end"))))  # a row a job
+    every = reduce(DataFrame.unionByName, parts)
+    number = F.row_number().over(Window.partitionBy("job", "symbol").orderBy("ts"))
+    return every.withColumn("n", number).select("job", "symbol", "ts", "start", "close", "factor", "n", "first", "horizon")
+
+
+def _with_returns(rows: DataFrame, jobs: list) -> DataFrame:
     fwd = F.lit(None).cast("double")
-    for h in sorted({max(1, r.horizon) for r in found}):
-        fwd = F.when(F.greatest("horizon", F.lit(1)) == h, panel.forward_return(h, keys=("job", "symbol"))).otherwise(fwd)
-    rows = rows.withColumn("fwd", fwd).where(F.col("ts") >= F.col("start_date").cast("timestamp_ntz"))
-    got = panel.reward(name)(rows, ("job",), min_samples=least)
-    raw = got.select("job", panel.raw_reward(kind, F.col("value"), F.col("passed")).alias("raw"))
+    for h in sorted({max(1, r.horizon) for r in jobs}):
+        fwd = F.when(F.col("horizon") == h, panel.forward_return(h, keys=("job", "symbol"))).otherwise(fwd)
+    return rows.withColumn("fwd", fwd)
+
+
+def score_jobs(rows: DataFrame, jobs: DataFrame, kind: str = "direction", warmup: int | None = None, min_symbols: int = 8, min_times: int = 20, **grid) -> tuple[DataFrame, DataFrame]:
+    """(jobs with raw, profiles) of jobs (JOBS) over rows, by a kind of reward: direction, a reward of ``panel`` or CROSS.
+
+    rows are bars or trades of any grain up to the finest bar; every job is scored on bars of its own size (grid: ``closed``,
+    ``origin``, ``tie`` of ``bars.lattice``).  A job loads its warm-up before its start (``job_window``); windows may begin before
+    that, labels do not reach beyond its end.  An expression that does not validate, like a job without rows, has raw -1; an
+    unknown kind is an error.  Profiles are signs, for CROSS percentile ranks.
+    """
+    if kind != CROSS and {"direction": "direction_accuracy"}.get(kind, kind) not in panel.REWARDS:
+        raise ValueError(f"unknown reward kind {kind!r}; known: {sorted(['direction', CROSS, *panel.REWARDS])}")
+    spark = rows.sparkSession
+    found = [r for r in jobs.collect() if validate(r.expr).valid]
+    if not found:
+        return jobs.withColumn("raw", F.lit(-1.0)), spark.createDataFrame([], _RANKS if kind == CROSS else _SIGNS)
+    every = job_rows(rows, found, kind, warmup, **grid)
+    kept = (F.col("n") >= F.col("first")) & (F.col("ts") >= F.col("start"))
+    if kind == CROSS:
+        # returns over all bars, then the rows from the warm-up and the start on
+        own = _with_returns(every, found).where(kept)
+        symbols = own.groupBy("job").agg(F.count_distinct("symbol").alias("symbols"))
+        cross = panel.cross_section(own, ("job", "ts"), min_symbols).join(F.broadcast(symbols), "job")  # a row a job
+        raw = panel.summarise(cross, F.col("symbols"), ("job",), min_times, min_symbols).select("job", F.col("score").alias("raw"))
+        profiles = panel.percentile_ranks(own, ("job", "ts"), min_symbols).select(F.col("job").cast("string").alias("expr_hash"), "ts", "symbol", "rank_pct")
+    else:
+        name, least, _ = panel.single_asset_reward(kind)
+        own = _with_returns(panel.valid_scores(every.where(kept)), found)
+        got = panel.reward(name)(own, ("job",), min_samples=least)
+        raw = got.select("job", panel.raw_reward(kind, F.col("value"), F.col("passed")).alias("raw"))
+        profiles = panel.direction_signs(panel.aligned(own).withColumn("expr_hash", F.col("job").cast("string")), "expr_hash")
     scored = jobs.join(F.broadcast(raw), "job", "left").withColumn("raw", F.coalesce("raw", F.lit(-1.0)))  # a row a job
-    return scored, panel.direction_signs(panel.aligned(rows).withColumn("expr_hash", F.col("job").cast("string")), "expr_hash")
+    return scored, profiles
 
 
-def score_answers(answers: DataFrame, bars: DataFrame, exact: DataFrame, family: DataFrame, kind: str = "direction", relative: bool = False, diversity: bool = True, residual: DataFrame | None = None, warmup: int = 1) -> Batch:
+def score_answers(
+    answers: DataFrame, rows: DataFrame, exact: DataFrame, family: DataFrame, kind: str = "direction", relative: bool = False, diversity: bool = True, residual: DataFrame | None = None,
+    behaviour: DataFrame | None = None, **options,
+) -> Batch:
     """Shaped rewards of answers (id, text, seed_expr, start_date, end_date, bar_minutes, horizon).
 
-    exact, family: counts (hash, count) before the batch; residual: cells of archived direction profiles.  An answer without
-    an expression, or with one that cannot be evaluated, has -1.
+    exact, family: counts (hash, count) before the batch; residual: cells of archived direction profiles; behaviour: cells of archived
+    rank profiles, for CROSS.  Options are those of ``score_jobs``.  An answer without an expression, or with one that
+    cannot be evaluated, has -1.
     """
+    if (residual is not None and kind == CROSS) or (behaviour is not None and kind != CROSS):
+        raise ValueError("archived profiles must be of the kind of the reward")
     spark = answers.sparkSession
-    rows = answers.withColumn("expr", F.coalesce(text.expression(F.col("text")), F.lit("")))
-    found = shaping.jobs(rows, relative).collect()
+    out = answers.withColumn("expr", F.coalesce(text.expression(F.col("text")), F.lit("")))
+    found = shaping.jobs(out, relative).collect()
     table = sorted(tuple(str(r[c]) if c.endswith(("expr", "date")) else int(r[c]) for c in shaping.JOB) for r in found)
     jobs = spark.createDataFrame([(i, *r) for i, r in enumerate(table)], JOBS)
-    scored, profiles = score_jobs(bars, jobs, kind, warmup)
+    scored, profiles = score_jobs(rows, jobs, kind, **options)
     families = spark.createDataFrame([(e, family_hash(e)) for e in sorted({r[0] for r in table})], "expr string, family string")
-    out = shaping.with_scores(rows, scored, relative).join(F.broadcast(families), "expr", "left").withColumn("hash", text.exact_hash(F.col("expr")))
+    out = shaping.with_scores(out, scored, relative).join(F.broadcast(families), "expr", "left").withColumn("hash", text.exact_hash(F.col("expr")))
     out = shaping.with_counts(out, exact, "exact_seen")
     out = shaping.with_counts(out, family.withColumnRenamed("hash", "family"), "family_seen", "family")
+    stats = None
     if residual is not None:
         stats = shaping.residual_score(profiles, residual).join(shaping.max_behaviour_corr(profiles, residual), "expr_hash", "full")
+    if behaviour is not None:
+        stats = shaping.rank_behaviour_corr(profiles, behaviour).select("expr_hash", F.col("max_corr").alias("rank_max_corr"), F.col("samples").alias("rank_samples"))
+    if stats is not None:
         of_job = scored.select(*shaping.JOB, F.col("job").cast("string").alias("expr_hash")).join(stats, "expr_hash").drop("expr_hash")
         out = out.join(of_job, list(shaping.JOB), "left")
-    return Batch(shaping.shape(out, relative, diversity=diversity, residual=residual is not None), scored, profiles)
+    return Batch(shaping.shape(out, relative, diversity=diversity, residual=residual is not None, behaviour=behaviour is not None), scored, profiles)

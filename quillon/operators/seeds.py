@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.functions.ordered import running_sum
 from quillon.functions.stats import normal_text
 from quillon.operators import panel
-from quillon.plans.expr import validate
+from quillon.operators.intervals import within
+from quillon.plans.expr import exact_hash, family_hash, validate
 from quillon.plans.lower import factors
 from quillon.sources.bars import finite_rows
+from quillon.sources.scratch import stash
 
 #: Default weights, filters and library sizes.
 WEIGHTS = {"reward": 1.0, "robustness": 0.2, "novelty": 0.2, "coverage": 0.1, "complexity": -0.05}
@@ -27,23 +34,41 @@ def with_defaults(df: DataFrame) -> DataFrame:
     return df.select("idx", name.alias("id"), F.coalesce("name", name).alias("name"), "expr", F.coalesce("intuition", F.lit("")).alias("intuition"), F.coalesce("category", F.lit("general")).alias("category"))
 
 
-def validate_candidates(spark: SparkSession, rows: list[tuple[str, str]], **limits) -> DataFrame:
-    """(id, valid, status, reasons, metrics, canonical_hash) of (id, expr); a few hundred on the driver.
+_VERDICT = "expr string, valid boolean, status string, reasons array<string>, metrics map<string,double>, canonical_hash string, exact_hash string, family_hash string"
+
 
-    status is static_valid, static_invalid or invalid_syntax, which has no metrics and no hash.
+def validate_candidates(rows: DataFrame, **limits) -> DataFrame:
+    """rows (id, expr and others) with valid, status, reasons, metrics and the three hashes of their expressions.
+
+    status is static_valid, static_invalid or invalid_syntax, which has no metrics and no canonical hash.  Each distinct text
+    is parsed once, in the tasks; no expression passes through the driver.  A null expression is an empty one.
     """
-    out = []
-    for key, text in rows:
+    kinds = {"valid": pa.bool_(), "status": pa.string(), "reasons": pa.list_(pa.string()), "metrics": pa.map_(pa.string(), pa.float64()), "canonical_hash": pa.string(), "exact_hash": pa.string(), "family_hash": pa.string()}
+
+    def judge(text: str) -> tuple:
         v = validate(text, **limits)
         status = "static_valid" if v.valid else "static_invalid" if v.stats.valid else "invalid_syntax"
         metrics = {"expr_depth": float(v.stats.depth), "expr_nodes": float(v.stats.nodes)} if v.stats.valid else {}
-        out.append((key, v.valid, status, v.reasons, metrics, v.stats.hash))
-    return spark.createDataFrame(out, "id string, valid boolean, status string, reasons array<string>, metrics map<string,double>, canonical_hash string")
+        return v.valid, status, v.reasons, list(metrics.items()), v.stats.hash, exact_hash(text), family_hash(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(zip(*[judge(x) for x in batch.column(0).to_pylist()], strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), t) for c, t in zip(found, kinds.values(), strict=True)]], ["expr", *kinds])
+
+    text = F.coalesce("expr", F.lit(""))
+    verdicts = rows.select(text.alias("expr")).distinct().mapInArrow(run, _VERDICT).withColumnRenamed("expr", "_text")
+    return rows.drop(*kinds).join(verdicts, text == F.col("_text")).drop("_text")
+
+
+def smoke_warmup(minutes: int) -> int:
+    """Bars of a symbol before the first that counts, where an expression is tried out."""
+    return panel.PANEL_BARS.get(minutes, panel.PANEL_OTHER)
 
 
 def smoke(bars: DataFrame, expr: str, minutes: int = 5, min_samples: int = 50) -> DataFrame:
     """One expression over all its symbols: (valid, score, direction_acc, coverage, error), with the usual warm-up rows."""
-    got = evaluate(bars, [("given", expr)], 1, 240 if minutes == 5 else 96, min_samples, ("id",))
+    got = evaluate(bars, [("given", expr)], 1, smoke_warmup(minutes), min_samples, ("id",))
     of = lambda n: F.coalesce(_metric(n), F.lit(0.0)).alias(n)
     error = F.nullif(F.concat_ws(";", "reasons"), F.lit(""))
     return got.select("valid", F.coalesce(_metric("reward"), F.lit(0.0)).alias("score"), of("direction_acc"), of("coverage"), error.alias("error"))
@@ -109,36 +134,69 @@ def score(df: DataFrame, weights: dict[str, float] = WEIGHTS, filters: dict[str,
 
 
 KEPT, COPY, QUOTA = "kept", "duplicate_ast", "duplicate_category_quota"
+#: The reason that a status leaves on a row.
+_WHY = {COPY: "duplicate_ast", QUOTA: "category_quota"}
 
 
-def dedup(df: DataFrame, quota: int | None = None) -> DataFrame:
-    """Adds dup_status to rows with idx: kept, duplicate_ast or duplicate_category_quota; NULL for rows that are not valid.
+def dedup(df: DataFrame, quota: int | None = None, sort_by: str = "seed_score", by_hash: bool = True) -> DataFrame:
+    """Adds dup_status to rows with idx (unique): kept, duplicate_ast or duplicate_category_quota; NULL for rows that were not valid.
 
-    Valid rows are taken in the order of score, then idx.  One whose hash a kept row has is a copy (an empty hash never
-    repeats), else one whose category already has ``quota`` kept rows is beyond it; it does not stand in the way of later copies.
+    Valid rows are taken in the order of ``sort_by`` (a column, else a metric where a row has it, else the score), then idx.  One
+    whose hash a kept row has is a copy (an empty hash never repeats; none does without by_hash), else one whose category
+    already has ``quota`` kept rows is beyond it; it does not stand in the way of later copies.  Copies and rows beyond the quota
+    are no longer valid: status and reasons say why, where df has these columns.
     """
-    has = F.coalesce(F.col("canonical_hash"), F.lit("")) != ""
-    # rows without a hash are dealt out by idx, so they make no hot group
-    rows = df.withColumn("_hash", F.when(has, F.col("canonical_hash")).otherwise(F.concat(F.lit("#"), F.col("idx"))))
-    rows = rows.withColumn("_family", F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit("general")))
-    order = [F.desc("seed_score"), F.asc("idx")]
+    first = F.col(sort_by) if sort_by in df.columns else F.coalesce(_metric(sort_by), F.col("seed_score"))
+    has = (F.coalesce(F.col("canonical_hash"), F.lit("")) != "") & F.lit(by_hash)
     part = F.coalesce("valid", F.lit(False))
-    copies, family = Window.partitionBy("_hash", part).orderBy(*order), Window.partitionBy("_family", part).orderBy(*order)
-    if quota is None:
-        done = rows.withColumn("dup_status", F.when(part, F.when(F.row_number().over(copies) == 1, KEPT).otherwise(COPY)))
-        return done.drop("_hash", "_family")
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("dup_status", F.lit(None).cast("string"))
-    open_ = part & F.col("dup_status").isNull()
-    while True:
-        # what is settled before a row settles it; the first open row always can be
-        ahead = lambda cond, w: F.coalesce(F.sum(cond.cast("int")).over(before(w)), F.lit(0))
-        rows = rows.withColumns({"_kept": ahead(F.col("dup_status") == KEPT, copies), "_open": ahead(open_, copies), "_full": ahead(F.col("dup_status") == KEPT, family), "_wait": ahead(open_, family)})
-        first = (F.col("_open") == 0) & (F.col("_kept") == 0)
-        settled = F.when(F.col("_kept") > 0, COPY).when(first & (F.col("_full") >= quota), QUOTA).when(first & (F.col("_full") + F.col("_wait") < quota), KEPT)
-        rows = rows.withColumn("dup_status", F.coalesce("dup_status", F.when(part, settled))).drop("_kept", "_open", "_full", "_wait")
-        if rows.where(open_).isEmpty():
-            return rows.drop("_hash", "_family")
+    # rows without a hash are dealt out by idx, so they make no hot group; the least place comes first
+    place = F.struct(F.coalesce(-first, F.lit(float("inf"))).alias("score"), F.col("idx").alias("idx"))
+    rows = df.withColumns({
+        "_hash": F.when(has, F.col("canonical_hash")).otherwise(F.concat(F.lit("#"), F.col("idx"))), "_family": F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit("general")), "_place": place,
+    })
+    narrow = rows.where(part).select("_hash", "_family", "_place")
+    kept = narrow.groupBy("_hash").agg(F.min("_place").alias("_kept")) if quota is None else _quota(narrow, quota)
+    rows = rows.join(kept, "_hash", "left")
+    status = F.when(F.col("_kept") == F.col("_place"), KEPT).when(F.col("_kept") < F.col("_place"), COPY).otherwise(QUOTA)
+    rows = rows.withColumn("dup_status", F.when(part, status))
+    gone = F.coalesce(F.col("dup_status") != KEPT, F.lit(False))
+    changed = {"valid": part & ~gone}
+    if "status" in df.columns:
+        changed["status"] = F.when(gone, F.col("dup_status")).otherwise(F.col("status"))
+    if "reasons" in df.columns:
+        why = F.create_map(*[F.lit(x) for pair in _WHY.items() for x in pair])
+        changed["reasons"] = F.when(gone, F.concat(F.coalesce("reasons", F.array().cast("array<string>")), F.array(why[F.col("dup_status")]))).otherwise(F.col("reasons"))
+    return rows.withColumns(changed).select(*df.columns, "dup_status")
+
+
+def _quota(rows: DataFrame, quota: int) -> DataFrame:
+    """(_hash, _kept): the place of the row that is kept of each hash, of rows (_hash, _family, _place).
+
+    Of a hash and family only the first row can be kept, so the others go at once.  Then in rounds: an open row is kept if it is the
+    first of its hash and, of its family, among as many as there is room for; rows of its hash and of full families are
+    settled with it.  The first open row of all always is kept, and in general a share of the rest, so rounds are few; each reads
+    and writes only what is still open.  A family is cut to the quota before it is shuffled, so a large one is no large group.
+    """
+    open_ = stash(rows.groupBy("_hash", "_family").agg(F.min("_place").alias("_place")), "open")
+    done: list[DataFrame] = []
+    number = F.row_number().over(Window.partitionBy("_family").orderBy("_place"))
+    while quota > 0 and not open_.isEmpty():
+        first = open_.groupBy("_hash").agg(F.min("_place").alias("_first"))
+        room = F.lit(quota)
+        near = open_.withColumn("_n", number).where(F.col("_n") <= quota)
+        if done:
+            full = _every(done).groupBy("_family").agg(F.count("*").alias("_full"))
+            near = near.join(full, "_family", "left")
+            room = quota - F.coalesce("_full", F.lit(0))
+        new = stash(near.where(F.col("_n") <= room).join(first, "_hash").where("_first = _place").select("_hash", "_family", F.col("_place").alias("_kept")), "kept")
+        done.append(new)
+        full = _every(done).groupBy("_family").agg(F.count("*").alias("_full")).where(F.col("_full") >= quota).select("_family")
+        open_ = stash(open_.join(new.select("_hash"), "_hash", "left_anti").join(full, "_family", "left_anti"), "open")
+    return _every(done).select("_hash", "_kept") if done else rows.limit(0).select("_hash", F.col("_place").alias("_kept"))
+
+
+def _every(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
 
 
 def library(df: DataFrame, elite: int = ELITE, diverse: int = DIVERSE, contrarians: int = CONTRARIANS, least: float = 0.0) -> DataFrame:
@@ -156,18 +214,32 @@ def library(df: DataFrame, elite: int = ELITE, diverse: int = DIVERSE, contraria
 
 
 def softmax_sample(pool: DataFrame, k: int, temperature: float = 1.0, explore: float = 0.2, seed: int = 0) -> DataFrame:
-    """k draws with replacement: (draw, id).  Each is from the explorers (not elite candidates) with probability
-    ``explore``, else from the elite candidates; an empty part falls back to the whole pool."""
-    t = max(temperature, 1e-6)
-    rows = pool.withColumn("explorer", F.col("status") != "elite_candidate")
-    counts = rows.agg(F.coalesce(F.sum(F.col("explorer").cast("int")), F.lit(0)).alias("e"), F.count("*").alias("n"))
-    draws = pool.sparkSession.range(k).select(F.col("id").cast("int").alias("draw"), ((F.xxhash64("id", F.lit(seed)) % 1_000_000 + 1_000_000) % 1_000_000 / 1_000_000 < explore).alias("wants"))
-    u = (F.shiftrightunsigned(F.xxhash64("id", "draw", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    key = F.col("seed_score") / t - F.log(-F.log(u))
-    # draws and counts are a handful of rows
-    joined = rows.join(F.broadcast(draws)).join(F.broadcast(counts))
-    part = F.when(F.col("wants"), (F.col("e") == 0) | F.col("explorer")).otherwise((F.col("e") == F.col("n")) | ~F.col("explorer"))
-    return joined.where(part).groupBy("draw").agg(F.max_by("id", key).alias("id"))
+    """k draws with replacement, in proportion to exp(score / temperature): (draw, id).  Each is from the explorers (not elite
+    candidates) with probability ``explore``, else from the elite candidates; an empty part falls back to the whole pool.
+
+    Every row of the pool is an interval as long as its weight, by running sums; a draw is a point, joined with
+    the interval that holds it.  The work is that of k + pool rows.  A row without a score is never drawn.
+    """
+    spark, t = pool.sparkSession, max(temperature, 1e-6)
+    elite = F.coalesce(F.col("status") == "elite_candidate", F.lit(False))
+    rows = stash(pool.select("id", F.col("seed_score").alias("s"), elite.alias("elite")).where("s is not null and not isnan(s)"), "pool")
+    found = {r.elite: (r.n, r.top) for r in rows.groupBy("elite").agg(F.count("*").alias("n"), F.max("s").alias("top")).collect()}
+    if not found or k <= 0:
+        return pool.select(F.lit(0).cast("int").alias("draw"), "id").limit(0)
+    uniform = lambda *cols: (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / float(1 << 53)
+    draws = spark.range(k).select(F.col("id").cast("int").alias("draw"), (uniform(F.col("id"), F.lit(seed)) >= explore).alias("wants"), uniform(F.col("id"), F.lit(seed), F.lit("place")).alias("u"))
+    out = []
+    for wants in (False, True):
+        part, own = (rows.where(F.col("elite") == wants), [found[wants]]) if wants in found else (rows, list(found.values()))
+        n, top = sum(m for m, _ in own), max(v for _, v in own)
+        # weights as whole numbers, so that the intervals meet exactly: the best row has 2^62 / n, all together fit a long
+        weight = F.floor(F.exp((F.col("s") - F.lit(float(top))) / t) * float((1 << 62) // n) + 0.5).cast("long")
+        ends = stash(running_sum(part.select("id", weight.alias("w")).where("w > 0"), "w", [F.asc("id"), F.asc("w")], "begin"), "ends")
+        total = ends.agg(F.max(F.col("begin") + F.col("w"))).first()[0]
+        point = F.least(F.floor(F.col("u") * float(total)).cast("long"), F.lit(total - 1))
+        # a bin for each row on average: an interval touches about two
+        out.append(within(draws.where(F.col("wants") == wants), point, ends, F.col("begin"), F.col("begin") + F.col("w"), total / n, closed=False).select("draw", "id"))
+    return out[0].union(out[1])
 
 
 def stratified_sample(tasks: DataFrame, n: int, family: str = "category", seed: int = 0) -> DataFrame:
@@ -210,9 +282,9 @@ def task_bank(seeds: DataFrame, splits: DataFrame, max_seeds: int = 64, valid_on
 
 
 def in_splits(df: DataFrame, splits: DataFrame, order: str = "ts") -> DataFrame:
-    """Rows with each split whose inclusive range holds them; a shared boundary belongs to both."""
-    s = splits.select(F.col("name").alias("split"), F.col("start_date").cast("timestamp_ntz").alias("_a"), F.col("end_date").cast("timestamp_ntz").alias("_b"))
-    return df.join(F.broadcast(s), (F.col(order) >= F.col("_a")) & (F.col(order) <= F.col("_b"))).drop("_a", "_b")
+    """Rows with each split whose inclusive range holds them; a shared boundary belongs to both.  Any number of splits, long or short."""
+    s = splits.select(F.col("name").alias("split"), *[F.unix_micros(F.col(c).cast("timestamp_ntz").cast("timestamp")).alias(n) for c, n in (("start_date", "_from"), ("end_date", "_to"))])
+    return within(df, F.unix_micros(F.col(order).cast("timestamp")), s, F.col("_from"), F.col("_to")).drop("_from", "_to")
 
 
 #: The modes of a prompt: whether a seed is needed, and what the user's message holds before and after the task's context.

@@ -6,13 +6,17 @@ on both sides.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.ordered import average_ranks
 from quillon.operators import panel, scoring, seeds, shaping, text
+from quillon.operators.intervals import within
 from quillon.plans.expr import family_hash
+from quillon.plans.halo import factors_in_blocks
 from quillon.plans.lower import factors
 from quillon.sources import bars as B
 from quillon.sources import tables as T
@@ -24,6 +28,12 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _rows_of(spark: SparkSession, sf: str, text: str) -> DataFrame:
+    """The rows of a piece of SQL that both engines understand, over the given tables."""
+    named = set(re.findall(r"\bFROM (part|events|conversations|orders)\b", text))
+    return spark.sql(re.sub(r"\bFROM (part|events|conversations|orders)\b", r"FROM {\1}", text), **{t: _table(spark, sf, t) for t in named})
+
+
 def _add(name: str, sql: str | None = None):
     def keep(f):
         _Q[name] = (f, sql)
@@ -321,22 +331,26 @@ def _composite_horizons(spark, sf):
     return _round(out.select("symbol", "value", "passed", "reason", m("direction_accuracy/value").alias("direction"), m("direction_accuracy/samples").alias("samples")))
 
 
-# -- seeds and tasks on fixed rows, the same text in both engines
+# -- seeds and tasks: a candidate for each part, a split for each ten days of events
 
-_SEEDS = """(VALUES
- (0, 's0', 'last(close(5))', 'momentum', true, 1.5, 0.9, 0.2, 11.0, 'h1', 0.52), (1, 's1', 'neg(last(close(5)))', 'reversal', true, 1.5, 0.8, 0.2, 14.0, 'h2', 0.40),
- (2, 's2', 'last(close(5)) ', 'momentum', true, 2.5, 0.7, 0.3, 11.0, 'h1', 0.55), (3, 's3', 'ts_std(close(9))', 'risk', true, -0.5, 0.9, 0.5, 12.0, 'h3', 0.48),
- (4, 's4', 'bad(', 'risk', false, 0.0, 0.0, 0.0, 0.0, '', 0.5), (5, 's5', 'vwap(9)', 'volume', true, 0.7, 0.5, 0.4, 5.0, 'h5', 0.51),
- (6, 's6', 'corr(close(9), volume(9))', 'volume', true, 0.9, 0.95, 0.001, 20.0, 'h6', 0.5), (7, 's7', 'ts_mean(close(9))', 'momentum', true, 0.9, 0.95, 0.4, 12.0, 'h7', 0.5),
- (8, 's8', '', 'risk', false, 0.0, 0.0, 0.0, 0.0, '', 0.5), (9, 's9', 'open(3)', 'zero', true, 0.0, 1.0, 0.5, 2.0, 'h9', 0.5), (10, 's10', 'high(3)', 'risk', true, 3.0, 0.2, 0.5, 4.0, 'h3', 0.30),
- (11, 's11', 'ts_mean( close(9))', 'late', true, 0.5, 0.9, 0.5, 6.0, 'h7', 0.47)) AS t(idx, id, expr, category, valid, reward, coverage, factor_std, expr_nodes, canonical_hash, direction_acc)"""
-_SPLITS = "(VALUES ('a', '2024-01-01', '2024-01-10', 1.0), ('b', '2024-01-10', '2024-01-20', 2.0), ('c', '2024-01-20', '2024-01-31', 1.0)) AS t(name, start_date, end_date, weight)"
-_SCORE = """SELECT *, reward + 0.1 * coverage - 0.05 * expr_nodes AS seed_score, list_filter([CASE WHEN coverage < 0.6 THEN 'coverage<0.6' END, CASE WHEN factor_std < 0.01 THEN 'factor_std<0.01' END], lambda x: x IS NOT NULL) AS reasons FROM """
+_SEEDS = """(SELECT p_partkey AS idx, concat('s', p_partkey) AS id,
+ CASE p_partkey % 6 WHEN 0 THEN concat('last(close(', p_size, '))', CASE WHEN p_partkey % 4 = 0 THEN ' ' ELSE '' END) WHEN 1 THEN concat('neg(last(close(', p_size, ')))') WHEN 2 THEN concat('ts_std(close(', p_size, '))')
+   WHEN 3 THEN 'bad(' WHEN 4 THEN concat('vwap(', p_size, ')') ELSE '' END AS expr,
+ CASE WHEN p_partkey % 13 = 0 THEN '' ELSE lower(p_type) END AS category, p_partkey % 6 NOT IN (3, 5) AS valid, CAST(p_partkey * 37 % 500 AS DOUBLE) / 100 AS reward, CAST(p_partkey * 7 % 11 AS DOUBLE) / 10 AS coverage,
+ CAST(p_partkey * 13 % 20 AS DOUBLE) / 100 AS factor_std, CAST(p_size AS DOUBLE) AS expr_nodes, CASE WHEN p_partkey % 6 IN (3, 5) OR p_partkey % 29 = 0 THEN '' ELSE concat('h', p_partkey % 6, '_', p_partkey % 97) END AS canonical_hash,
+ CAST(40 + p_partkey % 20 AS DOUBLE) / 100 AS direction_acc FROM part) AS t"""
+_SPLITS = """(SELECT concat('d', CAST(floor((day(ts) - 1) / 10) AS INT)) AS name, CAST(CAST(min(ts) AS DATE) AS STRING) AS start_date, CAST(CAST(max(ts) AS DATE) AS STRING) AS end_date, CAST(count(*) % 3 + 1 AS DOUBLE) AS weight
+ FROM events GROUP BY floor((day(ts) - 1) / 10)) AS t"""
+_SCORE = """SELECT *, reward + coverage * 0.1 + expr_nodes * -0.05 AS seed_score, list_filter([CASE WHEN coverage < 0.6 THEN 'coverage<0.6' END, CASE WHEN factor_std < 0.01 THEN 'factor_std<0.01' END], lambda x: x IS NOT NULL) AS reasons FROM """
 
 
-def _seed_rows(spark):
+def _seed_rows(spark, sf):
     metrics = [x for m in ("reward", "coverage", "factor_std", "expr_nodes", "direction_acc") for x in (F.lit(m), F.col(m).cast("double"))]
-    return seeds.score(spark.sql(f"SELECT * FROM {_SEEDS}").withColumn("metrics", F.create_map(*metrics)))
+    return seeds.score(_rows_of(spark, sf, f"SELECT * FROM {_SEEDS}").withColumn("metrics", F.create_map(*metrics)))
+
+
+def _splits(spark, sf):
+    return _rows_of(spark, sf, f"SELECT * FROM {_SPLITS}")
 
 
 _SCORED_SEEDS = f"""WITH s0 AS ({_SCORE}{_SEEDS}), s AS (SELECT * EXCLUDE (valid), valid AND len(reasons) = 0 AS valid, direction_acc < 0.49 AS invert FROM s0),
@@ -345,91 +359,126 @@ _SCORED_SEEDS = f"""WITH s0 AS ({_SCORE}{_SEEDS}), s AS (SELECT * EXCLUDE (valid
 
 @_add("seed_score", f"{_SCORED_SEEDS} SELECT id, valid, round(seed_score, 6)::DOUBLE AS seed_score, array_to_string(reasons, ';') AS reasons, CASE WHEN NOT valid THEN 'filtered' WHEN seed_score > 0 THEN 'elite_candidate' ELSE 'valid_low_score' END AS status, invert FROM s")
 def _seed_score(spark, sf):
-    return _round(_seed_rows(spark).select("id", "valid", "seed_score", F.concat_ws(";", "reasons").alias("reasons"), "status", "invert"))
+    return _round(_seed_rows(spark, sf).select("id", "valid", "seed_score", F.concat_ws(";", "reasons").alias("reasons"), "status", "invert"))
+
 
+_AFTER = """CASE WHEN dup_status = 'kept' THEN CASE WHEN s.seed_score > 0 THEN 'elite_candidate' ELSE 'valid_low_score' END ELSE coalesce(dup_status, 'filtered') END AS status, coalesce(dup_status = 'kept', false) AS valid,
+    array_to_string(list_concat(reasons, CASE dup_status WHEN 'duplicate_ast' THEN ['duplicate_ast'] WHEN 'duplicate_category_quota' THEN ['category_quota'] ELSE [] END), ';') AS reasons"""
 
-@_add("seed_dedup", f"{_SCORED_SEEDS} SELECT id, CASE WHEN r > 1 THEN 'duplicate_ast' WHEN r = 1 THEN 'kept' END AS dup_status FROM s LEFT JOIN (SELECT id, r FROM d) USING (id)")
+
+def _after_dedup(rows):
+    return rows.select("id", "dup_status", "status", "valid", F.concat_ws(";", "reasons").alias("reasons"))
+
+
+@_add("seed_dedup", f"{_SCORED_SEEDS} SELECT s.id, dup_status, {_AFTER} FROM s LEFT JOIN (SELECT id, CASE WHEN r > 1 THEN 'duplicate_ast' ELSE 'kept' END AS dup_status FROM d) USING (id)")
 def _seed_dedup(spark, sf):
-    return seeds.dedup(_seed_rows(spark)).select("id", "dup_status")
+    return _after_dedup(seeds.dedup(_seed_rows(spark, sf)))
 
 
-@_add("seed_quota", f"""{_SCORED_SEEDS.replace("WITH s0", "WITH RECURSIVE s0")}, o AS (SELECT *, row_number() OVER (ORDER BY seed_score DESC, idx) AS n FROM s WHERE valid),
-    walk AS (SELECT 0::BIGINT AS n, ''::VARCHAR AS id, ''::VARCHAR AS dup_status, []::VARCHAR[] AS hashes, []::VARCHAR[] AS families
-      UNION ALL SELECT n, id, st, CASE WHEN st = 'kept' AND canonical_hash <> '' THEN list_append(hashes, canonical_hash) ELSE hashes END, CASE WHEN st = 'kept' THEN list_append(families, category) ELSE families END
-      FROM (SELECT o.n, o.id, o.canonical_hash, o.category, hashes, families, CASE WHEN list_contains(hashes, o.canonical_hash) THEN 'duplicate_ast' WHEN list_contains(families, o.category) THEN 'duplicate_category_quota' ELSE 'kept' END AS st FROM walk JOIN o ON o.n = walk.n + 1))
-    SELECT s.id, dup_status FROM s LEFT JOIN (SELECT id, dup_status FROM walk WHERE n > 0) USING (id)""")
+@_add("seed_quota", f"""{_SCORED_SEEDS.replace("WITH s0", "WITH RECURSIVE s0")}, o AS (SELECT *, row_number() OVER (ORDER BY seed_score DESC, idx) AS n, coalesce(nullif(category, ''), 'general') AS family FROM s WHERE valid),
+    walk AS (SELECT 0::BIGINT AS n, ''::VARCHAR AS id, ''::VARCHAR AS dup_status, []::VARCHAR[] AS hashes, MAP {{}}::MAP(VARCHAR, INTEGER) AS families
+      UNION ALL SELECT n, id, st, CASE WHEN st = 'kept' AND canonical_hash <> '' THEN list_append(hashes, canonical_hash) ELSE hashes END,
+        CASE WHEN st = 'kept' THEN map_concat(families, MAP {{family: coalesce(families[family], 0) + 1}}) ELSE families END
+      FROM (SELECT o.n, o.id, o.canonical_hash, o.family, hashes, families, CASE WHEN list_contains(hashes, o.canonical_hash) THEN 'duplicate_ast' WHEN coalesce(families[o.family], 0) >= 40 THEN 'duplicate_category_quota' ELSE 'kept' END AS st FROM walk JOIN o ON o.n = walk.n + 1))
+    SELECT s.id, dup_status, {_AFTER} FROM s LEFT JOIN (SELECT id, dup_status FROM walk WHERE n > 0) USING (id)""")
 def _seed_quota(spark, sf):
-    return seeds.dedup(_seed_rows(spark), 1).select("id", "dup_status")
+    return _after_dedup(seeds.dedup(_seed_rows(spark, sf), 40))
 
 
 @_add("seed_library", f"""{_SCORED_SEEDS}, k AS (SELECT id, seed_score, invert, row_number() OVER (ORDER BY seed_score DESC, idx) AS o, row_number() OVER (PARTITION BY invert ORDER BY seed_score DESC, idx) AS c FROM d WHERE r = 1),
-    l AS (SELECT s.id, coalesce(o <= 2 AND k.seed_score >= 0, false) AS elite, coalesce(o <= 4, false) AS diverse, coalesce(k.invert AND c <= 1, false) AS contrarian FROM s LEFT JOIN k USING (id))
+    l AS (SELECT s.id, coalesce(o <= 10 AND k.seed_score >= 0, false) AS elite, coalesce(o <= 20, false) AS diverse, coalesce(k.invert AND c <= 10, false) AS contrarian FROM s LEFT JOIN k USING (id))
     SELECT *, NOT (elite OR diverse OR contrarian) AS rejected FROM l""")
 def _seed_library(spark, sf):
-    return seeds.library(seeds.dedup(_seed_rows(spark)), elite=2, diverse=4, contrarians=1).select("id", "elite", "diverse", "contrarian", "rejected")
+    return seeds.library(seeds.dedup(_seed_rows(spark, sf))).select("id", "elite", "diverse", "contrarian", "rejected")
 
 
-@_add("seed_topk", f"{_SCORED_SEEDS} SELECT id, round(seed_score, 6)::DOUBLE AS seed_score FROM s ORDER BY s.seed_score DESC, idx LIMIT 3")
+@_add("seed_topk", f"{_SCORED_SEEDS} SELECT id, round(seed_score, 6)::DOUBLE AS seed_score FROM s ORDER BY s.seed_score DESC, idx LIMIT 30")
 def _seed_topk(spark, sf):
-    return _round(_seed_rows(spark).orderBy(F.desc("seed_score"), "idx").limit(3).select("id", "seed_score"))
+    return _round(_seed_rows(spark, sf).orderBy(F.desc("seed_score"), "idx").limit(30).select("id", "seed_score"))
 
 
-@_add("task_cross_join", f"""{_SCORED_SEEDS}, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(nullif(canonical_hash, ''), trim(expr)) ORDER BY seed_score DESC, idx) AS z FROM s WHERE valid) WHERE z = 1 ORDER BY seed_score DESC, idx LIMIT 2)
+@_add("task_cross_join", f"""{_SCORED_SEEDS}, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(nullif(canonical_hash, ''), trim(expr)) ORDER BY seed_score DESC, idx) AS z FROM s WHERE valid) WHERE z = 1 ORDER BY seed_score DESC, idx LIMIT 64)
     SELECT u.id || '__' || t.name AS task_id, u.id AS seed_id, t.name AS split, start_date, end_date, t.weight::DOUBLE AS weight FROM u CROSS JOIN {_SPLITS}""")
 def _tasks(spark, sf):
-    out = seeds.task_bank(_seed_rows(spark), spark.sql(f"SELECT * FROM {_SPLITS}"), 2)
+    out = seeds.task_bank(_seed_rows(spark, sf), _splits(spark, sf))
     return out.select("task_id", "seed_id", "split", "start_date", "end_date", F.col("weight").cast("double").alias("weight"))
 
 
 @_add("task_interval_join", f"WITH bars AS ({_bars_sql()}) SELECT name AS split, symbol, count(*) AS n, round(avg(close), 4) AS mean_close FROM bars JOIN {_SPLITS} ON bars.ts BETWEEN start_date::TIMESTAMP AND end_date::TIMESTAMP GROUP BY ALL")
 def _interval(spark, sf):
-    rows = seeds.in_splits(event_bars(spark, sf), spark.sql(f"SELECT * FROM {_SPLITS}"))
+    rows = seeds.in_splits(event_bars(spark, sf), _splits(spark, sf))
     return _round(rows.groupBy("split", "symbol").agg(F.count("*").alias("n"), F.avg("close").alias("mean_close")), 4)
 
 
-_add("seed_softmax_sample")(lambda s, d: seeds.softmax_sample(_seed_rows(s).where("valid"), 20))
-_add("task_stratified_sample")(lambda s, d: seeds.stratified_sample(seeds.task_bank(_seed_rows(s), s.sql(f"SELECT * FROM {_SPLITS}")), 5))
-_add("prompt_rows")(lambda s, d: seeds.prompt_rows(seeds.task_bank(_seed_rows(s), s.sql(f"SELECT * FROM {_SPLITS}")), "Improve a factor.", "Start from {expr} on {start_date} to {end_date}."))
+_SPELLS = """(SELECT o_orderkey, o_orderpriority AS priority, CAST(1704067200 + o_orderkey * 997 % 43200 * 60 AS BIGINT) AS from_second, CAST(1704067200 + (o_orderkey * 997 % 43200 + o_custkey % 120) * 60 AS BIGINT) AS to_second FROM orders) AS t"""
+
+
+@_add("interval_join_orders", f"SELECT priority, event_type, count(*) AS n, round(avg(value), 4) AS mean_value, min(o_orderkey) AS first_order FROM events JOIN {_SPELLS} ON epoch_us(ts) BETWEEN from_second * 1000000 AND to_second * 1000000 GROUP BY ALL")
+def _spells(spark, sf):
+    spells = _rows_of(spark, sf, f"SELECT * FROM {_SPELLS}")
+    rows = within(_table(spark, sf, "events"), F.unix_micros(F.col("ts").cast("timestamp")), spells, F.col("from_second") * 1_000_000, F.col("to_second") * 1_000_000)
+    return _round(rows.groupBy("priority", "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"), F.min("o_orderkey").alias("first_order")), 4)
+
+
+_add("seed_softmax_sample")(lambda s, d: seeds.softmax_sample(_seed_rows(s, d).where("valid"), 1000))
+_add("task_stratified_sample")(lambda s, d: seeds.stratified_sample(seeds.task_bank(_seed_rows(s, d), _splits(s, d)), 5))
+_add("prompt_rows")(lambda s, d: seeds.prompt_rows(seeds.task_bank(_seed_rows(s, d), _splits(s, d)), "Improve a factor.", "Start from {expr} on {start_date} to {end_date}."))
 for _mode in seeds.MODES:
-    _add(f"prompt_{_mode}", f"""{_SCORED_SEEDS}, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(nullif(canonical_hash, ''), trim(expr)) ORDER BY seed_score DESC, idx) AS z FROM s WHERE valid) WHERE z = 1 ORDER BY seed_score DESC, idx LIMIT 3)
+    _add(f"prompt_{_mode}", f"""{_SCORED_SEEDS}, u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(nullif(canonical_hash, ''), trim(expr)) ORDER BY seed_score DESC, idx) AS z FROM s WHERE valid) WHERE z = 1 ORDER BY seed_score DESC, idx LIMIT 64)
     SELECT u.id || '__' || t.name AS task_id, 'factor_tasks/' || category || '/' || t.name AS data_source, 'Design factors.' AS system,
-      '{seeds.MODES[_mode][1]}' || chr(10) || 'category: ' || category || chr(10) || 'split: ' || t.name || chr(10) || 'start_date: ' || start_date || chr(10) || 'end_date: ' || end_date || chr(10) || replace('{seeds.MODES[_mode][2]}', '{{expr}}', expr) AS user_text
-    FROM u CROSS JOIN {_SPLITS}""")(lambda s, d, m=_mode: seeds.prompts(seeds.task_bank(_seed_rows(s), s.sql(f"SELECT * FROM {_SPLITS}"), 3), m, "Design factors.").select(
+      '{seeds.MODES[_mode][1]}' || chr(10) || CASE WHEN category <> '' THEN 'category: ' || category || chr(10) ELSE '' END || 'split: ' || t.name || chr(10) || 'start_date: ' || start_date || chr(10) || 'end_date: ' || end_date || chr(10) || replace('{seeds.MODES[_mode][2]}', '{{expr}}', expr) AS user_text
+    FROM u CROSS JOIN {_SPLITS}""")(lambda s, d, m=_mode: seeds.prompts(seeds.task_bank(_seed_rows(s, d), _splits(s, d)), m, "Design factors.").select(
         "extra_info.task_id", "data_source", F.col("prompt")[0]["content"].alias("system"), F.col("prompt")[1]["content"].alias("user_text")))
-_add("seed_validation")(lambda s, d: seeds.validate_candidates(s, [(r.id, r.expr) for r in s.sql(f"SELECT id, expr FROM {_SEEDS}").collect()]))
+
+
+@_add("seed_validation", f"""SELECT id, expr NOT IN ('bad(', '') AS valid, CASE WHEN expr IN ('bad(', '') THEN 'invalid_syntax' ELSE 'static_valid' END AS status,
+    CASE WHEN expr IN ('bad(', '') THEN 0 ELSE len(expr) - len(replace(expr, '(', '')) + 1 END::BIGINT AS operands, substr(sha1(trim(expr)), 1, 16) AS exact_hash,
+    count(*) OVER (PARTITION BY CASE WHEN expr IN ('bad(', '') THEN expr ELSE regexp_replace(expr, '[0-9 ]+', '', 'g') END, CASE WHEN expr IN ('bad(', '') THEN -1 ELSE (sz > 5)::INT + (sz > 20)::INT END) AS family_size
+    FROM (SELECT id, expr, expr_nodes AS sz FROM {_SEEDS})""")
+def _validation(spark, sf):
+    rows = seeds.validate_candidates(_rows_of(spark, sf, f"SELECT id, expr FROM {_SEEDS}"))
+    sizes = rows.groupBy("family_hash").agg(F.count("*").alias("family_size"))
+    operands = F.when(F.col("valid"), F.char_length("expr") - F.char_length(F.replace("expr", F.lit("("), F.lit(""))) + 1).otherwise(0).cast("long")
+    return rows.join(sizes, "family_hash").select("id", "valid", "status", operands.alias("operands"), "exact_hash", "family_size")
+
 
 
 # -- archives and shaping; profiles come from the event bars of each type
 
-_ARCHIVE = "(VALUES ('h1', 3), ('h1', 1), ('h2', 12), ('h3', 1), ('h3', 2)) AS a(hash, count)"
-_BATCH = "(VALUES (1, 'h1', 'f1', 0.20, 0.10), (2, 'h2', 'f2', 0.05, 0.30), (3, 'h4', 'f9', 0.15, -0.20), (4, 'h4', 'f2', 0.01, 0.0), (5, 'h5', 'f3', -1.0, 0.2)) AS c(id, hash, family, raw, base)"
-_FAMILIES = "(VALUES ('f1', 2), ('f2', 12)) AS f(family, count)"
+_ARCHIVE = "(SELECT concat('h', user_id % 300) AS hash, event_id % 17 AS count FROM events) AS a"
+_BATCH = """(SELECT conv_id * 1000 + turn AS id, concat('h', (conv_id * 7 + turn) % 400) AS hash, concat('f', conv_id % 40) AS family, CASE WHEN conv_id % 10 = 9 THEN CAST(-1 AS DOUBLE) ELSE CAST((conv_id * 3 + turn) % 40 AS DOUBLE) / 100 END AS raw,
+ CAST(conv_id % 30 AS DOUBLE) / 100 AS base FROM conversations) AS c"""
+_FAMILIES = "(SELECT concat('f', user_id % 35) AS family, count(*) % 20 AS count FROM events GROUP BY concat('f', user_id % 35)) AS f"
+
+
+def _counts(spark, sf):
+    return shaping.counts(_rows_of(spark, sf, f"SELECT hash, cast(count AS bigint) AS count FROM {_ARCHIVE}"))
 
 
-def _counts(spark):
-    return shaping.counts(spark.sql(f"SELECT hash, cast(count AS bigint) AS count FROM {_ARCHIVE}"))
+def _batch_rows(spark, sf):
+    return _rows_of(spark, sf, f"SELECT id, hash, family, cast(raw AS double) AS raw, cast(base AS double) AS base FROM {_BATCH}")
 
 
-def _batch_rows(spark):
-    return spark.sql(f"SELECT id, hash, family, cast(raw AS double) AS raw, cast(base AS double) AS base FROM {_BATCH}")
+def _families(spark, sf, key="family"):
+    return _rows_of(spark, sf, f"SELECT family AS {key}, cast(count AS bigint) AS count FROM {_FAMILIES}")
 
 
-_add("archive_counts", f"SELECT hash, max(count)::BIGINT AS count FROM {_ARCHIVE} GROUP BY hash")(lambda s, d: _counts(s))
-_add("archive_record", f"SELECT hash, (coalesce(m, 0) + n)::BIGINT AS count FROM (SELECT hash, count(*) AS n FROM {_BATCH} GROUP BY hash) LEFT JOIN (SELECT hash, max(count) AS m FROM {_ARCHIVE} GROUP BY hash) USING (hash)")(lambda s, d: shaping.record(_batch_rows(s), _counts(s)))
-_add("archive_topk", f"SELECT hash, max(raw)::DOUBLE AS raw_score FROM {_BATCH} GROUP BY hash ORDER BY 2 DESC, 1 LIMIT 3")(lambda s, d: shaping.best(_batch_rows(s).selectExpr("hash", "raw as raw_score", "id as seq"), 3).select("hash", "raw_score"))
-_add("archive_anti_join", f"SELECT DISTINCT hash FROM {_BATCH} WHERE hash NOT IN (SELECT hash FROM {_ARCHIVE})")(lambda s, d: shaping.fresh(_batch_rows(s), _counts(s)).select("hash"))
+_add("archive_counts", f"SELECT hash, max(count)::BIGINT AS count FROM {_ARCHIVE} GROUP BY hash")(lambda s, d: _counts(s, d))
+_add("archive_record", f"SELECT hash, (coalesce(m, 0) + n)::BIGINT AS count FROM (SELECT hash, count(*) AS n FROM {_BATCH} GROUP BY hash) LEFT JOIN (SELECT hash, max(count) AS m FROM {_ARCHIVE} GROUP BY hash) USING (hash)")(lambda s, d: shaping.record(_batch_rows(s, d), _counts(s, d)))
+_add("archive_topk", f"SELECT hash, max(raw)::DOUBLE AS raw_score FROM {_BATCH} GROUP BY hash ORDER BY 2 DESC, 1 LIMIT 128")(lambda s, d: shaping.best(_batch_rows(s, d).selectExpr("hash", "raw as raw_score", "id as seq")).select("hash", "raw_score"))
+_add("archive_anti_join", f"SELECT DISTINCT hash FROM {_BATCH} WHERE hash NOT IN (SELECT hash FROM {_ARCHIVE})")(lambda s, d: shaping.fresh(_batch_rows(s, d), _counts(s, d)).select("hash"))
 _add("shape_repeat", f"SELECT id, CASE WHEN m > 0 THEN 0.25 ELSE 0.0 END::DOUBLE AS penalty FROM {_BATCH} LEFT JOIN (SELECT hash, max(count) AS m FROM {_ARCHIVE} GROUP BY hash) USING (hash)")(
-    lambda s, d: shaping.with_counts(_batch_rows(s), _counts(s), "seen").select("id", shaping.repeat_penalty(F.col("seen")).cast("double").alias("penalty"))
+    lambda s, d: shaping.with_counts(_batch_rows(s, d), _counts(s, d), "seen").select("id", shaping.repeat_penalty(F.col("seen")).cast("double").alias("penalty"))
 )
-_add("shape_family", f"SELECT id, CASE WHEN count IS NULL AND raw >= 0.10 THEN 0.02 WHEN coalesce(count, 0) > 8 AND raw < 0.08 THEN -0.02 ELSE 0.0 END::DOUBLE AS shift FROM {_BATCH} LEFT JOIN {_FAMILIES} USING (family)")(
-    lambda s, d: shaping.with_counts(_batch_rows(s), s.sql(f"SELECT family, cast(count AS bigint) AS count FROM {_FAMILIES}"), "seen", "family").select("id", shaping.family_shift(F.col("raw"), F.col("seen")).cast("double").alias("shift"))
+_add("shape_family", f"SELECT id, CASE WHEN coalesce(count, 0) = 0 AND raw >= 0.10 THEN 0.02 WHEN coalesce(count, 0) > 8 AND raw < 0.08 THEN -0.02 ELSE 0.0 END::DOUBLE AS shift FROM {_BATCH} LEFT JOIN {_FAMILIES} USING (family)")(
+    lambda s, d: shaping.with_counts(_batch_rows(s, d), _families(s, d), "seen", "family").select("id", shaping.family_shift(F.col("raw"), F.col("seen")).cast("double").alias("shift"))
 )
 _add("shape_relative", f"SELECT id, round(raw + 0.5 * greatest(raw - base, 0) - 0.1 * greatest(base - raw, 0), 6)::DOUBLE AS shaped FROM {_BATCH}")(
-    lambda s, d: _round(_batch_rows(s).select("id", shaping.relative(F.col("raw"), F.col("base"), 0.5, 0.1).alias("shaped")))
+    lambda s, d: _round(_batch_rows(s, d).select("id", shaping.relative(F.col("raw"), F.col("base"), 0.5, 0.1).alias("shaped")))
 )
-_add("shape_final", f"""SELECT id, CASE WHEN raw > -1 THEN round(greatest(-1, least(1, raw + CASE WHEN fc IS NULL AND raw >= 0.10 THEN 0.02 WHEN coalesce(fc, 0) > 8 AND raw < 0.08 THEN -0.02 ELSE 0.0 END - CASE WHEN m > 0 THEN 0.25 ELSE 0.0 END)), 6) ELSE -1 END::DOUBLE AS reward
+_add("shape_final", f"""SELECT id, CASE WHEN raw > -1 THEN round(greatest(-1, least(1, raw + CASE WHEN coalesce(fc, 0) = 0 AND raw >= 0.10 THEN 0.02 WHEN coalesce(fc, 0) > 8 AND raw < 0.08 THEN -0.02 ELSE 0.0 END - CASE WHEN m > 0 THEN 0.25 ELSE 0.0 END)), 6) ELSE -1 END::DOUBLE AS reward
     FROM {_BATCH} LEFT JOIN (SELECT hash, max(count) AS m FROM {_ARCHIVE} GROUP BY hash) USING (hash) LEFT JOIN (SELECT family, count AS fc FROM {_FAMILIES}) USING (family)""")(
-    lambda s, d: _round(shaping.score_batch(_batch_rows(s).drop("raw").withColumn("job", F.col("id")), _batch_rows(s).select(F.col("id").alias("job"), "raw"), _counts(s), s.sql(f"SELECT family AS hash, cast(count AS bigint) AS count FROM {_FAMILIES}")).select("id", "reward"))
+    lambda s, d: _round(shaping.score_batch(_batch_rows(s, d).drop("raw").withColumn("job", F.col("id")), _batch_rows(s, d).select(F.col("id").alias("job"), "raw"), _counts(s, d), _families(s, d, "hash")).select("id", "reward"))
 )
 
 
@@ -465,13 +514,13 @@ _add("behavior_rank_corr")(lambda s, d: _round(shaping.rank_behaviour_corr(*_ran
 
 # -- text
 
-#: Fixed rows for the cases that the table lacks, and every turn of the conversations.
-_TEXTS = """(SELECT * FROM (VALUES (1, 'so <expr> last(close(5)) </expr> it is'), (2, 'see <EXPR>vwap(9)</EXPR>'), (3, concat('thinking', chr(10), 'ts_mean(close(9))')), (4, 'nothing here'),
- (5, concat('```yaml', chr(10), 'a: 1', chr(10), '```')), (6, ' a   b,c ,, d ')) AS v(id, body) UNION ALL SELECT 1000 * (conv_id + 1) + turn AS id, text AS body FROM conversations) AS t"""
+#: Every turn of the conversations, some of them with a tag, a fence or a bare expression around or after their text.
+_TEXTS = """(SELECT 1000 * (conv_id + 1) + turn AS id, CASE (conv_id + turn) % 7 WHEN 1 THEN concat(text, ' so <expr> last(close(5)) </expr> it is') WHEN 2 THEN concat('see <EXPR>vwap(9)</EXPR>', text) WHEN 3 THEN concat(text, chr(10), 'ts_mean(close(9))')
+ WHEN 4 THEN concat('```yaml', chr(10), 'a: ', text, chr(10), '```') WHEN 5 THEN concat(' a   b,c ,, d ', text) ELSE text END AS body FROM conversations) AS t"""
 
 
 def _with_texts(spark, sf, source):
-    return spark.sql(f"SELECT * FROM {source.replace('FROM conversations', 'FROM {c}')}", c=_table(spark, sf, "conversations"))
+    return _rows_of(spark, sf, f"SELECT * FROM {source}")
 
 
 @_add("text_extract_tag", f"""SELECT id, coalesce(trim(nullif(regexp_extract(body, '(?s)<expr>(.*?)</expr>', 1), '')), trim(nullif(regexp_extract(body, '(?is)<expr>(.*?)</expr>', 1), '')),
@@ -500,20 +549,20 @@ def _conversation_hashes(spark, sf):
     return _table(spark, sf, "conversations").select("conv_id", "turn", text.exact_hash(F.col("text")).alias("hash"))
 
 
-_MINUTES = "(VALUES (5), (60), (90), (240), (1440), (1500), (2880)) AS t(minutes)"
+_MINUTES = "(SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_size * 60 WHEN p_partkey % 3 = 1 THEN p_size * 1440 ELSE p_size * 7 END AS minutes FROM part) AS t"
 
 
-@_add("text_bar_label", f"SELECT minutes, CASE WHEN minutes % 1440 = 0 THEN (minutes // 1440) || '-day' WHEN minutes % 60 = 0 THEN (minutes // 60) || '-hour' ELSE minutes || '-minute' END AS label FROM {_MINUTES}")
+@_add("text_bar_label", f"SELECT id, CASE WHEN minutes % 1440 = 0 THEN (minutes // 1440) || '-day' WHEN minutes % 60 = 0 THEN (minutes // 60) || '-hour' ELSE minutes || '-minute' END AS label FROM {_MINUTES}")
 def _labels(spark, sf):
-    return spark.sql(f"SELECT * FROM {_MINUTES}").select("minutes", text.bar_label(F.col("minutes")).alias("label"))
+    return _rows_of(spark, sf, f"SELECT * FROM {_MINUTES}").select("id", text.bar_label(F.col("minutes")).alias("label"))
 
 
-@_add("text_lookback_hint", f"SELECT minutes, array_to_string(list_transform([20, 60, 120, 240], lambda w: w || ' bars = ' || CASE WHEN minutes >= 1440 THEN (w * minutes // 1440) || 'd' ELSE (w * minutes // 60) || 'h' END), ', ') AS hint FROM {_MINUTES}")
+@_add("text_lookback_hint", f"SELECT id, array_to_string(list_transform([20, 60, 120, 240], lambda w: w || ' bars = ' || CASE WHEN minutes >= 1440 THEN (w * minutes // 1440) || 'd' ELSE (w * minutes // 60) || 'h' END), ', ') AS hint FROM {_MINUTES}")
 def _hints(spark, sf):
-    return spark.sql(f"SELECT * FROM {_MINUTES}").select("minutes", text.lookback_hint(F.col("minutes")).alias("hint"))
+    return _rows_of(spark, sf, f"SELECT * FROM {_MINUTES}").select("id", text.lookback_hint(F.col("minutes")).alias("hint"))
 
 
-_CODES = "(SELECT * FROM (VALUES (1, concat('as <code>class A: pass', chr(10), '</code> shows')), (2, 'class B: pass'), (3, 'no code'), (4, '')) AS v(id, body) UNION ALL SELECT 1000 * (conv_id + 1) + turn AS id, text AS body FROM conversations) AS t"
+_CODES = "(SELECT 1000 * (conv_id + 1) + turn AS id, CASE (conv_id + turn) % 4 WHEN 1 THEN concat('as <code>class A: pass', chr(10), '</code> shows ', text) WHEN 2 THEN concat('class B: pass ', text) ELSE text END AS body FROM conversations) AS t"
 
 
 @_add("text_code", f"SELECT id, CASE WHEN regexp_matches(body, '(?s)<code>.*?</code>') THEN trim(regexp_extract(body, '(?s)<code>(.*?)</code>', 1), ' ' || chr(10)) WHEN contains(body, 'class ') THEN body END AS code FROM {_CODES}")
@@ -526,18 +575,24 @@ def _profile_hashes(spark, sf):
     return _with_texts(spark, sf, _TEXTS).select("id", text.profile_hash(F.col("body")).alias("hash"))
 
 
-@_add("text_size_class", "SELECT x, CASE WHEN abs(x) <= 5 THEN 0 WHEN abs(x) <= 20 THEN 1 WHEN abs(x) <= 60 THEN 2 WHEN abs(x) <= 120 THEN 3 WHEN abs(x) <= 240 THEN 4 ELSE 5 END::INT AS bucket FROM (VALUES (-5), (6), (20), (61), (120), (240), (241)) AS t(x)")
+_SIZES = "(SELECT p_partkey AS id, CAST(p_partkey % 601 - 300 AS INT) AS x FROM part) AS t"
+
+
+@_add("text_size_class", f"SELECT id, x, CASE WHEN abs(x) <= 5 THEN 0 WHEN abs(x) <= 20 THEN 1 WHEN abs(x) <= 60 THEN 2 WHEN abs(x) <= 120 THEN 3 WHEN abs(x) <= 240 THEN 4 ELSE 5 END::INT AS bucket FROM {_SIZES}")
 def _classes(spark, sf):
-    return spark.sql("SELECT * FROM (VALUES (-5), (6), (20), (61), (120), (240), (241)) AS t(x)").select("x", text.size_class(F.col("x")).alias("bucket"))
+    return _rows_of(spark, sf, f"SELECT * FROM {_SIZES}").select("id", "x", text.size_class(F.col("x")).alias("bucket"))
 
 
-_LOOSE = r"""(VALUES (1, '- name: a: b\n  expr: last(close(5))\n  intuition: "so: it is"\n- expr: vwap(9)\n  category: volume'), (2, 'name: x\nexpr: ts_mean(close(9))\nname: y\nexpr: close(3)'), (3, '- name: no expression'), (4, 'none')) AS t(id, body)"""
-_LOOSE_SQL = """(VALUES (1, 0, 'a: b', 'last(close(5))', 'so: it is', 'general'), (1, 1, 'seed_0001', 'vwap(9)', '', 'volume'), (2, 0, 'x', 'ts_mean(close(9))', '', 'general'), (2, 1, 'y', 'close(3)', '', 'general')) AS t(id, idx, name, expr, intuition, category)"""
+#: An answer with two candidates for each turn, and for some only a name.
+_LOOSE = """(SELECT 1000 * (conv_id + 1) + turn AS id, CASE WHEN conv_id % 5 = 4 THEN concat('- name: n', conv_id) ELSE concat('- name: n', conv_id, ': b', chr(10), '  expr: last(close(', turn + 1, '))', chr(10), '  intuition: "so: ', role, '"', chr(10),
+ '- expr: vwap(', conv_id % 50 + 1, ')', chr(10), '  category: volume') END AS body FROM conversations) AS t"""
+_LOOSE_SQL = """(SELECT 1000 * (conv_id + 1) + turn AS id, i AS idx, CASE i WHEN 0 THEN concat('n', conv_id, ': b') ELSE 'seed_0001' END AS name, CASE i WHEN 0 THEN concat('last(close(', turn + 1, '))') ELSE concat('vwap(', conv_id % 50 + 1, ')') END AS expr,
+ CASE i WHEN 0 THEN concat('so: ', role) ELSE '' END AS intuition, CASE i WHEN 0 THEN 'general' ELSE 'volume' END AS category FROM conversations, (SELECT unnest([0, 1]) AS i) WHERE conv_id % 5 <> 4) AS t"""
 
 
 @_add("text_loose_candidates", f"SELECT id, idx, name, expr, intuition, category, format('seed_{{:04d}}', idx) AS seed_id FROM {_LOOSE_SQL}")
 def _loose(spark, sf):
-    return text.loose_candidates(spark.sql(f"SELECT * FROM {_LOOSE}"))
+    return text.loose_candidates(_rows_of(spark, sf, f"SELECT * FROM {_LOOSE}"))
 
 
 @_add("text_iso_date", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, strftime(ts - INTERVAL 12 DAY, '%Y-%m-%d') AS loaded_from FROM events")
@@ -584,10 +639,12 @@ def _user(spark, sf):
     return _round(panel.user_factor(event_bars(spark, sf), _body_share), 4)
 
 
-@_add("warmup_ladder", """SELECT m AS minutes, CASE WHEN m >= 1440 OR m <= 5 THEN 240 WHEN m <= 60 THEN 96 WHEN m <= 240 THEN 64 ELSE 32 END::INT AS bars,
-    CASE WHEN m >= 1440 THEN greatest(180, 2 * 100 + 30) ELSE greatest(10, ceil(m * 100 / 1440)::INT + 5) END::INT AS days FROM (VALUES (1), (5), (15), (60), (240), (480), (1440)) AS t(m)""")
+@_add("warmup_ladder", f"""SELECT id, bars, days, CASE WHEN m >= 1440 THEN 1 ELSE days * (1440 // m) END::INT AS skipped FROM (SELECT id, m, bars, CASE WHEN m >= 1440 THEN greatest(180, 2 * bars + 30) ELSE greatest(10, ceil(m * bars / 1440)::INT + 5) END::INT AS days
+    FROM (SELECT id, minutes AS m, CASE WHEN minutes >= 1440 OR minutes <= 5 THEN 240 WHEN minutes <= 60 THEN 96 WHEN minutes <= 240 THEN 64 ELSE 32 END::INT AS bars FROM {_MINUTES}))""")
 def _ladder(spark, sf):
-    return spark.createDataFrame([(m, panel.warmup_bars(m), panel.warmup_days(m, 100)) for m in (1, 5, 15, 60, 240, 480, 1440)], "minutes int, bars int, days int")
+    rows = _rows_of(spark, sf, f"SELECT id, CAST(minutes AS INT) AS minutes FROM {_MINUTES}").withColumn("bars", panel.warmup_bars(F.col("minutes")))
+    rows = rows.withColumn("days", panel.warmup_days(F.col("minutes"), F.col("bars")))
+    return rows.select("id", "bars", "days", panel.backtest_warmup(F.col("minutes"), F.col("days")).alias("skipped"))
 
 
 # -- evaluation of candidates, gates, pools, cycles
@@ -607,86 +664,87 @@ def _seed_evaluate(spark, sf):
     return _round(out.select("id", "symbol", "valid", "status", m("reward"), m("coverage"), m("samples")))
 
 
-_FOUND = """(VALUES (1, 'direction', 2.5, 0.52, 0.7, 0.0, 0.0, 90.0), (2, 'direction', 2.5, 0.50, 0.7, 0.0, 0.0, 90.0), (3, 'ic', 0.0, 0.0, 0.0, 0.02, 0.0, 60.0), (4, 'rank_ic', 0.0, 0.0, 0.0, 0.02, 0.0, 40.0),
- (5, 'cross_sectional_rankic', 0.0, 0.0, 0.6, 0.0, 0.01, 0.0), (6, 'cross_sectional_rankic', 0.0, 0.0, 0.5, 0.0, 0.02, 0.0), (7, 'signal_return', 0.0, 0.0, 0.0, -1.0, 0.0, 0.0)) AS t(id, kind, predictive, direction_acc, coverage, value, mean_rank_ic, samples)"""
+_FOUND = """(SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'direction' WHEN 1 THEN 'ic' WHEN 2 THEN 'rank_ic' WHEN 3 THEN 'cross_sectional_rankic' ELSE 'signal_return' END AS kind, CAST(p_size AS DOUBLE) / 10 AS predictive,
+ CAST(45 + p_partkey % 15 AS DOUBLE) / 100 AS direction_acc, CAST(p_partkey % 11 AS DOUBLE) / 10 AS coverage, CAST(p_partkey % 7 - 3 AS DOUBLE) / 100 AS value, CAST(p_partkey % 4 - 1 AS DOUBLE) / 100 AS mean_rank_ic, CAST(p_size * 2 AS DOUBLE) AS samples FROM part) AS t"""
 
 
 @_add("quality_gate", f"""SELECT id FROM {_FOUND} WHERE CASE WHEN kind = 'direction' THEN predictive >= 2 AND direction_acc >= 0.51 AND coverage >= 0.6 WHEN kind IN ('ic', 'rank_ic') THEN value >= 0.01 AND samples >= 50
     WHEN kind = 'cross_sectional_rankic' THEN mean_rank_ic >= 0.01 AND coverage >= 0.6 ELSE true END""")
 def _gate(spark, sf):
-    return panel.quality_gate(spark.sql(f"SELECT * FROM {_FOUND}"), F.col("kind"), F.col).select("id")
+    return panel.quality_gate(_rows_of(spark, sf, f"SELECT * FROM {_FOUND}"), F.col("kind"), F.col).select("id")
 
 
 @_add("seed_pool", f"{_SCORED_SEEDS} SELECT id FROM s WHERE valid OR invert")
 def _pool(spark, sf):
-    return seeds.sample_pool(_seed_rows(spark)).select("id")
+    return seeds.sample_pool(_seed_rows(spark, sf)).select("id")
+
+
+_BARE = """(SELECT p_partkey AS idx, CASE WHEN p_partkey % 3 = 1 THEN concat('p', p_partkey) END AS id, CASE WHEN p_partkey % 4 = 2 THEN p_name END AS name, concat('close(', p_size, ')') AS expr, CASE WHEN p_size > 25 THEN p_brand END AS intuition,
+ CASE WHEN p_partkey % 5 <> 0 THEN p_type END AS category FROM part) AS t"""
 
 
-@_add("seed_defaults", """SELECT idx, coalesce(id, format('seed_{:04d}', idx)) AS id, coalesce(name, id, format('seed_{:04d}', idx)) AS name, expr, coalesce(intuition, '') AS intuition, coalesce(category, 'general') AS category
-    FROM (VALUES (0, NULL, NULL, 'vwap(9)', NULL, NULL), (1, 'b', NULL, 'close(3)', 'why', 'risk'), (2, NULL, 'n', 'open(3)', NULL, NULL)) AS t(idx, id, name, expr, intuition, category)""")
+@_add("seed_defaults", f"""SELECT idx, coalesce(id, format('seed_{{:04d}}', idx)) AS id, coalesce(name, id, format('seed_{{:04d}}', idx)) AS name, expr, coalesce(intuition, '') AS intuition, coalesce(category, 'general') AS category FROM {_BARE}""")
 def _defaults(spark, sf):
-    rows = "(VALUES (0, NULL, NULL, 'vwap(9)', NULL, NULL), (1, 'b', NULL, 'close(3)', 'why', 'risk'), (2, NULL, 'n', 'open(3)', NULL, NULL)) AS t(idx, id, name, expr, intuition, category)"
-    return seeds.with_defaults(spark.sql(f"SELECT idx, cast(id AS string) AS id, cast(name AS string) AS name, expr, cast(intuition AS string) AS intuition, cast(category AS string) AS category FROM {rows}"))
+    return seeds.with_defaults(_rows_of(spark, sf, f"SELECT * FROM {_BARE}"))
 
 
-@_add("task_cycle", f"""SELECT 'no_seed__' || s.name || '__' || i.id AS task_id, s.name AS split, start_date, end_date FROM (SELECT unnest(range(7)) AS id) i JOIN (SELECT *, row_number() OVER (ORDER BY name) - 1 AS at FROM {_SPLITS}) s ON s.at = i.id % 3""")
+@_add("task_cycle", f"""SELECT 'no_seed__' || s.name || '__' || i.id AS task_id, s.name AS split, start_date, end_date FROM (SELECT unnest(range(500)) AS id) i JOIN (SELECT *, row_number() OVER (ORDER BY name) - 1 AS at FROM {_SPLITS}) s ON s.at = i.id % (SELECT count(*) FROM {_SPLITS})""")
 def _cycle(spark, sf):
-    return seeds.cycle_tasks(spark, spark.sql(f"SELECT * FROM {_SPLITS}"), 7).select("task_id", "split", "start_date", "end_date")
+    return seeds.cycle_tasks(spark, _splits(spark, sf), 500).select("task_id", "split", "start_date", "end_date")
 
 
 # -- batches against scores and archives
 
-_ANSWERS = """(VALUES (1, 'e1', 's1', 'd1', 0.10), (2, 'e2', 's1', 'd1', 0.20), (3, 'e1', 's2', 'd2', 0.20), (4, 'e2', 's1', 'd1', 0.20), (5, '', 's1', 'd1', 0.0), (6, 'e9', '', 'd1', 0.0)) AS t(id, expr, seed_expr, start_date, other)"""
-_DONE = "(VALUES ('e1', 'd1', 0.10), ('e2', 'd1', 0.20), ('e1', 'd2', 0.30), ('s1', 'd1', 0.15), ('e9', 'd1', 0.25)) AS t(expr, start_date, raw)"
+_ANSWERS = """(SELECT conv_id * 1000 + turn AS id, CASE WHEN conv_id % 9 = 8 THEN '' ELSE concat('e', (conv_id + turn) % 31) END AS expr, CASE WHEN turn % 4 = 3 THEN '' ELSE concat('s', conv_id % 8) END AS seed_expr, concat('d', conv_id % 3) AS start_date FROM conversations) AS t"""
+_DONE = """(SELECT DISTINCT concat(CASE WHEN event_id % 3 = 0 THEN 's' ELSE 'e' END, user_id % 40) AS expr, concat('d', event_id % 2) AS start_date, CAST(user_id % 40 AS DOUBLE) / 50 AS raw FROM events) AS t"""
 
 
-def _answers(spark):
-    return spark.sql(f"SELECT id, expr, seed_expr, start_date, 'z' AS end_date, 5 AS bar_minutes, 1 AS horizon FROM {_ANSWERS}")
+def _answers(spark, sf):
+    return _rows_of(spark, sf, f"SELECT id, expr, seed_expr, start_date, 'z' AS end_date, 5 AS bar_minutes, 1 AS horizon FROM {_ANSWERS}")
 
 
 @_add("batch_jobs", f"SELECT DISTINCT expr, start_date FROM (SELECT expr, start_date FROM {_ANSWERS} UNION ALL SELECT seed_expr, start_date FROM {_ANSWERS}) WHERE expr <> ''")
 def _jobs(spark, sf):
-    return shaping.jobs(_answers(spark), True).select("expr", "start_date")
+    return shaping.jobs(_answers(spark, sf), True).select("expr", "start_date")
 
 
 @_add("batch_baseline", f"""SELECT a.id, coalesce(r.raw, -1)::DOUBLE AS raw, CASE WHEN a.seed_expr = '' THEN coalesce(r.raw, -1) ELSE coalesce(b.raw, 0) END::DOUBLE AS baseline
-    FROM {_ANSWERS.replace("AS t(", "AS a(")} LEFT JOIN (SELECT * FROM {_DONE}) r USING (expr, start_date) LEFT JOIN (SELECT expr AS seed_expr, start_date, raw FROM {_DONE}) b ON a.seed_expr = b.seed_expr AND a.start_date = b.start_date""")
+    FROM {_ANSWERS[:-1]}a LEFT JOIN (SELECT * FROM {_DONE}) r USING (expr, start_date) LEFT JOIN (SELECT expr AS seed_expr, start_date, raw FROM {_DONE}) b ON a.seed_expr = b.seed_expr AND a.start_date = b.start_date""")
 def _baseline(spark, sf):
-    done = spark.sql(f"SELECT expr, start_date, 'z' AS end_date, 5 AS bar_minutes, 1 AS horizon, cast(raw AS double) AS raw FROM {_DONE}")
-    return shaping.with_scores(_answers(spark), done, True).select("id", "raw", "baseline")
+    done = _rows_of(spark, sf, f"SELECT expr, start_date, 'z' AS end_date, 5 AS bar_minutes, 1 AS horizon, cast(raw AS double) AS raw FROM {_DONE}")
+    return shaping.with_scores(_answers(spark, sf), done, True).select("id", "raw", "baseline")
 
 
-_STATS = """(VALUES (1, 0.20, 0.15, 0, 0, 8.0, 300, 0.95, 0.9, 250), (2, 0.20, 0.25, 2, 0, 20.0, 300, 0.5, 0.4, 250), (3, 0.05, 0.0, 0, 9, 5.0, 300, 0.5, 0.9, 250), (4, -1.0, 0.0, 3, 9, 5.0, 300, 0.99, 0.9, 250),
- (5, 0.14, 0.1, 0, 3, 9.0, 10, 0.1, 0.95, 20), (6, 0.99, 0.1, 0, 0, -4.0, 400, 0.1, 0.1, 1), (7, 0.18, 0.1, 1, 0, 4.0, 200, 0.92, 0.85, 200)) AS t(id, raw, baseline, exact_seen, family_seen, residual, samples, max_corr, rank_max_corr, rank_samples)"""
+_STATS = """(SELECT event_id AS id, CASE WHEN event_id % 19 = 0 THEN CAST(-1 AS DOUBLE) ELSE CAST(event_id % 101 AS DOUBLE) / 100 END AS raw, CAST(user_id % 40 AS DOUBLE) / 100 AS baseline, user_id % 4 AS exact_seen, event_id % 13 AS family_seen,
+ CAST(event_id * 7 % 30 AS DOUBLE) - 6 AS residual, event_id * 11 % 500 AS samples, CAST(event_id * 3 % 100 AS DOUBLE) / 100 AS max_corr, CAST(event_id * 17 % 100 AS DOUBLE) / 100 AS rank_max_corr, event_id * 5 % 400 AS rank_samples FROM events) AS t"""
 _RESIDUAL = "CASE WHEN raw >= 0.16 AND samples >= 200 THEN 0.04 * greatest(0, least(1, residual / 10)) ELSE 0 END - CASE WHEN max_corr > 0.92 THEN 0.03 * (max_corr - 0.92) ELSE 0 END"
 _RANKS = "CASE WHEN raw < 0.12 THEN 0 WHEN rank_samples >= 200 AND rank_max_corr > 0.85 THEN -0.08 * (rank_max_corr - 0.85) WHEN rank_samples > 0 AND rank_max_corr < 0.5 THEN 0.02 ELSE 0 END"
 
 
-def _stats_rows(spark):
-    names = ("raw", "baseline", "residual", "max_corr", "rank_max_corr")
-    return spark.sql(f"SELECT * FROM {_STATS}").withColumns({n: F.col(n).cast("double") for n in names})
+def _stats_rows(spark, sf):
+    return _rows_of(spark, sf, f"SELECT * FROM {_STATS}")
 
 
 @_add("shape_residual", f"SELECT id, round({_RESIDUAL}, 6)::DOUBLE AS shift FROM {_STATS}")
 def _shape_residual(spark, sf):
-    return _round(shaping.shape(_stats_rows(spark), residual=True).select("id", F.col("residual_shift").alias("shift")))
+    return _round(shaping.shape(_stats_rows(spark, sf), residual=True).select("id", F.col("residual_shift").alias("shift")))
 
 
 @_add("shape_behaviour", f"SELECT id, round({_RANKS}, 6)::DOUBLE AS shift FROM {_STATS}")
 def _shape_behaviour(spark, sf):
-    return _round(shaping.shape(_stats_rows(spark), behaviour=True).select("id", F.col("behaviour_shift").alias("shift")))
+    return _round(shaping.shape(_stats_rows(spark, sf), behaviour=True).select("id", F.col("behaviour_shift").alias("shift")))
 
 
 @_add("shape_everything", f"""SELECT id, round(CASE WHEN raw > -1 THEN greatest(-1, least(1, raw + 0.5 * greatest(raw - baseline, 0) - CASE WHEN exact_seen > 0 THEN 0.15 ELSE 0 END
     + CASE WHEN family_seen = 0 AND raw >= 0.1 THEN 0.02 WHEN family_seen > 8 AND raw < 0.08 THEN -0.02 ELSE 0 END + {_RESIDUAL} + {_RANKS})) ELSE -1 END, 6)::DOUBLE AS reward FROM {_STATS}""")
 def _shape_everything(spark, sf):
-    return _round(shaping.shape(_stats_rows(spark), True, True, True, True, True).select("id", "reward"))
+    return _round(shaping.shape(_stats_rows(spark, sf), True, True, True, True, True).select("id", "reward"))
 
 
 @_add("archive_updates", f"SELECT 'exact' AS archive, count(DISTINCT hash) AS n FROM {_BATCH} UNION ALL SELECT 'family', count(DISTINCT family) FROM {_BATCH} UNION ALL SELECT 'residual', count(*) FROM {_BATCH} WHERE raw >= 0.16 UNION ALL SELECT 'behaviour', count(*) FROM {_BATCH} WHERE raw >= 0.12")
 def _updates(spark, sf):
-    families = spark.sql(f"SELECT family AS hash, cast(count AS bigint) AS count FROM {_FAMILIES}")
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("archive"), "n") for name, df in shaping.updates(_batch_rows(spark).withColumn("expr", F.col("hash")), _counts(spark), families).items()]
+    families = _families(spark, sf, "hash")
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("archive"), "n") for name, df in shaping.updates(_batch_rows(spark, sf).withColumn("expr", F.col("hash")), _counts(spark, sf), families).items()]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
@@ -697,40 +755,98 @@ _TAGGED = "CASE (conv_id + turn) % 5 " + " ".join(f"WHEN {i} THEN '{e}'" for i,
 _SEEN = f"(VALUES ('{_TRIED[0]}', 2), ('{_TRIED[2]}', 5)) AS e(expr, count)"
 
 
-def batch_answers(spark, sf):
+def batch_answers(spark, sf, tagged=_TAGGED):
     rows = _table(spark, sf, "conversations")
-    tag = F.expr(_TAGGED)
+    tag = F.expr(tagged)
     body = F.when(tag.isNull(), F.col("text")).otherwise(F.concat(F.coalesce("text", F.lit("")), F.lit(" <expr> "), tag, F.lit("</expr>")))
-    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), body.alias("text"), F.lit("").alias("seed_expr"), F.lit("2024-01-05").alias("start_date"), F.lit("2024-01-20").alias("end_date"), F.lit(EVENT_MINUTES).alias("bar_minutes"), (1 + F.col("conv_id") % 2).cast("int").alias("horizon"))
+    return rows.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), body.alias("text"), F.lit("").alias("seed_expr"), F.lit("2024-01-20").alias("start_date"), F.lit("2024-01-31").alias("end_date"),
+        F.when(F.col("conv_id") % 3 == 0, 60).otherwise(EVENT_MINUTES).alias("bar_minutes"), (1 + F.col("conv_id") % 2).cast("int").alias("horizon"),
+    )
+
 
+#: By bar size: the first midnight loaded (the days of the warm-up ladder and two more before the start) and the first bar kept.
+_WINDOWS = "(VALUES (60, TIMESTAMP '2024-01-08', 96 - 1 + 10 * 24), (240, TIMESTAMP '2024-01-02', 64 - 1 + 16 * 6)) AS w(m, loaded, first)"
 
-@_add("batch_end_to_end", f"""WITH bars AS ({_bars_sql()}), b AS (SELECT * FROM bars WHERE ts <= TIMESTAMP '2024-01-20'),
-    f AS (SELECT symbol, ts, close, unnest([{{'expr': '{_TRIED[0]}', 'factor': close - avg(close) OVER w}}, {{'expr': '{_TRIED[1]}', 'factor': close - open}}], recursive := true) FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
-    s AS (SELECT f.*, h.horizon, CASE WHEN horizon = 1 THEN lead(close) OVER o ELSE lead(close, 2) OVER o END / close - 1 AS fwd FROM f, (VALUES (1), (2)) AS h(horizon) WHERE close > 0 AND ts <= TIMESTAMP '2024-01-20' WINDOW o AS (PARTITION BY expr, horizon, symbol ORDER BY ts)),
-    r AS (SELECT expr, horizon, CASE WHEN count(*) >= 50 THEN (avg(CASE WHEN factor <> 0 THEN (sign(factor) = sign(fwd))::INT END) - 0.5) * 2 + 0.1 ELSE -1 END AS raw FROM s WHERE fwd IS NOT NULL AND ts >= TIMESTAMP '2024-01-05' GROUP BY ALL),
-    a AS (SELECT conv_id * 1000 + turn AS id, 1 + conv_id % 2 AS horizon, coalesce({_TAGGED}, '') AS expr FROM conversations),
-    j AS (SELECT a.id, a.expr, coalesce(raw, -1) AS raw, coalesce(e.count, 0) AS seen FROM a LEFT JOIN r USING (expr, horizon) LEFT JOIN {_SEEN} ON e.expr = a.expr),
+
+@_add("batch_end_to_end", f"""WITH bars AS (SELECT 60 AS m, * FROM ({_bars_sql(60)}) UNION ALL SELECT {EVENT_MINUTES}, * FROM ({_bars_sql()})),
+    f AS (SELECT m, symbol, ts, close, unnest([{{'expr': '{_TRIED[0]}', 'factor': close - avg(close) OVER w}}, {{'expr': '{_TRIED[1]}', 'factor': close - open}}], recursive := true) FROM bars WINDOW w AS (PARTITION BY m, symbol ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+    n AS (SELECT f.*, first, row_number() OVER (PARTITION BY m, expr, symbol ORDER BY ts) AS n FROM f JOIN {_WINDOWS} USING (m) WHERE ts >= loaded AND ts <= TIMESTAMP '2024-01-31'),
+    s AS (SELECT n.*, h.horizon, CASE WHEN horizon = 1 THEN lead(close) OVER o ELSE lead(close, 2) OVER o END / close - 1 AS fwd FROM n, (VALUES (1), (2)) AS h(horizon) WHERE close > 0 AND n >= first AND ts >= TIMESTAMP '2024-01-20' WINDOW o AS (PARTITION BY m, expr, horizon, symbol ORDER BY ts)),
+    r AS (SELECT m AS bar_minutes, expr, horizon, CASE WHEN count(*) >= 50 THEN (avg(CASE WHEN factor <> 0 THEN (sign(factor) = sign(fwd))::INT END) - 0.5) * 2 + 0.1 ELSE -1 END AS raw FROM s WHERE fwd IS NOT NULL GROUP BY ALL),
+    a AS (SELECT conv_id * 1000 + turn AS id, 1 + conv_id % 2 AS horizon, CASE WHEN conv_id % 3 = 0 THEN 60 ELSE {EVENT_MINUTES} END AS bar_minutes, coalesce({_TAGGED}, '') AS expr FROM conversations),
+    j AS (SELECT a.id, a.expr, bar_minutes, coalesce(raw, -1) AS raw, coalesce(e.count, 0) AS seen FROM a LEFT JOIN r USING (expr, horizon, bar_minutes) LEFT JOIN {_SEEN} ON e.expr = a.expr),
     k AS (SELECT *, CASE WHEN seen > 0 THEN 0.15 ELSE 0 END AS penalty, CASE WHEN expr <> '{_TRIED[1]}' AND raw >= 0.1 THEN 0.02 WHEN expr = '{_TRIED[1]}' AND raw < 0.08 THEN -0.02 ELSE 0 END AS family FROM j)
-    SELECT id, expr, round(raw, 6)::DOUBLE AS raw, round(CASE WHEN raw > -1 THEN greatest(-1, least(1, raw - penalty + family)) ELSE -1 END, 6)::DOUBLE AS reward FROM k""")
+    SELECT id, expr, bar_minutes, round(raw, 6)::DOUBLE AS raw, round(CASE WHEN raw > -1 THEN greatest(-1, least(1, raw - penalty + family)) ELSE -1 END, 6)::DOUBLE AS reward FROM k""")
 def _end_to_end(spark, sf):
     exact = spark.sql(f"SELECT expr, cast(count AS bigint) AS count FROM {_SEEN}").select(text.exact_hash(F.col("expr")).alias("hash"), "count")
     family = spark.createDataFrame([(family_hash(_TRIED[1]), 9)], "hash string, count long")
-    out = scoring.score_answers(batch_answers(spark, sf), event_bars(spark, sf), exact, family)
+    trades = B.trades(_table(spark, sf, "events"), "event_type", "ts", "value", F.lit(1.0))
+    out = scoring.score_answers(batch_answers(spark, sf), trades, exact, family)
+    return _round(out.rows.select("id", "expr", "bar_minutes", "raw", "reward"))
+
+
+_CROSSED = (_REVERSAL, "sub(last(close(5)), last(open(5)))")
+_CROSS_TAGS = f"CASE (conv_id + turn) % 4 WHEN 0 THEN '{_CROSSED[0]}' WHEN 1 THEN '{_CROSSED[1]}' WHEN 2 THEN 'bad(' END"
+
+
+@_add("batch_cross_section", f"""WITH bars AS ({_NATION_SQL}),
+    f0 AS (SELECT symbol, ts, close, unnest([{{'expr': '{_CROSSED[0]}', 'factor': coalesce(-((close - avg(close) OVER w) / (stddev_pop(close) OVER w + 1e-8)), 0)}}, {{'expr': '{_CROSSED[1]}', 'factor': close - open}}], recursive := true) FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
+    l AS (SELECT *, row_number() OVER (PARTITION BY expr, symbol ORDER BY ts) AS n FROM f0 WHERE ts >= TIMESTAMP '1993-12-20' AND ts <= TIMESTAMP '1998-06-30'),
+    h AS (SELECT l.*, horizon, CASE WHEN horizon = 1 THEN lead(close) OVER o ELSE lead(close, 2) OVER o END / close - 1 AS fwd FROM l, (VALUES (1), (2)) AS h(horizon) WINDOW o AS (PARTITION BY expr, horizon, symbol ORDER BY ts)),
+    f AS (SELECT expr, horizon, symbol, ts, factor, fwd, count(*) OVER (PARTITION BY expr, horizon, ts) AS n FROM h WHERE n >= 96 AND ts >= TIMESTAMP '1994-01-01' AND fwd IS NOT NULL),
+    k AS (SELECT *, rank() OVER (PARTITION BY expr, horizon, ts ORDER BY factor) + (count(*) OVER (PARTITION BY expr, horizon, ts, factor) - 1) / 2 AS rf, rank() OVER (PARTITION BY expr, horizon, ts ORDER BY fwd) + (count(*) OVER (PARTITION BY expr, horizon, ts, fwd) - 1) / 2 AS rr FROM f WHERE n >= 8),
+    x AS (SELECT expr, horizon, ts, covar_pop(rf, rr) / nullif(stddev_pop(rf) * stddev_pop(rr), 0) AS rank_ic FROM k GROUP BY ALL),
+    z AS (SELECT expr, horizon, count(DISTINCT symbol) AS symbols FROM h WHERE n >= 96 AND ts >= TIMESTAMP '1994-01-01' GROUP BY ALL),
+    r AS (SELECT expr, horizon, CASE WHEN count(rank_ic) < 20 OR any_value(symbols) < 8 THEN -1 ELSE greatest(-1, least(1, 5 * avg(rank_ic) + 0.02 * tanh(avg(rank_ic) / (stddev_pop(rank_ic) + 1e-8) * sqrt(count(rank_ic))))) END AS raw FROM x JOIN z USING (expr, horizon) WHERE rank_ic IS NOT NULL GROUP BY ALL),
+    a AS (SELECT conv_id * 1000 + turn AS id, 1 + conv_id % 2 AS horizon, coalesce({_CROSS_TAGS}, '') AS expr FROM conversations)
+    SELECT id, expr, round(coalesce(raw, -1), 6)::DOUBLE AS raw, round(CASE WHEN coalesce(raw, -1) > -1 THEN greatest(-1, least(1, raw + CASE WHEN raw >= 0.1 THEN 0.02 ELSE 0 END)) ELSE -1 END, 6)::DOUBLE AS reward FROM a LEFT JOIN r USING (expr, horizon)""")
+def _cross_batch(spark, sf):
+    none = spark.createDataFrame([], "hash string, count long")
+    answers = batch_answers(spark, sf, _CROSS_TAGS).withColumns({"start_date": F.lit("1994-01-01"), "end_date": F.lit("1998-06-30"), "bar_minutes": F.lit(1440)})
+    out = scoring.score_answers(answers, nation_bars(spark, sf), none, none, scoring.CROSS)
     return _round(out.rows.select("id", "expr", "raw", "reward"))
 
 
-@_add("metrics_densify", "SELECT * FROM (VALUES (1, 1.0::DOUBLE, 0.0::DOUBLE), (2, 0.0, 2.0), (3, 0.0, 0.0)) AS t(id, a, b)")
+@_add("metrics_densify", "SELECT event_id AS id, CASE WHEN event_type = 'click' THEN value ELSE 0 END::DOUBLE AS click, CASE WHEN event_type = 'error' THEN value ELSE 0 END::DOUBLE AS error FROM events")
 def _densify(spark, sf):
-    rows = spark.sql("SELECT id, m AS metrics FROM (VALUES (1, map('a', 1.0D)), (2, map('b', 2.0D)), (3, map('c', 3.0D))) AS t(id, m)")
-    return shaping.densify(rows, ["a", "b"])
+    rows = _table(spark, sf, "events").select(F.col("event_id").alias("id"), F.create_map("event_type", "value").alias("metrics"))
+    return shaping.densify(rows, ["click", "error"])
 
 
-@_add("task_attribute", "SELECT * FROM (VALUES (1, 'x', 5), (2, 'y', 60)) AS t(id, split, bar_minutes)")
+@_add("task_attribute", "SELECT event_id AS id, coalesce(event_type, '') AS split, CASE WHEN user_id % 3 = 0 THEN 5 ELSE user_id % 60 END::INT AS bar_minutes FROM events")
 def _attribute(spark, sf):
-    rows = spark.sql("SELECT id, split, named_struct('bar_minutes', m) AS extra_info FROM (VALUES (1, 'x', NULL), (2, 'y', 60)) AS t(id, split, m)")
+    minutes = F.when(F.col("user_id") % 3 != 0, (F.col("user_id") % 60).cast("int"))
+    rows = _table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("split"), F.struct(minutes.alias("bar_minutes")).alias("extra_info"))
     return rows.select("id", T.attribute(rows, "split", "").alias("split"), T.attribute(rows, "bar_minutes", 5, "int").alias("bar_minutes"))
 
 
+# -- long histories and whole-table ranks
+
+_BLOCKED = {"a": "ts_mean(close(20))", "b": "ema_arr(close(9), 4)", "c": "corr(returns(9), diff(close(12)))", "d": "ts_max(normalize(close(9)))"}
+
+
+@_add("factors_in_blocks", _FRAMED.replace(_bars_sql(), _bars_sql(7)) + ", c AS (SELECT *, " + _over("list(close) {w9} AS l, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n") + """ FROM b) SELECT symbol, ts, n, """ + _over("""round(avg(close) {w20}, 4) AS a,
+    round(list_sum(list_transform(l, lambda x, k: x * 0.6 ** (len(l) - k))) / (list_sum(list_transform(l, lambda x, k: 0.6 ** (len(l) - k))) + 1e-8), 4) AS b,
+    round(coalesce(CASE WHEN stddev_pop(CASE WHEN dc IS NOT NULL THEN r END) {w9} > 1e-12 AND stddev_pop(CASE WHEN r IS NOT NULL THEN dc END) {w9} > 1e-12 THEN covar_pop(r, dc) {w9} / (stddev_pop(CASE WHEN dc IS NOT NULL THEN r END) {w9} * stddev_pop(CASE WHEN r IS NOT NULL THEN dc END) {w9}) END, 0), 6) + 0.0::DOUBLE AS c,
+    round((max(close) {w9} - avg(close) {w9}) / (stddev_pop(close) {w9} + 1e-8), 4) AS d""") + " FROM c")
+def _blocked(spark, sf):
+    rows = factors_in_blocks(B.finite_rows(event_bars(spark, sf, 7)), _BLOCKED, block=500, position="n")
+    return _round(rows.select("symbol", "ts", "n", *[F.round(x, 6 if x == "c" else 4).alias(x) for x in _BLOCKED]))
+
+
+@_add("rank_whole_table", """WITH k AS (SELECT l_orderkey, l_linenumber, l_extendedprice, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS price_rank FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_extendedprice, price_rank::DOUBLE AS price_rank FROM k""")
+def _rank_whole(spark, sf):
+    return average_ranks(_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), {"price_rank": "l_extendedprice"})
+
+
+@_add("reward_rank_ic_whole", _SERIES.format(h=1) + """, k AS (SELECT rank() OVER (ORDER BY factor) + (count(*) OVER (PARTITION BY factor) - 1) / 2 AS rf, rank() OVER (ORDER BY fwd) + (count(*) OVER (PARTITION BY fwd) - 1) / 2 AS rr FROM a),
+    g AS (SELECT count(*) AS n, covar_pop(rf, rr) / nullif(stddev_pop(rf) * stddev_pop(rr), 0) AS r FROM k) SELECT round(CASE WHEN n < 50 OR r IS NULL THEN -1 ELSE r END, 6)::DOUBLE AS value, n >= 50 AND r IS NOT NULL AS passed FROM g""")
+def _rank_ic_whole(spark, sf):
+    return _round(panel.rank_ic(labelled(spark, sf)).select("value", "passed"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _Q.items()}
 

@@ -295,12 +295,13 @@ class Lowering:
 
 
 
-def factors(bars: DataFrame, exprs: dict[str, str], nonfinite: str = "zero", force_arrays: bool = False) -> DataFrame:
+def factors(bars: DataFrame, exprs: dict[str, str], nonfinite: str = "zero", force_arrays: bool = False, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """bars with a column for each named expression; all share one shuffle and one sort.
 
-    nonfinite: ``zero`` turns undefined values into 0.0, ``drop`` leaves them NULL.
+    nonfinite: ``zero`` turns undefined values into 0.0, ``drop`` leaves them NULL.  A symbol (or what keys name) is one
+    group of a task; ``halo.factors_in_blocks`` cuts longer histories.
     """
-    low = Lowering(force_arrays)
+    low = Lowering(force_arrays, keys)
     out: dict[str, Column] = {}
     for name, text in exprs.items():
         node = parse(text)

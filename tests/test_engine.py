@@ -160,7 +160,7 @@ def test_softmax_draws_follow_scores(spark):
 
 
 def test_validation_and_hashes(spark):
-    got = {r.id: (r.status, r.reasons, r.metrics) for r in seeds.validate_candidates(spark, [("a", "close(60)"), ("b", "("), ("c", "nope(1) + 2"), ("d", "ts_mean(3)")], max_nodes=6).collect()}
+    got = {r.id: (r.status, r.reasons, r.metrics) for r in seeds.validate_candidates(spark.createDataFrame([("a", "close(60)"), ("b", "("), ("c", "nope(1) + 2"), ("d", "ts_mean(3)")], "id string, expr string"), max_nodes=6).collect()}
     assert got["a"] == ("static_valid", [], {"expr_depth": 4.0, "expr_nodes": 5.0}) and got["b"][0] == "invalid_syntax" and got["b"][2] == {}
     assert got["c"][0] == "static_invalid" and got["c"][1][0] == "unknown_ops=nope" and got["c"][1][1] == "nodes>6" and got["d"][1][0].startswith("compile_error=")
     assert stats("close(3) + open(3) * -2").canonical == "(+ (close 3) (* (open 3) (- 2)))"
@@ -234,7 +234,7 @@ def test_batch_with_archives(spark, tmp_path):
     day = ("2024-01-01", "2024-01-02", 1, 1)
     answers = spark.createDataFrame([(1, f"<expr>{good}</expr>", "last(close(2))", *day), (2, "none", "", *day), (3, "<expr>bad(</expr>", "", *day), (4, f"x\n{good}", good, *day)], "id int, text string, seed_expr string, start_date string, end_date string, bar_minutes int, horizon int")
     none = spark.createDataFrame([], "hash string, count long")
-    batch = scoring.score_answers(answers, bars, none, none, relative=True)
+    batch = scoring.score_answers(answers, bars, none, none, relative=True, warmup=1)
     rows = {r.id: r for r in batch.rows.collect()}
     raw = panel.direction_accuracy(panel.series_labels(scoring.factors(bars, {"factor": good}), 1)).first().value / 100 + 0.1
     assert rows[1].raw == rows[4].raw == pytest.approx(raw) and rows[1].raw > 0.1
@@ -247,7 +247,7 @@ def test_batch_with_archives(spark, tmp_path):
     path = str(tmp_path / "r")
     tables.append_profiles(items, cells, path, tables.DIRECTION)
     old = tables.load_profiles(spark, path, tables.DIRECTION)
-    again = scoring.score_answers(answers, bars, spark.createDataFrame([(r.hash, 1) for r in batch.rows.where("id = 1").select(text.exact_hash(F.col("expr")).alias("hash")).collect()], "hash string, count long"), none, residual=old)
+    again = scoring.score_answers(answers, bars, spark.createDataFrame([(r.hash, 1) for r in batch.rows.where("id = 1").select(text.exact_hash(F.col("expr")).alias("hash")).collect()], "hash string, count long"), none, residual=old, warmup=1)
     r = again.rows.where("id = 1").first()
     assert r.max_corr == pytest.approx(1.0) and r.exact_penalty == 0.15 and r.residual_shift == pytest.approx(-0.03 * 0.08)
     grown = shaping.updates(batch.rows, none, none)

@@ -31,7 +31,7 @@ def test_candidates_and_validation(spark, tmp_path):
     write_config(CANDIDATES, tmp_path / "c.json")
     rows = tables.candidates(spark, tmp_path / "c.json").collect()
     assert [(r.id, r.name, r.category, r.intuition) for r in rows] == [("seed_0000", "seed_0000", "momentum", ""), ("two", "two", "general", "é")]
-    verdicts = {r.id: r.valid for r in seeds.validate_candidates(spark, [(r.id, r.expr) for r in rows]).collect()}
+    verdicts = {r.id: r.valid for r in seeds.validate_candidates(tables.candidates(spark, tmp_path / "c.json").select("id", "expr")).collect()}
     assert verdicts == {"seed_0000": True, "two": False}
     assert cli.main(["validate", str(tmp_path / "c.json")]) == 1
     assert cli.main([]) == 2
