@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.functions.stats import clip, corr
+from quillon.functions.stats import clip
+from quillon.operators import gram
 
 
 def read_counts(spark: SparkSession, path: str, key: str = "hash") -> DataFrame:
@@ -41,6 +42,9 @@ def with_counts(df: DataFrame, archive: DataFrame, name: str, key: str = "hash")
     return df.join(archive.select(key, F.col("count").alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
 
+#: The defaults of the bonuses, penalties and thresholds of the functions below.
+
+
 def relative(raw: Column, base: Column, bonus: float = 0.5, under: float = 0.0) -> Column:
     delta = raw - base
     return raw + bonus * F.greatest(delta, F.lit(0.0)) - under * F.greatest(-delta, F.lit(0.0))
@@ -56,10 +60,13 @@ def family_shift(raw: Column, seen: Column, quota: int = 8, low: float = 0.08, p
 
 def max_behaviour_corr(profile: DataFrame, archive: DataFrame, least: int = 20) -> DataFrame:
     """(expr_hash, max_corr): largest absolute correlation of predictions with an archived item over shared times."""
-    a = profile.select("expr_hash", "ts", F.col("pred").cast("double").alias("x"))
-    b = archive.select(F.col("expr_hash").alias("item"), "ts", F.col("pred").cast("double").alias("y"))
-    pairs = a.join(b, "ts").groupBy("expr_hash", "item").agg(F.count("*").alias("n"), F.abs(corr("x", "y", least_std=1e-8)).alias("r"))
-    return pairs.where(F.col("n") >= least).groupBy("expr_hash").agg(F.coalesce(F.max("r"), F.lit(0.0)).alias("max_corr"))
+    side = lambda df: df.where("ts is not null").select(F.col("expr_hash").alias("item"), "ts", F.col("pred").cast("double").alias("v")).where("item is not null and v is not null")
+    n, sx, sy, sxx, syy, sxy = (F.col(x) for x in ("n", "sx", "sy", "sxx", "syy", "sxy"))
+    sums = gram.product_sums(side(profile), side(archive))
+    dev = lambda q, s: F.sqrt(F.greatest(F.lit(0.0), q / n - (s / n) * (s / n)))
+    a, b = dev(sxx, sx), dev(syy, sy)
+    r = F.when((a > 1e-8) & (b > 1e-8), F.abs((sxy / n - (sx / n) * (sy / n)) / (a * b)))
+    return sums.where(n >= least).groupBy("expr_hash").agg(F.coalesce(F.max(r), F.lit(0.0)).alias("max_corr"))
 
 
 def residual_score(profile: DataFrame, archive: DataFrame) -> DataFrame:
@@ -78,25 +85,15 @@ def rank_behaviour_corr(profile: DataFrame, archive: DataFrame, least_times: int
     """(expr_hash, max_corr, mean_corr, samples) of percentile-rank rows (expr_hash, ts, symbol, rank_pct).
 
     Both sides are cut to the symbols that they share, centred and scaled per time on their own finite cells, then
-    multiplied cell by cell; an item counts if enough times are shared.
+    multiplied cell by cell; an item counts if enough times are shared.  The names of each item's symbols pass through the driver.
     """
-    a = profile.select("expr_hash", "ts", "symbol", F.col("rank_pct").alias("x")).where("x is not null")
-    b = archive.select(F.col("expr_hash").alias("item"), "ts", "symbol", F.col("rank_pct").alias("y")).where("y is not null")
-    shared = a.select("expr_hash", "symbol").distinct().join(b.select("item", "symbol").distinct(), "symbol")
-    wide = shared.groupBy("expr_hash", "item").agg(F.count("*").alias("k")).where(F.col("k") >= least_symbols).select("expr_hash", "item")
-    shared = shared.join(wide, ["expr_hash", "item"])
-
-    def unit(rows: DataFrame, v: str) -> DataFrame:
-        per = Window.partitionBy("expr_hash", "item", "ts")
-        rows = rows.withColumns({"m": F.avg(v).over(per), "n": F.count(v).over(per)}).withColumn("d", F.col(v) - F.col("m"))
-        rows = rows.withColumn("ss", F.sum(F.col("d") * F.col("d")).over(per)).where((F.col("n") >= least_symbols) & (F.col("ss") > 1e-12))
-        return rows.select("expr_hash", "item", "ts", "symbol", (F.col("d") / F.sqrt("ss")).alias(f"z{v}"))
-
-    za = unit(a.join(shared, ["expr_hash", "symbol"]), "x")
-    zb = unit(b.join(shared, ["item", "symbol"]), "y")
-    dots = za.join(zb, ["expr_hash", "item", "ts", "symbol"]).groupBy("expr_hash", "item", "ts").agg(F.sum(F.col("zx") * F.col("zy")).alias("r"))
-    items = dots.groupBy("expr_hash", "item").agg(F.count("*").alias("n"), F.avg(F.abs("r")).alias("c")).where(F.col("n") >= least_times)
-    return items.groupBy("expr_hash").agg(F.max("c").alias("max_corr"), F.avg("c").alias("mean_corr"), F.max("n").alias("samples"))
+    side = lambda df: df.select(F.col("expr_hash").alias("item"), "ts", "symbol", F.col("rank_pct").alias("v")).where("item is not null and ts is not null and symbol is not null and v is not null")
+    a, b = side(profile), side(archive)
+    # items times symbols: the names that an item has at all
+    names = a.select(F.lit(0).alias("s"), "item", "symbol").union(b.select(F.lit(1), "item", "symbol")).groupBy("s", "item").agg(F.collect_set("symbol").alias("symbols"))
+    symbols = {f"{r.s}{r['item']}": set(r.symbols) for r in names.collect()}
+    items = gram.unit_products(a, b, symbols, least_symbols).where(F.col("n") >= least_times).withColumn("c", F.col("c") / F.col("n"))
+    return items.groupBy("expr_hash").agg(F.max("c").alias("max_corr"), F.avg("c").alias("mean_corr"), F.max("n").cast("long").alias("samples"))
 
 
 def behaviour_shift(raw: Column, max_corr: Column, samples: Column, good: float = 0.12, penalty: float = 0.08, above: float = 0.85, bonus: float = 0.02, below: float = 0.5, least: int = 200) -> Column:

@@ -218,3 +218,27 @@ def test_many_expressions_are_judged_in_tasks(spark):
     assert {r.valid for r in got.where("id % 11 <> 0 and id % 700 < 500 and id >= 0").collect()} == {True} and got.where("id = -1").first().status == "invalid_syntax"
     assert got.where("id % 11 <> 0 and id % 700 > 501").select(F.explode("reasons")).distinct().collect()[0][0] == "lookback>500"
     assert shaping.counts(got.select(F.col("family_hash").alias("hash"), F.lit(1).cast("long").alias("count"))).count() > 5
+
+
+def test_products_by_blocks_equal_those_by_rows(spark, monkeypatch):
+    from quillon.operators import gram
+
+    monkeypatch.setattr(gram, "CELLS", 60)
+    rng = np.random.default_rng(7)
+    cells = {side: [(f"{side}{i}", t, int(rng.integers(-1, 2))) for i in range(4) for t in range(120) for _ in range(int(rng.integers(0, 3)))] for side in "ab"}
+    make = lambda rows: spark.createDataFrame(rows, "expr_hash string, ts int, pred int").repartition(5)
+    out = shaping.max_behaviour_corr(make(cells["a"] + [("flat", t, 1) for t in range(120)]), make(cells["b"]))
+    text = plan(out)
+    assert "Join" not in text
+    want = {"flat": 0.0}
+    for i in range(4):
+        best = 0.0
+        for j in range(4):
+            pairs = [(x, y) for n, t, x in cells["a"] if n == f"a{i}" for m, u, y in cells["b"] if m == f"b{j}" and u == t]
+            x, y = np.array(pairs, float).T
+            best = max(best, abs(np.corrcoef(x, y)[0, 1]))
+        want[f"a{i}"] = best
+    assert {r.expr_hash: pytest.approx(r.max_corr, abs=1e-9) for r in out.collect()} == want
+    # a row for each pair and task, whatever the number of times
+    seen = gram.product_sums(*[make(cells[s]).select(F.col("expr_hash").alias("item"), "ts", F.col("pred").cast("double").alias("v")) for s in "ab"])
+    assert seen.count() == 16 and "mapinpandas" in plan(seen).lower()
