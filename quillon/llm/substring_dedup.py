@@ -33,13 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import _kernels as K
-from quillon.llm._spark import arrow_map, broadcast_if_small, small_batches, stash
+from quillon.llm._spark import arrow_map, small_batches, stash
 
 LENGTH = 100
 #: Phrases of one key that one task sorts.
 PER_KEY = 20_000
-#: Keys (8 bytes each) and phrases to fetch or spans to cut (24 bytes each) that are broadcast at most; more are shuffled.
-_KEYS, _PLACES = 1_000_000, 500_000
 #: Starts that are parsed at a time, and bytes of the rolling hash.
 _PIECE, _WIDTH = 1 << 20, 8
 #: A place is a long: start << 33 | strings of the phrase << 27 | 27 bits of a hash of the text.
@@ -139,13 +137,9 @@ def _later(parsed: DataFrame, dictionary: DataFrame, length: int) -> DataFrame:
 def _fetched(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(key, id, place, hot, text): phrases of the dictionary with their bytes, cut from the documents at their first places."""
     kind = F.col("place").bitwiseAND((1 << _MANY) - 1)
-    few = wanted.count() <= _PLACES
     lists = wanted.groupBy(F.col("id").alias("i"), kind.alias("k")).agg(F.collect_list(F.struct("key", "place", "hot")).alias("at"))
-    if not few:
-        ids = wanted.select(F.col("id").alias("w")).distinct()
-        rows = rows.join(broadcast_if_small(ids), F.col("id") == F.col("w"), "left_semi")
     # equal rows are cut twice: the second time adds nothing
-    joined = rows.join(F.broadcast(lists) if few else lists, (F.col("id") == F.col("i")) & (F.col("kind") == F.col("k"))).select("id", "text", "at")
+    joined = rows.join(lists, (F.col("id") == F.col("i")) & (F.col("kind") == F.col("k"))).select("id", "text", "at")
 
     def run(batch: pa.RecordBatch):
         data, offs, _ = K.string_buffers(batch.column(1))
@@ -233,10 +227,7 @@ def _single(fetched: DataFrame, length: int) -> DataFrame:
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, kind, begin, end) of bytes to remove, of ids and kinds as ``_rows`` gives them; spans may overlap."""
     keys = stash(repeated_keys(rows, length), "keys")
-    parsed = parse(rows, length)
-    few = keys.count() <= _KEYS
-    wanted = keys.select(F.col("key").alias("k"))
-    parsed = stash(parsed.join(F.broadcast(wanted) if few else wanted, F.col("key") == F.col("k"), "left_semi"), "parse")
+    parsed = stash(parse(rows, length).join(keys.select(F.col("key").alias("k")), F.col("key") == F.col("k"), "left_semi"), "parse")
     dictionary = stash(_dictionary(parsed), "dictionary")
     shared = dictionary.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("m")).where("m > 1")
     several = dictionary.join(shared, F.col("key") == F.col("k")).select("key", "id", "place", (F.col("m") > PER_KEY).alias("hot"))
@@ -261,8 +252,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = _rows(docs, id_col, text_col)
     spans = stash(repeated_spans(rows, length).groupBy(F.col("id").alias("i"), F.col("kind").alias("k")).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans")), "spans")
-    few = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= _PLACES
-    joined = rows.join(F.broadcast(spans) if few else spans, (F.col("id") == F.col("i")) & (F.col("kind") == F.col("k")), "left").select("given", "text", "spans")
+    joined = rows.join(spans, (F.col("id") == F.col("i")) & (F.col("kind") == F.col("k")), "left").select("given", "text", "spans")
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["spans", "kept"] * keep
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<begin:long,end:long>>, kept binary" * keep
 
