@@ -149,13 +149,13 @@ class PrefixCounter:
                 table = np.array(count, np.int32)[np.append(np.flatnonzero((data & 0xC0) != 0x80), len(raw))]
             else:
                 table = np.array(count, np.int32)
-            got = count[-1], table.astype(np.uint8) if len(piece) <= LONGEST else table
+            got = count[-1], table.astype(np.uint8) if len(raw) < 256 else table  # at most a token a byte
         if len(piece) <= LONGEST:
             if self.held > CACHE_BYTES:
                 self.tables, self.older, self.held = {}, self.tables, 0
             if piece not in self.tables:
                 self.tables[piece] = got
-                self.held += 300 + 5 * len(piece)
+                self.held += 300 + 4 * len(piece) + got[1].nbytes
         return got
 
     def pieces(self, text: str) -> list[tuple[str, bool]]:

@@ -249,3 +249,20 @@ def test_queries_have_the_columns_of_their_contract(spark, name):
         assert all(0 <= r.score <= 1 for r in got) and (name == "op1_language" or all(r.predicted == int(r.score >= 0.5) for r in got))
     elif name not in ("op3_warc", "op8_packing", "op13_filter_audit"):
         assert out.select(F.count_distinct("doc_id"), F.count("*")).first() == (rows, rows)
+
+
+# -- 2, pretokens of more bytes than a small table holds
+
+
+def test_prefix_tables_of_rare_letters():
+    from quillon.llm import tokens
+    from quillon.llm.queries import tokenizer_path
+
+    counter, engine = tokens.PrefixCounter(tokenizer_path()), tokens.load(tokenizer_path())
+    rng = random.Random(12)
+    texts = [c * n for c in ("\U000f1234", "\U00010f3a", "\U00013080") for n in (60, 63, 64, 65, 70)]
+    texts += ["".join(rng.choice("\U000f1234\U00010f3a\U00013080\U00013081é") for _ in range(rng.randint(60, 70))) for _ in range(30)]
+    for t in texts:
+        assert counter.table(t).tolist() == [len(engine.ids(t[:i])) for i in range(len(t) + 1)]
+        assert counter.table(t).tolist() == [len(engine.ids(t[:i])) for i in range(len(t) + 1)]  # from the cache
+    assert counter.cut("\U000f1234" * 64, 100) == 25
