@@ -242,3 +242,93 @@ def test_products_by_blocks_equal_those_by_rows(spark, monkeypatch):
     # a row for each pair and task, whatever the number of times
     seen = gram.product_sums(*[make(cells[s]).select(F.col("expr_hash").alias("item"), "ts", F.col("pred").cast("double").alias("v")) for s in "ab"])
     assert seen.count() == 16 and "mapinpandas" in plan(seen).lower()
+
+
+def test_writers_at_the_same_time_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from quillon.sources.ledger import Ledger, count_batch, counted, first_of
+
+    def batch(i):
+        return spark.createDataFrame([(f"h{k}",) for k in range(i % 5, 20) for _ in range(2)] + [("",), (None,)], "hash string")
+
+    log = Ledger(spark, tmp_path / "counts", "hash string, count long")
+    assert log.read().count() == 0 and log.live() == [] and log.compact() is None
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: count_batch(Ledger(spark, tmp_path / "counts", "hash string, count long"), batch(i)), range(8)))
+    want = Counter(f"h{k}" for i in range(8) for k in range(i % 5, 20) for _ in range(2))
+    assert {r.hash: r["count"] for r in counted(log).collect()} == want and len(log.live()) == 8
+    # two compactions of the same parts and an append between them
+    parts = log.live()
+    rows = log.read()
+    one = log.add(rows, parts)
+    count_batch(log, batch(0))
+    log.add(rows, parts)
+    want += Counter(f"h{k}" for k in range(20) for _ in range(2))
+    assert {r.hash: r["count"] for r in counted(log).collect()} == want and log.live()[0] == one and len(log.live()) == 2
+    assert log.compact() and len(log.live()) == 1 and {r.hash: r["count"] for r in counted(log).collect()} == want
+    assert log.sweep() == 11 and {r.hash: r["count"] for r in counted(log).collect()} == want
+    # a part without a commit does not exist
+    counted(log).write.parquet(f"{tmp_path}/counts/parts/99999999999999999999-x")
+    assert {r.hash: r["count"] for r in counted(log).collect()} == want
+    found = Ledger(spark, tmp_path / "mined", "expr string, score double")
+    for score in (0.5, 0.7):
+        found.add(spark.createDataFrame([("a", score), ("b" if score < 0.6 else "c", score)], "expr string, score double"))
+    assert sorted(map(tuple, first_of(found, "expr").collect())) == [("a", 0.5), ("b", 0.5), ("c", 0.7)]
+
+
+def test_profiles_are_made_once_for_each_month(spark, tmp_path):
+    from quillon.operators import profiles
+
+    trades = B.trades(catalog._table(spark, SF.replace("0.001", "0.01"), "events"), "event_type", "ts", "value", F.lit(1.0))
+    # five months of the same bars, with holes
+    long = trades.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("ts", F.expr("ts + make_interval(0, k)")).where("not (symbol = 'view' and month(ts) = 3 and day(ts) < 20)").drop("k")
+    exprs = ["sub(last(close(5)), ts_mean(close(30)))", "neg(last(returns(3)))"]
+    job = lambda e, start, end, h=1: profiles.Job(e, start, end, 240, h)
+
+    def full(jobs):
+        table = spark.createDataFrame([(i, j.expr, j.start, j.end, j.bar_minutes, j.horizon) for i, j in enumerate(jobs)], scoring.JOBS)
+        rows = scoring.score_jobs(long, table)[1].collect()
+        return sorted((jobs[int(r.expr_hash)].hash, jobs[int(r.expr_hash)].horizon, jobs[int(r.expr_hash)].end, *r[1:]) for r in rows)
+
+    store = profiles.ProfileStore(spark, tmp_path / "store")
+    computed = []
+    whole = store._compute
+    store._compute = lambda rows, missing, span: computed.append(sorted({k[3].month for k in missing})) or whole(rows, missing, span)
+    ask = lambda jobs: sorted((r.expr_hash, r.horizon, r.end_date, *r[5:]) for r in store.request(long, jobs).collect())
+    first = [job(e, "2024-02-01", "2024-02-28") for e in exprs]
+    assert ask(first) == full(first) != []
+    second = [job(exprs[0], "2024-02-01", "2024-04-20"), job(exprs[1], "2024-02-10", "2024-02-25")]
+    assert ask(second) == full(second)
+    assert ask(first) == full(first)
+    # January and February were there; nothing at all was missing the third time
+    assert computed == [[1, 2], [3, 4]]
+    third = [job(exprs[0], "2024-02-01", "2024-05-31", 3), job("bad(", "2024-02-01", "2024-05-31")]
+    assert ask(third) == full(third[:1]) and computed[2] == [1, 2, 3, 4, 5]
+    assert ask(third) == full(third[:1]) and computed[3] == [5]  # the last month has bars without a return
+
+
+def test_replay_in_micro_batches_equals_the_batch(spark, tmp_path):
+    from quillon.streaming.replay import replay
+
+    bars = B.finite_rows(catalog.event_bars(spark, SF, 7))
+    rows = bars.toPandas().sort_values("ts").astype({"ts": "datetime64[us]"}).reset_index(drop=True)
+    step = -(-len(rows) // 10)
+    for i in range(10):
+        part = rows.iloc[i * step : (i + 1) * step]
+        if i == 4:  # bars that come a second time, and others that come too late
+            part = part._append(rows.iloc[:25].assign(close=-1.0))
+        part.to_parquet(tmp_path / f"{i:02d}.parquet")
+        import os
+
+        os.utime(tmp_path / f"{i:02d}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    exprs = {k: EXPRS[k] for k in "abcd"}
+    found = []
+    stream = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    query = replay(stream, exprs, lambda df, n: found.append((n, df.collect())), warmup=3).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert query.awaitTermination(300) and len(found) == 10
+    got = {(r.symbol, r.ts): r for _, part in found for r in part}
+    assert len(got) == sum(len(p) for _, p in found)
+    want = panel.skip_warmup(factors(bars, exprs), 3).collect()
+    assert len(want) == len(got) and all(got[r.symbol, r.ts][x] == pytest.approx(r[x], rel=1e-12, abs=1e-12) for r in want for x in (*exprs, "close"))
+    assert min(r.n for r in got.values()) == 3
