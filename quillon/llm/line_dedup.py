@@ -1,13 +1,13 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 ``LineRuns`` is a log-structured store in the shared folder.  A run is a table
-(h1, h2, owner, n_docs) bucketed and sorted by the 128-bit key of a line, so
-that joining runs needs no shuffle of them: Spark merge-joins the sorted
-buckets.  A new batch of documents is aggregated to one row per key, merge
+(h1, h2, owner, n_docs) bucketed and sorted by the 128-bit key of a line, a
+file a bucket, so that Spark merges runs as they lie: no run is shuffled or
+sorted again.  A new batch of documents is aggregated to one row per key, merge
 anti-joined with the runs (keys that no run holds get an owner, the largest
 document of the batch; the others only add to the count) and written as a run of level 0.
 Whenever a level holds ``fanout`` runs they are compacted to one run of
-the next level.  Since a key's total is the sum and its owner the maximum over
+the next level by full outer merge joins.  Since a key's total is the sum and its owner the maximum over
 runs, the result does not depend on how the documents were batched.
 
 A key that a third of all documents hold costs one row per task before the
@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +88,18 @@ def keyed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MI
     return arrow_map(rows, run, "id long, h1 long, h2 long")
 
 
+@contextmanager
+def _sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, Spark relies on the order within the single file of a bucket; the session's setting is put back."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class LineRuns:
     """The levelled store.  Runs are replaced only after their successor is written."""
 
@@ -94,65 +108,84 @@ class LineRuns:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.path = scratch(spark, "line-runs")
         self.levels: list[list[str]] = []
+        self.made: set[str] = set()
 
-    def _write(self, rows: DataFrame) -> str:
+    def _write(self, rows: DataFrame, dealt: bool = False) -> str:
+        """rows as a run; dealt: they already come bucket by bucket, from a merge of runs."""
         name = f"line_run_{uuid.uuid4().hex}"
-        (
-            rows.select("h1", "h2", "owner", "n_docs").repartition(self.buckets, "h1")
-            .write.bucketBy(self.buckets, "h1").sortBy("h1", "h2")
-            .option("path", f"{self.path}/{name}").saveAsTable(name)
-        )
+        rows = rows.select("h1", "h2", "owner", "n_docs")
+        self.made.add(name)
+        with _sorted_scans(self.spark):
+            (
+                (rows if dealt else rows.repartition(self.buckets, "h1", "h2")).write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+                .option("path", f"{self.path}/{name}").saveAsTable(name)
+            )
         return name
 
     def _drop(self, name: str) -> None:
         location = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        self.spark.sql(f"drop table {name}")
+        self.spark.sql(f"drop table if exists {name}")
         location.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(location, True)
+        self.made.discard(name)
 
     def runs(self) -> list[str]:
         return [name for level in self.levels for name in level]
 
-    @staticmethod
-    def merge(tables: list[DataFrame]) -> DataFrame:
-        rows = tables[0]
-        for t in tables[1:]:
-            rows = rows.unionByName(t)
-        return rows.groupBy("h1", "h2").agg(F.max("owner").alias("owner"), F.sum("n_docs").alias("n_docs"))
+    def _run(self, name: str) -> DataFrame:
+        return self.spark.table(name).hint("merge")
+
+    def merged(self, one: str, two: str) -> DataFrame:
+        """Both runs as one, bucket by bucket in the order of their keys."""
+        a, b = (self._run(x).select("h1", "h2", F.col("owner").alias(f"o{i}"), F.col("n_docs").alias(f"n{i}")) for i, x in ((1, one), (2, two)))
+        n = F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0))
+        return a.join(b, ["h1", "h2"], "full").select("h1", "h2", F.greatest("o1", "o2").alias("owner"), n.alias("n_docs"))
+
+    def _compact(self, names: list[str]) -> str:
+        out = names[0]
+        for name in names[1:]:
+            new = self._write(self.merged(out, name), dealt=True)
+            self._drop(out)
+            self._drop(name)
+            out = new
+        return out
+
+    def unseen(self, batch: DataFrame) -> DataFrame:
+        """Rows of a batch (a row a key) whose key no run holds."""
+        for name in self.runs():
+            batch = batch.join(self._run(name).where("owner is not null").select("h1", "h2"), ["h1", "h2"], "left_anti")
+        return batch
 
     def add(self, lines: DataFrame) -> None:
         """One batch of (id, h1, h2), a row for each document and key; documents of a batch are in no other."""
         batch = lines.groupBy("h1", "h2").agg(F.max("id").alias("top"), F.count("*").alias("n_docs"))
-        fresh = batch
-        for name in self.runs():
-            fresh = fresh.join(self.spark.table(name).where("owner is not null").select("h1", "h2"), ["h1", "h2"], "left_anti")
-        owned = batch.join(fresh.select("h1", "h2", F.col("top").alias("owner")), ["h1", "h2"], "left") if self.runs() else batch.withColumn("owner", F.col("top"))
+        owned = batch.withColumn("owner", F.col("top"))
+        if self.runs():
+            owned = batch.join(self.unseen(batch).select("h1", "h2", F.col("top").alias("owner")).hint("merge"), ["h1", "h2"], "left")
         if not self.levels:
             self.levels.append([])
         self.levels[0].append(self._write(owned))
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            full = self.levels[level]
-            merged = self._write(self.merge([self.spark.table(x) for x in full]))
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(merged)
+            self.levels[level + 1].append(self._compact(self.levels[level]))
             self.levels[level] = []
-            for x in full:
-                self._drop(x)
             level += 1
 
     def close(self) -> None:
-        """Drops all runs; what was read from them must be materialised before."""
-        for name in self.runs():
+        """Drops all runs, also those that a failure left; what was read from them must be materialised before."""
+        for name in sorted(self.made):
             self._drop(name)
         self.levels = []
 
     def repeated(self, min_docs: int) -> DataFrame:
-        """(h1, h2, owner) of keys that at least min_docs documents hold."""
+        """(h1, h2, owner) of keys that at least min_docs documents hold; the runs are compacted to one for it."""
         names = self.runs()
         if not names:
             return self.spark.createDataFrame([], "h1 long, h2 long, owner long")
-        return self.merge([self.spark.table(x) for x in names]).where(F.col("n_docs") >= min_docs).select("h1", "h2", "owner")
+        one = self._compact(names)
+        self.levels = [[] for _ in self.levels[1:]] + [[one]]
+        return self.spark.table(one).where(F.col("n_docs") >= min_docs).select("h1", "h2", "owner")
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, keep_text: bool = True, measures: tuple[str, str, str] = ("n_lines", "n_dropped", "kept_sha256")) -> DataFrame:
@@ -173,14 +206,16 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lines = cut(keyed_lines(docs, id_col, text_col, min_chars).distinct())
     cuts = lines.stat.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     bounds = [None, *sorted({int(x) for x in cuts or []}), None]
-    for lo, hi in reversed(list(zip(bounds[:-1], bounds[1:], strict=True))):
-        part = lines
-        part = part.where(F.col("id") > lo) if lo is not None else part
-        part = part.where(F.col("id") <= hi) if hi is not None else part
-        store.add(part)
-    gone = lines.join(store.repeated(min_docs), ["h1", "h2"]).where("id <> owner")
-    gone = cut(gone.groupBy("id").agg(F.collect_list("h1").alias("g1"), F.collect_list("h2").alias("g2")))
-    store.close()
+    try:
+        for lo, hi in reversed(list(zip(bounds[:-1], bounds[1:], strict=True))):
+            part = lines
+            part = part.where(F.col("id") > lo) if lo is not None else part
+            part = part.where(F.col("id") <= hi) if hi is not None else part
+            store.add(part)
+        gone = lines.join(store.repeated(min_docs), ["h1", "h2"]).where("id <> owner")
+        gone = cut(gone.groupBy("id").agg(F.collect_list("h1").alias("g1"), F.collect_list("h2").alias("g2")))
+    finally:
+        store.close()
     new = {m.lower() for m in measures}
     own = [c for c in docs.columns if c.lower() != text_col.lower() and c.lower() not in new]
     names = {c: f"_c{i}" for i, c in enumerate(own)}

@@ -266,3 +266,56 @@ def test_prefix_tables_of_rare_letters():
         assert counter.table(t).tolist() == [len(engine.ids(t[:i])) for i in range(len(t) + 1)]
         assert counter.table(t).tolist() == [len(engine.ids(t[:i])) for i in range(len(t) + 1)]  # from the cache
     assert counter.cut("\U000f1234" * 64, 100) == 25
+
+
+# -- 9, runs are merged as they lie
+
+
+def above_scans(df):
+    """For each scan of a run in the plan, the operators above it up to the join, from below."""
+    lines = [(len(x) - len(x.lstrip(" :+-|")), x.lstrip(" :+-|")) for x in df._jdf.queryExecution().executedPlan().toString().splitlines()]
+    out = []
+    for i, (depth, text) in enumerate(lines):
+        if "Scan" in text.split("(")[0] and "line_run_" in text:
+            path = []
+            for d, t in reversed(lines[:i]):
+                if d < depth:
+                    depth = d
+                    path.append(t.split("(")[0].split(" ")[0].lstrip("*"))
+                    if "Join" in t.split("[")[0]:
+                        break
+            out.append((text, path))
+    return out
+
+
+@pytest.mark.parametrize("fanout", [2, 3, 9])
+def test_runs_are_merged_without_shuffle_or_sort(spark, fanout):
+    from quillon.llm import line_dedup
+
+    rng = random.Random(fanout)
+    rows = sorted({(i, rng.randrange(60), rng.randrange(3)) for i in range(200) for _ in range(6)})
+    make = lambda lo, hi: spark.createDataFrame([r for r in rows if lo <= r[0] < hi], "id long, h1 long, h2 long").repartition(3)
+    store = line_dedup.LineRuns(spark, fanout)
+    try:
+        for lo in (150, 100, 50, 0):
+            store.add(make(lo, lo + 50))
+        want = {}
+        for i, a, b in rows:
+            top, n = want.get((a, b), (0, 0))
+            want[a, b] = max(top, i), n + 1
+        assert len(store.runs()) == {2: 1, 3: 2, 9: 4}[fanout]
+        if len(store.runs()) == 1:
+            store.add(make(300, 301))
+        with line_dedup._sorted_scans(spark):
+            batch = make(0, 50).groupBy("h1", "h2").agg(F.max("id").alias("top"))
+            for plan in (store.unseen(batch), store.merged(*store.runs()[:2])):
+                found = above_scans(plan)
+                assert len(found) == (len(store.runs()) if "top" in plan.columns else 2)
+                for scan, path in found:
+                    assert "Bucketed: true" in scan and path[-1].startswith("SortMergeJoin") and not {"Sort", "Exchange", "BroadcastExchange"} & set(path), path
+            assert store.unseen(batch).count() == 0
+        got = {(r.h1, r.h2): r.owner for r in store.repeated(12).collect()}
+        assert got == {k: top for k, (top, n) in want.items() if n >= 12}
+    finally:
+        store.close()
+    assert not [t for t in spark.catalog.listTables() if t.name in store.made] and not store.made
