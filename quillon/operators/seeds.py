@@ -47,9 +47,9 @@ def validate_candidates(rows: DataFrame, **limits) -> DataFrame:
 
     def judge(text: str) -> tuple:
         v = validate(text, **limits)
-        status = "static_valid" if v.valid else "static_invalid" if v.stats.valid else "invalid_syntax"
-        metrics = {"expr_depth": float(v.stats.depth), "expr_nodes": float(v.stats.nodes)} if v.stats.valid else {}
-        return v.valid, status, v.reasons, list(metrics.items()), v.stats.hash, exact_hash(text), family_hash(text)
+        status = "static_valid" if v.valid else "static_invalid" if v.form else "invalid_syntax"
+        metrics = list(zip(("expr_nodes", "expr_depth"), map(float, v.form.size), strict=True)) if v.form else []
+        return v.valid, status, v.reasons, metrics, v.form.digest if v.form else "", exact_hash(text), family_hash(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon import __main__ as cli
 from quillon.operators import panel, scoring, seeds, shaping, text
-from quillon.plans.expr import family_hash, stats, validate
+from quillon.plans.expr import family_hash, form, validate
 from quillon.sources import bars as B
 from quillon.sources import tables
 from quillon.streaming.bars import stream_bars
@@ -163,9 +163,9 @@ def test_validation_and_hashes(spark):
     got = {r.id: (r.status, r.reasons, r.metrics) for r in seeds.validate_candidates(spark.createDataFrame([("a", "close(60)"), ("b", "("), ("c", "nope(1) + 2"), ("d", "ts_mean(3)")], "id string, expr string"), max_nodes=6).collect()}
     assert got["a"] == ("static_valid", [], {"expr_depth": 4.0, "expr_nodes": 5.0}) and got["b"][0] == "invalid_syntax" and got["b"][2] == {}
     assert got["c"][0] == "static_invalid" and got["c"][1][0] == "unknown_ops=nope" and got["c"][1][1] == "nodes>6" and got["d"][1][0].startswith("compile_error=")
-    assert stats("close(3) + open(3) * -2").canonical == "(+ (close 3) (* (open 3) (- 2)))"
-    assert stats("close(3) + open(3)").operators == {"+": 1, "close": 1, "open": 1}
-    assert stats("close( 3 )").hash == stats("close(3)").hash != stats("close(4)").hash and stats("neg(close(3))").hash != stats("-close(3)").hash
+    assert form("close(3) + open(3) * -2").text == "(+ (close 3) (* (open 3) (- 2)))"
+    assert form("close(3) + open(3) * tick()").heads() == {"+": 1, "*": 1, "close": 1, "open": 1, "tick": 1} and form("close(3) + tick()").strangers() == ["tick"]
+    assert form("close( 3 )").digest == form("close(3)").digest != form("close(4)").digest and form("neg(close(3))").digest != form("-close(3)").digest
     assert family_hash("a(b=1)") != family_hash("a(1)") and family_hash("close(5)+1") == family_hash("close(3)+2") != family_hash("close(3)-2")
     assert not validate("ts_mean(close(500))", max_lookback=100).valid
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.plans.expr import ExprError, exact_hash, family_hash, lookback, parse, stats, validate
+from quillon.plans.expr import ExprError, exact_hash, family_hash, form, lookback, parse, validate
 from quillon.plans.lower import factors
 from quillon.sources.bars import finite_rows, resample, trades
 
@@ -15,7 +15,7 @@ def test_types_and_errors():
 
 
 def test_stats_hashes_and_validation():
-    assert (stats("close(60)").nodes, stats("close(60)").depth) == (5, 4)
+    assert form("close(60)").size == (5, 4)
     assert exact_hash(" a  b ") == exact_hash("a b")
     assert family_hash("ts_mean(close(6))") == family_hash("ts_mean(close(20))") != family_hash("ts_mean(close(60))")
     assert validate("ts_mean(close(5))").valid and not validate("nope(close(5))").valid and not validate("(").valid
