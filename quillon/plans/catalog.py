@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 from quillon.functions.ordered import average_ranks
 from quillon.operators import panel, scoring, seeds, shaping, text
 from quillon.operators.intervals import within
+from quillon.operators.profiles import Job, ProfileStore
 from quillon.plans.expr import family_hash
 from quillon.plans.halo import factors_in_blocks
 from quillon.plans.lower import factors
 from quillon.sources import bars as B
 from quillon.sources import tables as T
+from quillon.sources.ledger import Ledger, count_batch, counted
+from quillon.sources.scratch import scratch_path
 
 _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -847,6 +850,44 @@ def _rank_ic_whole(spark, sf):
     return _round(panel.rank_ic(labelled(spark, sf)).select("value", "passed"))
 
 
+# -- stores that grow
+
+@_add("ledger_counts", f"SELECT hash, count(*) AS count FROM {_BATCH} GROUP BY hash")
+def _ledger_counts(spark, sf):
+    ledger = Ledger(spark, scratch_path(spark, "ledger"), "hash string, count long")
+    rows = _batch_rows(spark, sf)
+    for part in range(3):
+        count_batch(ledger, rows.where(F.col("id") % 3 == part))
+    ledger.compact()
+    return counted(ledger)
+
+
+@_add("ledger_mined", f"SELECT expr, max(score) AS score FROM (SELECT expr, coverage AS score FROM {_SEEDS} WHERE valid AND reward >= 2 AND direction_acc >= 0.51 AND coverage >= 0.6) GROUP BY expr")
+def _ledger_mined(spark, sf):
+    ledger = T.mined_ledger(spark, scratch_path(spark, "mined"))
+    rows = _rows_of(spark, sf, f"SELECT expr, coverage AS score, reward AS predictive, direction_acc, coverage, 0 AS value, 0 AS samples, 0 AS mean_rank_ic FROM {_SEEDS} WHERE valid")
+    for _ in range(2):  # the same factors twice, as two writers would
+        T.add_mined(ledger, rows, F.lit("direction"), F.col)
+    return T.mined(ledger).select("expr", "score")
+
+
+_PROFILED = (_TRIED[0], _TRIED[1])
+
+
+@_add("profile_store", f"""WITH bars AS (SELECT 60 AS m, * FROM ({_bars_sql(60)}) UNION ALL SELECT {EVENT_MINUTES}, * FROM ({_bars_sql()})),
+    f AS (SELECT m, symbol, ts, close, unnest([{{'expr': '{_TRIED[0]}', 'factor': close - avg(close) OVER w}}, {{'expr': '{_TRIED[1]}', 'factor': close - open}}], recursive := true) FROM bars WINDOW w AS (PARTITION BY m, symbol ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+    n AS (SELECT f.*, first, row_number() OVER (PARTITION BY m, expr, symbol ORDER BY ts) AS n FROM f JOIN {_WINDOWS} USING (m) WHERE ts >= loaded AND ts <= TIMESTAMP '2024-01-31'),
+    s AS (SELECT n.*, lead(close) OVER (PARTITION BY m, expr, symbol ORDER BY ts) / close - 1 AS fwd FROM n WHERE close > 0 AND n >= first AND ts >= TIMESTAMP '2024-01-20')
+    SELECT substr(sha1(expr), 1, 12) AS expr_hash, m AS bar_minutes, symbol, ts, sign(factor)::TINYINT AS pred, sign(fwd)::TINYINT AS label, factor <> 0 AS mask, factor <> 0 AND sign(factor) = sign(fwd) AS correct FROM s WHERE fwd IS NOT NULL""")
+def _profile_store(spark, sf):
+    trades = B.trades(_table(spark, sf, "events"), "event_type", "ts", "value", F.lit(1.0))
+    store = ProfileStore(spark, scratch_path(spark, "profiles"))
+    jobs = lambda end: [Job(e, "2024-01-20", end, m) for e in _PROFILED for m in (60, EVENT_MINUTES)]
+    store.request(trades, jobs("2024-01-25"))
+    out = store.request(trades, jobs("2024-01-31"))
+    return out.select("expr_hash", "bar_minutes", "symbol", "ts", "pred", "label", "mask", "correct")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _Q.items()}
 

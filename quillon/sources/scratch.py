@@ -22,9 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file:///tmp/quillon-tables-{os.getpid()}"
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/quillon/{label}-{uuid.uuid4().hex[:12]}"
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """df as a table of the shared folder: computed once, and read again by whatever needs it or lost it."""
-    path = f"{shared_dir(df.sparkSession)}/quillon/{label}-{uuid.uuid4().hex[:12]}"
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import panel, seeds, shaping, text
 from quillon.sources.config import parse, read_config, unfenced, write_config
+from quillon.sources.ledger import Ledger, first_of
 
 CANDIDATES = "idx long, id string, name string, expr string, intuition string, category string, metadata map<string,string>"
 EVALUATIONS = CANDIDATES + ", valid boolean, status string, seed_score double, metrics map<string,double>, reasons array<string>, canonical_hash string, invert boolean"
@@ -162,6 +163,41 @@ def append_mined(df: DataFrame, path: str, kind: Column, metric: Callable[[str],
     shaping.fresh(good, read_if_there(df.sparkSession, path, MINED), "expr_hash").write.mode("append").parquet(path)
 
 
+# -- the same archives as ledgers, for any number of writers
+
+
+def mined_ledger(spark: SparkSession, path: str) -> Ledger:
+    return Ledger(spark, path, MINED)
+
+
+def add_mined(ledger: Ledger, df: DataFrame, kind: Column, metric: Callable[[str], Column]) -> str:
+    """Factors that pass the quality gate; ``mined`` has each expression once, whoever else adds it."""
+    good = panel.quality_gate(df, kind, metric).withColumn("expr_hash", text.profile_hash(F.col("expr"))).select("expr_hash", "expr", F.col("score").cast("double").alias("score"))
+    return ledger.add(good.groupBy("expr_hash").agg(F.max(F.struct("score", "expr")).alias("b")).select("expr_hash", "b.expr", "b.score"))
+
+
+def mined(ledger: Ledger) -> DataFrame:
+    return first_of(ledger, "expr_hash")
+
+
+def profile_ledger(spark: SparkSession, path: str, cells: str) -> Ledger:
+    """A ledger of items with profiles: DIRECTION for residual archives, RANKS for behaviour archives."""
+    return Ledger(spark, path, _profile_schema(cells))
+
+
+def add_profiles(ledger: Ledger, items: DataFrame, cells_of: DataFrame, cells: str) -> str:
+    """Adds items (PROFILE_KEYS) with their profiles; items without one are left out."""
+    names = [c.split()[0] for c in cells.split(", ")]
+    profile = cells_of.groupBy("expr_hash").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("profile"))
+    return ledger.add(items.select(*PROFILE_KEYS).join(profile, "expr_hash").withColumn("seq", F.lit(0).cast("long")))
+
+
+def best_profiles(ledger: Ledger, k: int = 128) -> DataFrame:
+    """A row for each cell of the k best items; of an expression its best counts, of equal ones the latest."""
+    rows = ledger.read("_part").where("coalesce(expr_hash, '') <> ''").withColumn("raw_score", F.coalesce("raw_score", F.lit(-9.0)))
+    return shaping.best(rows, k, "expr_hash", seq="_part").select("expr_hash", "raw_score", F.inline("profile"))
+
+
 def attribute(df: DataFrame, name: str, default: Any, kind: str = "string", extra: str = "extra_info") -> Column:
     """A row's own column, else the field of its extra_info struct, else the default."""
     if name in df.columns:

@@ -14,6 +14,7 @@ from quillon.operators.intervals import within
 from quillon.plans import catalog, halo
 from quillon.plans.lower import factors
 from quillon.sources import bars as B
+from quillon.sources import tables
 from tests.test_engine import frame, minute, series
 
 SF = "/root/testdata/sf0.001"
@@ -271,6 +272,13 @@ def test_writers_at_the_same_time_lose_nothing(spark, tmp_path):
     # a part without a commit does not exist
     counted(log).write.parquet(f"{tmp_path}/counts/parts/99999999999999999999-x")
     assert {r.hash: r["count"] for r in counted(log).collect()} == want
+    items = lambda *rows: spark.createDataFrame([(h, h, r, "", "", "") for h, r in rows], "expr_hash string, expr string, raw_score double, task_id string, start_date string, end_date string")
+    cells = lambda v: spark.createDataFrame([(h, minute(0), v, v, True, True) for h in "abc"], "expr_hash string, ts string, pred int, label int, mask boolean, correct boolean").withColumn("ts", F.to_timestamp_ntz("ts"))
+    kept = tables.profile_ledger(spark, tmp_path / "profiles", tables.DIRECTION)
+    for v, rows in ((1, [("a", 0.2), ("b", 0.3), ("d", 0.9)]), (2, [("a", 0.2), ("b", 0.1), ("c", None)])):
+        tables.add_profiles(kept, items(*rows), cells(v), tables.DIRECTION)
+    assert [(r.expr_hash, r.raw_score, r.pred) for r in tables.best_profiles(kept).orderBy("expr_hash").collect()] == [("a", 0.2, 2), ("b", 0.3, 1), ("c", -9.0, 2)]
+    assert [r.expr_hash for r in tables.best_profiles(kept, 1).collect()] == ["b"]
     found = Ledger(spark, tmp_path / "mined", "expr string, score double")
     for score in (0.5, 0.7):
         found.add(spark.createDataFrame([("a", score), ("b" if score < 0.6 else "c", score)], "expr string, score double"))
