@@ -54,6 +54,12 @@ class Queries:
     pairs: np.ndarray  # bit table of first word pairs
     singles: np.ndarray  # bit table of the words of one-word items
     depth: int
+    order: np.ndarray  # places of whole windows, sorted by the suffix that starts there
+    low: np.ndarray  # of each query in order: its places stand together there
+    key: np.ndarray  # of each of order: its rank by item id and place in the item
+    sums: np.ndarray  # prefix sums of the words' polynomial hash
+    item_first: np.ndarray  # of each query in item_of, + total
+    item_of: np.ndarray  # the ids of the items that have each query, each once
 
     def word(self, query: np.ndarray, j: int) -> np.ndarray:
         return self.words[np.minimum(self.at[query] + j, len(self.words) - 1)]
@@ -91,7 +97,40 @@ def prepare(ids: list[int], texts: list[str | None], window: int = WINDOW, skip:
         pairs[_slot(_pair(h[one[many]], h[one[many] + 1]))] = True
     if (~many).any():
         singles[_slot(h[one[~many]] * K._SEQ[2])] = True
-    return Queries(h, np.repeat(first[1:], n), np.repeat(first[:-1], n), np.repeat(np.arange(len(ids)), n), one, size, np.append(new, len(places)), places, np.array(ids, np.int64), np.array(skip or [0] * len(ids), np.int64), pairs, singles, window)
+    stop, begin, owner = np.repeat(first[1:], n), np.repeat(first[:-1], n), np.repeat(np.arange(len(ids)), n)
+    names, skipped = np.array(ids, np.int64), np.array(skip or [0] * len(ids), np.int64)
+    rank = _suffix_ranks(h, stop, int(n.max()) if len(n) else 0)
+    query = np.repeat(np.arange(len(one)), np.diff(np.append(new, len(places))))
+    whole = size[query] == window
+    sorted_ = np.lexsort((places[whole], rank[places[whole]]))
+    order, of = places[whole][sorted_], query[whole][sorted_]
+    low = np.zeros(len(one) + 1, np.int64)
+    some = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+    low[of[some]] = some
+    key = np.empty(len(order), np.int64)
+    key[np.lexsort((order - begin[order] + skipped[owner[order]], names[owner[order]]))] = np.arange(len(order))
+    pair = np.unique(np.stack([query, names[owner[places]]]), axis=1) if len(places) else np.zeros((2, 0), np.int64)
+    return Queries(
+        h, stop, begin, owner, one, size, np.append(new, len(places)), places, names, skipped, pairs, singles, window,
+        order, low, key, _sums(h), np.searchsorted(pair[0], np.arange(len(one) + 1)), pair[1],
+    )
+
+
+def _suffix_ranks(words: np.ndarray, stop: np.ndarray, longest: int) -> np.ndarray:
+    """Rank of each word's suffix, which ends with its item, by doubling the depth compared."""
+    rank = np.unique(words, return_inverse=True)[1].astype(np.int64) + 1
+    at, k = np.arange(len(words)), 1
+    while k < longest and (not len(rank) or rank.max() < len(rank)):
+        after = np.where(at + k < stop, rank[np.minimum(at + k, len(rank) - 1)], 0)
+        rank = np.unique(rank * (len(rank) + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
+        k *= 2
+    return rank
+
+
+def _sums(words: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * K._power("up", len(words)), out=out[1:])
+    return out
 
 
 class SuffixArray:
@@ -142,21 +181,87 @@ class SuffixArray:
         lo, hi = self._bound(False), self._bound(True)
         return self.at[_expand(lo, hi - lo)], np.repeat(np.arange(len(lo)), hi - lo)
 
-    def extended(self, at: np.ndarray, query: np.ndarray, heads: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(place in the shard, place in the benchmark, words) of the longest match from each pair of equal places.
+    def _equal(self, p: np.ndarray, f: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether n words from p in the shard are those from f in the benchmark, both within their texts."""
+        q = self.q
+        ok = (p + n <= self.stop[p]) & (f + n <= q.stop[f])
+        e, g = np.where(ok, p + n, p), np.where(ok, f + n, f)
+        return ok & ((self.sums[e] - self.sums[p]) * self.down[p] == (q.sums[g] - q.sums[f]) * self.down[f])
+
+    def _common(self, p: np.ndarray, f: np.ndarray) -> np.ndarray:
+        """Words that the texts have in common from p and f on: at least a window."""
+        lo = np.full(len(p), self.q.depth, np.int64)
+        hi = np.minimum(self.stop[p] - p, self.q.stop[f] - f)
+        while (lo < hi).any():
+            mid = (lo + hi + 1) >> 1
+            same = self._equal(p, f, mid)
+            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+        return lo
+
+    def longest(self, at: np.ndarray, query: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """(document, -words, item id, place in the document, place in the item) of each document's longest match, in columns.
 
-        heads: only from pairs whose preceding words differ; the others are parts of these.
+        Every matched place is searched in the benchmark's suffixes, among those that begin with its window; its longest match is one of its
+        two neighbours there, and all that match as long stand around them.  No pairs of places are listed.
         """
         q = self.q
+        doc = np.searchsorted(first, at, side="right") - 1
+        short = q.length[query] < q.depth
+        p, k = at[short], query[short]
+        # a short item matches as a whole or not at all; its first name is the least
+        out = [np.stack([doc[short], -q.length[k], q.item_of[q.item_first[k]], p - first[doc[short]], np.zeros(len(p), np.int64)])]
+        p, k, doc = at[~short], query[~short], doc[~short]
+        if len(p):
+            self.sums, self.down = _sums(self.words), K._power("down", max(len(self.words), len(q.words)) + 1)
+            begin, end = q.low[k], q.low[k] + q.first[k + 1] - q.first[k]
+            lo, hi = begin.copy(), end.copy()
+            live = np.arange(len(p))
+            while len(live):
+                mid = (lo[live] + hi[live]) >> 1
+                x, f = p[live], q.order[mid]
+                n = self._common(x, f)
+                e, g = x + n, f + n
+                over = e < self.stop[x]  # more words follow in the document
+                right = over & (g >= q.stop[f])
+                both = over & (g < q.stop[f])
+                right[both] = self.words[e[both]] > q.words[g[both]]
+                lo[live[right]], hi[live[~right]] = mid[right] + 1, mid[~right]
+                live = live[lo[live] < hi[live]]
+            best = np.zeros(len(p), np.int64)
+            for side, there in ((lo - 1, lo > begin), (lo, lo < end)):
+                best[there] = np.maximum(best[there], self._common(p[there], q.order[side[there]]))
+            most = np.zeros(len(first) - 1, np.int64)
+            np.maximum.at(most, doc, best)
+            top = best == most[doc]
+            p, doc, best, begin, end, at = p[top], doc[top], best[top], begin[top], end[top], lo[top]
+            # the neighbours that match as long: from the first that does to the last
+            near = np.where((at > begin) & self._equal(p, q.order[np.maximum(at - 1, 0)], best), at - 1, at)
+            ends = []
+            for far, step in ((begin, -1), (end - 1, 1)):
+                a, b = near.copy(), far.copy()
+                while (a != b).any():
+                    mid = (a + b + (step > 0)) >> 1
+                    same = self._equal(p, q.order[mid], best)
+                    a, b = np.where(same, mid, a), np.where(same, b, mid - step)
+                ends.append(a)
+            # places with the same neighbours have the same items: the first of them holds
+            kind = np.stack([doc, ends[0], ends[1], p])
+            kind = kind[:, np.lexsort(kind[::-1])]
+            kind = kind[:, np.append(True, (kind[:3, 1:] != kind[:3, :-1]).any(axis=0))]
+            spans, back = np.unique(kind[1:3], axis=1, return_inverse=True)
+            least = np.array([q.key[a : b + 1].argmin() + a for a, b in spans.T], np.int64)[back.ravel()]
+            f = q.order[least]
+            out.append(np.stack([kind[0], -most[kind[0]], q.ids[q.item[f]], kind[3] - first[kind[0]], f - q.start[f] + q.skip[q.item[f]]]))
+        return np.concatenate(out, axis=1)
+
+    def extended(self, at: np.ndarray, query: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in the shard, place in the benchmark, words) of the longest match from each pair of equal places."""
+        q = self.q
         times = q.first[query + 1] - q.first[query]
         for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(times) // _PAIRS)) + 1):
             p = np.repeat(at[some], times[some])
             f = q.places[_expand(q.first[query[some]], times[some])]
             n = np.repeat(q.length[query[some]], times[some])
-            if heads:
-                inner = (p > self.start[p]) & (f > q.start[f])
-                inner[inner] = self.words[p[inner] - 1] == q.words[f[inner] - 1]
-                p, f, n = p[~inner], f[~inner], n[~inner]
             live = np.arange(len(p))
             while len(live):
                 live = live[(p[live] + n[live] < self.stop[p[live]]) & (f[live] + n[live] < q.stop[f[live]])]
@@ -262,13 +367,10 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
                 np.add.at(delta, at + q.length[query], -1)
                 doc = np.searchsorted(first, at, side="right") - 1
                 once = np.unique(np.stack([doc, query]), axis=1)
-                times = q.first[once[1] + 1] - q.first[once[1]]
-                items = q.ids[q.item[q.places[_expand(q.first[once[1]], times)]]]
+                times = q.item_first[once[1] + 1] - q.item_first[once[1]]
+                items = q.item_of[_expand(q.item_first[once[1]], times)]
                 found.append(np.unique(np.stack([np.repeat(once[0], times), items]), axis=1))
-                for p, f, n in array.extended(at, query, heads=True):
-                    d = np.searchsorted(first, p, side="right") - 1
-                    k = q.item[f]
-                    best.append(np.stack([d, -n, q.ids[k], p - first[d], f - q.start[f] + q.skip[k]]))
+                best.append(array.longest(at, query, first))
             hit = np.cumsum(delta)[:-1] > 0
             sums = np.concatenate(([0], np.cumsum(hit)))
             n_hit = sums[first[1:]] - sums[first[:-1]]
@@ -313,8 +415,12 @@ def longest_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", t
             for a, _, words, first in _shards(batch.column(1)):
                 for array in _searched(blocks, words, first):
                     q = array.q
-                    for p, f, n in array.extended(*array.matches(), heads=False):
+                    for p, f, n in array.extended(*array.matches()):
                         doc = np.searchsorted(first, p, side="right") - 1
+                        # of a place in the benchmark, the best of these
+                        best = np.lexsort((p - first[doc], ids[a + doc], -n, f))
+                        best = best[np.append(True, f[best][1:] != f[best][:-1])] if len(best) else best
+                        p, f, n, doc = p[best], f[best], n[best], doc[best]
                         cols = [q.ids[q.item[f]], f - q.start[f] + q.skip[q.item[f]], n, ids[a + doc], p - first[doc]]
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["item", "item_word", "n_words", "id", "doc_word"])
 

@@ -319,3 +319,54 @@ def test_runs_are_merged_without_shuffle_or_sort(spark, fanout):
     finally:
         store.close()
     assert not [t for t in spark.catalog.listTables() if t.name in store.made] and not store.made
+
+
+# -- 5, longest matches of repeated words
+
+
+def longest_match(doc, bench, window=10):
+    """(words, item, place in the item, place in the document) by trying every pair."""
+    w, best = words(doc), None
+    for item, text in bench:
+        v = words(text)
+        need = min(window, len(v))
+        for j in range(len(v) - need + 1) if v else ():
+            for i in range(len(w)):
+                n = 0
+                while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                    n += 1
+                if n >= need:
+                    got = (-n, item, i, j)
+                    best = got if best is None or got < best else best
+    return (0, None, None, None) if best is None else (-best[0], best[1], best[3], best[2])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_longest_matches_of_repeated_words(spark, seed):
+    from quillon.llm import decontaminate
+
+    rng = random.Random(seed)
+    some = lambda n, k: " ".join(rng.choice("abcdef"[:k]) for _ in range(n))
+    bench = [(i, some(rng.choice([0, 1, 3, 9, 10, 14, 40]), rng.choice([1, 2, 3]))) for i in range(14)] + [(3, "a " * 25), (20, "b a " * 12), (21, "q r s"), (22, None)]
+    rng.shuffle(bench)
+    docs = [(i, some(rng.choice([0, 5, 12, 60]), rng.choice([1, 2, 3, 6]))) for i in range(40)] + [(50, "a " * 90), (51, "x " + bench[0][1] + " y " + (bench[1][1] or "")), (52, "Q R s q"), (53, None)]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    got = decontaminate.contamination(frame(spark, docs).repartition(3), items).collect()
+    want = {i: longest_match(t, bench) for i, t in docs}
+    assert {r.doc_id: (r.longest_words, r.longest_item, r.longest_item_word, r.longest_doc_word) for r in got} == want
+
+
+def test_a_document_of_one_word_takes_seconds():
+    import time
+
+    from quillon.llm import decontaminate
+    from quillon.llm import _kernels as K
+
+    q = decontaminate.prepare([1, 2], ["same " * 2000, "other words"])
+    raw = np.frombuffer(b"same " * 100_000, np.uint8)
+    h, _, _, first = K.words(raw, np.array([0, len(raw)]), K.ALNUM_WORDS)
+    began = time.process_time()
+    array = decontaminate.SuffixArray(h, first, q)
+    best = array.longest(*array.matches(), first)
+    assert best[:, np.lexsort(best[::-1])][:, 0].tolist() == [0, -2000, 1, 0, 0]
+    assert time.process_time() - began < 20  # some seconds on a slow machine; pairs of places took most of a minute
