@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from quillon.operators import panel, shaping, text
 from quillon.plans.expr import family_hash, validate
 from quillon.plans.lower import factors
-from quillon.sources.bars import finite_rows, lattice
+from quillon.sources.bars import between, finite_rows, lattice, load_start
 
 JOBS = "job int, expr string, start_date string, end_date string, bar_minutes int, horizon int"
 #: The kind of reward that compares symbols at a time; all others are rewards of ``panel`` for single assets.
@@ -82,6 +82,19 @@ def job_rows(rows: DataFrame, jobs: list, kind: str, warmup: int | None, **grid)
     return every.withColumn("n", number).select("job", "symbol", "ts", "start", "close", "factor", "n", "first", "horizon")
 
 
+def single_asset(rows: DataFrame, expr: str, start: str, end: str, minutes: int, min_period: int = 48, warmup_days: int = 10, **grid) -> DataFrame:
+    """(symbol, ts, factor, close) of one expression over a range: what a bar-by-bar backtest of each symbol would record.
+
+    It loads warmup_days and the buffer before the start, begins when min_period bars are there, passes over as many bars as
+    the warm-up has (``panel.backtest_warmup``), and keeps rows with a finite factor and a positive close from the start on.
+    """
+    bars = lattice(rows, [minutes], **grid)[minutes]
+    bars = between(finite_rows(bars), F.col("ts"), load_start(start, warmup_days, panel.BUFFER_DAYS), end)
+    first = min_period - 1 + panel.backtest_warmup(minutes, warmup_days)
+    kept = panel.skip_warmup(factors(bars, {"factor": expr}), first)
+    return panel.valid_scores(panel.after_start(kept, start)).select("symbol", "ts", "factor", "close")
+
+
 def _with_returns(rows: DataFrame, jobs: list) -> DataFrame:
     fwd = F.lit(None).cast("double")
     for h in sorted({max(1, r.horizon) for r in jobs}):

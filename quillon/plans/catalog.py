@@ -789,6 +789,14 @@ def _end_to_end(spark, sf):
     return _round(out.rows.select("id", "expr", "bar_minutes", "raw", "reward"))
 
 
+@_add("single_asset_rows", f"""WITH bars AS (SELECT * FROM ({_bars_sql(60)}) WHERE ts >= TIMESTAMP '2024-01-03' AND ts <= TIMESTAMP '2024-01-29'),
+    f AS (SELECT symbol, ts, close, close - avg(close) OVER w AS factor, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+    SELECT symbol, ts, round(factor, 4) + 0.0::DOUBLE AS factor, round(close, 4) + 0.0::DOUBLE AS close FROM f WHERE n >= 48 - 1 + 10 * 24 AND ts >= TIMESTAMP '2024-01-15' AND close > 0""")
+def _single(spark, sf):
+    trades = B.trades(_table(spark, sf, "events"), "event_type", "ts", "value", F.lit(1.0))
+    return _round(scoring.single_asset(trades, _TRIED[0], "2024-01-15", "2024-01-29", 60), 4)
+
+
 _CROSSED = (_REVERSAL, "sub(last(close(5)), last(open(5)))")
 _CROSS_TAGS = f"CASE (conv_id + turn) % 4 WHEN 0 THEN '{_CROSSED[0]}' WHEN 1 THEN '{_CROSSED[1]}' WHEN 2 THEN 'bad(' END"
 
