@@ -1,12 +1,14 @@
 """A batch of answers from text to shaped reward: expressions, jobs, evaluation, archives, shaping.
 
-Distinct expressions and jobs of a batch (some hundreds) pass through the driver, since expressions are lowered
-there; bars and profiles never do.  All bar sizes of a batch come from one scan (``bars.lattice``), each job is
-scored on its own, and all expressions of a size share one shuffle and sort of its bars.
+Expressions are parsed, checked and hashed in tasks.  Jobs pass through the driver a shard of ``SHARD`` expressions at a time, since expressions
+are lowered there; a shard's results are stored before the next, so neither the plan nor the driver grows with the
+batch.  Bars and profiles never pass through it.  All bar sizes come from one scan (``bars.lattice``), each job is
+scored on its own, and the expressions of a shard share one shuffle and sort of the bars of a size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,12 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.operators import panel, shaping, text
-from quillon.plans.expr import family_hash, validate
+from quillon.operators import panel, seeds, shaping, text
 from quillon.plans.lower import factors
 from quillon.sources.bars import between, finite_rows, lattice, load_start
+from quillon.sources.scratch import scratch_path, stash
 
-JOBS = "job int, expr string, start_date string, end_date string, bar_minutes int, horizon int"
+JOBS = "job long, expr string, start_date string, end_date string, bar_minutes int, horizon int"
+#: Expressions that are lowered into one plan.
+SHARD = 100
 #: The kind of reward that compares symbols at a time; all others are rewards of ``panel`` for single assets.
 CROSS = "cross_sectional_rankic"
 _SIGNS = "expr_hash string, symbol string, ts timestamp_ntz, pred tinyint, label tinyint, mask boolean, correct boolean"
@@ -62,17 +66,17 @@ def job_window(kind: str, minutes: Column, start: Column, warmup: int | None = N
     return F.date_sub(start.cast("date"), days + panel.BUFFER_DAYS).cast("timestamp_ntz"), first
 
 
-def job_rows(rows: DataFrame, jobs: list, kind: str, warmup: int | None, **grid) -> DataFrame:
+def job_rows(grids: dict[int, DataFrame], jobs: list, kind: str, warmup: int | None) -> DataFrame:
     """(job, symbol, ts, start, close, factor, n, first, horizon) of every job: the bars it loads, numbered within a symbol."""
-    spark = rows.sparkSession
-    grids = lattice(rows, {r.bar_minutes for r in jobs}, **grid)
     parts = []
     for minutes, bars in grids.items():
         own = [r for r in jobs if r.bar_minutes == minutes]
+        if not own:
+            continue
         names = {e: f"f{i}" for i, e in enumerate(sorted({r.expr for r in own}))}
         at = {e: i for i, e in enumerate(names)}
         wide = factors(finite_rows(bars), {n: e for e, n in names.items()})
-        known = spark.createDataFrame([(r.job, at[r.expr], r.start_date, r.end_date, r.bar_minutes, max(1, r.horizon)) for r in own], "job int, at int, start_date string, end_date string, bar_minutes int, horizon int")
+        known = bars.sparkSession.createDataFrame([(r.job, at[r.expr], r.start_date, r.end_date, r.bar_minutes, max(1, r.horizon)) for r in own], "job long, at int, start_date string, end_date string, bar_minutes int, horizon int")
         load, first = job_window(kind, F.col("bar_minutes"), F.col("start_date"), warmup)
         known = known.select("job", "at", "horizon", F.col("start_date").cast("timestamp_ntz").alias("start"), F.col("end_date").cast("timestamp_ntz").alias("end"), load.alias("load"), first.cast("int").alias("first"))
         long = wide.select("symbol", "ts", "close", F.posexplode(F.array(*names.values())).alias("at", "factor"))
@@ -113,26 +117,49 @@ def score_jobs(rows: DataFrame, jobs: DataFrame, kind: str = "direction", warmup
     if kind != CROSS and {"direction": "direction_accuracy"}.get(kind, kind) not in panel.REWARDS:
         raise ValueError(f"unknown reward kind {kind!r}; known: {sorted(['direction', CROSS, *panel.REWARDS])}")
     spark = rows.sparkSession
-    found = [r for r in jobs.collect() if validate(r.expr).valid]
-    if not found:
-        return jobs.withColumn("raw", F.lit(-1.0)), spark.createDataFrame([], _RANKS if kind == CROSS else _SIGNS)
-    every = job_rows(rows, found, kind, warmup, **grid)
+    jobs = stash(jobs, "jobs")
+    valid = seeds.validate_candidates(jobs.select("expr").distinct()).where("valid").select("expr")
+    able = stash(jobs.join(valid, "expr").select(*[c.split()[0] for c in JOBS.split(", ")]), "able")
+    grids = lattice(rows, [r.bar_minutes for r in able.select("bar_minutes").distinct().collect()], **grid)
+    places = [scratch_path(spark, x) for x in ("scores", "profiles")]
+    kinds = ("job long, raw double", _RANKS if kind == CROSS else _SIGNS)
+    for path, schema in zip(places, kinds, strict=True):
+        spark.createDataFrame([], schema).write.parquet(path)
+    for shard in _shards(able):
+        for df, path in zip(_score_shard(grids, shard, kind, warmup, min_symbols, min_times), places, strict=True):
+            df.write.mode("append").parquet(path)
+    raw, profiles = (spark.read.schema(schema).parquet(path) for path, schema in zip(places, kinds, strict=True))
+    return jobs.join(raw, "job", "left").withColumn("raw", F.coalesce("raw", F.lit(-1.0))), profiles
+
+
+def _shards(jobs: DataFrame) -> Iterator[list]:
+    """Jobs of at most SHARD expressions at a time, as they come from the executors partition by partition."""
+    held, names = [], set()
+    for r in jobs.orderBy("expr", "job").toLocalIterator():
+        if r.expr not in names and len(names) == SHARD:
+            yield held
+            held, names = [], set()
+        held.append(r)
+        names.add(r.expr)
+    if held:
+        yield held
+
+
+def _score_shard(grids: dict[int, DataFrame], found: list, kind: str, warmup: int | None, min_symbols: int, min_times: int) -> tuple[DataFrame, DataFrame]:
+    every = job_rows(grids, found, kind, warmup)
     kept = (F.col("n") >= F.col("first")) & (F.col("ts") >= F.col("start"))
     if kind == CROSS:
         # returns over all bars, then the rows from the warm-up and the start on
         own = _with_returns(every, found).where(kept)
         symbols = own.groupBy("job").agg(F.count_distinct("symbol").alias("symbols"))
-        cross = panel.cross_section(own, ("job", "ts"), min_symbols).join(F.broadcast(symbols), "job")  # a row a job
+        cross = panel.cross_section(own, ("job", "ts"), min_symbols).join(F.broadcast(symbols), "job")  # a row a job of the shard
         raw = panel.summarise(cross, F.col("symbols"), ("job",), min_times, min_symbols).select("job", F.col("score").alias("raw"))
-        profiles = panel.percentile_ranks(own, ("job", "ts"), min_symbols).select(F.col("job").cast("string").alias("expr_hash"), "ts", "symbol", "rank_pct")
-    else:
-        name, least, _ = panel.single_asset_reward(kind)
-        own = _with_returns(panel.valid_scores(every.where(kept)), found)
-        got = panel.reward(name)(own, ("job",), min_samples=least)
-        raw = got.select("job", panel.raw_reward(kind, F.col("value"), F.col("passed")).alias("raw"))
-        profiles = panel.direction_signs(panel.aligned(own).withColumn("expr_hash", F.col("job").cast("string")), "expr_hash")
-    scored = jobs.join(F.broadcast(raw), "job", "left").withColumn("raw", F.coalesce("raw", F.lit(-1.0)))  # a row a job
-    return scored, profiles
+        return raw, panel.percentile_ranks(own, ("job", "ts"), min_symbols).select(F.col("job").cast("string").alias("expr_hash"), "ts", "symbol", "rank_pct")
+    name, least, _ = panel.single_asset_reward(kind)
+    own = _with_returns(panel.valid_scores(every.where(kept)), found)
+    got = panel.reward(name)(own, ("job",), min_samples=least)
+    raw = got.select("job", panel.raw_reward(kind, F.col("value"), F.col("passed")).alias("raw"))
+    return raw, panel.direction_signs(panel.aligned(own).withColumn("expr_hash", F.col("job").cast("string")), "expr_hash")
 
 
 def score_answers(
@@ -147,14 +174,12 @@ def score_answers(
     """
     if (residual is not None and kind == CROSS) or (behaviour is not None and kind != CROSS):
         raise ValueError("archived profiles must be of the kind of the reward")
-    spark = answers.sparkSession
     out = answers.withColumn("expr", F.coalesce(text.expression(F.col("text")), F.lit("")))
-    found = shaping.jobs(out, relative).collect()
-    table = sorted(tuple(str(r[c]) if c.endswith(("expr", "date")) else int(r[c]) for c in shaping.JOB) for r in found)
-    jobs = spark.createDataFrame([(i, *r) for i, r in enumerate(table)], JOBS)
+    given = shaping.jobs(out, relative).select("expr", F.col("start_date").cast("string"), F.col("end_date").cast("string"), F.col("bar_minutes").cast("int"), F.col("horizon").cast("int"))
+    jobs = stash(given.select(F.xxhash64(*shaping.JOB).alias("job"), *shaping.JOB), "jobs")
     scored, profiles = score_jobs(rows, jobs, kind, **options)
-    families = spark.createDataFrame([(e, family_hash(e)) for e in sorted({r[0] for r in table})], "expr string, family string")
-    out = shaping.with_scores(out, scored, relative).join(F.broadcast(families), "expr", "left").withColumn("hash", text.exact_hash(F.col("expr")))
+    families = seeds.validate_candidates(jobs.select("expr").distinct()).select("expr", F.col("family_hash").alias("family"))
+    out = shaping.with_scores(out, scored, relative).join(families, "expr", "left").withColumn("hash", text.exact_hash(F.col("expr")))
     out = shaping.with_counts(out, exact, "exact_seen")
     out = shaping.with_counts(out, family.withColumnRenamed("hash", "family"), "family_seen", "family")
     stats = None

@@ -79,7 +79,9 @@ def test_all_bar_sizes_from_one_scan(spark):
 JOBS = [(0, "sub(last(close(5)), ts_mean(close(5)))", "2024-01-14", "2024-01-16", 5, 1), (1, "sub(last(close(5)), ts_mean(close(5)))", "2024-01-14", "2024-01-16", 60, 1), (2, "bad(", "2024-01-14", "2024-01-16", 5, 1), (3, "last(close(2)) - last(open(2))", "2024-01-14", "2024-01-16", 5, 3)]
 
 
-def test_jobs_are_scored_on_their_own_bars(spark):
+@pytest.mark.parametrize("shard", [100, 1])
+def test_jobs_are_scored_on_their_own_bars(spark, monkeypatch, shard):
+    monkeypatch.setattr(scoring, "SHARD", shard)
     bars = series(spark, 1440 * 16, ("s", "t"))
     jobs = spark.createDataFrame(JOBS, scoring.JOBS)
     scored, profiles = scoring.score_jobs(bars, jobs)
