@@ -265,12 +265,12 @@ def _panel_labels(spark, sf):
     return _round(panel.aligned(panel_rows(spark, sf, 6)), 4)
 
 
-@_add("panel_rank_ic_by_time", _PANEL.format(h=1) + " SELECT ts, round(rank_ic, 6) AS rank_ic, n_symbols FROM x")
+@_add("panel_rank_ic_by_time", _PANEL.format(h=1) + " SELECT ts, round(rank_ic, 6) + 0.0::DOUBLE AS rank_ic, n_symbols FROM x")
 def _by_time(spark, sf):
     return _round(panel.cross_section(panel_rows(spark, sf)).select("ts", "rank_ic", "n_symbols"))
 
 
-@_add("panel_long_short", _PANEL.format(h=1) + " SELECT ts, round(ls_return, 6) AS ls_return FROM x")
+@_add("panel_long_short", _PANEL.format(h=1) + " SELECT ts, round(ls_return, 6) + 0.0::DOUBLE AS ls_return FROM x")
 def _long_short(spark, sf):
     return _round(panel.cross_section(panel_rows(spark, sf)).select("ts", "ls_return"))
 

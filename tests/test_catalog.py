@@ -13,11 +13,14 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
-@pytest.fixture(scope="module")
-def duck():
+#: Queries whose warm-up is longer than the smallest tables.
+LONGER = {"profile_store", "single_asset_rows"}
+
+
+def duck(sf):
     c = duckdb.connect()
     for t in TABLES:
-        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+        c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     return c
 
 
@@ -38,13 +41,15 @@ SAMPLE = sorted(catalog.oracle_sql())
 
 
 @pytest.mark.parametrize("name", SAMPLE)
-def test_same_rows(spark, duck, name):
-    df = catalog.queries()[name](spark, SF)
-    ref = duck.sql(catalog.oracle_sql()[name])
+def test_same_rows(spark, name):
+    sf = SF.replace("0.001", "0.01") if name in LONGER else SF
+    df = catalog.queries()[name](spark, sf)
+    tables = duck(sf)
+    ref = tables.sql(catalog.oracle_sql()[name])
     assert sorted(df.columns) == sorted(ref.columns)
     cols = sorted(df.columns)
     at = [ref.columns.index(c) for c in cols]
-    key = lambda row: [(v is None, f"{v:.2f}" if isinstance(v, float) else str(v)) for v in row]
+    key = lambda row: [(v is None, f"{round(v, 2) + 0.0:.2f}" if isinstance(v, float) else str(v)) for v in row]
     a = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=key)
     b = sorted((tuple(r[i] for i in at) for r in ref.fetchall()), key=key)
     assert a and len(a) == len(b)
