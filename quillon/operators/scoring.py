@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.operators import panel, seeds, shaping, text
+from quillon.plans.expr import validate
 from quillon.plans.lower import factors
 from quillon.sources.bars import between, finite_rows, lattice, load_start
 from quillon.sources.scratch import scratch_path, stash
@@ -99,6 +100,26 @@ def single_asset(rows: DataFrame, expr: str, start: str, end: str, minutes: int,
     return panel.valid_scores(panel.after_start(kept, start)).select("symbol", "ts", "factor", "close")
 
 
+def try_out(rows: DataFrame, expr: str, start: str, end: str, minutes: int = 5, kind: str = "direction", horizon: int | None = None, **options) -> DataFrame:
+    """One expression over a range, in one row: (valid, score, direction_acc, coverage, error).
+
+    direction: what a backtest of each symbol records, with its warm-up, by the direction of the next bar.  CROSS: the score of the
+    panel, horizon 6 unless given.  An expression that does not validate has its first reason as the error.
+    """
+    spark, none = rows.sparkSession, "valid boolean, score double, direction_acc double, coverage double, error string"
+    reasons = validate(expr).reasons
+    if reasons:
+        return spark.createDataFrame([(False, 0.0, 0.0, 0.0, reasons[0])], none)
+    if kind == CROSS:
+        job = spark.createDataFrame([(0, expr, start, end, minutes, horizon or 6)], JOBS)
+        raw = F.col("raw")
+        return score_jobs(rows, job, CROSS, **options)[0].select((raw > panel.FAIL).alias("valid"), raw.alias("score"), F.lit(0.0).alias("direction_acc"), F.lit(0.0).alias("coverage"), F.when(raw <= panel.FAIL, "no score").alias("error"))
+    kept = single_asset(rows, expr, start, end, minutes, seeds.smoke_warmup(minutes), **options)
+    got = panel.direction_accuracy(panel.aligned(panel.series_labels(kept, horizon or 1)))
+    of = lambda name: F.coalesce(F.try_element_at("metrics", F.lit(name)), F.lit(0.0)).alias(name)
+    return got.select(F.col("passed").alias("valid"), F.col("value").alias("score"), of("direction_acc"), of("coverage"), F.nullif("reason", F.lit("")).alias("error"))
+
+
 def _with_returns(rows: DataFrame, jobs: list) -> DataFrame:
     fwd = F.lit(None).cast("double")
     for h in sorted({max(1, r.horizon) for r in jobs}):

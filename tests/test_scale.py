@@ -342,3 +342,21 @@ def test_replay_in_micro_batches_equals_the_batch(spark, tmp_path):
     want = panel.skip_warmup(factors(bars, exprs), 3).collect()
     assert len(want) == len(got) and all(got[r.symbol, r.ts][x] == pytest.approx(r[x], rel=1e-12, abs=1e-12) for r in want for x in (*exprs, "close"))
     assert min(r.n for r in got.values()) == 3
+
+
+def test_an_expression_is_tried_out_with_the_warm_up_of_a_backtest(spark, tmp_path, capsys):
+    from quillon import __main__ as cli
+
+    bars = series(spark, 1440 * 14, ("s",))
+    expr = "neg(sub(last(close(3)), ts_mean(close(3))))"
+    row = scoring.try_out(bars, expr, "2024-01-13", "2024-01-14", 30).first()
+    grid = factors(B.finite_rows(B.resample(bars, 30)), {"factor": expr}).where("ts >= timestamp_ntz'2024-01-01' and ts <= timestamp_ntz'2024-01-14'")
+    kept = panel.skip_warmup(grid, 96 - 1 + 10 * 48).where("ts >= timestamp_ntz'2024-01-13'")
+    want = panel.direction_accuracy(panel.aligned(panel.series_labels(kept, 1)))
+    n = panel.aligned(panel.series_labels(kept, 1)).count()
+    assert (row.valid, row.error) == ((True, None) if n >= 50 else (False, "too_few_samples")) and row.score == want.first().value and 0 < n < 96
+    assert scoring.try_out(bars, "bad(", "2024-01-13", "2024-01-14").first().error.startswith("syntax")
+    assert scoring.try_out(bars, expr, "2024-01-13", "2024-01-14", 30, scoring.CROSS).first().valid is False  # one symbol is no panel
+    bars.write.parquet(str(tmp_path / "b"))
+    assert cli.main(["try", str(tmp_path / "b"), expr, "5", "2024-01-12", "2024-01-14"]) == 0
+    assert '"valid": true' in capsys.readouterr().out
