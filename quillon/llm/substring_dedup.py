@@ -25,21 +25,21 @@ promise that) and equal strings have theirs at the same offset.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import _kernels as K
-from quillon.llm._spark import arrow_map, small_batches, stash
+from quillon.llm._spark import arrow_map, scratch, small_batches, stash
 
 LENGTH = 100
 #: Phrases of one key that one task sorts.
 PER_KEY = 20_000
 #: Starts that are parsed at a time, and bytes of the rolling hash.
-_PIECE, _WIDTH = 1 << 20, 8
+_PIECE, _WIDTH = 1 << 18, 8
 #: A place is a long: start << 33 | strings of the phrase << 27 | 27 bits of a hash of the text.
 _START, _MANY = 33, 27
 _LAST = (1 << 63) - 1
@@ -224,8 +224,32 @@ def _single(fetched: DataFrame, length: int) -> DataFrame:
     return arrow_map(fetched.where("hot").select("id", "place", "text"), run, "key long, digest long, id long, place long")
 
 
+class _Tables:
+    """Tables of one run in the shared folder, dropped together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, scratch(spark, "repeats")
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(id, kind, begin, end) of bytes to remove, of ids and kinds as ``_rows`` gives them; spans may overlap."""
+    """(id, kind, spans): the bytes to remove of each document that loses some, of ids and kinds as ``_rows`` gives them; spans may overlap."""
+    stashed = _Tables(rows.sparkSession)
+    try:
+        every = _spans(rows, length, stashed).groupBy("id", "kind").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+        return stash(every, "spans")
+    finally:
+        stashed.drop()
+
+
+def _spans(rows: DataFrame, length: int, stash: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     keys = stash(repeated_keys(rows, length), "keys")
     parsed = stash(parse(rows, length).join(keys.select(F.col("key").alias("k")), F.col("key") == F.col("k"), "left_semi"), "parse")
     dictionary = stash(_dictionary(parsed), "dictionary")
@@ -251,7 +275,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an empty table gives an empty table; very long texts are parsed piece by piece.  Phrases are equal if two 64-bit hashes are.
     """
     rows = _rows(docs, id_col, text_col)
-    spans = stash(repeated_spans(rows, length).groupBy(F.col("id").alias("i"), F.col("kind").alias("k")).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans")), "spans")
+    spans = repeated_spans(rows, length).select(F.col("id").alias("i"), F.col("kind").alias("k"), "spans")
     joined = rows.join(spans, (F.col("id") == F.col("i")) & (F.col("kind") == F.col("k")), "left").select("given", "text", "spans")
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["spans", "kept"] * keep
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<begin:long,end:long>>, kept binary" * keep
