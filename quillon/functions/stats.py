@@ -29,13 +29,17 @@ def clip(x: str | Column, lo: float, hi: float) -> Column:
     return F.when(is_finite(x), F.greatest(F.lit(lo), F.least(F.lit(hi), c(x))))
 
 
+def guarded(cov: Column, a: Column, b: Column, least_std: float = 1e-12) -> Column:
+    """A correlation from a covariance and two deviations; NULL if either side is (almost) constant."""
+    return F.when((a > least_std) & (b > least_std), F.try_divide(cov, a * b))
+
+
 def corr(x: str | Column, y: str | Column, over: WindowSpec | None = None, least_std: float = 1e-12) -> Column:
     """Pearson correlation over pairs without NULL; NULL if either side is (almost) constant."""
     both = c(x).isNotNull() & c(y).isNotNull()
     a, b = F.when(both, c(x)), F.when(both, c(y))
     parts = [F.covar_pop(a, b), F.stddev_pop(a), F.stddev_pop(b)]
-    cov, sa, sb = (p.over(over) for p in parts) if over is not None else parts
-    return F.when((sa > least_std) & (sb > least_std), F.try_divide(cov, sa * sb))
+    return guarded(*[p.over(over) for p in parts] if over is not None else parts, least_std)
 
 
 def average_rank(x: str, *keys: str) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.functions.stats import EPS, corr, finite
+from quillon.functions.stats import EPS, finite, guarded
 from quillon.plans.expr import ARRAY, FIELDS, Node, parse
 
 
@@ -241,7 +241,9 @@ class Lowering:
                 "ts_min": lambda: F.min(v).over(over), "ts_sum": lambda: F.sum(v).over(over), "ts_skew": lambda: F.skewness(v).over(over),
                 "ts_kurt": lambda: F.kurtosis(v).over(over), "last": lambda: v, "first": lambda: F.first(v, ignorenulls=True).over(over),
             }[op]()
-            return self._num(key, level, F.when(F.count(v).over(over) == 0, F.lit(0.0)).otherwise(finite(agg)))
+            # window aggregates have columns of their own: what is written twice is computed twice
+            n, raw = self.put(f"#count {x.col} {x.w}", level, F.count(v).over(over)), self.put(f"~{key}", level, agg)
+            return self._num(key, level + 1, F.when(F.col(n) == 0, F.lit(0.0)).otherwise(finite(raw)))
         a, m = F.col(x.col), {k: F.col(v.col) for k, v in self._moments(x).items()}
         # a spread within the rounding error of the mean is none
         spread = m["m2"] > F.pow(1e-14 * m["mean"], F.lit(2.0)) + 1e-150
@@ -256,11 +258,14 @@ class Lowering:
         if isinstance(a, Frame) and isinstance(b, Frame):
             over, level = self.window(min(a.w, b.w)), max(a.level, b.level) + 1
             both = F.col(a.col).isNotNull() & F.col(b.col).isNotNull()
+            u, v = F.when(both, F.col(a.col)), F.when(both, F.col(b.col))
+            tag = f"{a.col} {b.col} {min(a.w, b.w)}"
+            part = lambda name, agg: F.col(self.put(f"#{name} {tag}", level, agg.over(over)))
             if op == "corr":
-                col = corr(a.col, b.col, over)
+                col = guarded(part("cov", F.covar_pop(u, v)), part("left", F.stddev_pop(u)), part("right", F.stddev_pop(v)))
             else:
-                col = F.when(F.count(F.when(both, 1)).over(over) > 1, F.covar_samp(F.when(both, F.col(a.col)), F.when(both, F.col(b.col))).over(over))
-            return self._num(key, level, F.coalesce(finite(col), F.lit(0.0)))
+                col = F.when(part("both", F.count(F.when(both, 1))) > 1, part("samp", F.covar_samp(u, v)))
+            return self._num(key, level + 2, F.coalesce(finite(self.put(f"~{key}", level + 1, col)), F.lit(0.0)))
         x, y = self._tails(a, b)
         m, k = self._moments(x), self._moments(y)
         level = m["m2"].level + 1
