@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.ordered import average_ranks
 from quillon.operators import panel, scoring, seeds, shaping, text
-from quillon.operators.intervals import within
+from quillon.operators.intervals import grouped_within
 from quillon.operators.profiles import Job, ProfileStore
 from quillon.plans.expr import family_hash
 from quillon.plans.halo import factors_in_blocks
@@ -419,8 +419,10 @@ _SPELLS = """(SELECT o_orderkey, o_orderpriority AS priority, CAST(1704067200 +
 @_add("interval_join_orders", f"SELECT priority, event_type, count(*) AS n, round(avg(value), 4) AS mean_value, min(o_orderkey) AS first_order FROM events JOIN {_SPELLS} ON epoch_us(ts) BETWEEN from_second * 1000000 AND to_second * 1000000 GROUP BY ALL")
 def _spells(spark, sf):
     spells = _rows_of(spark, sf, f"SELECT * FROM {_SPELLS}")
-    rows = within(_table(spark, sf, "events"), F.unix_micros(F.col("ts").cast("timestamp")), spells, F.col("from_second") * 1_000_000, F.col("to_second") * 1_000_000)
-    return _round(rows.groupBy("priority", "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"), F.min("o_orderkey").alias("first_order")), 4)
+    at, begin, end = F.unix_micros(F.col("ts").cast("timestamp")), F.col("from_second") * 1_000_000, F.col("to_second") * 1_000_000
+    # the pairs grow with the product of both tables, what is asked of them does not
+    rows = grouped_within(_table(spark, sf, "events"), at, ["event_type"], spells, begin, end, ["priority"], means={"mean_value": "value"}, least={"first_order": "o_orderkey"})
+    return _round(rows.select("priority", "event_type", "n", "mean_value", "first_order"), 4)
 
 
 _add("seed_softmax_sample")(lambda s, d: seeds.softmax_sample(_seed_rows(s, d).where("valid"), 1000))

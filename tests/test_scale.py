@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.ordered import average_ranks, running_sum
 from quillon.operators import panel, scoring, seeds, shaping
-from quillon.operators.intervals import within
+from quillon.operators.intervals import grouped_within, within
 from quillon.plans import catalog, halo
 from quillon.plans.lower import factors
 from quillon.sources import bars as B
@@ -182,6 +182,42 @@ def test_points_in_intervals(spark):
         within(left, F.col("x"), left, F.col("x"), F.col("x"))
 
 
+@pytest.mark.parametrize(("closed", "kind"), [(True, "long"), (False, "long"), (True, "double")])
+def test_groups_of_points_in_intervals(spark, closed, kind):
+    rng = random.Random(9)
+    spans = [(i, rng.choice(["p", "q", None]), a, a + rng.choice([0, 1, 5, 300])) for i, a in enumerate(rng.randrange(1000) for _ in range(200))]
+    spans += [(900, "p", 5, 4), (901, "q", None, 9), (902, "q", 3, None), (903, "r", -50, 2000), (None, "s", 7, 8), (904, "t", 5000, 6000)]
+    points = [(rng.choice(["x", "y", None]), rng.randrange(-20, 1100), rng.choice([None, 0.5, 2.25, -7.0])) for _ in range(300)] + [("z", 700, None), ("x", None, 1.0)]
+    left, right = spark.createDataFrame(points, "k string, x long, v double"), spark.createDataFrame(spans, "i int, g string, a long, b long")
+    to = lambda c: F.col(c) / 8 if kind == "double" else F.col(c)
+    got = grouped_within(left, to("x"), ["k"], right, to("a"), to("b"), ["g"], means={"mean": "v"}, least={"first": "i"}, closed=closed)
+    want = {}
+    for k, x, v in points:
+        for i, g, a, b in spans:
+            if None not in (x, a, b) and a <= x and (x <= b if closed else x < b):
+                want.setdefault((k, g), []).append((v, i))
+    rows = {(r.k, r.g): r for r in got.collect()}
+    assert rows.keys() == want.keys() and ("z", "r") in rows and rows["z", "r"].mean is None
+    for key, pairs in want.items():
+        some, ids = [v for v, _ in pairs if v is not None], [i for _, i in pairs if i is not None]
+        assert (rows[key].n, rows[key].first) == (len(pairs), min(ids, default=None))
+        assert not some or rows[key].mean == pytest.approx(sum(some) / len(some))
+    assert grouped_within(left, F.col("x"), ["k"], right.limit(0), F.col("a"), F.col("b"), ["g"]).count() == 0
+    with pytest.raises(ValueError):
+        grouped_within(left, F.col("x"), ["k"], left, F.col("x"), F.col("x"), ["k"])
+
+
+def test_work_of_intervals_does_not_grow_with_pairs(spark):
+    """3 * 10^10 pairs: listed one by one they take hours."""
+    left = spark.range(200_000).select((F.col("id") % 1000).alias("x"), F.col("id").cast("double").alias("v"), F.lit("k").alias("k"))
+    right = spark.range(300_000).select(F.col("id").alias("i"), (-(F.col("id") % 500)).alias("a"), (F.col("id") % 500 + 500).alias("b"), F.lit("g").alias("g"))
+    (row,) = grouped_within(left, F.col("x"), ["k"], right, F.col("a"), F.col("b"), ["g"], means={"mean": "v"}, least={"first": "i"}).collect()
+    n = 200 * 600 * sum(b + 501 for b in range(500))
+    assert (row.n, row.first) == (n, 0)
+    x = 200 * 600 * sum((b + 500) * (b + 501) // 2 for b in range(500))
+    assert row["mean"] == pytest.approx(x / n + 99_500)
+
+
 def test_sums_and_ranks_by_ranges(spark):
     rng = np.random.default_rng(4)
     v = np.round(rng.normal(size=3000), 1)
