@@ -9,7 +9,9 @@ encoding of a prefix ends in token t exactly if t is a suffix of it, the
 encoding of what precedes ends in some token u, and (u, t) is its own
 encoding; so one pass over the pretoken stores the token count of every
 prefix.  The tables of pretokens are kept by a worker, within a bound in bytes,
-and a text's table is these tables set end to end.  A prefix that ends within a
+and a text's table is these tables set end to end.  Where only a text's count and
+the place of a limit are asked for, the last number of each table is kept instead, and
+tables are made for the pretokens at the limit.  A prefix that ends within a
 pretoken splits like the text but in three places, which have tables of their
 own: a run of white space is one pretoken as long as nothing follows, an
 unfinished contraction is an apostrophe and letters, and an unfinished special
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -89,6 +92,26 @@ def load(path: str) -> Engine:
     return Engine(path)
 
 
+class Totals(dict):
+    """pretoken: its tokens, the last number of its table; in two generations of about CACHE_BYTES each."""
+
+    def __init__(self, table):
+        super().__init__()
+        self.table, self.older, self.held = table, {}, 0
+
+    def __missing__(self, piece: str) -> int:
+        n = self.older.get(piece)
+        if n is None:
+            n = self.table(piece.encode())[-1]
+        if len(piece) <= LONGEST:
+            if self.held > CACHE_BYTES:
+                self.older, self.held = dict(self), 0
+                self.clear()
+            self[piece] = n
+            self.held += 150 + 4 * len(piece)
+        return n
+
+
 class PrefixCounter:
     """Token counts of all prefixes, for engines with ranks."""
 
@@ -110,6 +133,7 @@ class PrefixCounter:
         self.tables: dict[str, tuple[int, np.ndarray]] = {}
         self.older: dict[str, tuple[int, np.ndarray]] = {}
         self.held = 0
+        self.totals = Totals(self.piece_table)
 
     def _follows(self, u: int, t: int) -> bool:
         """Whether tokens u, t are the encoding of their bytes."""
@@ -176,6 +200,21 @@ class PrefixCounter:
         tokens = np.fromiter((1 if s else (known(p) or entry(p))[0] for p, s in pieces), np.int64, len(pieces))
         return np.concatenate(([0], np.cumsum(chars))), np.concatenate(([0], np.cumsum(tokens))), pieces
 
+    def counted(self, text: str, limit: int) -> tuple[int, int]:
+        """(tokens of a text, the largest number of code points whose prefix has at most ``limit``)."""
+        if any(s in text for s in self.engine.special):
+            coarse = self.boundaries(text)
+            return int(coarse[1][-1]), self.cut(text, limit, coarse)
+        pieces = self.pattern.findall(text)
+        sizes = list(map(self.totals.__getitem__, pieces))
+        n = sum(sizes)
+        if n <= limit:
+            return n, len(text)
+        # as far as a cut at the limit looks
+        some = next(i for i, at in enumerate(accumulate(sizes)) if at > limit) + 3
+        chars = np.cumsum([0, *map(len, pieces[:some])])
+        return n, self.cut(text, limit, (chars, np.cumsum([0, *sizes[:some]]), [(p, False) for p in pieces[:some]]))
+
     def _within(self, out: np.ndarray, text: str, k: int, coarse) -> None:
         """Fills out[i], the tokens of text[:i], for the prefixes that end inside pretoken k or at its end."""
         chars, tokens, pieces = coarse
@@ -258,10 +297,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
         n_bytes, n_tokens, fit = [], [], []
         for text in batch.column(1):
             text = text.as_py() or ""
-            coarse = own.boundaries(text)
             n_bytes.append(len(text.encode()))
-            n_tokens.append(int(coarse[1][-1]))
-            fit.append(own.cut(text, limit, coarse))
+            n, chars = own.counted(text, limit)
+            n_tokens.append(n)
+            fit.append(chars)
         n = pa.array(n_tokens, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), n, pa.compute.greater(n, limit), pa.array(fit, pa.int64())], ["id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 

@@ -103,6 +103,25 @@ def test_token_memory_is_bounded(monkeypatch):
     assert own.held < 6000 and max(map(len, own.tables)) <= tokens.LONGEST
 
 
+def test_counts_keep_numbers_and_not_tables(monkeypatch):
+    """Of so many pretokens the tables do not fit the bound, their numbers do: a second pass makes no table but those at a limit."""
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 60_000)
+    own, lib, rng = tokens.PrefixCounter(tokenizer_path()), tokens.load(tokenizer_path()), random.Random(4)
+    words = [f"w{i}" for i in range(250)] + ["é", "日本", "'re", "'", "\n", "\n\n", " ", "  ", "\u00a0", "!!", "x" * 90]
+    texts = ["", " ", "\n"] + [rng.choice(["", " "]).join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(60)] + ["a <|endoftext|> b <|endof", "<|endoftext|>"]
+    want = [(len(lib.ids(t)), {n: max(i for i in range(len(t) + 1) if len(lib.ids(t[:i])) <= n) for n in (0, 5, 40)}) for t in texts]
+    for limit in (0, 5, 40):
+        assert [own.counted(t, limit) for t in texts] == [(n, fit[limit]) for n, fit in want]
+    made = []
+    table = own.piece_table
+    monkeypatch.setattr(own.totals, "table", lambda raw: made.append(raw) or table(raw))
+    assert [own.counted(t, 1 << 20)[0] for t in texts] == [n for n, _ in want]
+    assert all(len(raw.decode()) > tokens.LONGEST for raw in made)
+    for i in range(5000):
+        own.counted(f"v{i} {'z' * 5000}{i}", 9)
+    assert own.totals.held < 62_000 and len(own.totals) + len(own.totals.older) < 1000 and max(map(len, own.totals)) <= tokens.LONGEST
+
+
 # -- 4, 9, 5 on repeats and nulls
 
 
