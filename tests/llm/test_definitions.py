@@ -241,6 +241,22 @@ def test_closed_syncmers_by_definition(spark):
         assert len(base64.b64decode(text)) == 9 * len(h)
 
 
+def test_texts_are_shuffled_packed(spark):
+    """Nothing but the row's place and its packed text goes through the shuffle, in less than lz4 makes of it."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    texts = [None, "", "é\n", "日本" * 40_000] + [" ".join(rng.choice(vocab) for _ in range(500)) for _ in range(60)]
+    rows = fingerprint.with_next(frame(spark, list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", 3)
+    assert rows.columns == ["part", "tail", "id", "packed"]
+    held = [r for r in rows.collect() if not r.tail]
+    assert {r.id: fingerprint.unpack(bytes(r.packed)) for r in held} == {i: (t or "").encode() for i, t in enumerate(texts)}
+    plain = b"".join(t.encode() for t in texts[4:])
+    lz4 = sum(len(pa.compress(plain[i : i + 32768], codec="lz4", asbytes=True)) for i in range(0, len(plain), 32768))
+    assert sum(len(r.packed) for r in held if r.id >= 4) < 0.9 * lz4
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_fingerprints_of_successors(spark, parts):
     rng = random.Random(5)
